@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from . import common as C
 
@@ -43,6 +44,12 @@ def sets_of(texts: list, k: int) -> list[np.ndarray]:
     return out
 
 
+def node_of(u: np.ndarray) -> int:
+    """A 64-bit name of a set, the same for equal sets only."""
+    sums = np.array([C.mix(u).sum(), C.mix(u ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(), len(u)], np.uint64)
+    return int(C.mix((C.mix(sums) * np.array([3, 5, 7], np.uint64)).sum(keepdims=True)).view(np.int64)[0])
+
+
 def frequency_sketch(docs: DataFrame, text: str, k: int) -> np.ndarray:
     """How many shingles of all documents fall to each counter."""
     bits, width = SKETCH_BITS, SKETCH_CHUNK
@@ -89,8 +96,7 @@ def prefixes(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, sket
                         node.append(None)
                         prefix.append(None)
                         continue
-                    sums = np.array([C.mix(u).sum(), C.mix(u ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(), m], np.uint64)
-                    node.append(int(C.mix(np.array([(C.mix(sums) * np.array([3, 5, 7], np.uint64)).sum()], np.uint64)).view(np.int64)[0]))
+                    node.append(node_of(u))
                     p = m - (percent * m + 99) // 100 + 1
                     rank = order[(u >> np.uint64(64 - bits)).astype(np.int64)]
                     prefix.append(u[np.lexsort((u, rank))[:p]].view(np.int64))
@@ -170,8 +176,14 @@ def _home_links(k: int, percent: int):
 
     def run(key, group):
         token, ca, cb = key
-        group = group.drop_duplicates("node").sort_values(["n", "node"]).reset_index(drop=True)
+        group = group.sort_values(["n", "node"])
         sets = sets_of(group["text"].tolist(), k)
+        # another text under a repeated doc_id is not this node's
+        right = np.array([node_of(u) for u in sets]) == group["node"].to_numpy()
+        sets = [u for u, x in zip(sets, right & ~group["node"].duplicated().to_numpy()) if x]
+        group = group[right].drop_duplicates("node").reset_index(drop=True)
+        if not len(group):
+            return pd.DataFrame({"node": [], "other": [], "links": []}).astype("int64")
         values, flat = np.unique(np.concatenate(sets), return_inverse=True)
         rank = np.empty(len(values), np.int64)
         rank[np.lexsort((values, -np.bincount(flat)))] = np.arange(len(values))
@@ -224,9 +236,10 @@ def _pair_links(k: int, percent: int):
             if not len(pdf):
                 continue
             xs, ys = sets_of(pdf["text_x"].tolist(), k), sets_of(pdf["text_y"].tolist(), k)
+            own = np.array([node_of(u) == a and node_of(v) == b for u, v, a, b in zip(xs, ys, pdf["x"], pdf["y"])])
             inter = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(xs, ys)])
             sizes = np.array([len(x) + len(y) for x, y in zip(xs, ys)])
-            hit = pdf[100 * inter >= percent * (sizes - inter)]
+            hit = pdf[own & (100 * inter >= percent * (sizes - inter))].drop_duplicates(["x", "y"])
             yield pd.concat([pd.DataFrame({"node": hit["x"], "other": hit["y"], "links": hit["copies_y"]}), pd.DataFrame({"node": hit["y"], "other": hit["x"], "links": hit["copies_x"]})])
 
     return run
@@ -245,16 +258,21 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: s
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sketch = spark.sparkContext.broadcast(frequency_sketch(docs, "text", k))
     members = C.materialize(prefixes(docs, "doc_id", "text", k, percent, sketch), "prefixes")
-    nodes = members.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.first("prefix").alias("prefix"))
-    rows = nodes.select("node", "rep", "n", "copies", F.posexplode("prefix").alias("pos", "token"))
-    rows = rows.selectExpr("*", "count(1) over (partition by token) as shared", "sum(n) over (partition by token) as mass").filter("shared > 1")
-    shared = C.materialize(rows, "shared")
+    nodes = C.materialize(members.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")), "nodes")
+    # one row of each node goes on; 40 bits of a shingle name its bucket, and a bucket holds nodes of compatible sizes side by side
+    one = members.join(nodes.select("node", F.col("rep").alias("doc_id")), ["node", "doc_id"], "left_semi")
+    rows = one.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token")).withColumn("token", F.shiftrightunsigned("token", 24))
+    by_size = W.partitionBy("token").orderBy("n")
+    near = lambda other: (100 * F.least("n", other) >= percent * F.greatest("n", other))
+    rows = rows.select("token", "node", "n", "pos", F.lag("n").over(by_size).alias("less"), F.lead("n").over(by_size).alias("more")).filter(near("less") | near("more"))
+    shared = C.materialize(rows.drop("less", "more").dropDuplicates(["token", "node"]), "shared")
 
     # the two most common shingles of each node are its homes
-    ranked = shared.groupBy("node").agg(F.min("rep").alias("rep"), F.min("n").alias("n"), F.min("copies").alias("copies"), F.slice(F.sort_array(F.collect_list(F.struct((-F.col("shared")).alias("s"), "token", "mass"))), 1, 2).alias("top"))
-    ranked = C.materialize(ranked.withColumn("homes", F.sort_array("top.token")), "homes")
-    texts = C.fetch_by_id(docs.filter("doc_id is not null").withColumnRenamed("doc_id", "rep"), ranked.select("rep").distinct(), "rep").select("rep", "text").dropDuplicates(["rep"])
-    wide = C.materialize(texts.join(ranked, "rep"), "texts")
+    common = shared.groupBy("token").agg(F.count(F.lit(1)).alias("shared"), F.sum("n").alias("mass")).filter("shared > 1")
+    top = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("shared")).alias("s"), "token", "mass"))), 1, 2)
+    ranked = shared.join(common, "token").groupBy("node").agg(top.alias("top")).withColumn("homes", F.sort_array("top.token"))
+    ranked = C.materialize(ranked.join(nodes, "node"), "homes")
+    wide = C.materialize(C.fetch_by_id(docs.withColumnRenamed("doc_id", "rep"), ranked, "rep"), "texts")
     chunks = F.ceil(F.col("h.mass") / HOME_SHINGLES).cast("int")
     placed = wide.select("node", "n", "copies", "homes", "text", F.explode("top").alias("h")).withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).selectExpr("node", "n", "copies", "homes", "text", "chunk", "h.token as token", "least(chunk, with) as ca", "greatest(chunk, with) as cb")
@@ -272,6 +290,9 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: s
         pairs = pairs.join(wide.selectExpr(f"node as {c}", f"text as text_{c}", f"copies as copies_{c}"), c)
     found = C.materialize(found.unionByName(pairs.select("x", "y", "text_x", "text_y", "copies_x", "copies_y").mapInPandas(_pair_links(k, percent), "node long, other long, links long")), "links")
 
+    for done in (wide, shared, ranked):
+        C.discard(done)
+
     # components carry the smallest doc_id of their nodes
     roots = C.connected_components(found, "node", "other")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
