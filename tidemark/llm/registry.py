@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .jaccard_join import op2_ngram_jaccard_join
+from .token_planes import op7_token_planes
+from .toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join,)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard_join, op7_token_planes)}
 
 ORACLE_SQL: dict[str, str] = {}
