@@ -1,8 +1,10 @@
 """N-gram Jaccard self-join by prefix trees.
 
 A document is the set of its distinct k-word shingles (64-bit hashes). All sets follow one global order: shingles
-by a document-frequency sketch, rare first, then by hash. Two sets of similarity t share a shingle among the
-first |x| - ceil(t |x|) + 1 of each, so only these prefixes are shuffled. Documents with equal sets are one node.
+by a document-frequency sketch, rare first, then by hash. Two sets of similarity t share at least l shingles among
+the first |x| - ceil(t |x|) + l of each, so only these prefixes are shuffled, and a set goes on only if at least l
+of its prefix shingles stand in another set of fitting size. l is a twentieth of a set: a passage that many
+documents share does not reach it. Documents with equal sets are one node.
 
 A node whose prefix shares shingles with others takes its two most common ones as homes. In each home the full
 sets form a trie, common shingles first; each set walks it once: nodes below a shared path take the path's
@@ -24,6 +26,8 @@ from . import common as C
 
 #: Counters of the frequency sketch (a fixed 8 MB on the driver and in each Python worker).
 SKETCH_BITS, SKETCH_CHUNK = 20, 1 << 12
+#: Prefixes are longer by this percentage of a set, and as many more shingles must be shared.
+EXTRA = 5
 #: Shingles that one chunk of a home may hold.
 HOME_SHINGLES = 1_000_000
 
@@ -97,7 +101,7 @@ def prefixes(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, sket
                         prefix.append(None)
                         continue
                     node.append(node_of(u))
-                    p = m - (percent * m + 99) // 100 + 1
+                    p = m - (percent * m + 99) // 100 + 1 + m * EXTRA // 100
                     rank = order[(u >> np.uint64(64 - bits)).astype(np.int64)]
                     prefix.append(u[np.lexsort((u, rank))[:p]].view(np.int64))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n": pa.array(n, pa.int64()), "node": pa.array(node, pa.int64()), "prefix": pa.array(prefix, pa.list_(pa.int64()))})
@@ -265,7 +269,11 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: s
     by_size = W.partitionBy("token").orderBy("n")
     near = lambda other: (100 * F.least("n", other) >= percent * F.greatest("n", other))
     rows = rows.select("token", "node", "n", "pos", F.lag("n").over(by_size).alias("less"), F.lead("n").over(by_size).alias("more")).filter(near("less") | near("more"))
-    shared = C.materialize(rows.drop("less", "more").dropDuplicates(["token", "node"]), "shared")
+    rows = C.materialize(rows.drop("less", "more").dropDuplicates(["token", "node"]), "shared")
+    # a partner is smaller by `percent` at most, and shares as many shingles as its own prefix is longer by
+    enough = rows.groupBy("node", "n").count().filter(f"count >= 1 + (({percent} * n + 99) div 100) * {EXTRA} div 100").select("node")
+    rows = rows.join(enough, "node").select("token", "node", "n", "pos", F.lag("n").over(by_size).alias("less"), F.lead("n").over(by_size).alias("more")).filter(near("less") | near("more"))
+    shared = C.materialize(rows.drop("less", "more"), "shared")
 
     # the two most common shingles of each node are its homes
     common = shared.groupBy("token").agg(F.count(F.lit(1)).alias("shared"), F.sum("n").alias("mass")).filter("shared > 1")
