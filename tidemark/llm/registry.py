@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import mixing
 from .jaccard_join import op2_ngram_jaccard_join
+from .language_id import op5_language_crf
+from .license_scan import op10_license_scan
 from .token_planes import op7_token_planes
 from .toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard_join, op7_token_planes)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard_join, mixing.op3_mix_sources, op5_language_crf, op7_token_planes, op10_license_scan)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_mix_sources": mixing.ORACLE}
