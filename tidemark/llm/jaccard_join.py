@@ -265,7 +265,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: s
     nodes = C.materialize(members.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")), "nodes")
     # one row of each node goes on; 40 bits of a shingle name its bucket, and a bucket holds nodes of compatible sizes side by side
     one = members.join(nodes.select("node", F.col("rep").alias("doc_id")), ["node", "doc_id"], "left_semi")
-    rows = one.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token")).withColumn("token", F.shiftrightunsigned("token", 24))
+    rows = one.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token")).withColumn("token", F.col("token").bitwiseAND(F.lit((1 << 40) - 1)))
     by_size = W.partitionBy("token").orderBy("n")
     near = lambda other: (100 * F.least("n", other) >= percent * F.greatest("n", other))
     rows = rows.select("token", "node", "n", "pos", F.lag("n").over(by_size).alias("less"), F.lead("n").over(by_size).alias("more")).filter(near("less") | near("more"))
