@@ -316,12 +316,14 @@ def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     Rows without words all stay. Rows that repeat a doc_id and its text keep one.
     """
-    found = ngram_jaccard_join(docs, k, percent)
+    found = C.materialize(ngram_jaccard_join(docs, k, percent), "classes")
     gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    again = found.filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select("doc_id", F.lit(True).alias("_again"))
-    many = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(many)
+    small = gone.limit(200_001).count() <= 200_000
+    kept = docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*docs.columns)
+    again = found.filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if again.isEmpty():
+        return kept
+    return kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op2_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 from . import mixing
+from .decontaminate import op9_decontaminate
 from .jaccard_join import op2_ngram_jaccard_join
 from .language_id import op5_language_crf
 from .license_scan import op10_license_scan
+from .nearest import op8_nearest
+from .quality import op4_quality
 from .token_planes import op7_token_planes
 from .toxicity import op1_toxicity
+from .warc import op6_warc_derivatives
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard_join, mixing.op3_mix_sources, op5_language_crf, op7_token_planes, op10_license_scan)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_toxicity, op2_ngram_jaccard_join, mixing.op3_mix_sources, op4_quality, op5_language_crf, op6_warc_derivatives, op7_token_planes, op8_nearest, op9_decontaminate, op10_license_scan)
+}
 
 ORACLE_SQL: dict[str, str] = {"op3_mix_sources": mixing.ORACLE}

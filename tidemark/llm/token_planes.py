@@ -23,7 +23,7 @@ BLOCK_IDS = 1 << 16
 #: Pieces of text whose ids a worker remembers; beyond it the memory starts anew.
 REMEMBERED = 1_000_000
 #: New pieces that are encoded in one call.
-TOGETHER = 256
+TOGETHER = 1024
 FILE_SCHEMA = "shard long, block long, n_ids long, crc32 long, planes array<binary>, doc_ids array<long>, doc_starts array<long>, doc_lengths array<long>"
 
 #: A space between two other white-space characters, or ending a text that ends in white space, is not the start of a piece.
@@ -47,13 +47,19 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {"": b""}
+        self.marks = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in ".,"}
         # a token of a byte-level vocabulary is written with one character a byte
         self.n_bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.n_bytes[i] = len(token)
 
-    def learn(self, new: list[str]) -> None:
-        """Pieces that start with a space and have no other white space are encoded many at a time: the tokens' lengths tell where each ends."""
+    def learn(self, new: set[str]) -> None:
+        """Pieces that start with a space and have no other white space are encoded many at a time: the tokens' lengths tell where each ends.
+
+        A mark after a letter is always a token of its own, so a piece that ends in one follows from the rest.
+        """
+        marked = [p for p in new if p[-1] in self.marks and p[-2:-1].isalpha()]
+        new = new.difference(marked).union([p[:-1] for p in marked]).difference(self.known)
         plain = [p for p in new if p[0] == " " and len(p) > 1 and len(p.split()) == 1 and not p[1:2].isspace() and not p[-1].isspace()]
         groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
         for group, found in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
@@ -65,9 +71,11 @@ class Encoder:
             for piece, high in zip(group, (4 * cut).tolist()):
                 self.known[piece] = whole[low:high]
                 low = high
-        rest = list(set(new).difference(plain))
+        rest = list(new.difference(plain))
         for piece, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             self.known[piece] = np.array(found.ids, "<u4").tobytes()
+        for p in marked:
+            self.known[p] = self.known[p[:-1]] + self.marks[p[-1]]
 
     def encode(self, texts: list) -> list[bytes]:
         cut = [split_pieces(t) if t else [] for t in texts]
@@ -75,7 +83,7 @@ class Encoder:
             self.known.clear()
             self.known[""] = b""
         known = self.known
-        if new := list(set().union(*cut) - known.keys()):
+        if new := set().union(*cut).difference(known):
             self.learn(new)
         return [b"".join(map(known.__getitem__, x)) for x in cut]
 
