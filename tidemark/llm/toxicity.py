@@ -28,29 +28,31 @@ LEXICON = [
 SAMPLE_ROWS, SAMPLE_CHARS = 8_000, 50_000
 
 
-def learn_lists(texts: pd.Series, y: np.ndarray, support: int = 4, share: float = 0.75) -> tuple[np.ndarray, dict]:
-    """Hashes of words, and of word starts by length, that at least `support` rows of label 1 hold and, smoothed, `share` of all that hold them.
-
-    Both labels weigh alike in the share.
-    """
+def words_and_starts(texts: pd.Series) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Distinct (hash, row) of each text's words (0) and word starts of each length."""
     data, at = C.utf8(pa.array(texts.tolist(), pa.string()))
     seen: dict[int, list] = {n: [] for n in (0, *T.STEMS)}
-    low = 0
     for i, j, part, cut in C.pieces(data, at):
         part = C.lower_ascii(part)
         s, e, first = C.spans(C.ALNUM[part], cut)
-        row = np.repeat(np.arange(i, j), np.diff(first)).astype(np.uint64)
+        row = np.repeat(np.arange(i, j), np.diff(first))
         for n, found in seen.items():
             h = C.span_hashes(part, s, e) if n == 0 else T.stem_hashes(part, s, e, n)
-            pairs = np.unique(np.stack([h, row], 1), axis=0)
-            found.append(pairs)
-    n1, n0 = max(y.sum(), 1), max((1 - y).sum(), 1)
+            _, one = np.unique(C.mix(h ^ C.mix(row.astype(np.uint64) + np.uint64(1))), return_index=True)
+            one = one[h[one] > 0]
+            found.append((h[one], row[one]))
+    return {n: tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for n, found in seen.items()}
+
+
+def learn_lists(held: dict, y: np.ndarray, rows: np.ndarray, support: int = 4, share: float = 0.75) -> tuple[np.ndarray, dict]:
+    """Hashes of words, and of word starts by length, that at least `support` of the chosen rows of label 1 hold and,
+    smoothed, `share` of all that hold them. Both labels weigh alike in the share."""
+    n1, n0 = max(y[rows].sum(), 1), max((1 - y[rows]).sum(), 1)
     out = {}
-    for n, found in seen.items():
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.uint64)
-        pairs = pairs[pairs[:, 0] > 0]
-        u, back = np.unique(pairs[:, 0], return_inverse=True)
-        c1 = np.bincount(back, weights=y[pairs[:, 1].astype(np.int64)], minlength=len(u))
+    for n, (h, row) in held.items():
+        h, row = h[rows[row]], row[rows[row]]
+        u, back = np.unique(h, return_inverse=True)
+        c1 = np.bincount(back, weights=y[row], minlength=len(u))
         c0 = np.bincount(back, minlength=len(u)) - c1
         ratio = (c1 / n1) / (c1 / n1 + (c0 + 1) / n0)
         out[n] = u[(c1 >= support) & (ratio >= share)]
@@ -59,8 +61,10 @@ def learn_lists(texts: pd.Series, y: np.ndarray, support: int = 4, share: float
 
 class ToxicityModel:
     def fit(self, texts: pd.Series, y: np.ndarray) -> "ToxicityModel":
+        held = words_and_starts(texts)
+
         def parts(rows):
-            words, stems = learn_lists(texts[rows].reset_index(drop=True), y[rows], share=0.9)
+            words, stems = learn_lists(held, y, rows, share=0.9)
             lexicon = np.unique(np.concatenate([T.word_hashes(LEXICON), words]))
             return lexicon, stems, T.BoostedTrees().fit(T.features(pa.array(texts[rows].tolist(), pa.string()), lexicon, stems), y[rows])
 
