@@ -891,6 +891,128 @@ def _(v):
     return streamed(v.trades, lambda s: enrich(s, [(dim, ["symbol"])]), "enrich").select("symbol", "seq", "kind")
 
 
+# --- sources: the canonical inputs written in each file format and read back
+
+
+def landed(df: DataFrame, tag: str, kind: str = "text", **options) -> str:
+    from uuid import uuid4
+
+    path = f"{scratch(df.sparkSession)}/{tag}-{uuid4().hex}"
+    df.write.options(**options).format(kind).save(path)
+    return path
+
+
+def text_or_empty(c: str):
+    return F.coalesce(F.col(c).cast("string"), F.lit(""))
+
+
+@query("s1_order_updates", "updates", "select symbol as symbol_index, seq as md_seq, t * 1000 as event_time_ns, action, priority, prev_priority, order_type, price, side, qty from v_updates")
+def _(v):
+    from ..sources.readers import read_order_updates
+
+    group = F.concat(F.lit("{"), F.concat_ws(",", *[text_or_empty(c) for c in ("symbol", "action", "priority", "prev_priority", "order_type", "price", "side", "qty")]), F.lit(",}"))
+    lines = v.updates.select(F.concat_ws(",", F.col("seq").cast("string"), F.lit("OrderUpdate,0,1"), (F.col("t") * 1000).cast("string"), F.concat(F.lit("[1,"), group, F.lit("]"))).alias("value"))
+    return read_order_updates(v.spark, landed(lines, "updates")).select("symbol_index", "md_seq", "event_time_ns", "action", "priority", "prev_priority", "order_type", "price", "side", "qty")
+
+
+@query("s2_market_status", "status", "select symbol as symbol_index, md_seq, event_time_ns, book_state, trading_period, 1 as session, 0 as phase_qualifier from v_status")
+def _(v):
+    from ..sources.readers import read_market_status
+
+    group = F.concat_ws(",", F.lit("0"), *[text_or_empty(c) for c in ("symbol", "event_time_ns", "book_state", "status_reason")], F.lit(""), text_or_empty("trading_period"), F.lit(",,,,0,,"))
+    lines = v.status.select(F.concat(F.col("md_seq").cast("string"), F.lit(",MarketStatusChange,0,1,[1,{"), group, F.lit("}]")).alias("value"))
+    return read_market_status(v.spark, landed(lines, "status")).select("symbol_index", "md_seq", "event_time_ns", "book_state", "trading_period", "session", "phase_qualifier")
+
+
+def trade_lines(v) -> DataFrame:
+    bits = F.when(F.col("sign") > 0, "0,0,0,1,0,0,0,0").when(F.col("sign") < 0, "0,0,1,0,0,0,0,0").otherwise("0,0,0,0,0,0,0,0")
+    head = F.concat_ws(",", F.col("seq").cast("string"), F.lit("FullTradeInformation,0,1"), (F.col("t_us") * 1000).cast("string"), F.col("symbol").cast("string"), F.lit(",,,,,"), F.col("price").cast("string"), F.col("qty").cast("string"))
+    middle = F.concat(F.lit("," * 7), F.lit(",1,"), F.col("mode"), F.lit("," * 13), F.lit("[1,{"), bits, F.lit("}]"))
+    return v.trades.select(F.concat(head, middle, F.lit("," * 10), F.lit("XPAR,,,,")).alias("value"))
+
+
+@query("s3_full_trades", "trades", "select seq, t_us * 1000 as t_ns, symbol, price, qty, sign, mode, 'XPAR' as venue from v_trades")
+def _(v):
+    from ..sources.readers import read_full_trades
+
+    df = trades.with_trade_sign(read_full_trades(v.spark, landed(trade_lines(v), "trades")), "TradeQualifierSeq", "MiFIDQuantity")
+    return df.select(F.col("MarketDataSequenceNumber").alias("seq"), F.col("EventTimeNs").alias("t_ns"), F.col("SymbolIndex").alias("symbol"), F.col("MiFIDPrice").alias("price"), F.col("MiFIDQuantity").alias("qty"), "sign", F.col("MMTTradingMode").alias("mode"), F.col("Venue").alias("venue"))
+
+
+@query("s4_trades_minimal", "trades", "select t_us * 1000 as event_time_ns, price, qty from v_trades")
+def _(v):
+    from ..sources.readers import read_trades_minimal
+
+    return read_trades_minimal(v.spark, landed(trade_lines(v), "trades"))
+
+
+@query("s5_events_csv", "trades", "select seq, t_us from v_trades where seq % 7 <> 0")
+def _(v):
+    from ..sources.readers import read_events_csv
+
+    stamp = F.when(F.col("seq") % 7 == 0, "no time").otherwise(F.date_format(F.timestamp_micros("t_us"), "yyyy-MM-dd HH:mm:ss.SSSSSSXXX"))
+    path = landed(v.trades.select("seq", stamp.alias("at")), "events", "csv", header="true")
+    return read_events_csv(v.spark, path, "at", "seq long, at string").select("seq", F.unix_micros("ts").alias("t_us"))
+
+
+@query("s6_snapshots", "trades", "select t_us, round(ln(qty), 6) as log_volume from v_trades where qty > 0")
+def _(v):
+    from ..sources.readers import read_snapshots
+
+    path = landed(v.trades.select(F.timestamp_micros("t_us").alias("timestamp"), F.col("qty").alias("bidvolume1")), "snapshots", "parquet")
+    return r6(read_snapshots(v.spark, path, "bid").select(F.unix_micros("ts").alias("t_us"), "log_volume"), "log_volume")
+
+
+@query("s7_depth_wide", "series", "select symbol, day, x as p1, q as q1, x + 1 as p2, q + 1 as q2 from v_series")
+def _(v):
+    from ..sources.readers import read_depth_wide
+
+    wide = v.series.select(F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), "day"), "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.col("x").alias("p1"), F.col("q").alias("q1"), (F.col("x") + 1).alias("p2"), (F.col("q") + 1).alias("q2"), "symbol")
+    path = landed(wide.repartition(1), "depth", "csv", header="true")
+    back = read_depth_wide(v.spark, path).withColumn("day", F.unix_date(F.to_date("ts")))
+    return v.series.select("symbol", "day", F.col("x").alias("p1")).join(back, ["day", "p1"]).select("symbol", "day", "p1", "q1", "p2", "q2")
+
+
+@query("s8_price_series", "series", "select day, x as value from v_series where symbol = 'A' and day between 9500 and 11000")
+def _(v):
+    from ..sources.readers import read_price_series
+
+    rows = v.series.filter("symbol = 'A'").select(F.date_add(F.lit("1970-01-01").cast("date"), "day").cast("string").alias("Date"), F.col("x").alias("Close"))
+    path = landed(rows, "prices", "csv", header="true")
+    return read_price_series(v.spark, path, start="1996-01-05", end="2000-02-13").select(F.unix_date("day").alias("day"), "value")
+
+
+@query("s9_cluster_times", "trades", "select round((t_us - min(t_us) over ()) / 1e6 / 1e5, 6) as t from v_trades where symbol = 1")
+def _(v):
+    from ..sources.readers import read_cluster_times
+
+    body = v.trades.filter("symbol in (1, 2)").select("symbol", F.concat(F.lit("x\t"), F.date_format(F.timestamp_micros("t_us"), "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("value"), F.col("seq"))
+    heads = body.select("symbol").distinct().select("symbol", F.concat(F.lit("c"), F.col("symbol").cast("string"), F.lit("\t0")).alias("value"), F.lit(-1).cast("bigint").alias("seq"))
+    lines = body.unionByName(heads).repartition(2, "symbol").sortWithinPartitions("symbol", "seq").select("value")
+    return r6(read_cluster_times(v.spark, landed(lines, "clusters"), "c1").select("t"), "t")
+
+
+@query("s10_sinks", "trades", "select symbol, seq, price, qty from v_trades")
+def _(v):
+    from uuid import uuid4
+
+    from ..sources.sinks import write_table
+
+    path = f"{scratch(v.spark)}/sink-{uuid4().hex}"
+    write_table(v.trades.select("symbol", "seq", "price", "qty"), path, ("symbol",))
+    return v.spark.read.schema("seq long, price double, qty double, symbol long").parquet(path).select("symbol", "seq", "price", "qty")
+
+
+@query("k11_ci_tests")
+def _(v):
+    from ..operators.causal import _null_on_spark, ci_test
+
+    weekly = v.series.filter("symbol = 'N'").groupBy(F.expr("day div 21").alias("bucket")).agg(F.sum("x").alias("x"), F.avg("q").alias("q")).orderBy("bucket").limit(5000).toPandas()
+    data = weekly[["x", "q", "bucket"]].to_numpy(float)
+    tests = ci_test(v.spark, data, [(0, 1, []), (0, 1, [2]), (0, 2, []), (1, 2, [0])], _null_on_spark(v.spark, len(data), 400, 42))
+    return v.spark.createDataFrame([(i, j, list(c), p, r) for i, j, c, p, r in tests], "i int, j int, cond array<int>, p double, rho double")
+
+
 # --- the flagship: bars, drift of their flow, change points
 
 
