@@ -93,9 +93,9 @@ def _(v):
     return trades.clean_trades(v.trades).select("symbol", "seq", "price", "qty", "sign")
 
 
-@query("p7_log_volume", "series", "select symbol, day, round(ln(q - 1000), 6) as log_volume from v_series where q - 1000 > 0")
+@query("p7_log_volume", "series", "select symbol, day, round(ln(q - 50), 6) as log_volume from v_series where q - 50 > 0")
 def _(v):
-    return r6(distribution.log_volume(v.series.withColumn("volume", F.col("q") - 1000)).select("symbol", "day", "log_volume"), "log_volume")
+    return r6(distribution.log_volume(v.series.withColumn("volume", F.col("q") - 50)).select("symbol", "day", "log_volume"), "log_volume")
 
 
 @query("p8_return_events", "series", "select symbol, day, t_index, round(r, 6) as log_return from (select *, cast(row_number() over (partition by symbol order by day) - 1 as int) as t_index from (select symbol, day, ln(x / lag(x) over (partition by symbol order by day)) as r from v_series) a where r is not null) b where abs(r) > 0.3")
