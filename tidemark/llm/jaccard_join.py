@@ -267,7 +267,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: s
     one = members.join(nodes.select("node", F.col("rep").alias("doc_id")), ["node", "doc_id"], "left_semi")
     rows = one.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token")).withColumn("token", F.col("token").bitwiseAND(F.lit((1 << 40) - 1)))
     by_size = W.partitionBy("token").orderBy("n")
-    near = lambda other: (100 * F.least("n", other) >= percent * F.greatest("n", other))
+    near = lambda other: F.col(other).isNotNull() & (100 * F.least("n", other) >= percent * F.greatest("n", other))
     rows = rows.select("token", "node", "n", "pos", F.lag("n").over(by_size).alias("less"), F.lead("n").over(by_size).alias("more")).filter(near("less") | near("more"))
     rows = C.materialize(rows.drop("less", "more").dropDuplicates(["token", "node"]), "shared")
     # a partner is smaller by `percent` at most, and shares as many shingles as its own prefix is longer by
