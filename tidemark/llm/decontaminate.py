@@ -4,7 +4,8 @@ Words are runs of ASCII letters, digits and bytes beyond ASCII. Numbers, names (
 a sentence) and units after numbers become typed placeholders; other words are lower-cased. Windows of these
 templates are matched by hash against those of all benchmark items. Windows of one item on one diagonal (document
 position less item position) make an alignment; its slots must be consistent: an item's value always stands for
-the same value of the document. A document is contaminated if an alignment covers enough of an item.
+the same value of the document. A document is contaminated if an alignment covers enough of an item. The plain
+lower-case words are matched in the same way, so a passage whose capitals were changed is found as well.
 
 The benchmark is taken in blocks of bounded size, each shared with all tasks; documents are never shuffled.
 """
@@ -27,7 +28,7 @@ NUMBER, NAME, UNIT = np.uint64(1), np.uint64(2), np.uint64(3)
 
 
 def templates(raw: np.ndarray, at: np.ndarray, units: np.ndarray):
-    """(template tokens, values, first): a placeholder or the word's hash for each word, the hash of what stands there, words before each row."""
+    """(template tokens, values, first): a placeholder or the word's hash for each word, the hash of the lower-case word, words before each row."""
     low = C.lower_ascii(raw)
     two = np.zeros(len(low), bool)
     two[1:] = (low[:-1] == 0xC3) & (low[1:] >= 0x80) & (low[1:] <= 0x9E) & (low[1:] != 0x97)
@@ -82,23 +83,30 @@ class Benchmark:
         self.token, self.value, self.first = templates(data, at, self.units)
         n = np.diff(self.first)
         self.row = np.repeat(np.arange(len(n)), n)
-        self.tables = {}
         # an item shorter than a window is a window of its own length, from three words
-        for size in sorted({window, *n[(n >= 3) & (n < window)].tolist()}):
-            place, h = windows(self.token, self.first, size)
-            if size < window:
-                keep = n[self.row[place]] == size
-                place, h = place[keep], h[keep]
-            order = np.argsort(h, kind="stable")
-            self.tables[size] = (h[order], place[order])
+        sizes = sorted({window, *n[(n >= 3) & (n < window)].tolist()})
+        self.tables = [(plain, size, *self._table(self.value if plain else self.token, size)) for size in sizes for plain in (False, True)]
+
+    def _table(self, token, size):
+        place, h = windows(token, self.first, size)
+        if size < self.window:
+            keep = np.diff(self.first)[self.row[place]] == size
+            place, h = place[keep], h[keep]
+        order = np.argsort(h, kind="stable")
+        return h[order], place[order]
 
     def find(self, raw: np.ndarray, at: np.ndarray) -> list[list[tuple[int, float]]]:
         """For each row the contaminating items with their coverage."""
         token, value, first = templates(raw, at, self.units)
         out: list[list] = [[] for _ in range(len(at) - 1)]
         row = np.repeat(np.arange(len(at) - 1), np.diff(first))
-        for size, (table, there) in self.tables.items():
-            place, h = windows(token, first, size)
+        made = {}
+        for plain, size, table, there in self.tables:
+            if not len(table):
+                continue
+            if (plain, size) not in made:
+                made[(plain, size)] = windows(value if plain else token, first, size)
+            place, h = made[(plain, size)]
             lo, hi = np.searchsorted(table, h, "left"), np.searchsorted(table, h, "right")
             hit = np.flatnonzero(hi > lo)
             if not len(hit):
@@ -114,11 +122,11 @@ class Benchmark:
             for a, b in zip(edge[:-1], edge[1:]):
                 covered = np.unique((j[a:b, None] + np.arange(size)).ravel())
                 share = len(covered) / (self.first[item[a] + 1] - self.first[item[a]])
-                if share >= self.cover and self._consistent(covered, covered + (here[a] - j[a]), token, value):
+                if share >= self.cover and (plain or self._consistent(covered, covered + (here[a] - j[a]), value)):
                     out[key[0, a]].append((int(self.items[item[a]]), float(share)))
         return out
 
-    def _consistent(self, ours: np.ndarray, theirs: np.ndarray, token, value) -> bool:
+    def _consistent(self, ours: np.ndarray, theirs: np.ndarray, value) -> bool:
         """Each value in an item's slots stands for one value of the document."""
         slot = self.token[ours] <= UNIT
         if not slot.any():

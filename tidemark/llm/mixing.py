@@ -144,12 +144,14 @@ def mix_documents(docs: DataFrame, seed: int = SEED, **how) -> DataFrame:
 
     A document of a partial block is drawn whole with that part as its chance, by a hash of its doc_id.
     """
-    columns = docs.columns
     plan = C.materialize(mix_plan(docs, seed=seed, **how), "plan")
+    name = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.toDF(*name.values()).withColumn("doc_id", F.col(name["doc_id"])).withColumn("source", F.col(name["source"]))
     u = f"({_hash("concat_ws('#', 'part', cast(doc_id as string))")} / 1152921504606846976D)"
-    drawn = _with_plan(docs, plan).withColumn("_draws", F.expr(f"case when part > 0 and {u} >= part then slice(draws, 1, size(draws) - 1) else draws end"))
-    rows = drawn.select(*[F.col(f"`{c}`") for c in columns], F.posexplode("_draws").alias("_draw", "_shard"))
-    return rows.repartition("_shard", F.pmod(F.xxhash64("doc_id"), F.lit(8))).sortWithinPartitions("_shard", F.xxhash64(F.lit(seed), "doc_id", "_draw")).select(*[F.col(f"`{c}`") for c in columns])
+    drawn = _with_plan(rows, plan).withColumn("_draws", F.expr(f"case when part > 0 and {u} >= part then slice(draws, 1, size(draws) - 1) else draws end"))
+    rows = drawn.select(*name.values(), "doc_id", F.posexplode("_draws").alias("_draw", "_shard"))
+    rows = rows.repartition("_shard", F.pmod(F.xxhash64("doc_id"), F.lit(8))).sortWithinPartitions("_shard", F.xxhash64(F.lit(seed), "doc_id", "_draw"))
+    return rows.select(*name.values()).toDF(*docs.columns)
 
 
 def op3_mix_sources(spark, sf_dir: str) -> DataFrame:

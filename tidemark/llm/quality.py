@@ -103,12 +103,15 @@ def classify_quality(docs: DataFrame, labels: DataFrame, host: list[str] | None
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, host: list[str] | None = None, path: list[str] | None = None) -> DataFrame:
-    """The rows of `docs` judged good, with all columns."""
-    host, path = host or ["source"], path or ["lang"]
+    """The rows of `docs` judged good, with all columns, whatever they are called."""
     model = fit_documents(docs, labels)
-    keys = C.materialize(with_evidence(docs.select("text", *host, *path), model).drop("text"), "evidence")
+    name = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.toDF(*name.values())
+    host, path, text = [name[c] for c in host or ["source"]], [name[c] for c in path or ["lang"]], name["text"]
+    keys = C.materialize(with_evidence(rows.select(text, *host, *path), model, text).drop(text), "evidence")
     table = posteriors(keys, host, path)
-    return judge(with_evidence(docs, model), table, host, path, model.prior).filter("quality >= 0.5").select(*[F.col(f"`{c}`") for c in docs.columns])
+    good = judge(with_evidence(rows, model, text), table, host, path, model.prior).filter("quality >= 0.5")
+    return good.select(*name.values()).toDF(*docs.columns)
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:
