@@ -833,11 +833,15 @@ def scratch(spark) -> str:
 
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        if not OWN:
+            OWN.append(tempfile.mkdtemp(prefix="tidemark-"))
+        where = OWN[0]
     return where.rstrip("/")
 
 
+OWN: list[str] = []
+
+
 def timed(df: DataFrame, t: str) -> DataFrame:
     return df.withColumn("ts", F.timestamp_micros(t))
 
