@@ -14,12 +14,16 @@ from pyspark.sql import functions as F
 PIECE = 2_000_000
 
 
+_OWN: list[str] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names; a folder of our own only where none is named."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="tidemark-"))
+        where = _OWN[0]
     return where.rstrip("/")
 
 
