@@ -24,10 +24,10 @@ def eligible(policy: str) -> Column:
 
 
 def clears(updates: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """seq and side (null: both) of clears: action 3, and the first of a burst of action 5 in a key's order."""
+    """seq, t and side (null: both) of clears: action 3, and the first of a burst of action 5 in a key's order."""
     before = F.lag("action").over(W.partitionBy(*keys).orderBy("seq"))
-    burst = updates.select(*keys, "seq", "action").withColumn("_b", before).filter((F.col("action") == 5) & ~F.col("_b").eqNullSafe(F.lit(5)))
-    return updates.filter("action = 3").select(*keys, "seq", F.col("side").cast("int").alias("side")).unionByName(burst.select(*keys, "seq", F.lit(None).cast("int").alias("side")))
+    burst = updates.select(*keys, "seq", "t", "action").withColumn("_b", before).filter((F.col("action") == 5) & ~F.col("_b").eqNullSafe(F.lit(5)))
+    return updates.filter("action = 3").select(*keys, "seq", "t", F.col("side").cast("int").alias("side")).unionByName(burst.select(*keys, "seq", "t", F.lit(None).cast("int").alias("side")))
 
 
 def touches(updates: DataFrame, keys: list[str] = KEYS, policy: str = "display") -> DataFrame:
@@ -67,8 +67,7 @@ def order_lifetimes(updates: DataFrame, keys: list[str] = KEYS, policy: str = "d
         rows = rows.withColumn(name, F.lead(c).over(w))
     rows = rows.withColumn("version", F.sum(F.col("put").cast("int")).over(w)).filter("put")
     # clears are few: a sorted list of each kind per key
-    c = clears(updates, keys).join(updates.select(*keys, "seq", "t"), [*keys, "seq"])
-    kinds = c.groupBy(*keys).agg(*[F.sort_array(F.collect_list(F.when(cond, F.struct("seq", "t")))).alias(n) for n, cond in (("c0", F.col("side").isNull()), ("c1", F.col("side") == 1), ("c2", F.col("side") == 2))])
+    kinds = clears(updates, keys).groupBy(*keys).agg(*[F.sort_array(F.collect_list(F.when(cond, F.struct("seq", "t")))).alias(n) for n, cond in (("c0", F.col("side").isNull()), ("c1", F.col("side") == 1), ("c2", F.col("side") == 2))])
     rows = rows.join(kinds, keys, "left")
     after = lambda col: F.filter(F.coalesce(F.col(col), F.array()), lambda x: x["seq"] > F.col("start"))
     rows = rows.withColumnRenamed("seq", "start")
