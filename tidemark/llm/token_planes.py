@@ -8,7 +8,6 @@ row carries the chunk index: place in the shard, checksum, and which documents l
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
@@ -20,72 +19,106 @@ from pyspark.sql import functions as F
 from . import common as C
 
 BLOCK_IDS = 1 << 16
-#: Pieces of text whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 1_000_000
-#: New pieces that are encoded in one call.
+#: Pieces of text, and pre-tokens, whose ids a worker remembers; beyond it the memory starts anew.
+REMEMBERED = 800_000
+#: New pre-tokens that are encoded in one call.
 TOGETHER = 1024
 FILE_SCHEMA = "shard long, block long, n_ids long, crc32 long, planes array<binary>, doc_ids array<long>, doc_starts array<long>, doc_lengths array<long>"
 
-#: A space between two other white-space characters, or ending a text that ends in white space, is not the start of a piece.
-_RUN = re.compile(r"\s (?:\s|\Z)")
-_PIECE = re.compile(r"\s*\S+|\s+")
+#: Bytes that may begin white space; a space is cut before only if none follows, so it is the last of its run.
+_MAYBE_SPACE = C.SPACE.copy()
+_MAYBE_SPACE[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+_MARKS = ".,;:!?&%$#*)\"|"
 
 
-def split_pieces(text: str) -> list[str]:
-    """Cut before the last white space of each run: no rule of the byte-level pre-tokenizer crosses there."""
-    if "\0" in text or _RUN.search(text):
-        return _PIECE.findall(text)
-    return text.replace(" ", "\0 ").split("\0")
+def piece_cuts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where pieces start: at texts and before the last white space of a run, where no rule of the byte-level pre-tokenizer crosses."""
+    cut = np.zeros(len(data), bool)
+    cut[:-1] = (data[:-1] == 32) & ~_MAYBE_SPACE[data[1:]]
+    cut[at[:-1][np.diff(at) > 0]] = True
+    # a space that ends a text has no next byte of its own
+    ends = at[1:][np.diff(at) > 1] - 1
+    cut[ends[data[ends] == 32]] = False
+    return np.flatnonzero(cut)
 
 
 class Encoder:
-    """Ids of whole texts as little-endian uint32 bytes; each piece is encoded once and remembered."""
+    """Ids of whole texts as little-endian uint32 bytes. Pieces, and the pre-tokens inside them, are encoded once and remembered."""
 
     def __init__(self, tokenizer_path: str):
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {"": b""}
-        self.marks = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in ".,"}
+        self.cut = regex.compile(public_tokenizers.PATTERN).findall
+        self.known: dict[int, bytes] = {}
+        self.words: dict[str, bytes] = {}
         # a token of a byte-level vocabulary is written with one character a byte
         self.n_bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.n_bytes[i] = len(token)
 
-    def learn(self, new: set[str]) -> None:
-        """Pieces that start with a space and have no other white space are encoded many at a time: the tokens' lengths tell where each ends.
-
-        A mark after a letter is always a token of its own, so a piece that ends in one follows from the rest.
-        """
-        marked = [p for p in new if p[-1] in self.marks and p[-2:-1].isalpha()]
-        new = new.difference(marked).union([p[:-1] for p in marked]).difference(self.known)
-        plain = [p for p in new if p[0] == " " and len(p) > 1 and len(p.split()) == 1 and not p[1:2].isspace() and not p[-1].isspace()]
-        groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+    def pretokens(self, piece: str) -> tuple | list:
+        """A space, letters and a run of marks are two pre-tokens; anything else goes through the pattern."""
+        head = piece.rstrip(_MARKS)
+        if head[:1] == " " and head[1:].isalpha():
+            return (head,) if len(head) == len(piece) else (head, piece[len(head) :])
+        return self.cut(piece)
+
+    def learn(self, new: list[tuple[int, str]]) -> None:
+        """New pieces, by hash, are cut into pre-tokens. Those that start with one space are encoded many at a time: the
+        tokens' lengths tell where each ends. The others are encoded one by one."""
+        cut = [(h, self.pretokens(p)) for h, p in new]
+        words = set().union(*[c for _, c in cut]).difference(self.words)
+        spaced = [w for w in words if w[0] == " " and not w[1:2].isspace() and len(w) > 1]
+        groups = [spaced[i : i + TOGETHER] for i in range(0, len(spaced), TOGETHER)]
         for group, found in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
             ids = np.array(found.ids, "<u4")
-            ends = np.cumsum([len(p.encode()) for p in group])
-            cut = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1
+            ends = np.cumsum([len(w.encode()) for w in group])
+            cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1
             whole = ids.tobytes()
             low = 0
-            for piece, high in zip(group, (4 * cut).tolist()):
-                self.known[piece] = whole[low:high]
+            for word, high in zip(group, (4 * cuts).tolist()):
+                self.words[word] = whole[low:high]
                 low = high
-        rest = list(new.difference(plain))
-        for piece, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            self.known[piece] = np.array(found.ids, "<u4").tobytes()
-        for p in marked:
-            self.known[p] = self.known[p[:-1]] + self.marks[p[-1]]
-
-    def encode(self, texts: list) -> list[bytes]:
-        cut = [split_pieces(t) if t else [] for t in texts]
-        if len(self.known) > REMEMBERED:
+        rest = list(words.difference(spaced))
+        for word, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            self.words[word] = np.array(found.ids, "<u4").tobytes()
+        get = self.words.__getitem__
+        for h, c in cut:
+            self.known[h] = get(c[0]) if len(c) == 1 else b"".join(map(get, c))
+
+    def encode(self, column) -> list[bytes]:
+        """For each text of an Arrow column, or list, its ids. Pieces are told apart by 64-bit hashes, and looked up once for all texts."""
+        data, at = C.utf8(pa.array(column, pa.string()) if isinstance(column, list) else column)
+        return [x for _, _, part, cut in C.pieces(data, at) for x in self._encode(part, cut)]
+
+    def _encode(self, data: np.ndarray, at: np.ndarray) -> list[bytes]:
+        start = piece_cuts(data, at)
+        if not len(start):
+            return [b""] * (len(at) - 1)
+        end = np.append(start[1:], len(data))
+        u, one, which = np.unique(C.span_hashes(data, start, end), return_index=True, return_inverse=True)
+        if len(self.known) > REMEMBERED or len(self.words) > REMEMBERED:
             self.known.clear()
-            self.known[""] = b""
-        known = self.known
-        if new := set().union(*cut).difference(known):
-            self.learn(new)
-        return [b"".join(map(known.__getitem__, x)) for x in cut]
+            self.words.clear()
+        keys = u.tolist()
+        new = [i for i, h in enumerate(keys) if h not in self.known]
+        if new:
+            raw = data.tobytes()
+            self.learn([(keys[i], raw[x:y].decode("utf-8", "replace")) for i, x, y in zip(new, start[one[new]].tolist(), end[one[new]].tolist())])
+        found = [self.known[h] for h in keys]
+        n = np.array([len(x) // 4 for x in found], np.int64)
+        ids, first = np.frombuffer(b"".join(found), "<u4"), np.cumsum(n) - n
+        each = n[which]
+        total = np.cumsum(each)
+        out = ids[np.repeat(first[which] - (total - each), each) + np.arange(total[-1])]
+        # how many ids lie before each text
+        before = np.append(0, total)[np.searchsorted(start, at)]
+        whole = out.tobytes()
+        return [whole[x:y] for x, y in zip((4 * before[:-1]).tolist(), (4 * before[1:]).tolist())]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -152,7 +185,7 @@ def encode_blocks(docs: DataFrame, tokenizer_path: str, end_id: int, doc_id: str
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 new = []
-                for key, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist())):
+                for key, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1))):
                     new += [ids, end]
                     n = len(ids) // 4 + 1
                     open_docs.append((key, at, n))
@@ -200,7 +233,7 @@ def read_tokens(spark, path: str, with_ids: bool = False) -> DataFrame:
     sizes = C.materialize(size.selectExpr("shard", "size", "sum(total) over (order by shard) - total as before"), "shards")
     schema = "shard long, doc_id long, at long, n_tokens long, ids_crc32 long, ids binary, block long"
     placed = blocks.join(F.broadcast(sizes.select("shard", "size")), "shard").withColumn("first", F.col("block") * F.col("size")).select("shard", "block", "n_ids", "crc32", "planes", "first", *[F.col(c) for c in ("doc_ids", "doc_starts", "doc_lengths")])
-    parts = placed.mapInPandas(run, schema)
+    parts = C.materialize(placed.mapInPandas(run, schema), "parts")
     whole = parts.filter("ids_crc32 is not null").drop("block")
 
     def put_together(key, pdf):
