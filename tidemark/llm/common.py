@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -11,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorized pass takes; a longer document goes alone.
-PIECE = 2_000_000
+PIECE = 1_000_000
 
 
 _OWN: list[str] = []
@@ -49,6 +52,29 @@ def fetch_by_id(docs: DataFrame, wanted: DataFrame, key: str, most: int = 200_00
     return docs.join(F.broadcast(wanted) if small else wanted.hint("shuffle_merge"), key)
 
 
+def tidy() -> None:
+    """Give freed memory back: Python workers live on from stage to stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidied(run):
+    """A mapInArrow or mapInPandas function that tidies up after each partition."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        tidy()
+
+    return wrapped
+
+
+def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Fewer rows in an Arrow batch than by default: texts are long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def held_out(n: int, rest: int, key: str = "doc_id"):
     return (F.crc32(F.col(key).cast("string")) % n) == rest
 

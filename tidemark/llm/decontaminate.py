@@ -165,7 +165,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
                     "item_id": pa.array([b and b[1] for b in best], pa.int64()), "coverage": pa.array([-b[0] if b else 0.0 for b in best], pa.float64()),
                 })
 
-        results.append(rows.mapInArrow(run, "doc_id long, n_items long, item_id long, coverage double"))
+        results.append(rows.mapInArrow(C.tidied(run), "doc_id long, n_items long, item_id long, coverage double"))
     out = results[0]
     if len(results) > 1:
         for r in results[1:]:
@@ -187,7 +187,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
                 clean = [not x for _, _, part, cut in C.pieces(data, at) for x in shared.value.find(part, cut)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(C.tidied(run), docs.schema)
     return docs
 
 

@@ -74,7 +74,7 @@ def frequency_sketch(docs: DataFrame, text: str, k: int) -> np.ndarray:
             total += np.frombuffer(x.as_buffer(), np.uint32)
         return pa.table({"chunk": [key[0].as_py()], "counts": pa.array([total.tobytes()], pa.binary())})
 
-    parts = docs.select(text).mapInArrow(count, "chunk long, counts binary")
+    parts = docs.select(text).mapInArrow(C.tidied(count), "chunk long, counts binary")
     out = np.zeros((1 << bits) // width * width, np.uint64).reshape(-1, width)
     for row in parts.groupBy("chunk").applyInArrow(add, "chunk long, counts binary").toLocalIterator():
         out[row["chunk"]] = np.frombuffer(row["counts"], np.uint64)
@@ -106,7 +106,7 @@ def prefixes(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, sket
                     prefix.append(u[np.lexsort((u, rank))[:p]].view(np.int64))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n": pa.array(n, pa.int64()), "node": pa.array(node, pa.int64()), "prefix": pa.array(prefix, pa.list_(pa.int64()))})
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, n long, node long, prefix array<long>")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text).mapInArrow(C.tidied(run), "doc_id long, n long, node long, prefix array<long>")
 
 
 class Trie:

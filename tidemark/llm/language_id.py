@@ -224,7 +224,7 @@ def identify_language(docs: DataFrame, model: WordCRF, doc_id: str = "doc_id", t
             lang, score = shared.value.predict(batch.column(1))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64())})
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(C.tidied(run), "doc_id long, lang_pred string, score double")
 
 
 def op5_language_crf(spark, sf_dir: str) -> DataFrame:

@@ -139,7 +139,7 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 5, id_col: str = "
             z = unit @ matrix.value
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.FixedSizeListArray.from_arrays(pa.array(z.ravel()), M).cast(pa.list_(pa.float64()))], names=["vec_id", "vec", "proj"])
 
-    rows = C.materialize(raw.filter(F.size("vec") == dim).mapInArrow(project, "vec_id long, vec array<double>, proj array<double>").withColumn("h", F.xxhash64("vec")), "projected")
+    rows = C.materialize(raw.filter(F.size("vec") == dim).mapInArrow(C.tidied(project), "vec_id long, vec array<double>, proj array<double>").withColumn("h", F.xxhash64("vec")), "projected")
     # equal vectors: the k + 1 smallest ids suffice, first within salts, then over all
     narrow = rows.select("h", "vec_id").distinct()
     narrow = narrow.withColumn("r", F.row_number().over(W.partitionBy("h", F.pmod("vec_id", F.lit(64))).orderBy("vec_id"))).filter(F.col("r") <= k + 1)

@@ -18,7 +18,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from . import common as C
 from . import text_features as T
 
-SAMPLE_ROWS, SAMPLE_CHARS = 8_000, 50_000
+SAMPLE_ROWS, SAMPLE_CHARS = 5_000, 50_000
 #: Without more than this many paths their table is broadcast; beyond it, it is joined by salted keys.
 FEW_PATHS, SALTS = 100_000, 32
 
@@ -26,7 +26,10 @@ FEW_PATHS, SALTS = 100_000, 32
 def fit_documents(docs: DataFrame, labels: DataFrame, keep=None, sample_rows: int = SAMPLE_ROWS) -> T.Logistic:
     rows = T.training_rows(docs.filter(F.length("text") <= SAMPLE_CHARS), labels, "quality", sample_rows, keep).sort_values("doc_id")
     x = T.features(pa.array(rows["text"].tolist(), pa.string()))
-    return T.Logistic().fit(x, rows["y"].to_numpy(np.int64))
+    y = rows["y"].to_numpy(np.int64)
+    del rows
+    C.tidy()
+    return T.Logistic().fit(x, y)
 
 
 def with_evidence(docs: DataFrame, model: T.Logistic, text: str = "text") -> DataFrame:
@@ -40,7 +43,7 @@ def with_evidence(docs: DataFrame, model: T.Logistic, text: str = "text") -> Dat
             odds = np.clip(np.where(x[:, 0] > 0, shared.value.margin(x), shared.value.prior), -20, 20)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(odds)], names=[*batch.schema.names, "_odds"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(C.tidied(run), schema)
 
 
 def _strength(table: DataFrame, m) -> float:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import common, mixing
 from .decontaminate import op9_decontaminate
 from .jaccard_join import op2_ngram_jaccard_join
 from .language_id import op5_language_crf
@@ -13,8 +13,19 @@ from .token_planes import op7_token_planes
 from .toxicity import op1_toxicity
 from .warc import op6_warc_derivatives
 
+
+
+def in_small_batches(f):
+    def run(spark, sf_dir):
+        common.small_batches(spark)
+        return f(spark, sf_dir)
+
+    run.__name__ = f.__name__
+    return run
+
+
 QUERIES = {
-    f.__name__: f
+    f.__name__: in_small_batches(f)
     for f in (op1_toxicity, op2_ngram_jaccard_join, mixing.op3_mix_sources, op4_quality, op5_language_crf, op6_warc_derivatives, op7_token_planes, op8_nearest, op9_decontaminate, op10_license_scan)
 }
 

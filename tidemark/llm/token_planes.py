@@ -20,7 +20,7 @@ from . import common as C
 
 BLOCK_IDS = 1 << 16
 #: Pieces of text, and pre-tokens, whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 300_000
 #: New pre-tokens that are encoded in one call.
 TOGETHER = 1024
 FILE_SCHEMA = "shard long, block long, n_ids long, crc32 long, planes array<binary>, doc_ids array<long>, doc_starts array<long>, doc_lengths array<long>"
@@ -195,7 +195,7 @@ def encode_blocks(docs: DataFrame, tokenizer_path: str, end_id: int, doc_id: str
         yield from emit(True)
 
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return chosen.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, FILE_SCHEMA)
+    return chosen.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id").mapInArrow(C.tidied(run), FILE_SCHEMA)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text", kind: str = "byte", block_ids: int = BLOCK_IDS) -> None:
@@ -233,7 +233,7 @@ def read_tokens(spark, path: str, with_ids: bool = False) -> DataFrame:
     sizes = C.materialize(size.selectExpr("shard", "size", "sum(total) over (order by shard) - total as before"), "shards")
     schema = "shard long, doc_id long, at long, n_tokens long, ids_crc32 long, ids binary, block long"
     placed = blocks.join(F.broadcast(sizes.select("shard", "size")), "shard").withColumn("first", F.col("block") * F.col("size")).select("shard", "block", "n_ids", "crc32", "planes", "first", *[F.col(c) for c in ("doc_ids", "doc_starts", "doc_lengths")])
-    parts = C.materialize(placed.mapInPandas(run, schema), "parts")
+    parts = C.materialize(placed.mapInPandas(C.tidied(run), schema), "parts")
     whole = parts.filter("ids_crc32 is not null").drop("block")
 
     def put_together(key, pdf):

@@ -89,7 +89,10 @@ class ToxicityModel:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, keep=None, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
     rows = T.training_rows(docs.filter(F.length("text") <= SAMPLE_CHARS), labels, "toxic", sample_rows, keep).sort_values("doc_id", ignore_index=True)
-    return ToxicityModel().fit(rows["text"].fillna(""), rows["y"].to_numpy(np.int64))
+    model = ToxicityModel().fit(rows["text"].fillna(""), rows["y"].to_numpy(np.int64))
+    del rows
+    C.tidy()
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -105,7 +108,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id"
             score = shared.value.score(batch.column(1))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "score": score, "predicted": (score >= 0.5).astype(np.int32)})
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(C.tidied(run), "doc_id long, score double, predicted int")
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
