@@ -358,6 +358,29 @@ def test_decontamination(spark):
     assert D.find_contamination(docs, bench.filter("item_id > 99")).filter("contaminated = 1").count() == 0
 
 
+def test_decontamination_of_shifted_passages(spark):
+    """Slots of other lengths, names that begin a sentence, and inserted or dropped words."""
+    from tidemark.llm import decontaminate as D
+
+    r = random.Random(11)
+    text = lambda n: " ".join(r.choices(WORDS, k=n))
+    number = "the farmer drove along the old river road and sold exactly 1,250 baskets of red apples to a merchant from the northern hills"
+    name = "every morning before school opened its wide doors young Anna Maria walked slowly past the bakery and counted all the fresh loaves inside"
+    opener = "Peter carried seven heavy stones up the hill. Peter dropped three of them near the old stone well by night"
+    plain = text(24)
+    w = plain.split()
+    bench = spark.createDataFrame([(1, number), (2, name), (3, opener), (4, plain)], "item_id long, text string")
+    twice = number.replace("1,250", "40") + " " + name.replace("Anna Maria", "Bob")
+    found = {
+        1: number.replace("1,250", "40"), 2: name.replace("Anna Maria", "Bob"), 3: opener.replace("Peter", "Mary Ann"), 4: " ".join(w[:12] + ["extra"] + w[12:]), 5: " ".join(w[:11] + w[12:]), 6: twice, 7: number.replace("1,250", "3.5"),
+    }
+    clean = {20: " ".join(w[:12]), 21: " ".join(w[:12] + text(60).split() + w[12:]), 22: " ".join(w[12:] + w[:12]), 23: text(90)}
+    rows = [(i, f"{text(9)}. {t} {text(9)}", "en", "s") for i, t in (found | clean).items()]
+    got = {x["doc_id"]: x for x in D.find_contamination(docs_of(spark, rows), bench).collect()}
+    assert {i for i, x in got.items() if x["contaminated"]} == set(found)
+    assert got[6]["n_items"] == 2 and [got[i]["item_id"] for i in (1, 2, 3, 4, 5, 7)] == [1, 2, 3, 4, 4, 1] and got[4]["coverage"] == 1
+
+
 def test_license_scan(spark):
     from tidemark.llm import license_scan as S
 

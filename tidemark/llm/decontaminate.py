@@ -1,11 +1,13 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words are runs of ASCII letters, digits and bytes beyond ASCII. Numbers, names (capitalised words that don't begin
-a sentence) and units after numbers become typed placeholders; other words are lower-cased. Windows of these
-templates are matched by hash against those of all benchmark items. Windows of one item on one diagonal (document
-position less item position) make an alignment; its slots must be consistent: an item's value always stands for
-the same value of the document. A document is contaminated if an alignment covers enough of an item. The plain
-lower-case words are matched in the same way, so a passage whose capitals were changed is found as well.
+a sentence) and units after numbers become typed placeholders; other words are lower-cased. A text has four forms:
+its plain lower-case words (capitals may change); one placeholder a word; one placeholder a number, quantity or name
+of any number of words; and the same with capitalised words that begin a sentence taken as names too. Windows of each
+form are matched by hash against those of all benchmark items. An alignment is a chain of matches of one item: both
+sides advance, and the diagonal (document word less item word) moves by at most SHIFT from one to the next, so
+inserted, dropped and longer or shorter slots are passed. Its slots must be consistent: an item's value always stands
+for the same value of the document. A document is contaminated if an alignment covers enough of an item's words.
 
 The benchmark is taken in blocks of bounded size, each shared with all tasks; documents are never shuffled.
 """
@@ -25,18 +27,25 @@ WINDOW, LITERALS, COVER = 8, 0.5, 0.6
 BLOCK_CHARS = 20_000_000
 UNITS = "kg g mg lb lbs oz km m cm mm mi ft inch inches mile miles meter meters metre metres hour hours hr hrs minute minutes min mins second seconds sec secs day days week weeks month months year years percent pct dollar dollars usd eur euro euros cent cents pound pounds litre litres liter liters l ml gallon gallons kmh mph degree degrees stunden tage jahre euro heures jours ans horas dias años".split()
 NUMBER, NAME, UNIT = np.uint64(1), np.uint64(2), np.uint64(3)
+#: The forms of a text, and how far a diagonal may move between neighbouring matches, in words.
+PLAIN, EACH, JOINED, OPENERS = range(4)
+SHIFT = 8
 
 
-def templates(raw: np.ndarray, at: np.ndarray, units: np.ndarray):
-    """(template tokens, values, first): a placeholder or the word's hash for each word, the hash of the lower-case word, words before each row."""
+def forms(raw: np.ndarray, at: np.ndarray, units: np.ndarray) -> list[tuple]:
+    """(tokens, values, tokens before each row, first word of each token and past the last, which begin a sentence) in each form.
+
+    A token is a placeholder or a lower-case word's hash, a value the hash of the lower-case words it stands for.
+    """
     low = C.lower_ascii(raw)
     two = np.zeros(len(low), bool)
     two[1:] = (low[:-1] == 0xC3) & (low[1:] >= 0x80) & (low[1:] <= 0x9E) & (low[1:] != 0x97)
     low = low + (two.astype(np.uint8) << 5)
     s, e, first = C.spans(C.ALNUM[low], at)
     value = C.span_hashes(low, s, e)
+    words = np.arange(len(s) + 1)
     if not len(s):
-        return value, value, first
+        return [(value, value, first, words, np.zeros(0, bool))] * 4
     digit = np.concatenate(([0], np.cumsum((raw >= 48) & (raw <= 57))))
     number = digit[e] - digit[s] == e - s
     up = (raw >= 65) & (raw <= 90)
@@ -50,22 +59,44 @@ def templates(raw: np.ndarray, at: np.ndarray, units: np.ndarray):
     begins[1:] = stops[s[1:]] > stops[e[:-1]]
     begins[first[:-1][np.diff(first) > 0]] = True
     k = np.minimum(np.searchsorted(units, value), len(units) - 1)
+    inner = np.ones(len(s), bool)
+    inner[first[:-1][np.diff(first) > 0]] = False
     unit = np.zeros(len(s), bool)
-    unit[1:] = (units[k] == value)[1:] & number[:-1]
-    token = value.copy()
-    token[capital & ~begins] = NAME
-    token[unit] = UNIT
-    token[number] = NUMBER
-    return token, value, first
+    unit[1:] = (units[k] == value)[1:] & number[:-1] & inner[1:]
+    # one byte between a word and the one before it
+    gap = np.zeros(len(s), np.uint8)
+    gap[1:] = np.where((s[1:] - e[:-1] == 1) & inner[1:], raw[e[:-1]], 0)
+    out = [(value, value, first, words, begins)]
+    for openers, join in ((False, False), (False, True), (True, True)):
+        name = capital if openers else capital & ~begins
+        token = value.copy()
+        token[name] = NAME
+        token[unit] = UNIT
+        token[number] = NUMBER
+        if not join:
+            out.append((token, value, first, words, begins))
+            continue
+        glue = unit.copy()
+        glue[1:] |= number[1:] & number[:-1] & np.isin(gap[1:], np.frombuffer(b".,:/'-", np.uint8))
+        glue[1:] |= name[1:] & name[:-1] & ~begins[1:] & np.isin(gap[1:], np.frombuffer(b" -'", np.uint8))
+        start = np.flatnonzero(~glue)
+        place = words[:-1] - start[np.cumsum(~glue) - 1]
+        joined = np.add.reduceat(C.mix(value + place.astype(np.uint64)), start)
+        past = np.append(start[1:], len(s))
+        out.append((token[past - 1], joined, np.searchsorted(start, first), np.append(start, len(s)), begins[start]))
+    return out
 
 
-def windows(token: np.ndarray, first: np.ndarray, n: int):
-    """(place, hash) of the windows of n tokens inside rows that hold enough words that are not placeholders."""
+def windows(token: np.ndarray, first: np.ndarray, n: int, slots: bool = False):
+    """(place, hash) of the windows of n tokens inside rows that hold enough words that are not placeholders; with `slots`, a placeholder as well."""
     if len(token) < n:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     literal = np.concatenate(([0], np.cumsum(token > UNIT)))
-    ok = (row[n - 1 :] == row[: len(row) - n + 1]) & (literal[n:] - literal[:-n] >= LITERALS * n)
+    held = literal[n:] - literal[:-n]
+    ok = (row[n - 1 :] == row[: len(row) - n + 1]) & (held >= LITERALS * n)
+    if slots:
+        ok &= held < n
     place = np.flatnonzero(ok)
     h = np.zeros(len(place), np.uint64)
     for j in range(n):
@@ -73,66 +104,154 @@ def windows(token: np.ndarray, first: np.ndarray, n: int):
     return place, C.mix(h)
 
 
+def _union(a: np.ndarray, b: np.ndarray) -> int:
+    """How many numbers lie in the intervals [a, b)."""
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], np.maximum.accumulate(b[order])
+    return int(np.maximum(b - np.maximum(a, np.append(a[0], b[:-1])), 0).sum())
+
+
+def _chains(hits: np.ndarray, n: int, least: float):
+    """(words covered, hits) of the best chain of an item's matches, then of the best without those, as long as `least` is covered.
+
+    hits: first word and past the last of the document, then of the item, in columns.
+    """
+    left = np.arange(len(hits))
+    while len(left) and _union(hits[left, 2], hits[left, 3]) >= least:
+        diagonal = hits[left, 0] - hits[left, 2]
+        left = left[np.lexsort((hits[left, 2], diagonal))]
+        ds, de, js, je = hits[left, :4].T
+        diagonal = ds - js
+        # runs of overlapping or touching matches on one diagonal
+        edge = np.flatnonzero(np.r_[True, (diagonal[1:] != diagonal[:-1]) | (js[1:] > je[:-1])])
+        run = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(left))))
+        low = np.stack([np.minimum.reduceat(x, edge) for x in (ds, js)])
+        high = np.stack([np.maximum.reduceat(x, edge) for x in (de, je)])
+        order = np.lexsort((low[1], low[0]))
+        (d0, j0), (d1, j1) = low[:, order], high[:, order]
+        since = np.searchsorted(d0, d0 - 2 * n - 2 * SHIFT)
+        best, before = (j1 - j0).astype(np.int64), np.full(len(order), -1)
+        for i in range(1, len(order)):
+            p = slice(since[i], i)
+            moved = np.minimum(abs((d0[i] - j0[i]) - (d0[p] - j0[p])), abs((d0[i] - j0[i]) - (d1[p] - j1[p])))
+            fits = (moved <= SHIFT) & (d0[p] < d0[i]) & (j0[p] < j0[i]) & (d1[p] <= d1[i]) & (j1[p] <= j1[i])
+            if fits.any():
+                gain = np.where(fits, best[p] + j1[i] - np.maximum(j0[i], j1[p]), -1)
+                k = int(gain.argmax())
+                if gain[k] > best[i]:
+                    best[i], before[i] = gain[k], since[i] + k
+        i = int(best.argmax())
+        if best[i] < least:
+            return
+        covered, chosen = int(best[i]), []
+        while i >= 0:
+            chosen.append(order[i])
+            i = before[i]
+        inside = np.isin(run, chosen)
+        yield covered, left[inside]
+        left = left[~inside]
+
+
 class Benchmark:
-    """Templates of a block of items, with a sorted table of their windows."""
+    """The forms of a block of items, with sorted tables of their windows."""
 
     def __init__(self, items: list, texts: list, window: int, cover: float):
         self.items, self.window, self.cover = np.array(items, np.int64), window, cover
         self.units = np.sort(word_hashes(UNITS))
         data, at = C.utf8(pa.array(texts, pa.string()))
-        self.token, self.value, self.first = templates(data, at, self.units)
-        n = np.diff(self.first)
-        self.row = np.repeat(np.arange(len(n)), n)
-        # an item shorter than a window is a window of its own length, from three words
-        sizes = sorted({window, *n[(n >= 3) & (n < window)].tolist()})
-        self.tables = [(plain, size, *self._table(self.value if plain else self.token, size)) for size in sizes for plain in (False, True)]
-
-    def _table(self, token, size):
-        place, h = windows(token, self.first, size)
+        self.forms = forms(data, at, self.units)
+        self.first = self.forms[PLAIN][2]
+        self.row = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+        self.tables = []
+        for form, (token, _, first, *_) in enumerate(self.forms):
+            # an item shorter than a window is a window of its own length, from three words; its opener stays a word
+            n = np.diff(first)
+            sizes = {window, *(n[(n >= 3) & (n < window)].tolist() if form != OPENERS else ())}
+            self.tables += [(form, size, *self._table(token, first, size, form)) for size in sorted(sizes)]
+
+    def _table(self, token, first, size, form):
+        place, h = windows(token, first, size, form >= JOINED)
         if size < self.window:
-            keep = np.diff(self.first)[self.row[place]] == size
+            keep = np.isin(place, first[:-1][np.diff(first) == size])
             place, h = place[keep], h[keep]
         order = np.argsort(h, kind="stable")
         return h[order], place[order]
 
     def find(self, raw: np.ndarray, at: np.ndarray) -> list[list[tuple[int, float]]]:
         """For each row the contaminating items with their coverage."""
-        token, value, first = templates(raw, at, self.units)
+        doc = forms(raw, at, self.units)
         out: list[list] = [[] for _ in range(len(at) - 1)]
+        first = doc[PLAIN][2]
         row = np.repeat(np.arange(len(at) - 1), np.diff(first))
-        made = {}
-        for plain, size, table, there in self.tables:
+        parts = []
+        for form, size, table, there in self.tables:
             if not len(table):
                 continue
-            if (plain, size) not in made:
-                made[(plain, size)] = windows(value if plain else token, first, size)
-            place, h = made[(plain, size)]
-            lo, hi = np.searchsorted(table, h, "left"), np.searchsorted(table, h, "right")
-            hit = np.flatnonzero(hi > lo)
+            place, h = windows(doc[form][0], doc[form][2], size, form >= JOINED)
+            lo = np.searchsorted(table, h, "left")
+            hit = np.flatnonzero(table[np.minimum(lo, len(table) - 1)] == h)
             if not len(hit):
                 continue
-            times = (hi - lo)[hit]
+            lo = lo[hit]
+            times = np.searchsorted(table, h[hit], "right") - lo
             here = np.repeat(place[hit], times)
-            j = there[np.repeat(lo[hit] - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())]
-            item = self.row[j]
-            order = np.lexsort((here, here - j, item, row[here]))
-            here, j, item = here[order], j[order], item[order]
-            key = np.stack([row[here], item, here - j])
-            edge = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0), True])
-            for a, b in zip(edge[:-1], edge[1:]):
-                covered = np.unique((j[a:b, None] + np.arange(size)).ravel())
-                share = len(covered) / (self.first[item[a] + 1] - self.first[item[a]])
-                if share >= self.cover and (plain or self._consistent(covered, covered + (here[a] - j[a]), value)):
-                    out[key[0, a]].append((int(self.items[item[a]]), float(share)))
+            j = there[np.repeat(lo - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())]
+            theirs, ours = doc[form][3], self.forms[form][3]
+            parts.append(np.stack([theirs[here], theirs[here + size], ours[j], ours[j + size], np.full(len(j), form), np.full(len(j), size), here, j], axis=1))
+        if not parts:
+            return out
+        hits = np.concatenate(parts)
+        r, item = row[hits[:, 0]], self.row[hits[:, 2]]
+        order = np.lexsort((item, r))
+        hits, r, item = hits[order], r[order], item[order]
+        edge = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (item[1:] != item[:-1]), True])
+        for a, b in zip(edge[:-1], edge[1:]):
+            n = int(self.first[item[a] + 1] - self.first[item[a]])
+            # as shares are compared elsewhere: covered / n >= cover
+            if _union(hits[a:b, 2], hits[a:b, 3]) / n >= self.cover:
+                share = self._share(hits[a:b], n, doc)
+                if share >= self.cover:
+                    out[r[a]].append((int(self.items[item[a]]), share))
         return out
 
-    def _consistent(self, ours: np.ndarray, theirs: np.ndarray, value) -> bool:
-        """Each value in an item's slots stands for one value of the document."""
-        slot = self.token[ours] <= UNIT
-        if not slot.any():
-            return True
-        pairs = np.unique(np.stack([self.token[ours][slot], self.value[ours][slot], value[theirs][slot]]), axis=1)
-        return pairs.shape[1] == np.unique(pairs[:2], axis=1).shape[1]
+    def _share(self, hits: np.ndarray, n: int, doc: list) -> float:
+        """The largest share of an item that a consistent alignment covers, 0 if none covers enough."""
+        least, best = self.cover * n - 1e-9, 0
+        for covered, _ in _chains(hits[hits[:, 4] == PLAIN], n, least):
+            best = max(best, covered)
+            break
+        each = hits[hits[:, 4] == EACH]
+        for d in np.unique(each[:, 0] - each[:, 2]):
+            one = each[each[:, 0] - each[:, 2] == d]
+            covered = _union(one[:, 2], one[:, 3])
+            if covered > best and covered >= least and self._consistent(one, doc):
+                best = covered
+        for covered, chosen in _chains(hits, n, max(least, best + 1)):
+            if self._consistent(hits[chosen], doc):
+                best = covered
+                break
+        return best / n
+
+    def _consistent(self, hits: np.ndarray, doc: list) -> bool:
+        """Each value in an item's slots stands for one value of the document.
+
+        A word that begins a sentence may be no name: it counts only where its value is an item's name elsewhere too.
+        """
+        pairs = []
+        for form, size in np.unique(hits[:, 4:6], axis=0):
+            chosen = hits[(hits[:, 4] == form) & (hits[:, 5] == size)]
+            ours, theirs = ((chosen[:, k, None] + np.arange(size)).ravel() for k in (7, 6))
+            # plain words are equal on both sides, so a slot among them stands for itself
+            token = self.forms[max(form, EACH)][0][ours]
+            value, there, opener = self.forms[form][1][ours], doc[form][1][theirs], self.forms[form][4][ours]
+            slot = token <= UNIT
+            if form == OPENERS:
+                sure = slot & ~((token == NAME) & opener)
+                slot &= sure | np.isin(value, value[sure & (token == NAME)])
+            kind = np.full(int(slot.sum()), 0 if form <= EACH else 1, np.uint64)
+            pairs.append(np.stack([kind, token[slot], value[slot], there[slot]]))
+        pairs = np.unique(np.concatenate(pairs, axis=1), axis=1)
+        return pairs.shape[1] == np.unique(pairs[:3], axis=1).shape[1]
 
 
 def benchmark_blocks(benchmark: DataFrame, item_id: str, text: str, window: int, cover: float):
