@@ -397,6 +397,23 @@ def test_license_scan(spark):
     assert len(S.signature_rules()) >= 300
 
 
+def test_license_gate_changes_nothing(spark):
+    """Rules behind keywords find what all rules find, on lines without a word of licensing too."""
+    from tidemark.llm import license_scan as S
+
+    lines = {"Distributed under GPLv3.": "gpl-3", "Released under the MIT.": "mit", "available under Apache 2.0 or MIT licenses": "apache-2", "Published\u2014under\u2014the BSD 3-Clause": "bsd-3", "PROVIDED under terms of CC0": "cc0", "a bridge under the river, available to all": ""}
+    rows = [(i, t, "en", "s") for i, t in enumerate(lines)]
+    got = {r["doc_id"]: r for r in S.scan_licenses(docs_of(spark, rows)).collect()}
+    for i, (t, label) in enumerate(lines.items()):
+        assert (label in got[i]["labels"].split(",")) and (got[i]["score"] > 0.9) == bool(label), t
+    scanner = S.Scanner()
+    names = ["mit", "apache 2.0", "gnu gpl", "cc by-sa 4.0", "zlib/libpng", "unknown"]
+    texts = [lower(t) for t in lines] + [carrier.format(name) for name in names for carrier in ("released under {}", "under the {} license", "licence: {}", "{} public license, version 2", "see the file {}-license", "spdx-license-identifier: {}", "made available under the terms of the {}", "{}")]
+    texts += ["all rights reserved", "permission is hereby granted, free of charge, to any person obtaining a copy", "https://creativecommons.org/licenses/by-sa/4.0", "placed into the public domain", "copyright (c) 2020"]
+    for t in texts:
+        assert scanner.detect(t, scanner.have(t.encode())) == scanner.detect(t, None), t
+
+
 def test_components(spark):
     from tidemark.llm.common import connected_components
 

@@ -1,7 +1,7 @@
 """License scans by ordered signature rules.
 
-A rule is a regular expression with a label, a priority and a keyword. Word hashes of the whole text tell which
-keywords it holds; only their rules run. Detections are ordered by priority, then length; one inside an interval
+A rule is a regular expression with a label, a priority and keywords, strings of which every match holds one; only
+rules with a keyword in the text run, so they find what all rules would. Detections are ordered by priority, then length; one inside an interval
 already kept is dropped. Three base phrases are found by consecutive word hashes and are never dropped.
 """
 
@@ -66,6 +66,8 @@ FAMILIES = {
     "openrail": (["openrail(?:\\+\\+)?"], [r"open ?rail(?:-m)?", r"responsible ai"]),
 }
 
+#: What stands before a name, in every match of the first carrier.
+HEAD = r"(?:licen[sc]ed|released|distributed|available|published|provided) under"
 #: How a name is introduced: (pattern around it, priority, weight). Smaller priorities come first.
 CARRIERS = [
     (r"(?:licen[sc]ed|released|distributed|available|published|provided|made available) under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?{name}(?: licen[sc]e)?", 1, 0.95),
@@ -100,35 +102,43 @@ def signature_rules() -> list[tuple]:
             rules.append((label, ("spdx",), rf"spdx-license-identifier:\s*{x}(?![\w.-])", 0, 0.99))
         for name in names:
             for carrier, priority, weight in CARRIERS:
-                rules.append((label, ("license", "licence", "licensed", "licenced", "released", "distributed", "available", "published", "provided", "under"), rf"(?<!\w){gap(carrier.replace('{name}', name)).replace(r'(?:\W+', r'(?:\W+')}(?!\w)", priority, weight))
+                rules.append((label, ("under",) if priority == 1 else ("license", "licence"), rf"(?<!\w){gap(carrier.replace('{name}', name)).replace(r'(?:\W+', r'(?:\W+')}(?!\w)", priority, weight))
     for label, keyword, pattern, priority, weight in WHOLE_TEXTS:
         rules.append((label, (keyword,), gap(pattern), priority, weight))
     return sorted(rules, key=lambda r: r[3])
 
 
+#: Keywords of the carriers, which hold a name as well.
+CARRIED = frozenset({"under", "license", "licence"})
+
+
 class Scanner:
     def __init__(self):
         self.rules = [(label, frozenset(keys), re.compile(p, re.S), priority, weight) for label, keys, p, priority, weight in signature_rules()]
-        # a carrier says nothing without a word of licensing in the text
-        self.gate = sorted({"license", "licence", "licensed", "licenced", "spdx", "copyright", "reserved", "domain", "creativecommons", "granted", "permission", "redistribution", "endorse", "warranty", "unencumbered"})
-        self.keywords = sorted({k for r in self.rules for k in r[1]} | set(self.gate))
-        order = np.argsort(hashes := word_hashes(self.keywords))
-        self.sorted, self.words = hashes[order], [self.keywords[i] for i in order]
+        self.keywords = sorted({k for r in self.rules for k in r[1]})
+        self.head = re.compile(HEAD.replace(" ", r"\W+"))
         # a family's names: at least one must stand in the text before its carriers run
         self.names = {label: re.compile("|".join(n.replace(" ", r"\W+") for n in names)) for label, (_, names) in FAMILIES.items()}
         self.phrases = [(label, word_hashes(phrase.split())) for label, phrase in sorted(BASE.items())]
 
-    def detect(self, text: str, have: set) -> list[tuple[str, int, int, float]]:
-        """(label, start, end, weight) of the detections that stay, in a lower-case text."""
+    def have(self, text: bytes) -> set[str]:
+        return {k for k in self.keywords if k.encode() in text}
+
+    def detect(self, text: str, have: set | None) -> list[tuple[str, int, int, float]]:
+        """(label, start, end, weight) of the detections that stay, in a lower-case text that holds the keywords `have`; by all rules without them."""
         found, named = [], {}
+        if have and "under" in have and not self.head.search(text):
+            have = have - {"under"}
         for label, keys, pattern, priority, weight in self.rules:
-            if keys & have:
-                if priority and label in self.names and len(keys) > 1:
+            if have is not None:
+                if have.isdisjoint(keys):
+                    continue
+                if keys <= CARRIED:
                     if label not in named:
                         named[label] = self.names[label].search(text) is not None
                     if not named[label]:
                         continue
-                found += [(priority, m.start() - m.end(), m.start(), m.end(), label, weight) for m in pattern.finditer(text)]
+            found += [(priority, m.start() - m.end(), m.start(), m.end(), label, weight) for m in pattern.finditer(text)]
         kept = []
         for _, _, a, b, label, weight in sorted(found):
             if not any(x <= a and b <= y for _, x, y, _ in kept):
@@ -153,18 +163,12 @@ class Scanner:
                     hit &= h[k : len(h) - m + 1 + k] == w
                 for i in np.flatnonzero(hit):
                     places.setdefault(int(row[i]), []).append((int(i - first[row[i]]), label))
-            k = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
-            hit = np.flatnonzero(self.sorted[k] == h)
-            have: dict[int, set] = {}
-            for i in hit:
-                have.setdefault(int(row[i]), set()).add(self.words[k[i]])
             for r in range(len(cut) - 1):
                 base = places.get(r, [])
                 labels, miss = {label for _, label in base}, 0.01 if base else 1.0
-                words = have.get(r, set())
-                if words.intersection(self.gate):
-                    text = low[cut[r] : cut[r + 1]].tobytes().decode("utf-8", "replace")
-                    for label, _, _, weight in self.detect(text, words):
+                text = low[cut[r] : cut[r + 1]].tobytes()
+                if have := self.have(text):
+                    for label, _, _, weight in self.detect(text.decode("utf-8", "replace"), have):
                         labels.add(label)
                         miss *= 1 - weight
                 where = [x for x, _ in base]
