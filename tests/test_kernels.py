@@ -115,3 +115,28 @@ def test_causal_graph(spark):
     df = spark.createDataFrame([(float(x), float(y), float(z), float(w)) for x, y, z, w in zip(a[1:], b[1:], a[:-1], b[:-1])], "a double, b double, a_lag1 double, b_lag1 double")
     edges = {(r["from"], r["to"], r["type"]) for r in causal.causal_graph(df, ["a", "b", "a_lag1", "b_lag1"], max_cond=1, sims=200).collect()}
     assert ("a_lag1", "b", "directed") in edges and not any({x, y} == {"a", "b"} for x, y, _ in edges)
+
+
+def test_causal_graphs_of_all_keys(spark):
+    """Every key has its own graph and tests, equal to those of the key alone."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for key, n in (("u", 150), ("v", 120), (None, 120)):
+        a = rng.normal(size=n)
+        b = np.concatenate(([0.0], a[:-1])) * (2 if key == "u" else 0) + 0.3 * rng.normal(size=n)
+        rows += [(key, *map(float, x)) for x in zip(a[1:], b[1:], a[:-1], b[:-1])]
+    names = ["a", "b", "a_lag1", "b_lag1"]
+    df = spark.createDataFrame(rows, "k string, a double, b double, a_lag1 double, b_lag1 double")
+    got = {tuple(r) for r in causal.causal_graph(df, names, max_cond=1, sims=200, keys=["k"]).collect()}
+    assert ("u", "a_lag1", "b", "directed") in got and (None, "a_lag1", "b", "directed") not in got
+    for key in ("u", "v", None):
+        alone = causal.causal_graph(df.filter(F.col("k").eqNullSafe(F.lit(key))), names, max_cond=1, sims=200)
+        assert {x[1:] for x in got if x[0] == key} == {tuple(r) for r in alone.collect()}
+    tests = causal.ci_tests(df, ["k"], names, [(1, 2, []), (0, 1, [2])], sims=120).collect()
+    assert len(tests) == 6 and all(0 < r["p"] <= 1 for r in tests)
+    one = [r for r in tests if r["k"] == "u" and r["j"] == 2][0]
+    x = np.array(sorted(r[1:] for r in rows if r[0] == "u"))
+    null = np.concatenate([causal.null_rho(149, m, [42, b]) for b, m in enumerate((50, 50, 20))])
+    assert (one["p"], one["rho"]) == pytest.approx(causal.independence(x, 1, 2, [], null))
+    with pytest.raises(ValueError):
+        causal.ci_tests(df, ["k"], names, [(0, 1, [])], most_rows=130)

@@ -393,6 +393,12 @@ def _(v):
     return align.window_context(book.decrement_events(lives_of(v), KEY), centers, 300_000_000, KEY).select("symbol", "center", "seq", "rank", "offset")
 
 
+@query("j13_window_context_all")
+def _(v):
+    """Around every trade, where j13_window_context and its SQL take one in a hundred."""
+    return align.window_context(book.decrement_events(lives_of(v), KEY), v.trades.select("symbol", F.col("seq").alias("center"), F.col("t_us").alias("t")), 300_000_000, KEY).select("symbol", "center", "seq", "rank", "offset")
+
+
 # --- aggregations
 
 
@@ -808,8 +814,8 @@ def _(v):
 def _(v):
     from ..operators.causal import causal_graph
 
-    weekly = v.series.filter("symbol = 'N'").groupBy("symbol", F.expr("day div 21").alias("bucket")).agg(F.sum("x").alias("x"), F.avg("q").alias("q"))
-    return causal_graph(bars.causal_dataset(weekly, ["x", "q"], [1, 2], KEY), ["x", "q", "x_lag1", "q_lag1", "x_lag2"], max_cond=2, sims=400)
+    buckets = v.series.groupBy("symbol", F.expr("day div 21").alias("bucket")).agg(F.sum("x").alias("x"), F.avg("q").alias("q"))
+    return causal_graph(bars.causal_dataset(buckets, ["x", "q"], [1, 2], KEY), ["x", "q", "x_lag1", "q_lag1", "x_lag2"], keys=KEY)
 
 
 # --- streams: a written table read as a stream, run to its end, and its sink read back
@@ -1009,12 +1015,10 @@ def _(v):
 
 @query("k11_ci_tests")
 def _(v):
-    from ..operators.causal import _null_on_spark, ci_test
+    from ..operators.causal import ci_tests
 
-    weekly = v.series.filter("symbol = 'N'").groupBy(F.expr("day div 21").alias("bucket")).agg(F.sum("x").alias("x"), F.avg("q").alias("q")).orderBy("bucket").limit(5000).toPandas()
-    data = weekly[["x", "q", "bucket"]].to_numpy(float)
-    tests = ci_test(v.spark, data, [(0, 1, []), (0, 1, [2]), (0, 2, []), (1, 2, [0])], _null_on_spark(v.spark, len(data), 400, 42))
-    return v.spark.createDataFrame([(i, j, list(c), p, r) for i, j, c, p, r in tests], "i int, j int, cond array<int>, p double, rho double")
+    buckets = v.series.groupBy("symbol", F.expr("day div 21").alias("bucket")).agg(F.sum("x").alias("x"), F.avg("q").alias("q"))
+    return ci_tests(buckets, KEY, ["x", "q", "bucket"], [(0, 1, []), (0, 1, [2]), (0, 2, []), (1, 2, [0])])
 
 
 # --- the flagship: bars, drift of their flow, change points
