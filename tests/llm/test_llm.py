@@ -281,6 +281,23 @@ def test_warc(spark, tmp_path):
     assert text.count("WARC/1.1") == 6 and text.endswith("\r\n\r\n")
 
 
+def test_warc_left_out_ends_and_repeated_headers():
+    from tidemark.llm import warc as R
+
+    pages = {
+        "<html><head><title>T</title><meta charset=x><body><p>one</p>two": "one two", "<head><title>T</title><p>one": "one", "<head><title>T</title>one <b>two</b>": "one two", "<head><script>x</script><link href=y></head>one": "one",
+        "<p>one<svg width='5'/>two<svg><text>no</text></svg>three": "one two three", "one<svg>two": "one two", "one<noscript>two": "one two", "one<noscript>no</noscript>two<template>no</template>": "one two",
+        "one<script>no": "one", "one<style>no": "one", "one<!-- no": "one", "<script>a='<!--'</script>one": "one", "<script src='x' />one": "one", "<head><script src='x'/><title>T</title><p>one<script>no</script>": "one", "<header>one</header>": "one", "one<![CDATA[ x": "one x", "one<![CDATA[ no ]]>two<!--->three": "onetwothree",
+    }
+    for page, text in pages.items():
+        assert R.plain_text(page).split() == text.split(), page
+    assert len(R.plain_text("<svg>a" * 100_000).split()) == 100_000
+    http = "HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nLink: <x>\r\nSet-Cookie: b=2\r\nContent-Type: text/html\r\n\r\n<p>x"
+    record = R.build("response", {"WARC-Record-ID": "<urn:x>"}, http.encode())
+    _, block = R.parse(R.derive(record)["metadata"])
+    assert re.findall(r"http-(?:set-cookie|link): (.*)\r", block.decode()) == ["a=1", "<x>", "b=2"]
+
+
 def test_token_planes(spark, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -21,8 +21,13 @@ CRLF = "\r\n"
 #: The date of records whose source has none.
 DATE = "1970-01-01T00:00:00Z"
 
-_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)", re.S)
-_HIDDEN = re.compile(r"<(script|style|noscript|template|svg|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_OPEN = re.compile(r"<!--|<!\[CDATA\[|<(script|style|noscript|template|svg|head)(?=[\s/>])[^>]*>", re.I)
+_COMMENT_END = re.compile(r"-?>|.*?(?:--!?>|\Z)", re.S)
+#: A slash after a space, a quoted value or the name; one that ends an unquoted value is part of it.
+_EMPTY = re.compile(r"<\w+(?:\s[^>]*[\s\"'])?/>")
+_END = {k: re.compile(rf"</{k}\s*>", re.I) for k in ("script", "style", "noscript", "template", "svg")}
+#: What a head holds after its tag; text or any other element ends it, as its end tag may be left out.
+_HEAD = re.compile(r"(?:\s+|<!--(?:-?>|.*?(?:--!?>|\Z))|</?(?:meta|link|base|basefont|bgsound)(?=[\s/>])[^>]*>|<(?:title|style|script|noscript|template)(?:\s[^>]*[\s\"'])?/>|<(title|style|script|noscript|template)(?=[\s/>])[^>]*>.*?</\1\s*>)*(?:</head\s*>)?", re.S | re.I)
 _BLOCK = re.compile(r"</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|tr|table|thead|tbody|h[1-6]|section|article|header|footer|nav|aside|main|figure|figcaption|form|fieldset|blockquote|pre|address|option|select|title|body|html)\b[^>]*>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z!?][^>]*>")
 _GAPS = re.compile(r"[ \t\r\f\v ]+")
@@ -39,8 +44,37 @@ def record_id(*parts) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(0).join(map(str, parts)))}>"
 
 
+def without_hidden(page: str) -> str:
+    """The page without comments, scripts, styles, heads and the like. Only comments, scripts and styles run to the page's end if nothing ends them."""
+    out, at, open_ended = [], 0, set()
+    while m := _OPEN.search(page, at):
+        kind, past = (m[1] or "").lower(), m.end()
+        if m[0] == "<!--":
+            past = _COMMENT_END.match(page, past).end()
+        elif not kind:
+            if "cdata" not in open_ended and (end := page.find("]]>", past)) >= 0:
+                past = end + 3
+            else:
+                open_ended.add("cdata")
+        elif kind == "head":
+            # a page has one; the tag of another says nothing
+            if kind not in open_ended:
+                past = _HEAD.match(page, past).end()
+            open_ended.add(kind)
+        elif not _EMPTY.fullmatch(m[0]) and kind not in open_ended:
+            if end := _END[kind].search(page, past):
+                past = end.end()
+            elif kind in ("script", "style"):
+                past = len(page)
+            else:
+                open_ended.add(kind)
+        out += [page[at : m.start()], "\n" if kind else ""]
+        at = past
+    return "".join([*out, page[at:]])
+
+
 def plain_text(page: str) -> str:
-    s = _HIDDEN.sub("\n", _COMMENT.sub("", page))
+    s = without_hidden(page)
     s = html.unescape(_TAG.sub("", _BLOCK.sub("\n", s.replace("\n", " "))))
     lines = (_GAPS.sub(" ", x).strip() for x in s.split("\n"))
     return "\n".join(x for x in lines if x)
@@ -71,8 +105,9 @@ def derive(record: bytes) -> dict:
     fields, block = parse(record)
     http, _, payload = block.partition(b"\r\n\r\n")
     status, *headers = http.decode("latin-1").split(CRLF)
-    http_fields = {k.strip().lower(): v.strip() for k, _, v in (h.partition(":") for h in headers)}
-    charset = re.search(r"charset=([\w-]+)", http_fields.get("content-type", ""))
+    # in order, with all of a repeated name
+    http_fields = [(k.strip().lower(), v.strip()) for k, _, v in (h.partition(":") for h in headers)]
+    charset = re.search(r"charset=([\w-]+)", dict(http_fields).get("content-type", ""))
     try:
         page = payload.decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:
@@ -82,8 +117,8 @@ def derive(record: bytes) -> dict:
     common = {"WARC-Target-URI": target, "WARC-Date": date, "WARC-Refers-To": source, "WARC-Refers-To-Target-URI": target, "WARC-Refers-To-Date": date}
     text = plain_text(page)
     title, lang = _TITLE.search(page), _LANG.search(page)
-    facts = {"http-status": status, **{f"http-{k}": v for k, v in http_fields.items()}, "source-payload-digest": payload_digest, "title": _GAPS.sub(" ", html.unescape(title[1])).replace("\n", " ").strip() if title else "", "html-lang": lang[1] if lang else "", "text-length": str(len(text))}
-    meta_block = "".join(f"{k}: {v}{CRLF}" for k, v in facts.items() if v).encode()
+    facts = [("http-status", status), *((f"http-{k}", v) for k, v in http_fields), ("source-payload-digest", payload_digest), ("title", _GAPS.sub(" ", html.unescape(title[1])).replace("\n", " ").strip() if title else ""), ("html-lang", lang[1] if lang else ""), ("text-length", str(len(text)))]
+    meta_block = "".join(f"{k}: {v}{CRLF}" for k, v in facts if v).encode()
     meta_id, text_id = record_id("metadata", source), record_id("conversion", source)
     meta = build("metadata", {"WARC-Record-ID": meta_id, **common, "Content-Type": "application/warc-fields"}, meta_block)
     conv = build("conversion", {"WARC-Record-ID": text_id, **common, "WARC-Payload-Digest": payload_digest, "Content-Type": "text/plain; charset=utf-8"}, text.encode())
