@@ -140,3 +140,26 @@ def test_causal_graphs_of_all_keys(spark):
     assert (one["p"], one["rho"]) == pytest.approx(causal.independence(x, 1, 2, [], null))
     with pytest.raises(ValueError):
         causal.ci_tests(df, ["k"], names, [(0, 1, [])], most_rows=130)
+
+
+def test_parametric_bootstrap_holds_parameters(spark, monkeypatch):
+    """Paths run to the horizon, and a replicate's l0 is that of the fit of the whole."""
+    t = simulate(60.0, 5)
+    end = float(t[-1])
+    fit = hawkes.fit_uni(t, end, restarts=1)
+    assert hawkes.loglik_under(fit, t, end) == pytest.approx(fit["loglik"], rel=1e-9)
+    near = {"mu": 1.0, "alpha": 0.998, "beta": 50.0}
+    paths = [hawkes._simulate(near, 20.0, np.random.default_rng(i)) for i in range(3)]
+    assert all(np.array_equal(x, hawkes._simulate(near, 20.0, np.random.default_rng(i), 10**7)) for i, x in enumerate(paths))
+
+    def lr(x, whole):
+        a, b = x[x <= end / 2], x[x > end / 2] - end / 2
+        return 2 * (sum(hawkes.fit_uni(y, end / 2, restarts=1)["loglik"] for y in (a, b)) - whole)
+
+    observed, hits = lr(t, fit["loglik"]), 0
+    for r in range(12):
+        star = hawkes._simulate(fit, end, np.random.default_rng([0, r, len(t), int(t.sum() * 1e3) % (1 << 32)]))
+        hits += len(star) > 1 and lr(star, hawkes.loglik_under(fit, star, end)) >= observed
+    df = spark.createDataFrame([("k", float(x)) for x in t], "k string, t double")
+    got = hawkes.hawkes_bootstrap(df, ["k"], replicates=12, method="parametric", block=5).first()
+    assert got["replicates"] == 12 and got["p_value"] == pytest.approx((1 + hits) / 13)

@@ -269,8 +269,8 @@ def _invert(t, fit, targets):
     return low + x
 
 
-def _simulate(fit, end, rng, most):
-    """One path by thinning under the fitted parameters, no longer than `most` events."""
+def _simulate(fit, end, rng, most=math.inf):
+    """One path by thinning under the fitted parameters, to its horizon or, if given, to `most` events."""
     out, now, s = [], 0.0, 0.0
     while len(out) < most:
         bound = fit["mu"] + fit["alpha"] * fit["beta"] * s
@@ -285,20 +285,28 @@ def _simulate(fit, end, rng, most):
     return np.array(out)
 
 
+def loglik_under(fit: dict, t: np.ndarray, end: float) -> float:
+    """The log-likelihood of events under parameters that were fitted elsewhere."""
+    if fit["beta"] is None:
+        return len(t) * math.log(fit["mu"]) - fit["mu"] * end if fit["mu"] else 0.0
+    return -float(uni_loglik(np.log([fit["mu"], max(fit["alpha"], 1e-300), fit["beta"]]), t, end)[0])
+
+
 def hawkes_bootstrap(df: DataFrame, keys: list[str], replicates: int, seed: int = 0, method: str = "fixed_intensity", t: str = "t", block: int = 25, restarts: int = 1) -> DataFrame:
     """lr, replicates, p_value = (1 + #{lr* >= lr}) / (B + 1) of the change test of each series.
 
     fixed_intensity draws Exp(1) arrivals in compensator time and inverts the fitted compensator; parametric simulates
-    anew from the fit of the whole. Both refit halves and whole. A task takes one series and a block of replicates;
+    anew from the fit of the whole, to the horizon, and holds that fit's parameters in l0 of a replicate. Both refit the
+    halves, fixed_intensity the whole too. A task takes one series and a block of replicates;
     seeds follow from series and replicate, so a lost task redoes the same draws. Events travel as one array a block.
     """
     series = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.col(t).cast("double"))).alias("ts"))
     blocks = series.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // block) - 1))))
 
-    def lr_of(x, end):
+    def lr_of(x, end, held=None):
         mid = end / 2
         a, b = x[x <= mid], x[x > mid] - mid
-        whole = fit_uni(x, end, restarts=restarts)
+        whole = {"loglik": loglik_under(held, x, end)} if held else fit_uni(x, end, restarts=restarts)
         return 2 * (fit_uni(a, mid, restarts=restarts)["loglik"] + fit_uni(b, mid, restarts=restarts)["loglik"] - whole["loglik"]), whole
 
     def run(key, pdf):
@@ -311,12 +319,12 @@ def hawkes_bootstrap(df: DataFrame, keys: list[str], replicates: int, seed: int
             if fit["beta"] is None:
                 star = np.sort(rng.uniform(0, end, len(x)))
             elif method == "parametric":
-                star = _simulate(fit, end, rng, 20 * len(x) + 100)
+                star = _simulate(fit, end, rng)
             else:
                 total = fit["mu"] * end + fit["alpha"] * (1 - np.exp(-fit["beta"] * (end - x))).sum()
                 arrivals = np.cumsum(rng.exponential(size=int(2 * total + 50)))
                 star = _invert(x, fit, arrivals[arrivals < total])
-            hits += len(star) > 1 and lr_of(star, end)[0] >= lr
+            hits += len(star) > 1 and lr_of(star, end, fit if method == "parametric" else None)[0] >= lr
             done += 1
         return pd.DataFrame([{**dict(zip(keys, key[:-1])), "lr": lr, "hits": hits, "done": done}])
 
