@@ -19,76 +19,126 @@ from pyspark.sql import functions as F
 from . import common as C
 
 BLOCK_IDS = 1 << 16
-#: Pieces of text, and pre-tokens, whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 300_000
-#: New pre-tokens that are encoded in one call.
+#: Distinct pieces of text in a generation of a worker's memory; it holds two, some 30 bytes a piece.
+REMEMBERED = 400_000
+#: New pieces that are encoded in one call.
 TOGETHER = 1024
 FILE_SCHEMA = "shard long, block long, n_ids long, crc32 long, planes array<binary>, doc_ids array<long>, doc_starts array<long>, doc_lengths array<long>"
 
 #: Bytes that may begin white space; a space is cut before only if none follows, so it is the last of its run.
 _MAYBE_SPACE = C.SPACE.copy()
 _MAYBE_SPACE[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
-_MARKS = ".,;:!?&%$#*)\"|"
+#: Letters and digits, and the marks between which and them every token ends; an apostrophe may begin one that goes on.
+_PLAIN = np.zeros(256, bool)
+_PLAIN[48:58] = _PLAIN[65:91] = _PLAIN[97:123] = True
+_MARK = np.zeros(256, bool)
+_MARK[33:127] = ~_PLAIN[33:127]
+_MARK[39] = False
+_BREAK = 10
 
 
 def piece_cuts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Where pieces start: at texts and before the last white space of a run, where no rule of the byte-level pre-tokenizer crosses."""
+    """Where pieces start, so that no rule of the byte-level pre-tokenizer crosses: at texts, before the last white space
+    of a run, between plain letters or digits and marks, and around a lone line break."""
     cut = np.zeros(len(data), bool)
     cut[:-1] = (data[:-1] == 32) & ~_MAYBE_SPACE[data[1:]]
-    cut[at[:-1][np.diff(at) > 0]] = True
     # a space that ends a text has no next byte of its own
     ends = at[1:][np.diff(at) > 1] - 1
     cut[ends[data[ends] == 32]] = False
+    plain, mark = _PLAIN[data], _MARK[data]
+    cut[1:] |= (plain[:-1] & mark[1:]) | (mark[:-1] & plain[1:])
+    solid = plain | mark
+    lone = np.flatnonzero((data[1:-1] == _BREAK) & solid[:-2] & solid[2:]) + 1
+    cut[lone] = True
+    cut[lone + 1] = True
+    cut[at[:-1][np.diff(at) > 0]] = True
     return np.flatnonzero(cut)
 
 
+class Memory:
+    """Ids of pieces by 64-bit hash: sorted hashes, and where each piece's ids lie in one flat array."""
+
+    def __init__(self):
+        self.key, self.at, self.n, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The place of each hash, or -1."""
+        if not len(self.key):
+            return np.full(len(key), -1)
+        i = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[i] == key, i, -1)
+
+    def get(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each place has, and all of them."""
+        return self.n[i], self.ids[_runs(self.at[i], self.n[i])]
+
+    def add(self, key: np.ndarray, n: np.ndarray, ids: np.ndarray) -> None:
+        keys = np.concatenate((self.key, key))
+        order = np.argsort(keys, kind="stable")
+        self.key, self.n = keys[order], np.concatenate((self.n, n))[order]
+        self.at = np.concatenate((self.at, len(self.ids) + np.cumsum(n) - n))[order]
+        self.ids = np.concatenate((self.ids, ids))
+
+
+def _runs(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each run, n of them."""
+    total = np.cumsum(n)
+    return np.repeat(start - (total - n), n) + np.arange(total[-1] if len(n) else 0)
+
+
 class Encoder:
-    """Ids of whole texts as little-endian uint32 bytes. Pieces, and the pre-tokens inside them, are encoded once and remembered."""
+    """Ids of whole texts as little-endian uint32 bytes. Each distinct piece is encoded once and remembered.
+
+    The memory has two generations: pieces that are met go to the young one; once that is full it becomes the old one,
+    and what the old one held that was not met again is forgotten.
+    """
 
-    def __init__(self, tokenizer_path: str):
-        import public_tokenizers
-        import regex
+    def __init__(self, tokenizer_path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        # their strings in a text are ordinary text
         self.tokenizer.encode_special_tokens = True
-        self.cut = regex.compile(public_tokenizers.PATTERN).findall
-        self.known: dict[int, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.young, self.old, self.remembered = Memory(), Memory(), remembered
         # a token of a byte-level vocabulary is written with one character a byte
         self.n_bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.n_bytes[i] = len(token)
 
-    def pretokens(self, piece: str) -> tuple | list:
-        """A space, letters and a run of marks are two pre-tokens; anything else goes through the pattern."""
-        head = piece.rstrip(_MARKS)
-        if head[:1] == " " and head[1:].isalpha():
-            return (head,) if len(head) == len(piece) else (head, piece[len(head) :])
-        return self.cut(piece)
-
-    def learn(self, new: list[tuple[int, str]]) -> None:
-        """New pieces, by hash, are cut into pre-tokens. Those that start with one space are encoded many at a time: the
-        tokens' lengths tell where each ends. The others are encoded one by one."""
-        cut = [(h, self.pretokens(p)) for h, p in new]
-        words = set().union(*[c for _, c in cut]).difference(self.words)
-        spaced = [w for w in words if w[0] == " " and not w[1:2].isspace() and len(w) > 1]
-        groups = [spaced[i : i + TOGETHER] for i in range(0, len(spaced), TOGETHER)]
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(found.ids, "<u4")
-            ends = np.cumsum([len(w.encode()) for w in group])
-            cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1
-            whole = ids.tobytes()
-            low = 0
-            for word, high in zip(group, (4 * cuts).tolist()):
-                self.words[word] = whole[low:high]
-                low = high
-        rest = list(words.difference(spaced))
-        for word, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            self.words[word] = np.array(found.ids, "<u4").tobytes()
-        get = self.words.__getitem__
-        for h, c in cut:
-            self.known[h] = get(c[0]) if len(c) == 1 else b"".join(map(get, c))
+    def learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each piece has, and all of them. Pieces without white space but a first space are encoded many at
+        a time, a line break between any two: the tokens' lengths tell where each ends. The others are encoded one by one."""
+        space = np.concatenate(([0], np.cumsum(_MAYBE_SPACE[data])))
+        one = start + ((data[start] == 32) & (end - start > 1))
+        joint = np.flatnonzero(space[end] == space[one])
+        found: list = [None] * len(start)
+        size = end[joint] - start[joint] + 1
+        past = np.cumsum(size)
+        text = np.full(past[-1] if len(joint) else 0, _BREAK, np.uint8)
+        text[_runs(past - size, size - 1)] = data[_runs(start[joint], size - 1)]
+        edge = np.append(past[::TOGETHER] - size[::TOGETHER], len(text))
+        calls = [text[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(edge[:-1], edge[1:])]
+        n = np.zeros(len(start), np.int64)
+        for k, encoded in enumerate(self.tokenizer.encode_batch_fast(calls, add_special_tokens=False)):
+            ids = np.array(encoded.ids, "<u4")
+            ends = np.cumsum(self.n_bytes[ids])
+            which = joint[k * TOGETHER : (k + 1) * TOGETHER]
+            cuts = np.searchsorted(ends, past[k * TOGETHER : k * TOGETHER + len(which)] - edge[k])
+            lows = np.append(0, cuts[:-1] + 1)
+            n[which] = cuts - lows
+            keep = np.ones(len(ids), bool)
+            keep[cuts] = False
+            found[which[0]] = ids[keep]
+        rest = np.setdiff1d(np.arange(len(start)), joint, assume_unique=True)
+        alone = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(start[rest], end[rest])]
+        parts = [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)]
+        n[rest] = [len(x) for x in parts]
+        # joint pieces lie together in `found`, the others apart: bring all into the order of the pieces
+        flat = np.concatenate([np.zeros(0, "<u4"), *[x for x in found if x is not None], *parts])
+        order = np.concatenate((joint, rest))
+        at = np.empty(len(start), np.int64)
+        at[order] = np.cumsum(n[order]) - n[order]
+        return n, flat[_runs(at, n)]
 
     def encode(self, column) -> list[bytes]:
         """For each text of an Arrow column, or list, its ids. Pieces are told apart by 64-bit hashes, and looked up once for all texts."""
@@ -96,27 +146,25 @@ class Encoder:
         return [x for _, _, part, cut in C.pieces(data, at) for x in self._encode(part, cut)]
 
     def _encode(self, data: np.ndarray, at: np.ndarray) -> list[bytes]:
-        start = piece_cuts(data, at)
+        start = piece_cuts(data, at) if len(data) else np.zeros(0, np.int64)
         if not len(start):
             return [b""] * (len(at) - 1)
         end = np.append(start[1:], len(data))
         u, one, which = np.unique(C.span_hashes(data, start, end), return_index=True, return_inverse=True)
-        if len(self.known) > REMEMBERED or len(self.words) > REMEMBERED:
-            self.known.clear()
-            self.words.clear()
-        keys = u.tolist()
-        new = [i for i, h in enumerate(keys) if h not in self.known]
-        if new:
-            raw = data.tobytes()
-            self.learn([(keys[i], raw[x:y].decode("utf-8", "replace")) for i, x, y in zip(new, start[one[new]].tolist(), end[one[new]].tolist())])
-        found = [self.known[h] for h in keys]
-        n = np.array([len(x) // 4 for x in found], np.int64)
-        ids, first = np.frombuffer(b"".join(found), "<u4"), np.cumsum(n) - n
-        each = n[which]
-        total = np.cumsum(each)
-        out = ids[np.repeat(first[which] - (total - each), each) + np.arange(total[-1])]
+        if len(self.young.key) > self.remembered:
+            self.young, self.old = Memory(), self.young
+        new = np.flatnonzero(self.young.find(u) < 0)
+        if len(new):
+            place = self.old.find(u[new])
+            again, never = new[place >= 0], new[place < 0]
+            self.young.add(u[again], *self.old.get(place[place >= 0]))
+            if len(never):
+                self.young.add(u[never], *self.learn(data, start[one[never]], end[one[never]]))
+        where = self.young.find(u)
+        each = self.young.n[where][which]
+        out = self.young.ids[_runs(self.young.at[where][which], each)]
         # how many ids lie before each text
-        before = np.append(0, total)[np.searchsorted(start, at)]
+        before = np.append(0, np.cumsum(each))[np.searchsorted(start, at)]
         whole = out.tobytes()
         return [whole[x:y] for x, y in zip((4 * before[:-1]).tolist(), (4 * before[1:]).tolist())]
 
@@ -182,8 +230,8 @@ def encode_blocks(docs: DataFrame, tokenizer_path: str, end_id: int, doc_id: str
 
         schema = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("n_ids", pa.int64()), ("crc32", pa.int64()), ("planes", pa.list_(pa.binary())), ("doc_ids", pa.list_(pa.int64())), ("doc_starts", pa.list_(pa.int64())), ("doc_lengths", pa.list_(pa.int64()))])
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
                 new = []
                 for key, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1))):
                     new += [ids, end]
@@ -195,13 +243,15 @@ def encode_blocks(docs: DataFrame, tokenizer_path: str, end_id: int, doc_id: str
         yield from emit(True)
 
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return chosen.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id").mapInArrow(C.tidied(run), FILE_SCHEMA)
+    # rows of one doc_id stand in the order of their texts, whichever task writes them
+    chosen = chosen.withColumn("tie", F.xxhash64("text"))
+    return chosen.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text").mapInArrow(C.tidied(run), FILE_SCHEMA)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text", kind: str = "byte", block_ids: int = BLOCK_IDS) -> None:
     """Write all documents' ids under `path`. Null texts are empty and still get the end id; null doc_ids come first.
 
-    Rows that repeat a doc_id are documents of their own. An empty table writes no blocks. Other columns are not read.
+    Rows that repeat a doc_id are documents of their own, in the order of a hash of their texts. An empty table writes no blocks. Other columns are not read.
     """
     encode_blocks(docs, tokenizer_path, end_id, doc_id, text, kind, block_ids).write.option("compression", "none").parquet(path)
 
