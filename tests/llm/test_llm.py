@@ -63,19 +63,40 @@ def brute_components(rows, k, percent):
             root[max(find(a), find(b))] = min(find(a), find(b))
     low = {}
     for i in range(len(rows)):
-        low[find(i)] = min(low.get(find(i), 10**9), rows[i][0])
-    return sorted((rows[i][0], len(sets[i][1]), low[find(i)], links[i]) for i in range(len(rows)))
+        low[find(i)] = min(low.get(find(i), 10**9), 10**9 if rows[i][0] is None else rows[i][0])
+    none = lambda x: None if x == 10**9 else x
+    return sorted(((rows[i][0], len(sets[i][1]), none(low[find(i)]), links[i]) for i in range(len(rows))), key=str)
 
 
 @pytest.mark.parametrize("k,percent,most", [(3, 90, None), (5, 80, 60)])
 def test_jaccard_join(spark, monkeypatch, k, percent, most):
     from tidemark.llm import jaccard_join as J
 
-    if most:  # homes split into many chunks
-        monkeypatch.setattr(J, "HOME_SHINGLES", most)
-    rows = odd_rows()
+    if most:  # groups split into many chunks, and some shingles that are hot
+        monkeypatch.setattr(J, "GROUP_SHINGLES", most)
+        monkeypatch.setattr(J, "HOT", 3)
+    rows = odd_rows() + [(None, odd_rows()[3][1] + " x", "en", "s0"), (None, " ".join(WORDS[:30]), "en", "s0")]
+    got = J.ngram_jaccard_join(docs_of(spark, rows), k, percent).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in got), key=str) == brute_components(rows, k, percent)
+
+
+@pytest.mark.parametrize("k,percent,most", [(3, 90, 400), (5, 80, 1_000_000)])
+def test_jaccard_join_of_families(spark, monkeypatch, k, percent, most):
+    """Large families whose members differ in other places, so that few shingles stand in all of them, over shared passages."""
+    from tidemark.llm import jaccard_join as J
+
+    monkeypatch.setattr(J, "GROUP_SHINGLES", most)
+    r, rows = random.Random(4), []
+    passage = [f"p{i}" for i in range(30)]
+    for family in range(4):
+        base = [f"f{family}_{i}" for i in range(90)] + passage
+        for i in range(60):
+            w = list(base)
+            for _ in range(r.randint(0, 5)):
+                w[r.randrange(len(w))] = f"x{r.randrange(500)}"
+            rows.append((family * 1000 + i, " ".join(w), "en", "s"))
     got = J.ngram_jaccard_join(docs_of(spark, rows), k, percent).collect()
-    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in got) == brute_components(rows, k, percent)
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in got), key=str) == brute_components(rows, k, percent)
 
 
 def test_trie_equals_brute_force():
@@ -98,6 +119,11 @@ def test_deduplicate_and_empty(spark):
     ids = sorted(r["doc_id"] for r in kept.collect())
     want = sorted({r[0] for r in brute_components(rows, 5, 80) if r[0] == r[2]})
     assert ids == want and kept.columns == docs_of(spark, rows[:1]).columns
+    # another text under a doc_id stays, a repeated row and a row without doc_id count as copies
+    a, b, c = (" ".join(WORDS[i : i + 40]) for i in (0, 100, 200))
+    rows = [(1, a), (5, a), (5, b), (7, c), (7, c), (None, c), (8, None), (8, b + " z"), (None, None), (9, "")]
+    kept = deduplicate(docs_of(spark, [(*r, "en", "s") for r in rows])).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([(1, a), (5, b), (7, c), (8, None), (None, None), (9, "")], key=str)
     empty = spark.createDataFrame([], DOCS)
     assert ngram_jaccard_join(empty).count() == 0
 
