@@ -7,6 +7,7 @@ already kept is dropped. Three base phrases are found by consecutive word hashes
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import numpy as np
@@ -93,16 +94,22 @@ WHOLE_TEXTS = [
 ]
 
 
+def gap(pattern: str) -> str:
+    """A space stands for any gap, an optional one for any gap or none."""
+    for space in ("[- ]", "[ .-]"):
+        pattern = pattern.replace(space, " ")
+    return pattern.replace(" ?", r"\W*").replace(" ", r"\W+")
+
+
 def signature_rules() -> list[tuple]:
     """(label, keywords, pattern, priority, weight), some hundreds, in order of priority."""
-    gap = lambda p: p.replace(" ", r"\W+")
     rules = []
     for label, (spdx, names) in FAMILIES.items():
         for x in spdx:
             rules.append((label, ("spdx",), rf"spdx-license-identifier:\s*{x}(?![\w.-])", 0, 0.99))
         for name in names:
             for carrier, priority, weight in CARRIERS:
-                rules.append((label, ("under",) if priority == 1 else ("license", "licence"), rf"(?<!\w){gap(carrier.replace('{name}', name)).replace(r'(?:\W+', r'(?:\W+')}(?!\w)", priority, weight))
+                rules.append((label, ("under",) if priority == 1 else ("license", "licence"), rf"(?<!\w){gap(carrier.replace('{name}', name))}(?!\w)", priority, weight))
     for label, keyword, pattern, priority, weight in WHOLE_TEXTS:
         rules.append((label, (keyword,), gap(pattern), priority, weight))
     return sorted(rules, key=lambda r: r[3])
@@ -116,9 +123,9 @@ class Scanner:
     def __init__(self):
         self.rules = [(label, frozenset(keys), re.compile(p, re.S), priority, weight) for label, keys, p, priority, weight in signature_rules()]
         self.keywords = sorted({k for r in self.rules for k in r[1]})
-        self.head = re.compile(HEAD.replace(" ", r"\W+"))
+        self.head = re.compile(gap(HEAD))
         # a family's names: at least one must stand in the text before its carriers run
-        self.names = {label: re.compile("|".join(n.replace(" ", r"\W+") for n in names)) for label, (_, names) in FAMILIES.items()}
+        self.names = {label: re.compile("|".join(map(gap, names))) for label, (_, names) in FAMILIES.items()}
         self.phrases = [(label, word_hashes(phrase.split())) for label, phrase in sorted(BASE.items())]
 
     def have(self, text: bytes) -> set[str]:
@@ -139,10 +146,16 @@ class Scanner:
                     if not named[label]:
                         continue
             found += [(priority, m.start() - m.end(), m.start(), m.end(), label, weight) for m in pattern.finditer(text)]
-        kept = []
+        # kept intervals that none later kept spares a look at: both ends ascend
+        kept, starts, ends = [], [], []
         for _, _, a, b, label, weight in sorted(found):
-            if not any(x <= a and b <= y for _, x, y, _ in kept):
-                kept.append((label, a, b, weight))
+            i = bisect.bisect_right(starts, a)
+            if i and ends[i - 1] >= b:
+                continue
+            kept.append((label, a, b, weight))
+            j = bisect.bisect_right(ends, b, lo=bisect.bisect_left(starts, a))
+            i = bisect.bisect_left(starts, a)
+            starts[i:j], ends[i:j] = [a], [b]
         return kept
 
     def scan(self, column) -> dict[str, list]:
