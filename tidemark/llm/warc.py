@@ -21,7 +21,7 @@ CRLF = "\r\n"
 #: The date of records whose source has none.
 DATE = "1970-01-01T00:00:00Z"
 
-_OPEN = re.compile(r"<!--|<!\[CDATA\[|<(script|style|noscript|template|svg|head)(?=[\s/>])[^>]*>", re.I)
+_OPEN = re.compile(r"<!--|<!\[CDATA\[|<(script|style|noscript|template|svg|head)(?=[\s/>])", re.I)
 _COMMENT_END = re.compile(r"-?>|.*?(?:--!?>|\Z)", re.S)
 #: A slash after a space, a quoted value or the name; one that ends an unquoted value is part of it.
 _EMPTY = re.compile(r"<\w+(?:\s[^>]*[\s\"'])?/>")
@@ -31,7 +31,7 @@ _HEAD = re.compile(r"(?:\s+|<!--(?:-?>|.*?(?:--!?>|\Z))|</?(?:meta|link|base|bas
 _BLOCK = re.compile(r"</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|tr|table|thead|tbody|h[1-6]|section|article|header|footer|nav|aside|main|figure|figcaption|form|fieldset|blockquote|pre|address|option|select|title|body|html)\b[^>]*>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z!?][^>]*>")
 _GAPS = re.compile(r"[ \t\r\f\v ]+")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
+_TITLE, _TITLE_END = re.compile(r"<title\b[^>]*>", re.I), re.compile(r"</title\s*>", re.I)
 _LANG = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([\w-]+)", re.I)
 
 
@@ -46,9 +46,15 @@ def record_id(*parts) -> str:
 
 def without_hidden(page: str) -> str:
     """The page without comments, scripts, styles, heads and the like. Only comments, scripts and styles run to the page's end if nothing ends them."""
-    out, at, open_ended = [], 0, set()
+    out, at, open_ended, last = [], 0, set(), page.rfind(">")
     while m := _OPEN.search(page, at):
         kind, past = (m[1] or "").lower(), m.end()
+        if kind and past > last:
+            # no tag ends from here on
+            out.append(page[at:past])
+            at = past
+            continue
+        tag = page[m.start() : (past := page.find(">", past) + 1)] if kind else ""
         if m[0] == "<!--":
             past = _COMMENT_END.match(page, past).end()
         elif not kind:
@@ -61,7 +67,7 @@ def without_hidden(page: str) -> str:
             if kind not in open_ended:
                 past = _HEAD.match(page, past).end()
             open_ended.add(kind)
-        elif not _EMPTY.fullmatch(m[0]) and kind not in open_ended:
+        elif not _EMPTY.fullmatch(tag) and kind not in open_ended:
             if end := _END[kind].search(page, past):
                 past = end.end()
             elif kind in ("script", "style"):
@@ -74,8 +80,10 @@ def without_hidden(page: str) -> str:
 
 
 def plain_text(page: str) -> str:
-    s = without_hidden(page)
-    s = html.unescape(_TAG.sub("", _BLOCK.sub("\n", s.replace("\n", " "))))
+    s = without_hidden(page).replace("\n", " ")
+    # past the last > there is no tag
+    k = s.rfind(">") + 1
+    s = html.unescape(_TAG.sub("", _BLOCK.sub("\n", s[:k])) + s[k:])
     lines = (_GAPS.sub(" ", x).strip() for x in s.split("\n"))
     return "\n".join(x for x in lines if x)
 
@@ -116,8 +124,11 @@ def derive(record: bytes) -> dict:
     payload_digest = digest(payload)
     common = {"WARC-Target-URI": target, "WARC-Date": date, "WARC-Refers-To": source, "WARC-Refers-To-Target-URI": target, "WARC-Refers-To-Date": date}
     text = plain_text(page)
-    title, lang = _TITLE.search(page), _LANG.search(page)
-    facts = [("http-status", status), *((f"http-{k}", v) for k, v in http_fields), ("source-payload-digest", payload_digest), ("title", _GAPS.sub(" ", html.unescape(title[1])).replace("\n", " ").strip() if title else ""), ("html-lang", lang[1] if lang else ""), ("text-length", str(len(text)))]
+    last = page.rfind(">") + 1
+    opened, lang = _TITLE.search(page, 0, last), _LANG.search(page, 0, last)
+    closed = _TITLE_END.search(page, opened.end()) if opened else None
+    title = page[opened.end() : closed.start()] if closed else ""
+    facts = [("http-status", status), *((f"http-{k}", v) for k, v in http_fields), ("source-payload-digest", payload_digest), ("title", _GAPS.sub(" ", html.unescape(title)).replace("\n", " ").strip()), ("html-lang", lang[1] if lang else ""), ("text-length", str(len(text)))]
     meta_block = "".join(f"{k}: {v}{CRLF}" for k, v in facts if v).encode()
     meta_id, text_id = record_id("metadata", source), record_id("conversion", source)
     meta = build("metadata", {"WARC-Record-ID": meta_id, **common, "Content-Type": "application/warc-fields"}, meta_block)
