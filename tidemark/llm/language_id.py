@@ -61,10 +61,10 @@ def emissions(data, s, e, weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def marginals(emit: np.ndarray, start: np.ndarray, trans: np.ndarray, first: np.ndarray) -> np.ndarray:
+def marginals(emit: np.ndarray, start: np.ndarray, trans: np.ndarray, first: np.ndarray, pairs: bool = False):
     """Posterior of each label at each word. All texts form one chain that starts anew where `start` holds.
 
-    Segments are handled side by side: their transfer matrices carry messages from segment to segment, then
+    With `pairs` also the expected number of each transition: sums of the posteriors of neighbouring labels. Segments are handled side by side: their transfer matrices carry messages from segment to segment, then
     forward and backward passes run inside all segments at once. The result is that of one long pass.
     """
     n, k = emit.shape
@@ -97,14 +97,19 @@ def marginals(emit: np.ndarray, start: np.ndarray, trans: np.ndarray, first: np.
         a *= emit[t]
         a /= a.sum(1, keepdims=True)
         alpha[t] = a
-    b = back
+    b, moves = back, np.zeros((k, k))
     for t in range(SEGMENT - 1, -1, -1):
+        if pairs:
+            go = ~start[t]
+            both = (alpha[t - 1] if t else forth)[go][:, :, None] * trans * (emit[t][go] * b[go])[:, None, :]
+            moves += (both / both.sum((1, 2), keepdims=True)).sum(0)
         alpha[t] *= b
         b = (emit[t] * b) @ trans.T
         b[start[t]] = 1
         b /= b.sum(1, keepdims=True)
     alpha /= alpha.sum(2, keepdims=True)
-    return alpha.transpose(1, 0, 2).reshape(-1, k)[:n]
+    post = alpha.transpose(1, 0, 2).reshape(-1, k)[:n]
+    return (post, moves) if pairs else post
 
 
 class WordCRF:
@@ -150,13 +155,10 @@ class WordCRF:
         for _ in range(rounds):
             emit = np.stack([np.bincount(word, w[feature, j], len(take)) for j in range(k)], 1)
             trans, begin = np.exp(self.trans - self.trans.max()), np.exp(self.first - self.first.max())
-            post = marginals(emit, start, trans, begin / begin.sum())
+            post, moves = marginals(emit, start, trans, begin / begin.sum(), pairs=True)
             diff = gold - post
             grad = np.stack([np.bincount(feature, diff[word, j], len(u)) for j in range(k)], 1) - 0.05 * w
-            # expected transitions from the neighbours' marginals, given the chain between them
-            pair = post[go - 1][:, :, None] * trans * np.exp(emit[go] - emit[go].max(1, keepdims=True))[:, None, :]
-            pair /= pair.sum((1, 2), keepdims=True)
-            grad_t = gold_t - pair.sum(0) - 0.05 * self.trans
+            grad_t = gold_t - moves - 0.05 * self.trans
             grad_f = diff[start].sum(0) - 0.05 * self.first
             g_w += grad**2
             g_t += grad_t**2
@@ -207,7 +209,7 @@ def fit_language(docs: DataFrame, keep=None, sample_rows: int = SAMPLE_ROWS) ->
     rows = docs.filter(F.col("lang").isNotNull() & (F.length("text") <= SAMPLE_CHARS) & (F.length("text") > 0))
     if keep is not None:
         rows = rows.filter(keep)
-    chosen = C.bounded_sample(rows.select("doc_id", "lang", "text"), "doc_id", sample_rows).toPandas().sort_values(["doc_id", "lang", "text"])
+    chosen = C.bounded_sample(rows.select("doc_id", "lang", "text"), "doc_id", sample_rows, by="lang").toPandas().sort_values(["doc_id", "lang", "text"])
     return WordCRF().fit(chosen["text"].tolist(), chosen["lang"].tolist())
 
 
