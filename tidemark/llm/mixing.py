@@ -5,7 +5,8 @@ one part of a pass: blocks in a permuted order, the last one in part. These bloc
 output shards splits them: each node draws its left half's quotas from the multivariate hypergeometric distribution,
 so every shard gets disjoint runs of each source's permuted blocks, and shards differ by one draw at most within a
 group of sources. Rows are shuffled inside their shard. All steps but the tree are SQL expressions; the tree works
-on groups of at most GROUP sources.
+on groups of sources of bounded size. How many shards there are follows from the words of the mix; which shard a draw
+goes to changes no sum, as every quota is exact.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ from pyspark.sql.window import Window as W
 
 from . import common as C
 
-BLOCKS, GROUP, SHARDS, SEED = 1024, 4096, 16, 11
+BLOCKS, SEED = 1024, 11
+#: Shards at least and at most, words of the mix that one aims at, and cells (sources x shards) of one tree.
+FEW, MANY, SHARD_WORDS, CELLS = 16, 4096, 20_000_000, 1 << 22
 WORD = r"[^\\x20\\x09-\\x0D]+"
 
 
@@ -70,7 +73,13 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def mix_plan(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, most: float = 2.0, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def shards_of(sources: DataFrame) -> int:
+    """A power of two that follows the words of the mix."""
+    words = sources.agg(F.sum("target")).first()[0] or 0
+    return min(MANY, max(FEW, 1 << max(0, int(words) // SHARD_WORDS).bit_length()))
+
+
+def mix_plan(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, most: float = 2.0, shards: int | None = None, seed: int = SEED) -> DataFrame:
     """One row per (source, block): source_size, target, and what each document of the block gives.
 
     passes: whole draws; part: the share of the last draw, 0 if there is none; draws: the shard of each draw.
@@ -92,7 +101,8 @@ def mix_plan(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, mo
     blocks = C.materialize(blocks, "blocks")
 
     quotas = blocks.groupBy("source").agg(F.sum(F.col("passes") + (F.col("part") > 0).cast("int")).alias("quota"))
-    groups = max(1, -(-sources.count() // GROUP))
+    shards = shards or shards_of(sources)
+    groups = max(1, -(-sources.count() * shards // CELLS))
 
     def tree(key, pdf):
         pdf = pdf.sort_values("source", na_position="last", ignore_index=True)
@@ -111,15 +121,17 @@ def mix_plan(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, mo
 
 
 def mix_sources(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, size, source_size, target, taken, n_draws, draws, part: one row per input row.
+    """doc_id, size, source_size, target, taken, n_draws, draws, words: one row per input row.
 
-    size counts runs of bytes other than ASCII white space (null: 0). taken is size times the whole draws plus a
-    part of the block that ends the source's target, rounded by a hash of doc_id so that sums stay near.
+    size counts runs of bytes other than ASCII white space (null: 0). draws has the shard of each draw of the
+    document's block and words what the shard takes from the document: its size, or in the draw that ends the source's
+    target a part of it, rounded by a hash of doc_id so that sums stay near. taken is their sum.
     Sources of no words have target 0. Rows that repeat a doc_id are drawn alike. An empty table gives an empty result.
     """
     plan = C.materialize(mix_plan(docs, **how), "plan")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.expr(f"coalesce(regexp_count(text, '{WORD}'), 0)").cast("long").alias("size"))
-    return _with_plan(rows, plan).selectExpr("doc_id", "size", "source_size", "target", f"{_taken('size')} as taken", "size(draws) as n_draws", "draws", "part")
+    drawn = _with_plan(rows, plan).withColumn("words", F.expr(_words("size")))
+    return drawn.selectExpr("doc_id", "size", "source_size", "target", "aggregate(words, 0L, (a, w) -> a + w) as taken", "size(draws) as n_draws", "draws", "words")
 
 
 def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
@@ -134,15 +146,17 @@ def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(p) if small else p, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_block") == F.col("block"))).drop("_s", "_n", "_fine", "_block", "_source", "block")
 
 
-def _taken(size: str) -> str:
+def _words(size: str) -> str:
+    """What each draw takes from a document; the last draw may be in part."""
     u = f"({_hash("concat_ws('#', 'part', cast(doc_id as string))")} / 1152921504606846976D)"
-    return f"cast(greatest(0, size(draws) - int(part > 0)) * {size} + case when part > 0 then floor(part * {size} + {u}) else 0 end as bigint)"
+    return f"transform(draws, (s, i) -> case when part > 0 and i = size(draws) - 1 then cast(floor(part * {size} + {u}) as bigint) else {size} end)"
 
 
 def mix_documents(docs: DataFrame, seed: int = SEED, **how) -> DataFrame:
     """Rows of `docs`, each as often as it is drawn, in shards, shuffled inside each.
 
-    A document of a partial block is drawn whole with that part as its chance, by a hash of its doc_id.
+    A document of a partial block is drawn whole with that part as its chance, by a hash of its doc_id. Documents of
+    sources without words are not drawn. Nulls and repeats as in mix_sources.
     """
     plan = C.materialize(mix_plan(docs, seed=seed, **how), "plan")
     name = {c: f"c{i}" for i, c in enumerate(docs.columns)}
@@ -150,7 +164,11 @@ def mix_documents(docs: DataFrame, seed: int = SEED, **how) -> DataFrame:
     u = f"({_hash("concat_ws('#', 'part', cast(doc_id as string))")} / 1152921504606846976D)"
     drawn = _with_plan(rows, plan).withColumn("_draws", F.expr(f"case when part > 0 and {u} >= part then slice(draws, 1, size(draws) - 1) else draws end"))
     rows = drawn.select(*name.values(), "doc_id", F.posexplode("_draws").alias("_draw", "_shard"))
-    rows = rows.repartition("_shard", F.pmod(F.xxhash64("doc_id"), F.lit(8))).sortWithinPartitions("_shard", F.xxhash64(F.lit(seed), "doc_id", "_draw"))
+    # a shard is dealt to as many tasks as its words ask for
+    sums = plan.groupBy("source").agg(F.max("target").alias("target"))
+    shards, words = how.get("shards") or shards_of(sums), sums.agg(F.sum("target")).first()[0] or 0
+    deals = max(1, 128 // shards, -(-int(words) // (shards * SHARD_WORDS)))
+    rows = rows.repartition("_shard", F.pmod(F.xxhash64("doc_id"), F.lit(deals))).sortWithinPartitions("_shard", F.xxhash64(F.lit(seed), "doc_id", "_draw"))
     return rows.select(*name.values()).toDF(*docs.columns)
 
 
