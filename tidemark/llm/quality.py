@@ -75,7 +75,7 @@ def posteriors(scored: DataFrame, host: list[str], path: list[str]) -> DataFrame
 
 
 def judge(scored: DataFrame, table: DataFrame, host: list[str], path: list[str], prior: float) -> DataFrame:
-    """`scored` with quality: the probability that a document is good, given its text, path and host."""
+    """`scored`, a written table, with quality: the probability that a document is good, given its text, path and host."""
     keys = [*host, *path]
     t = table.select(*[F.col(c).alias(f"_{c}") for c in keys], F.col("n").alias("_n"), F.col("k").alias("_k"), F.col("host_share").alias("_host"), F.col("strength").alias("_strength"))
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
@@ -83,7 +83,7 @@ def judge(scored: DataFrame, table: DataFrame, host: list[str], path: list[str],
         joined = scored.join(F.broadcast(t), same)
     else:
         t = t.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = scored.withColumn("_mine", F.pmod(F.xxhash64("_odds"), F.lit(SALTS)).cast("int")).join(t, [*same, F.col("_mine") == F.col("_salt")]).drop("_mine", "_salt")
+        joined = scored.withColumn("_mine", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(t, [*same, F.col("_mine") == F.col("_salt")]).drop("_mine", "_salt")
     own = "1 / (1 + exp(-_odds))"
     q = F.expr(f"(greatest(_k - {own}, 0) + _strength * _host) / (_n - 1 + _strength)")
     q = F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), q))
@@ -106,14 +106,17 @@ def classify_quality(docs: DataFrame, labels: DataFrame, host: list[str] | None
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, host: list[str] | None = None, path: list[str] | None = None) -> DataFrame:
-    """The rows of `docs` judged good, with all columns, whatever they are called."""
+    """The rows of `docs` judged good, with all columns, whatever they are called. Nulls and repeats as in classify_quality.
+
+    Texts are judged once: they are written with their evidence, which is shuffled and read without them.
+    """
     model = fit_documents(docs, labels)
     name = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     rows = docs.toDF(*name.values())
     host, path, text = [name[c] for c in host or ["source"]], [name[c] for c in path or ["lang"]], name["text"]
-    keys = C.materialize(with_evidence(rows.select(text, *host, *path), model, text).drop(text), "evidence")
-    table = posteriors(keys, host, path)
-    good = judge(with_evidence(rows, model, text), table, host, path, model.prior).filter("quality >= 0.5")
+    scored = C.materialize(with_evidence(rows, model, text), "evidence")
+    table = posteriors(scored.select(*host, *path, "_odds"), host, path)
+    good = judge(scored, table, host, path, model.prior).filter("quality >= 0.5")
     return good.select(*name.values()).toDF(*docs.columns)
 
 
