@@ -255,23 +255,30 @@ class Benchmark:
 
 
 def benchmark_blocks(benchmark: DataFrame, item_id: str, text: str, window: int, cover: float):
-    """Blocks of items in turn; one lies in the driver's memory at a time."""
+    """How many blocks there are, and the blocks in turn; one lies in the driver's memory at a time. Texts of one item lie in one block."""
     chosen = benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(text).cast("string").alias("text")).filter("item is not null and text is not null")
     n = max(1, -(-(chosen.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS))
-    for i in range(n):
-        rows = chosen.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i).collect()
-        yield Benchmark([r["item"] for r in rows], [r["text"] for r in rows], window, cover)
+
+    def block(i):
+        rows = chosen.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == i).collect()
+        return Benchmark([r["item"] for r in rows], [r["text"] for r in rows], window, cover)
+
+    return n, map(block, range(n))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: float = COVER, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, contaminated (0/1), n_items, item_id (best covered, smaller on ties; null if none), coverage: one row per input row.
 
     Null and empty texts are clean. Items without three words match nothing. Repeated rows get equal results;
-    an empty benchmark leaves all clean; other columns are not read.
+    an empty benchmark leaves all clean; other columns are not read. Where the benchmark has several blocks, rows are
+    numbered and written once, each block is a pass over them, and only hits are grouped by row.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    n, blocks = benchmark_blocks(benchmark, item_id, item_text, window, cover)
+    if n > 1:
+        rows = C.materialize(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
     results = []
-    for block in benchmark_blocks(benchmark, item_id, item_text, window, cover):
+    for block in blocks:
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
@@ -284,20 +291,28 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
                     "item_id": pa.array([b and b[1] for b in best], pa.int64()), "coverage": pa.array([-b[0] if b else 0.0 for b in best], pa.float64()),
                 })
 
-        results.append(rows.mapInArrow(C.tidied(run), "doc_id long, n_items long, item_id long, coverage double"))
+        one = rows.select("row" if n > 1 else "doc_id", "text").mapInArrow(C.tidied(run), "doc_id long, n_items long, item_id long, coverage double")
+        if n > 1:
+            one = C.materialize(one.filter("n_items > 0").withColumnRenamed("doc_id", "row"), "hits")
+            shared.unpersist()
+        results.append(one)
     out = results[0]
-    if len(results) > 1:
+    if n > 1:
         for r in results[1:]:
             out = out.unionByName(r)
         rank = F.struct(F.col("coverage"), -F.col("item_id"))
-        out = out.groupBy("doc_id").agg(F.sum("n_items").alias("n_items"), F.max_by("item_id", rank).alias("item_id"), F.max("coverage").alias("coverage"))
+        out = out.groupBy("row").agg(F.sum("n_items").alias("n_items"), F.max_by("item_id", rank).alias("item_id"), F.max("coverage").alias("coverage"))
+        out = rows.select("row", "doc_id").join(out, "row", "left").selectExpr("doc_id", "coalesce(n_items, 0) as n_items", "item_id", "coalesce(coverage, 0D) as coverage")
     return out.selectExpr("doc_id", "cast(n_items > 0 as int) as contaminated", "n_items", "item_id", "coverage")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: float = COVER, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of `docs` that no benchmark item contaminates, with all columns, in one pass per block of the benchmark."""
     at_column = docs.columns.index(text)
-    for block in benchmark_blocks(benchmark, item_id, item_text, window, cover):
+    n, blocks = benchmark_blocks(benchmark, item_id, item_text, window, cover)
+    for i, block in enumerate(blocks):
+        if i:  # one block at a time in the tasks' memory
+            docs = C.materialize(docs, "clean")
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
