@@ -234,6 +234,25 @@ def test_mixing(spark):
     assert M.mix_sources(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_mixing_takes_what_the_shards_draw(spark):
+    from tidemark.llm import mixing as M
+
+    out = M.mix_sources(docs_of(spark, odd_rows()), shards=8).collect()
+    per_shard = {}
+    for r in out:
+        assert r["taken"] == sum(r["words"]) and len(r["draws"]) == len(r["words"]) == r["n_draws"]
+        for s, w in zip(r["draws"], r["words"]):
+            per_shard[s] = per_shard.get(s, 0) + w
+    assert set(per_shard) <= set(range(8)) and sum(per_shard.values()) == sum(r["taken"] for r in out)
+    # blocks of a draw lie in the shards that the tree gives their source: as many draws in each as its quotas say
+    plan = M.mix_plan(docs_of(spark, odd_rows()), shards=8).collect()
+    draws = np.zeros(8, int)
+    for r in plan:
+        for s in r["draws"]:
+            draws[s] += 1
+    assert draws.sum() == sum(r["passes"] + (r["part"] > 0) for r in plan) and draws.max() - draws.min() <= 1
+
+
 def test_split_quotas():
     from tidemark.llm.mixing import split_quotas
 
@@ -245,6 +264,40 @@ def test_split_quotas():
     assert (split_quotas(np.zeros(2, int), 3, 0) == 0).all()
 
 
+def test_bounded_sample(spark):
+    from tidemark.llm import common as C
+
+    for n in (10**10, 10**13, 10**15):
+        assert 2 * 5000 <= C._below(5000, n) * n / C._HASHES <= 2 * 5000 + 300
+    rows = spark.createDataFrame([(i, "rare" if i < 7 else "often" if i < 900 else None) for i in range(2000)], "doc_id long, lang string")
+    assert C.bounded_sample(rows, "doc_id", 300).count() == 300 and C.bounded_sample(rows, "doc_id", 5000).count() == 2000
+    some = {r["lang"]: r["count"] for r in C.bounded_sample(rows, "doc_id", 300, by="lang").groupBy("lang").count().collect()}
+    assert some["rare"] == 7 and sum(some.values()) == 300 and abs(some["often"] - some[None]) <= 1
+    assert C.bounded_sample(rows.limit(0), "doc_id", 3, by="lang").count() == 0
+
+
+def test_transitions_equal_enumeration():
+    from tidemark.llm.language_id import marginals
+
+    rng = np.random.default_rng(1)
+    emit, trans, first = rng.normal(size=(9, 3)), rng.random((3, 3)) + 0.1, rng.random(3) + 0.1
+    start = np.zeros(9, bool)
+    start[[0, 5]] = True
+    post, moves = marginals(emit, start, trans, first, pairs=True)
+    want_p, want_m = np.zeros((9, 3)), np.zeros((3, 3))
+    for lo, hi in ((0, 5), (5, 9)):
+        total, p, m = 0.0, np.zeros((9, 3)), np.zeros((3, 3))
+        for path in itertools.product(range(3), repeat=hi - lo):
+            w = first[path[0]] * np.exp(sum(emit[lo + i, y] for i, y in enumerate(path))) * math.prod(trans[a, b] for a, b in zip(path, path[1:]))
+            total += w
+            for i, y in enumerate(path):
+                p[lo + i, y] += w
+            for a, b in zip(path, path[1:]):
+                m[a, b] += w
+        want_p, want_m = want_p + p / total, want_m + m / total
+    assert np.allclose(post, want_p) and np.allclose(moves, want_m)
+
+
 def test_quality(spark):
     from tidemark.llm import quality as Q
 
@@ -324,6 +377,18 @@ def test_warc_left_out_ends_and_repeated_headers():
     assert re.findall(r"http-(?:set-cookie|link): (.*)\r", block.decode()) == ["a=1", "<x>", "b=2"]
 
 
+def test_warc_open_tags_take_linear_time():
+    import time
+
+    from tidemark.llm import warc as R
+
+    began = time.time()
+    for page in ("<a " * 200_000, "<script " * 100_000, "<title>" * 100_000, "<p " * 200_000 + "> x", "<svg>" * 50_000):
+        R.derive(R.response("u", page))
+    assert time.time() - began < 20
+    assert R.plain_text("a <b>c</b> < d <e") == "a c < d <e"
+
+
 def test_token_planes(spark, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -401,6 +466,20 @@ def test_decontamination(spark):
     assert D.find_contamination(docs, bench.filter("item_id > 99")).filter("contaminated = 1").count() == 0
 
 
+def test_decontamination_by_row_in_many_blocks(spark, monkeypatch):
+    from tidemark.llm import decontaminate as D
+
+    docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    docs = docs.unionByName(docs.limit(30)).unionByName(docs.limit(20).withColumn("doc_id", F.lit(None).cast("long")))
+    bench = bench.unionByName(bench.limit(5))
+    key = lambda q: sorted(map(str, q.collect()))
+    one, kept = key(D.find_contamination(docs, bench)), key(D.drop_contaminated(docs, bench))
+    monkeypatch.setattr(D, "BLOCK_CHARS", 3_000)
+    assert D.benchmark_blocks(bench, "item_id", "text", 8, 0.6)[0] > 2
+    assert key(D.find_contamination(docs, bench)) == one and key(D.drop_contaminated(docs, bench)) == kept
+    assert len(one) == docs.count()
+
+
 def test_decontamination_of_shifted_passages(spark):
     """Slots of other lengths, names that begin a sentence, and inserted or dropped words."""
     from tidemark.llm import decontaminate as D
@@ -440,6 +519,25 @@ def test_license_scan(spark):
     assert len(S.signature_rules()) >= 300
 
 
+def test_license_containment_and_gaps():
+    from tidemark.llm.license_scan import Scanner
+
+    scanner = Scanner()
+    label = lambda t: {x[0] for x in scanner.detect(t.lower(), None)}
+    for text, want in [("License: MIT", "mit"), ("license=MIT", "mit"), ("Copyright 2020 Foo", "copyright"), ("Copyright(c)2020", "copyright"), ("This code is released under GPL v3.", "gpl-3"), ("released under GPLv3", "gpl-3"), ("Distributed under Apache 2.0", "apache-2"), ("see MIT-license", "mit"), ("Creative Commons Attribution-ShareAlike 4.0 license", "cc-by-sa")]:
+        assert want in label(text), (text, label(text))
+    r = random.Random(3)
+    parts = ["all rights reserved.", "licensed under the mit license.", "copyright 2020", "released under gpl v3 license", "bsd 3-clause license", "x", "this software is provided 'as-is', without any express or implied warranty"]
+    for _ in range(100):
+        text = " ".join(r.choices(parts, k=12))
+        found = sorted((p, m.start() - m.end(), m.start(), m.end(), lab, w) for lab, _, pat, p, w in scanner.rules for m in pat.finditer(text))
+        kept = []
+        for _, _, a, b, lab, w in found:
+            if not any(x <= a and b <= y for _, x, y, _ in kept):
+                kept.append((lab, a, b, w))
+        assert scanner.detect(text, None) == kept
+
+
 def test_license_gate_changes_nothing(spark):
     """Rules behind keywords find what all rules find, on lines without a word of licensing too."""
     from tidemark.llm import license_scan as S

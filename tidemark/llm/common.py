@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 #: Bytes of text that one vectorized pass takes; a longer document goes alone.
 PIECE = 1_000_000
@@ -21,9 +22,11 @@ _OWN: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is named."""
+    """The shared folder that the cluster names; a folder of our own only in local mode where none is named."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="tidemark-"))
         where = _OWN[0]
@@ -79,12 +82,36 @@ def held_out(n: int, rest: int, key: str = "doc_id"):
     return (F.crc32(F.col(key).cast("string")) % n) == rest
 
 
-def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
-    """At most about `most` rows, those with the smallest hash of their key; the share follows from a count of all rows."""
-    n = df.count()
-    if n <= most:
+_HASHES = 1 << 62
+
+
+def _below(most: int, n: int) -> int:
+    """A bound of 62-bit hashes that a little more than `most` of n keys lie below."""
+    return _HASHES if n <= most else min(_HASHES, _HASHES * (2 * most + 200) // n)
+
+
+def bounded_sample(df: DataFrame, key: str, most: int, by: str | None = None) -> DataFrame:
+    """The `most` rows with the smallest hashes of their keys, all if there are fewer.
+
+    With `by`, of which there must be few values, each value has an equal part of them; what rare ones leave goes to
+    the others. A bound on the hash follows from a count of all rows, so that few more are sorted.
+    """
+    h = F.xxhash64(F.col(key), F.lit(7)).bitwiseAND(F.lit(_HASHES - 1))
+    if by is None:
+        n = df.count()
+        return df if n <= most else df.filter(h < _below(most, n)).orderBy(h, key).limit(most)
+    counts = {r[by]: r["count"] for r in df.groupBy(by).count().collect()}
+    if sum(counts.values()) <= most:
         return df
-    return df.filter(F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * most / n))
+    quota, left, kinds = {}, most, len(counts)
+    for value, n in sorted(counts.items(), key=lambda x: (x[1], str(x[0]))):
+        quota[value] = min(n, max(1, left // kinds))
+        left, kinds = left - quota[value], kinds - 1
+    spark = df.sparkSession
+    table = spark.createDataFrame([(v, q, _below(q, counts[v])) for v, q in quota.items()], f"_by {df.schema[by].dataType.simpleString()}, _quota long, _below long")
+    near = df.join(F.broadcast(table), F.col(by).eqNullSafe(F.col("_by"))).filter(h < F.col("_below"))
+    place = F.row_number().over(W.partitionBy("_by").orderBy(h, key))
+    return near.withColumn("_place", place).filter("_place <= _quota").select(*df.columns)
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

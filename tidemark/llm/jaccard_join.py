@@ -29,7 +29,7 @@ from . import common as C
 #: Counters of the frequency sketch (a fixed 8 MB on the driver and in each Python worker).
 SKETCH_BITS, SKETCH_CHUNK = 20, 1 << 12
 #: A shingle whose counter is above this many, and twice the mean counter, is taken as shared without looking for another set.
-HOT = 50_000
+HOT = 1_000
 #: Prefixes are longer by this percentage of a set, and as many more shingles must be shared.
 EXTRA = 5
 #: Shingles that one chunk of a group may hold.
