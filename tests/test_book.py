@@ -11,10 +11,10 @@ from tidemark.streaming.jobs import LiveBook
 SCHEMA = "symbol long, seq long, t long, action int, priority long, prev_priority long, order_type int, side int, price double, qty double"
 
 
-def stream(seed, n=150):
+def stream(seed, n=150, clears=2):
     r, rows = random.Random(seed), []
     for i in range(n):
-        action = r.choices([1, 2, 3, 4, 5, 6, 9], [40, 20, 2, 15, 10, 15, 1])[0]
+        action = r.choices([1, 2, 3, 4, 5, 6, 9], [40, 20, clears, 15, 10, 15, 1])[0]
         if rows and rows[-1][3] == 5 and r.random() < 0.7:
             action = 5
         maybe = lambda x, p=0.08: None if r.random() < p else x
@@ -32,9 +32,11 @@ def replay(rows, policy):
     return out
 
 
-@pytest.mark.parametrize("policy", ["display", "strict"])
-def test_lifetimes_and_states_equal_replay(spark, policy):
-    streams = {s: stream(s) for s in range(6)}
+@pytest.mark.parametrize("policy,run,clears", [("display", 65_536, 2), ("strict", 65_536, 2), ("display", 16, 13)])
+def test_lifetimes_and_states_equal_replay(spark, monkeypatch, policy, run, clears):
+    """With clears of 10 % of the rows, and runs of few updates, as well."""
+    monkeypatch.setattr(book, "RUN", run)
+    streams = {s: stream(s, clears=clears) for s in range(6)}
     df = spark.createDataFrame([r for s in streams.values() for r in s], SCHEMA)
     lives = book.order_lifetimes(df, ["symbol"], policy).collect()
     states = {(r["symbol"], r["seq"]): r for r in book_events.event_states(df, ["symbol"], policy, chunk=300).collect()}
@@ -78,6 +80,28 @@ def test_event_clock_equals_loop(spark):
     assert got == want
 
 
+def test_asof_both_ways_equal_loop(spark):
+    from tidemark.operators import align
+
+    rng = random.Random(2)
+    left = [(1, rng.randint(0, 60), i) for i in range(80)]
+    right = [(1, rng.randint(0, 60), i) for i in range(80)]
+    a, b = spark.createDataFrame(left, "k int, t int, i int"), spark.createDataFrame(right, "k int, t int, v int")
+    for strict in (False, True):
+        got = {r["i"]: r["v"] for r in align.asof_forward(a, b, ["k"], "t", ["v"], strict, tie="v").collect()}
+        assert got == {i: min(((u, v) for _, u, v in right if u > t or (u == t and not strict)), default=(0, None))[1] for _, t, i in left}
+        got = {r["i"]: r["v"] for r in align.asof_backward(a, b, ["k"], "t", ["v"], strict, tie="v").collect()}
+        assert got == {i: max(((u, v) for _, u, v in right if u < t or (u == t and not strict)), default=(0, None))[1] for _, t, i in left}
+
+
+def test_live_book_merges_or_resets():
+    for how, want in (("reset", {7: (2, 11.0, 1.0)}), ("merge", {5: (1, 10.0, 3.0), 7: (2, 11.0, 1.0)})):
+        live = LiveBook(on_retransmit=how)
+        live.apply(1, 5, None, 1, 10.0, 3.0)
+        live.apply(5, 7, None, 2, 11.0, 1.0)
+        assert live.orders == want
+
+
 def test_decrements(spark):
     rows = [(1, 1, 1, 1, 5, None, 2, 1, 10.0, 8.0), (1, 2, 2, 4, 5, None, 2, 1, 10.0, 3.0), (1, 3, 3, 1, 6, None, 2, 2, 11.0, 4.0), (1, 4, 4, 6, 7, 6, 2, 2, 12.0, 4.0), (1, 5, 5, 4, 5, None, 2, 1, None, 3.0), (1, 6, 6, 3, None, None, 2, None, None, None)]
     out = book.decrement_events(book.order_lifetimes(spark.createDataFrame(rows, SCHEMA), ["symbol"]), ["symbol"]).collect()

@@ -65,6 +65,48 @@ def test_bivariate(spark):
     assert full["loglik"] >= fixed["loglik"] - 1e-6 and fixed["alpha_self"] + fixed["alpha_cross"] < 0.2
 
 
+def test_change_statistic_is_nested():
+    """One fit of both halves never beats a fit of each, and its p-values are spread without a change."""
+    p = []
+    for seed in range(16):
+        t = hawkes._simulate({"mu": 0.3, "alpha": 0.9, "beta": 1.0}, 120.0, np.random.default_rng(seed))
+        found, _ = hawkes.change_lr(*hawkes._halves_of(t, None, 120.0), 60.0)
+        assert found["lr"] >= -1e-9
+        p.append(stats.chi2_sf(found["lr"], 3.0))
+    assert 0.2 < np.mean(p) < 0.8 and min(p) > 1e-4
+    rng = np.random.default_rng(1)
+    fit = {"mu0": 0.5, "mu1": 1.0, "alpha_self": 0.4, "alpha_cross": 0.2, "beta": 2.0}
+    for model in ("sym", "sym_full"):
+        for seed in range(3):
+            t, m = hawkes._simulate_sym(fit, 80.0, np.random.default_rng(seed))
+            assert hawkes.change_lr(*hawkes._halves_of(t, m, 80.0), 40.0, model, 2.0)[0]["lr"] >= -1e-9
+    # arrivals drawn in compensator time have the rate and the marks of the fit
+    t, m = hawkes._simulate_sym(fit, 400.0, rng)
+    drawn = [hawkes.redraw(t, m, fit, 400.0, np.random.default_rng(i), "fixed_intensity") for i in range(20)]
+    mass = lambda k: fit[f"mu{k}"] * 400 + sum((fit["alpha_self"] if j == k else fit["alpha_cross"]) * (1 - np.exp(-2.0 * (400 - t[m == j]))).sum() for j in (0, 1))
+    for k in (0, 1):
+        assert np.mean([(x == k).sum() for _, x in drawn]) == pytest.approx(mass(k), rel=0.06)
+    assert all((np.diff(x) >= 0).all() and 0 <= x.min() and x.max() <= 400 for x, _ in drawn)
+
+
+def test_marked_residuals_and_bootstrap(spark):
+    fit = {"mu0": 0.5, "mu1": 1.0, "alpha_self": 0.4, "alpha_cross": 0.2, "beta": 2.0}
+    t, m = hawkes._simulate_sym(fit, 500.0, np.random.default_rng(2))
+    df = spark.createDataFrame([("k", float(a), int(b)) for a, b in zip(t, m)], "k string, t double, mark int")
+    out = hawkes.rescaling_sym(df, ["k"], 2.0)
+    assert out.count() == len(t)
+    for r in hawkes.rescaling_summary(out, ["k", "mark"]).collect():
+        assert r["mean"] == pytest.approx(1, abs=0.1) and r["p_value"] > 0.01
+    # a mark's compensator by its definition
+    own = hawkes.fit_sym(t, m, float(t[-1]), 2.0)
+    x = t[m == 0]
+    grown = [own["mu0"] * y + sum((own["alpha_self"] if b == 0 else own["alpha_cross"]) * (1 - math.exp(-2.0 * (y - a))) for a, b in zip(t, m) if a < y) for y in x[:40]]
+    got = [r["v"] for r in out.filter("mark = 0").orderBy("t").limit(40).collect()]
+    assert np.allclose(np.cumsum(got), grown)
+    some = hawkes.hawkes_bootstrap(df.limit(150), ["k"], 4, block=2, model="sym", beta=2.0).first()
+    assert some["replicates"] == 4 and some["p_value"] in (0.2, 0.4, 0.6, 0.8, 1.0)
+
+
 def test_gamma_and_ks(spark):
     x = np.random.default_rng(5).gamma(3.0, 2.0, 4000)
     df = spark.createDataFrame([(1, float(v)) for v in x], "k int, x double")
@@ -96,6 +138,26 @@ def test_kde_uniformity():
     z = kde.pit(x, 0.5, 0.99, 50, g)
     assert len(z) == 350 and 0.4 < z.mean() < 0.6
     assert kde.uniformity(z, 5) < kde.uniformity(z**3, 5)
+    # the forecast by its definition, and neighbours counted one by one
+    for i in (0, 7, 349):
+        past = x[: 50 + i]
+        w = np.r_[kde.start_weights(50, 0.99) * 0.99**i, (1 - 0.99) * 0.99 ** np.arange(i)[::-1]]
+        assert z[i] == pytest.approx(np.interp(x[50 + i], g, w @ kde.ramp(g, past, 0.5)), abs=1e-9)
+    a, b = np.random.default_rng(1).integers(0, 12, (2, 200)).astype(float)
+    assert kde.dominated(a, b).tolist() == [int(((a <= p) & (b <= q)).sum()) for p, q in zip(a, b)]
+
+
+def test_conditional_cdf_equals_loop():
+    rng = np.random.default_rng(3)
+    z = rng.normal(size=(700, 2))
+    x = np.round(z[:, 0] + rng.normal(size=700), 1)
+    got = causal.conditional_cdf(x, z)
+    some = z[np.random.default_rng(0).choice(700, size=200, replace=False)]
+    gaps = [math.dist(p, q) for i, p in enumerate(some) for q in some[:i]]
+    h = np.median([q for q in gaps if q > 0])
+    for i in (0, 3, 699):
+        w = np.array([math.exp(-math.dist(z[i], q) ** 2 / (2 * h * h)) for q in z])
+        assert got[i] == pytest.approx((w * (x <= x[i])).sum() / w.sum(), rel=1e-9)
 
 
 def test_xcf_equals_numpy(spark):
@@ -152,14 +214,15 @@ def test_parametric_bootstrap_holds_parameters(spark, monkeypatch):
     paths = [hawkes._simulate(near, 20.0, np.random.default_rng(i)) for i in range(3)]
     assert all(np.array_equal(x, hawkes._simulate(near, 20.0, np.random.default_rng(i), 10**7)) for i, x in enumerate(paths))
 
-    def lr(x, whole):
-        a, b = x[x <= end / 2], x[x > end / 2] - end / 2
-        return 2 * (sum(hawkes.fit_uni(y, end / 2, restarts=1)["loglik"] for y in (a, b)) - whole)
-
-    observed, hits = lr(t, fit["loglik"]), 0
+    mid = end / 2
+    parts = [t[t <= mid], t[t > mid] - mid]
+    null = hawkes.fit_uni(parts, mid, restarts=1)
+    lr = lambda x, whole: 2 * (sum(hawkes.fit_uni(y, mid, restarts=1, start=null)["loglik"] for y in x) - whole)
+    observed, hits = lr(parts, null["loglik"]), 0
     for r in range(12):
-        star = hawkes._simulate(fit, end, np.random.default_rng([0, r, len(t), int(t.sum() * 1e3) % (1 << 32)]))
-        hits += len(star) > 1 and lr(star, hawkes.loglik_under(fit, star, end)) >= observed
+        rng = np.random.default_rng([0, r, len(t), int(t.sum() * 1e3) % (1 << 32)])
+        star = [hawkes._simulate(null, mid, rng) for _ in parts]
+        hits += lr(star, sum(hawkes.loglik_under(null, x, mid) for x in star)) >= observed
     df = spark.createDataFrame([("k", float(x)) for x in t], "k string, t double")
     got = hawkes.hawkes_bootstrap(df, ["k"], replicates=12, method="parametric", block=5).first()
     assert got["replicates"] == 12 and got["p_value"] == pytest.approx((1 + hits) / 13)

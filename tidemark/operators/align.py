@@ -15,11 +15,13 @@ def _asof(left: DataFrame, right: DataFrame, keys: list[str], t: str, values: li
     # a right row at the same time is met unless the match is strict
     first_right = forward == strict
     side = F.col("_left").asc() if first_right else F.col("_left").desc()
-    w = W.partitionBy(*keys).orderBy(t, side, "_tie")
-    frame = w.rowsBetween(0, W.unboundedFollowing) if forward else w.rowsBetween(W.unboundedPreceding, 0)
+    order = [F.col(t).asc(), side, F.col("_tie").asc()]
+    if forward:
+        # the same frame over the reversed order, as one that ends with the partition is computed anew for each row
+        order = [F.col(t).desc(), F.col("_left").desc() if first_right else F.col("_left").asc(), F.col("_tie").desc()]
+    frame = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     found = F.struct(*[F.col(f"_{v}").alias(v) for v in values])
-    pick = F.first if forward else F.last
-    rows = a.unionByName(b).withColumn("_m", pick(F.when(F.col("_left") == 0, found), ignorenulls=True).over(frame))
+    rows = a.unionByName(b).withColumn("_m", F.last(F.when(F.col("_left") == 0, found), ignorenulls=True).over(frame))
     return rows.filter("_left = 1").select(*left.columns, *[F.col(f"_m.{v}").alias(v) for v in values])
 
 

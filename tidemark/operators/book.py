@@ -1,7 +1,7 @@
 """The order book as tables: order lifetimes, level intervals, snapshots.
 
 An order's life is an interval between two updates of its id, or up to the next clear. Lives are found by windows
-over (key, order id), so one busy instrument spreads over many tasks; only clears, which are few, are kept per key.
+over (key, order id), and clears by windows over (key, side, run of updates), so one busy instrument spreads over tasks.
 Level intervals are cumulative sums of quantity changes per (key, side, price). A snapshot is a range join of level
 intervals with points of time, on equal coarse buckets.
 """
@@ -14,6 +14,8 @@ from pyspark.sql.window import Window as W
 
 from ..functions.columns import KEYS
 
+#: Numbers of updates in a run.
+RUN = 65_536
 #: seq orders a key's updates; t is their time. Updates carry action, priority, prev_priority, order_type, side, price, qty.
 
 
@@ -53,6 +55,24 @@ def touches(updates: DataFrame, keys: list[str] = KEYS, policy: str = "display")
     return out.withColumn("price", F.coalesce("price", F.lit(0.0))) if policy == "include_market" else out
 
 
+def next_clear(rows: DataFrame, updates: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """`rows` (keys, start, side) with _c: seq and t of the first clear of their side after `start`.
+
+    Inside a run of updates it is the last clear seen on the way back; a row without one in its run takes the first of
+    a later run, of which there is one row each.
+    """
+    number = F.expr(f"start div {RUN}")
+    cut = clears(updates, keys).withColumn("_s", F.explode(F.when(F.col("side").isNull(), F.array(*map(F.lit, range(3)))).otherwise(F.array("side")))).select(*keys, "_s", F.col("seq").alias("start"), F.struct("seq", "t").alias("_clear")).withColumn("_run", number)
+    rows = rows.withColumn("_s", F.when(F.col("side").isin(1, 2), F.col("side")).otherwise(0)).withColumn("_run", number)
+    back = W.partitionBy(*keys, "_s", "_run").orderBy(F.desc("start"), F.col("_clear").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    near = rows.unionByName(cut, allowMissingColumns=True).withColumn("_c", F.last("_clear", ignorenulls=True).over(back)).filter("_clear is null").drop("_clear")
+    runs = updates.select(*keys, F.expr(f"seq div {RUN}").alias("_run")).distinct().withColumn("_s", F.explode(F.array(*map(F.lit, range(3)))))
+    firsts = runs.join(cut.groupBy(*keys, "_s", "_run").agg(F.min("_clear").alias("_f")), [*keys, "_s", "_run"], "left")
+    later = W.partitionBy(*keys, "_s").orderBy(F.desc("_run")).rowsBetween(W.unboundedPreceding, -1)
+    firsts = firsts.select(*keys, "_s", "_run", F.last("_f", ignorenulls=True).over(later).alias("_later")).filter("_later is not null")
+    return near.join(firsts, [*keys, "_s", "_run"], "left").withColumn("_c", F.coalesce("_c", "_later")).drop("_s", "_run", "_later")
+
+
 def order_lifetimes(updates: DataFrame, keys: list[str] = KEYS, policy: str = "display", session_mode: str = "warm", start: str | None = None, end: str | None = None) -> DataFrame:
     """order_id, version, side, price, qty, start_seq, start_t, end_seq, end_t (null: still open), end_action, next_qty.
 
@@ -66,13 +86,7 @@ def order_lifetimes(updates: DataFrame, keys: list[str] = KEYS, policy: str = "d
     for c, name in (("seq", "end_seq"), ("t", "end_t"), ("action", "end_action"), ("qty", "next_qty")):
         rows = rows.withColumn(name, F.lead(c).over(w))
     rows = rows.withColumn("version", F.sum(F.col("put").cast("int")).over(w)).filter("put")
-    # clears are few: a sorted list of each kind per key
-    kinds = clears(updates, keys).groupBy(*keys).agg(*[F.sort_array(F.collect_list(F.when(cond, F.struct("seq", "t")))).alias(n) for n, cond in (("c0", F.col("side").isNull()), ("c1", F.col("side") == 1), ("c2", F.col("side") == 2))])
-    rows = rows.join(kinds, keys, "left")
-    after = lambda col: F.filter(F.coalesce(F.col(col), F.array()), lambda x: x["seq"] > F.col("start"))
-    rows = rows.withColumnRenamed("seq", "start")
-    own = F.when(F.col("side") == 1, F.get(after("c1"), F.lit(0))).otherwise(F.get(after("c2"), F.lit(0)))
-    rows = rows.withColumn("_c", F.least(F.get(after("c0"), F.lit(0)), own))
+    rows = next_clear(rows.withColumnRenamed("seq", "start"), updates, keys)
     cleared = F.col("_c").isNotNull() & (F.col("end_seq").isNull() | (F.col("_c.seq") < F.col("end_seq")))
     # a clear that carries the same number as the id's next update comes first
     cleared = cleared | (F.col("_c").isNotNull() & (F.col("_c.seq") == F.col("end_seq")) & F.col("end_action").isin(3, 5))
@@ -173,7 +187,9 @@ def snapshots(updates: DataFrame, bounds: DataFrame, step: int, keys: list[str]
         points, by = event_clock(updates, bounds, step, keys), "seq"
         levels = levels_at(intervals, points, keys, by="seq", width=4096)
         point = [*keys, "t", "seq"]
-    wide = top_n_levels(levels, point, n).join(bbo(levels, point).select(*point, "spread", "mid_price"), point).join(imbalance(levels, point), point)
+    # the best levels give the other columns too
+    total = F.col("bidvolume1") + F.col("askvolume1")
+    wide = top_n_levels(levels, point, n).withColumns({"spread": F.col("ask1") - F.col("bid1"), "mid_price": (F.col("ask1") + F.col("bid1")) / 2, "imbalance": F.when(total == 0, 0.0).otherwise((F.col("bidvolume1") - F.col("askvolume1")) / total)})
     return points.join(wide, point, "left")
 
 

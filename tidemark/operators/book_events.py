@@ -21,42 +21,48 @@ from .book import classify_updates, level_changes, level_intervals, order_lifeti
 BEST = ["best_bid", "bid_depth", "best_ask", "ask_depth"]
 
 
-def _sweep(changes: pd.DataFrame) -> pd.DataFrame:
-    """Best price and quantity a side before and after each update; side 0 rows are the updates themselves."""
-    books: dict = {1: {}, 2: {}}
-    heaps: dict = {1: [], 2: []}
-
-    def best():
-        out = []
-        for side in (1, 2):
-            heap, book = heaps[side], books[side]
-            while heap and book.get(-heap[0] if side == 1 else heap[0], 0) <= 0:
-                heapq.heappop(heap)
-            price = (-heap[0] if side == 1 else heap[0]) if heap else None
-            out += [price, book[price] if heap else None]
-        return out
-
-    rows, before = [], None
-    for seq, group in changes.groupby("seq", sort=True):
-        before = best()
-        is_update = False
-        for side, price, d in zip(group["side"], group["price"], group["d"]):
+def _sweep(seqs: list, sides: list, prices: list, changes: list) -> list[tuple]:
+    """Best price and quantity a side before and after each update, of rows in the order of seq; side 0 rows are the updates themselves."""
+    books: tuple = ({}, {}, {})
+    heaps: tuple = ([], [], [])
+    push, pop = heapq.heappush, heapq.heappop
+
+    def best(side, sign):
+        heap, book = heaps[side], books[side]
+        while heap:
+            price = sign * heap[0]
+            if price in book:
+                return price, book[price]
+            pop(heap)
+        return None, None
+
+    rows, now, i, n = [], (None,) * 4, 0, len(seqs)
+    while i < n:
+        seq, is_update, moved = seqs[i], False, False
+        while i < n and seqs[i] == seq:
+            side, price = sides[i], prices[i]
             if side == 0:
                 is_update = True
-                continue
-            q = books[side].get(price, 0.0) + d
-            if q > 1e-12:
-                books[side][price] = q
-                heapq.heappush(heaps[side], -price if side == 1 else price)
             else:
-                books[side].pop(price, None)
+                moved, book = True, books[side]
+                q = book.get(price, 0.0) + changes[i]
+                if q > 1e-12:
+                    if price not in book:
+                        push(heaps[side], -price if side == 1 else price)
+                    book[price] = q
+                else:
+                    book.pop(price, None)
+            i += 1
+        before = now
+        if moved:
+            now = (*best(1, -1), *best(2, 1))
         if is_update:
-            rows.append((seq, *before, *best()))
-    return pd.DataFrame(rows, columns=["seq", *[f"{c}_before" for c in BEST], *BEST])
+            rows.append((seq, *before, *now))
+    return rows
 
 
-def event_states(updates: DataFrame, keys: list[str] = KEYS, policy: str = "display", chunk: int = 600_000_000) -> DataFrame:
-    """Each update with the best prices and their quantities before and after it, spread, mid and imbalance."""
+def event_states(updates: DataFrame, keys: list[str] = KEYS, policy: str = "display", chunk: int = 86_400_000_000) -> DataFrame:
+    """Each update with the best prices and their quantities before and after it, spread, mid and imbalance. `chunk` is a chunk's time."""
     lives = order_lifetimes(updates, keys, policy)
     number = lambda t: F.expr(f"{t} div {chunk}")
     marks = updates.select(*keys, number("t").alias("chunk"), F.col("seq").cast("bigint").alias("seq"), F.lit(0).alias("side"), F.lit(0.0).alias("price"), F.lit(0.0).alias("d"))
@@ -70,10 +76,9 @@ def event_states(updates: DataFrame, keys: list[str] = KEYS, policy: str = "disp
     schema = StructType([*[rows.schema[k] for k in keys], StructField("seq", LongType()), *[StructField(c, DoubleType()) for c in [*[f"{c}_before" for c in BEST], *BEST]]])
 
     def run(key, pdf):
-        out = _sweep(pdf[["seq", "side", "price", "d"]])
-        for name, value in zip(keys, key):
-            out.insert(0, name, value)
-        return out[[f.name for f in schema]]
+        pdf = pdf.sort_values("seq", kind="stable")
+        rows = _sweep(*(pdf[c].tolist() for c in ("seq", "side", "price", "d")))
+        return pd.DataFrame([(*key[: len(keys)], *r) for r in rows], columns=[f.name for f in schema])
 
     states = rows.groupBy(*keys, "chunk").applyInPandas(run, schema)
     total = F.col("bid_depth") + F.col("ask_depth")

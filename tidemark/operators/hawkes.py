@@ -70,14 +70,24 @@ def uni_loglik(theta: np.ndarray, t: np.ndarray, end: float) -> tuple[float, np.
     return -value, -np.array([g_mu * mu, g_br * br, g_beta * beta])
 
 
-def fit_uni(t: np.ndarray, end: float, beta0: float = 10.0, restarts: int = 5, limit: float = 0.999) -> dict:
-    """mu, branching, beta, loglik. The branching ratio stays below `limit` by a steep penalty."""
-    n = len(t)
+def _pooled(loglik, x, parts: list) -> tuple[float, np.ndarray]:
+    """The sums of a likelihood and its gradient over parts that share parameters and have histories of their own."""
+    each = [loglik(x, *p) for p in parts]
+    return sum(v for v, _ in each), sum(g for _, g in each)
+
+
+def fit_uni(t: np.ndarray | list, end: float, beta0: float = 10.0, restarts: int = 5, limit: float = 0.999, start: dict | None = None) -> dict:
+    """mu, branching, beta, loglik. The branching ratio stays below `limit` by a steep penalty.
+
+    A list of series, each to the horizon `end`, is fitted with one set of parameters. `start` is a fit to begin from as well.
+    """
+    parts = [(x, end) for x in (t if isinstance(t, list) else [t])]
+    n, end = sum(len(x) for x, _ in parts), end * len(parts)
     if n < 2 or end <= 0:
         return {"mu": n / end if end > 0 else None, "alpha": 0.0, "beta": None, "loglik": (n * math.log(n / end) - n) if n and end > 0 else 0.0, "n": n}
 
     def f(x):
-        v, g = uni_loglik(x, t, end)
+        v, g = _pooled(uni_loglik, x, parts)
         over = math.exp(min(x[1], 50)) - limit
         return (v + 1e6 * over * over, g + np.array([0, 2e6 * over * math.exp(min(x[1], 50)), 0])) if over > 0 else (v, g)
 
@@ -87,6 +97,9 @@ def fit_uni(t: np.ndarray, end: float, beta0: float = 10.0, restarts: int = 5, l
         x, v = minimize(f, np.log([max(n / end * (1 - br), 1e-12), br, b]))
         if best is None or v < best[1]:
             best = (x, v)
+    if start and start["beta"] is not None:
+        x, v = minimize(f, np.log([max(start["mu"], 1e-12), max(start["alpha"], 1e-12), start["beta"]]))
+        best = min(best, (x, v), key=lambda y: y[1])
     mu, br, beta = np.exp(best[0])
     return {"mu": float(mu), "alpha": float(br), "beta": float(beta), "loglik": -float(best[1]), "n": n}
 
@@ -115,16 +128,19 @@ def sym_loglik(x: np.ndarray, t: np.ndarray, mark: np.ndarray, end: float, beta:
     return -value, -np.array(g) * p
 
 
-def fit_sym(t, mark, end, beta: float | None = None, restarts: int = 4, beta0: float = 10.0) -> dict:
-    n = len(t)
+def fit_sym(t, mark, end, beta: float | None = None, restarts: int = 4, beta0: float = 10.0, start: dict | None = None) -> dict:
+    """Lists of series and marks, each to the horizon `end`, are fitted with one set of parameters; `start` as in fit_uni."""
+    parts = [(x, m, end, beta, {}) for x, m in (zip(t, mark) if isinstance(t, list) else [(t, mark)])]
+    n, end, every = sum(len(p[0]) for p in parts), end * len(parts), np.concatenate([p[1] for p in parts])
     names = ["mu0", "mu1", "alpha_self", "alpha_cross"]
+    n0, n1 = int((every == 0).sum()), int((every == 1).sum())
     if n < 2 or end <= 0:
-        return {**dict.fromkeys(names, 0.0), "beta": beta, "loglik": 0.0, "n": n}
-    n0, n1 = max((mark == 0).sum(), 0.5), max((mark == 1).sum(), 0.5)
-    cache: dict = {}
+        # one event at most: a constant rate for its mark
+        return {**dict.fromkeys(names, 0.0), "beta": beta, "loglik": -math.log(end) - 1 if n and end > 0 else 0.0, "n": n}
+    n0, n1 = max(n0, 0.5), max(n1, 0.5)
 
     def f(x):
-        v, g = sym_loglik(x, t, mark, end, beta, cache)
+        v, g = _pooled(sym_loglik, x, parts)
         a, c = np.exp(np.minimum(x[2:4], 50))
         over = a + c - 0.999
         if over > 0:
@@ -136,10 +152,13 @@ def fit_sym(t, mark, end, beta: float | None = None, restarts: int = 4, beta0: f
     best = None
     for k in range(restarts):
         a, c = ((0.3, 0.1), (0.1, 0.3), (0.5, 0.2), (0.2, 0.2))[k % 4]
-        start = [n0 / end * (1 - a - c), n1 / end * (1 - a - c), a, c]
-        x, v = minimize(f, np.log(start + ([beta0 * (1, 0.2, 5, 0.05)[k % 4]] if beta is None else [])))
+        first = [n0 / end * (1 - a - c), n1 / end * (1 - a - c), a, c]
+        x, v = minimize(f, np.log(first + ([beta0 * (1, 0.2, 5, 0.05)[k % 4]] if beta is None else [])))
         if best is None or v < best[1]:
             best = (x, v)
+    if start and start["beta"] is not None:
+        x, v = minimize(f, np.log(np.maximum([start[c] for c in names] + ([start["beta"]] if beta is None else []), 1e-12)))
+        best = min(best, (x, v), key=lambda y: y[1])
     p = np.exp(best[0])
     return {**dict(zip(names, map(float, p[:4]))), "beta": float(p[4]) if beta is None else beta, "loglik": -float(best[1]), "n": n}
 
@@ -177,28 +196,39 @@ def fit_hawkes_sym_full(df: DataFrame, keys: list[str], **how) -> DataFrame:
     return fit_hawkes_sym(df, keys, None, **how)
 
 
-def hawkes_change_test(df: DataFrame, keys: list[str], model: str = "uni", beta: float = 10.0, t: str = "t", mark: str = "mark") -> DataFrame:
-    """lr = 2 (l1 + l2 - l0) of both halves against the whole, degrees of freedom and chi-square p-value.
+#: Free parameters of each model.
+DOF = {"uni": 3, "sym": 4, "sym_full": 5}
+
 
-    Halves and the whole are groups of their own, fitted in parallel, and joined by one grouping.
+def _halves_of(t: np.ndarray, mark: np.ndarray | None, end: float) -> tuple[list, list]:
+    """Events and marks up to the midpoint, and after it, shifted by it."""
+    mid = end / 2
+    first = t <= mid
+    return [t[first], t[~first] - mid], [mark[first], mark[~first]] if mark is not None else [None, None]
+
+
+def change_lr(parts: list, marks: list, mid: float, model: str = "uni", beta: float | None = None, restarts: int = 4, held: dict | None = None) -> tuple[dict, dict]:
+    """(l0, l1, l2, lr), and the fit of the null: one set of parameters for both halves, in each of which history starts anew.
+
+    `held` are parameters of the null that were fitted elsewhere. The halves' fits also begin from the null's, so lr is not negative.
     """
-    from .series import split_halves
+    free = None if model == "sym_full" else beta
+    fit = (lambda t, m, **how: fit_uni(t, mid, **how)) if model == "uni" else (lambda t, m, **how: fit_sym(t, m, mid, free, **how))
+    null = held or fit(parts, marks, restarts=restarts)
+    l0 = sum(loglik_under(held, t, mid, m) for t, m in zip(parts, marks)) if held else null["loglik"]
+    l1, l2 = (fit(t, m, restarts=max(1, restarts // 2), start=null)["loglik"] for t, m in zip(parts, marks))
+    return {"l0": l0, "l1": l1, "l2": l2, "lr": 2 * (l1 + l2 - l0)}, null
 
-    halves = split_halves(df, keys, t)
-    mid = df.groupBy(*keys).agg((F.max(t) / 2).alias("_mid"), F.max(t).alias("_all"))
-    rows = halves.withColumn("half", F.col("half").cast("int")).join(mid, keys).withColumn("_end", F.col("_mid"))
-    rows = rows.unionByName(df.withColumn("half", F.lit(0)).join(mid, keys).withColumn("_end", F.col("_all")))
-    group = [*keys, "half"]
-    fits = {"uni": lambda: fit_hawkes_uni(rows, group, t, "_end"), "sym": lambda: fit_hawkes_sym(rows, group, beta, t, mark, "_end"), "sym_full": lambda: fit_hawkes_sym(rows, group, None, t, mark, "_end")}[model]()
-    dof = {"uni": 3, "sym": 4, "sym_full": 5}[model]
-    out = fits.groupBy(*keys).agg(*[F.max(F.when(F.col("half") == h, F.col("loglik"))).alias(f"l{h}") for h in (0, 1, 2)])
-    out = out.withColumn("lr", 2 * (F.coalesce("l1", F.lit(0.0)) + F.coalesce("l2", F.lit(0.0)) - F.col("l0"))).withColumn("dof", F.lit(dof))
 
-    @F.pandas_udf("double")
-    def p(lr: pd.Series, k: pd.Series) -> pd.Series:
-        return pd.Series([chi2_sf(a, b) for a, b in zip(lr, k)])
+def hawkes_change_test(df: DataFrame, keys: list[str], model: str = "uni", beta: float = 10.0, t: str = "t", mark: str = "mark") -> DataFrame:
+    """l0, l1, l2 and lr = 2 (l1 + l2 - l0) of both halves against one fit of both, degrees of freedom and chi-square p-value."""
 
-    return out.withColumn("p_value", p("lr", F.col("dof").cast("double")))
+    def run(key, pdf):
+        x, m = _sorted(pdf, t, mark if model != "uni" else None)
+        found, _ = change_lr(*_halves_of(x, m, float(x[-1])), float(x[-1]) / 2, model, beta)
+        return pd.DataFrame([{**dict(zip(keys, key)), **found, "dof": DOF[model], "p_value": chi2_sf(max(found["lr"], 0.0), float(DOF[model]))}])
+
+    return df.groupBy(*keys).applyInPandas(run, f"{_types(df, keys)}, l0 double, l1 double, l2 double, lr double, dof int, p_value double")
 
 
 def excitation(df: DataFrame, keys: list[str], beta: float, mu: float = 1.0, alpha: float = 0.5, t: str = "t") -> DataFrame:
@@ -242,6 +272,26 @@ def rescaling(df: DataFrame, keys: list[str], t: str = "t") -> DataFrame:
     return df.groupBy(*keys).applyInPandas(run, f"{_types(df, keys)}, t double, v double, u double")
 
 
+def rescaling_sym(df: DataFrame, keys: list[str], beta: float | None = None, t: str = "t", mark: str = "mark") -> DataFrame:
+    """Residuals of each mark's events under the group's symmetric fit: growth of the mark's compensator between its events."""
+
+    def run(key, pdf):
+        x, m = _sorted(pdf, t, mark)
+        fit = fit_sym(x, m, float(x[-1]), beta)
+        b = fit["beta"] or 1.0
+        # a past event of either mark has given 1 - exp(-beta age) of its mass
+        given = [np.cumsum(m == k) - (m == k) - decay_states(x, b, (m == k).astype(float)) for k in (0, 1)]
+        out = []
+        for k in (0, 1):
+            mine = m == k
+            grown = fit[f"mu{k}"] * x[mine] + fit["alpha_self"] * given[k][mine] + fit["alpha_cross"] * given[1 - k][mine]
+            out.append(pd.DataFrame({"mark": k, "t": x[mine], "v": np.diff(grown, prepend=0.0)}))
+        out = pd.concat(out, ignore_index=True)
+        return out.assign(**dict(zip(keys, key)), u=1 - np.exp(-out["v"]))[[*keys, "mark", "t", "v", "u"]]
+
+    return df.groupBy(*keys).applyInPandas(run, f"{_types(df, keys)}, mark int, t double, v double, u double")
+
+
 def rescaling_summary(residuals: DataFrame, keys: list[str]) -> DataFrame:
     """Size, mean, quantiles and the Kolmogorov-Smirnov distance to Exp(1) of the residuals, by built-in functions."""
     from .distribution import ks_stat, with_ks_p
@@ -251,9 +301,13 @@ def rescaling_summary(residuals: DataFrame, keys: list[str]) -> DataFrame:
     return residuals.groupBy(*keys).agg(F.count("v").alias("n"), F.avg("v").alias("mean"), q(0.5).alias("median"), q(0.1).alias("q10"), q(0.9).alias("q90"), q(0.99).alias("q99")).join(ks, keys)
 
 
-def _invert(t, fit, targets):
-    """Times whose compensator under a fixed fit reaches the targets."""
-    s, dt = decay_states(t, fit["beta"]), np.diff(t, prepend=0.0)
+def _invert(t, fit, targets, end=None):
+    """Times, up to `end` or the last event, whose compensator under a fixed fit reaches the targets."""
+    s = decay_states(t, fit["beta"])
+    if end is not None and end > t[-1]:
+        s = np.append(s, (s[-1] + 1) * math.exp(-fit["beta"] * (end - t[-1])))
+        t = np.append(t, end)
+    dt = np.diff(t, prepend=0.0)
     after = np.concatenate(([0.0], s[:-1] + 1)) * (np.arange(len(t)) > 0)
     cum = np.cumsum(fit["mu"] * dt + fit["alpha"] * after * (1 - np.exp(-fit["beta"] * dt)))
     i = np.searchsorted(cum, targets)
@@ -285,48 +339,85 @@ def _simulate(fit, end, rng, most=math.inf):
     return np.array(out)
 
 
-def loglik_under(fit: dict, t: np.ndarray, end: float) -> float:
+def _simulate_sym(fit, end, rng):
+    """One path of times and marks by thinning under a symmetric fit, to its horizon."""
+    t, marks, now, s = [], [], 0.0, [0.0, 0.0]
+    rate = lambda k: fit[f"mu{k}"] + fit["beta"] * (fit["alpha_self"] * s[k] + fit["alpha_cross"] * s[1 - k])
+    while (bound := rate(0) + rate(1)) > 0:
+        w = rng.exponential(1 / bound)
+        now += w
+        if now > end:
+            break
+        s = [x * math.exp(-fit["beta"] * w) for x in s]
+        u = rng.uniform() * bound
+        if u <= rate(0) + rate(1):
+            k = int(u > rate(0))
+            t.append(now)
+            marks.append(k)
+            s[k] += 1
+    return np.array(t), np.array(marks, int)
+
+
+def loglik_under(fit: dict, t: np.ndarray, end: float, mark: np.ndarray | None = None) -> float:
     """The log-likelihood of events under parameters that were fitted elsewhere."""
+    if mark is not None:
+        p = [fit[c] for c in ("mu0", "mu1", "alpha_self", "alpha_cross")]
+        if fit["beta"] is None or not any(p):
+            return 0.0
+        return -float(sym_loglik(np.log(np.maximum(p, 1e-300)), t, mark, end, fit["beta"])[0])
     if fit["beta"] is None:
         return len(t) * math.log(fit["mu"]) - fit["mu"] * end if fit["mu"] else 0.0
     return -float(uni_loglik(np.log([fit["mu"], max(fit["alpha"], 1e-300), fit["beta"]]), t, end)[0])
 
 
-def hawkes_bootstrap(df: DataFrame, keys: list[str], replicates: int, seed: int = 0, method: str = "fixed_intensity", t: str = "t", block: int = 25, restarts: int = 1) -> DataFrame:
-    """lr, replicates, p_value = (1 + #{lr* >= lr}) / (B + 1) of the change test of each series.
+def redraw(t: np.ndarray, mark: np.ndarray | None, fit: dict, end: float, rng, method: str) -> tuple[np.ndarray, np.ndarray | None]:
+    """Events, and marks if there are, of one half under the null.
 
-    fixed_intensity draws Exp(1) arrivals in compensator time and inverts the fitted compensator; parametric simulates
-    anew from the fit of the whole, to the horizon, and holds that fit's parameters in l0 of a replicate. Both refit the
-    halves, fixed_intensity the whole too. A task takes one series and a block of replicates;
-    seeds follow from series and replicate, so a lost task redoes the same draws. Events travel as one array a block.
+    fixed_intensity puts Exp(1) arrivals into the compensator of the events as they are and draws each mark by its share
+    of the intensity there; parametric simulates the process anew.
     """
-    series = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.col(t).cast("double"))).alias("ts"))
-    blocks = series.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // block) - 1))))
+    both = fit if mark is None else {"mu": fit["mu0"] + fit["mu1"], "alpha": fit["alpha_self"] + fit["alpha_cross"], "beta": fit["beta"]}
+    if both["beta"] is None or not len(t):
+        star = np.sort(rng.uniform(0, end, rng.poisson((both["mu"] or 0.0) * end)))
+        return star, None if mark is None else (rng.uniform(size=len(star)) * both["mu"] > fit["mu0"]).astype(int)
+    if method == "parametric":
+        return (_simulate(fit, end, rng), None) if mark is None else _simulate_sym(fit, end, rng)
+    total = both["mu"] * end + both["alpha"] * (1 - np.exp(-both["beta"] * (end - t))).sum()
+    arrivals = np.cumsum(rng.exponential(size=int(total + 10 * math.sqrt(total) + 50)))
+    star = _invert(t, both, arrivals[arrivals < total], end)
+    if mark is None:
+        return star, None
+    last = np.searchsorted(t, star, side="left") - 1
+    seen = [np.where(last >= 0, (decay_states(t, fit["beta"], (mark == k).astype(float)) + (mark == k))[last] * np.exp(-fit["beta"] * np.maximum(star - t[last], 0.0)), 0.0) for k in (0, 1)]
+    rate = [fit[f"mu{k}"] + fit["beta"] * (fit["alpha_self"] * seen[k] + fit["alpha_cross"] * seen[1 - k]) for k in (0, 1)]
+    return star, (rng.uniform(size=len(star)) * (rate[0] + rate[1]) > rate[0]).astype(int)
+
+
+def hawkes_bootstrap(df: DataFrame, keys: list[str], replicates: int, seed: int = 0, method: str = "fixed_intensity", t: str = "t", block: int = 25, restarts: int = 1, model: str = "uni", beta: float = 10.0, mark: str = "mark") -> DataFrame:
+    """lr, replicates, p_value = (1 + #{lr* >= lr}) / (B + 1) of the change test of each series.
 
-    def lr_of(x, end, held=None):
-        mid = end / 2
-        a, b = x[x <= mid], x[x > mid] - mid
-        whole = {"loglik": loglik_under(held, x, end)} if held else fit_uni(x, end, restarts=restarts)
-        return 2 * (fit_uni(a, mid, restarts=restarts)["loglik"] + fit_uni(b, mid, restarts=restarts)["loglik"] - whole["loglik"]), whole
+    Both halves are drawn apart under the common fit of both, by redraw(). fixed_intensity refits the null and the
+    halves of each replicate, with beta held in model "sym"; parametric refits the halves and holds the null's
+    parameters. A task takes one series and a block of replicates; seeds follow from series and replicate, so a lost
+    task redoes the same draws. Events travel as one array a block.
+    """
+    marked = model != "uni"
+    series = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(t).cast("double").alias("t"), (F.col(mark).cast("int") if marked else F.lit(0)).alias("m")))).alias("ts"))
+    blocks = series.select(*keys, F.col("ts.t").alias("ts"), F.col("ts.m").alias("ms"), F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // block) - 1))).alias("b"))
 
     def run(key, pdf):
         x, number = np.array(pdf["ts"].iloc[0]), int(key[-1])
-        end = float(x[-1])
-        lr, fit = lr_of(x, end)
+        mid = float(x[-1]) / 2
+        parts, marks = _halves_of(x, np.array(pdf["ms"].iloc[0]) if marked else None, 2 * mid)
+        found, null = change_lr(parts, marks, mid, model, beta, restarts)
         hits = done = 0
         for r in range(number * block, min(replicates, (number + 1) * block)):
             rng = np.random.default_rng([seed, r, len(x), int(x.sum() * 1e3) % (1 << 32)])
-            if fit["beta"] is None:
-                star = np.sort(rng.uniform(0, end, len(x)))
-            elif method == "parametric":
-                star = _simulate(fit, end, rng)
-            else:
-                total = fit["mu"] * end + fit["alpha"] * (1 - np.exp(-fit["beta"] * (end - x))).sum()
-                arrivals = np.cumsum(rng.exponential(size=int(2 * total + 50)))
-                star = _invert(x, fit, arrivals[arrivals < total])
-            hits += len(star) > 1 and lr_of(star, end, fit if method == "parametric" else None)[0] >= lr
+            star = [redraw(a, m, null, mid, rng, method) for a, m in zip(parts, marks)]
+            lr = change_lr([a for a, _ in star], [m for _, m in star], mid, model, beta, restarts, null if method == "parametric" else None)[0]["lr"]
+            hits += lr >= found["lr"]
             done += 1
-        return pd.DataFrame([{**dict(zip(keys, key[:-1])), "lr": lr, "hits": hits, "done": done}])
+        return pd.DataFrame([{**dict(zip(keys, key[:-1])), "lr": found["lr"], "hits": hits, "done": done}])
 
     parts = blocks.groupBy(*keys, "b").applyInPandas(run, f"{_types(df, keys)}, lr double, hits long, done long")
     return parts.groupBy(*keys).agg(F.max("lr").alias("lr"), F.sum("done").alias("replicates"), ((1 + F.sum("hits")) / (F.sum("done") + 1)).alias("p_value"))

@@ -48,8 +48,17 @@ def adf(x: np.ndarray, most: int = 30) -> dict:
     a, beta, r = _regress(x, best[1], best[1])
     s2 = (r @ r) / max(len(r) - a.shape[1], 1)
     tau = float(beta[0] / math.sqrt(s2 * np.linalg.pinv(a.T @ a)[0, 0]))
-    e = r - r.mean()
-    m = min(10, len(e) - 1)
+    # whiteness of an autoregression of the levels with as many lags
+    lags = best[1]
+    if lags:
+        past = np.stack([x[lags - k : len(x) - k] for k in range(1, lags + 1)] + [np.ones(len(x) - lags)], 1)
+        e = x[lags:] - past @ np.linalg.lstsq(past, x[lags:], rcond=None)[0]
+    else:
+        e = x - x.mean()
+    m = min(10, max(1, len(e) // 10))
+    if not e @ e > 0:
+        return {"statistic": tau, "p_value": tau_p_value(tau), "lags": lags, "n": len(r), "ljung_box_p": None}
+    e = e - e.mean()
     rho = np.array([e[k:] @ e[:-k] for k in range(1, m + 1)]) / (e @ e)
     q = len(e) * (len(e) + 2) * (rho**2 / (len(e) - np.arange(1, m + 1))).sum()
     return {"statistic": tau, "p_value": tau_p_value(tau), "lags": best[1], "n": len(r), "ljung_box_p": chi2_sf(q, m)}

@@ -246,7 +246,7 @@ st2 as (select *, lag(bb) over (partition by symbol order by seq) as bb0, lag(ba
 
 @query("l13_event_states", "updates", EVENTS + "select symbol, seq, bb as best_bid, ba as best_ask, bb0 as best_bid_before, ba0 as best_ask_before from st2")
 def _(v):
-    return book_events.event_states(v.updates, KEY, chunk=6 * HOUR).select("symbol", "seq", "best_bid", "best_ask", "best_bid_before", "best_ask_before")
+    return book_events.event_states(v.updates, KEY).select("symbol", "seq", "best_bid", "best_ask", "best_bid_before", "best_ask_before")
 
 
 @query("l14_crossed_book", "updates", BBO + "select symbol, t, best_bid, best_ask from bb where best_bid > best_ask")
@@ -270,17 +270,17 @@ def _(v):
 
 @query("l17_rlop_events", "updates", EVENTS + "select symbol, seq, side, round(d, 6) as delta from (select *, case when side = 1 then bb0 - price else price - ba0 end as d from st2 where action = 1 and order_type = 2 and price is not null and bb0 is not null and ba0 is not null) z where d > 0")
 def _(v):
-    return r6(book_events.rlop_events(book_events.event_states(v.updates, KEY, chunk=DAY), KEY).select("symbol", "seq", "side", "delta"), "delta")
+    return r6(book_events.rlop_events(book_events.event_states(v.updates, KEY), KEY).select("symbol", "seq", "side", "delta"), "delta")
 
 
 @query("l18_vol_events", "updates", EVENTS + ", b as (select symbol, seq, 1 as side, bb as best from st2 where bb is not null union all select symbol, seq, 2, ba from st2 where ba is not null) select symbol, seq, side, round(abs(ln(best / last)), 6) as vol from (select *, lag(best) over (partition by symbol, side order by seq) as last from b) z where last is not null")
 def _(v):
-    return r6(book_events.vol_events(book_events.event_states(v.updates, KEY, chunk=DAY), KEY).select("symbol", "seq", "side", "vol"), "vol")
+    return r6(book_events.vol_events(book_events.event_states(v.updates, KEY), KEY).select("symbol", "seq", "side", "vol"), "vol")
 
 
 @query("l19_micro_events", "updates", EVENTS + "select symbol, seq, round(ba0 - bb0, 6) as spread, round((ba0 + bb0) / 2, 6) as mid from st2")
 def _(v):
-    states = book_events.event_states(v.updates, KEY, chunk=DAY)
+    states = book_events.event_states(v.updates, KEY)
     return r6(book_events.micro_events(states, lives_of(v), KEY).select("symbol", "seq", "spread", "mid"), "spread", "mid")
 
 
@@ -428,7 +428,7 @@ def _(v):
 
 @query("a5_micro_features", "updates", EVENTS + "select symbol, t // 86400000000 as bucket, round(avg(ba0 - bb0), 6) as spread_mean, round(avg((ba0 + bb0) / 2), 6) as mid_mean, sum(coalesce((action = 1 and order_type = 2 and side = 1)::int, 0))::bigint as limit_new_bid_count from st2 group by all")
 def _(v):
-    m = book_events.micro_events(book_events.event_states(v.updates, KEY, chunk=DAY), lives_of(v), KEY).withColumn("bucket", F.expr(f"t div {DAY}"))
+    m = book_events.micro_events(book_events.event_states(v.updates, KEY), lives_of(v), KEY).withColumn("bucket", F.expr(f"t div {DAY}"))
     return r6(bars.micro_features(m, ["symbol", "bucket"]).select("symbol", "bucket", "spread_mean", "mid_mean", "limit_new_bid_count"), "spread_mean", "mid_mean")
 
 
@@ -726,6 +726,14 @@ def _(v):
     return sessions_of(v)
 
 
+@query("o5_best_candidate", "trades", """, c as (select symbol, floor(price / 25) as h, (qty::int % 7)::double as omega, round(avg(price), 0) as objective from v_trades group by all)
+select symbol, h, omega, objective from (select *, row_number() over (partition by symbol order by objective, h, omega) as r from c) z where r = 1""")
+def _(v):
+    """Candidates are cells of price and size, their objective a rounded mean, so that many tie."""
+    cells = v.trades.groupBy("symbol", F.floor(F.col("price") / 25).cast("double").alias("h"), (F.col("qty").cast("int") % 7).cast("double").alias("omega")).agg(F.round(F.avg("price"), 0).alias("objective"))
+    return kde.best_candidate(cells, KEY)
+
+
 @query("o6_limit", "trades", "select symbol, seq, price from v_trades order by price desc, seq limit 50")
 def _(v):
     return C.limit_rows(v.trades.select("symbol", "seq", "price"), [F.desc("price"), "seq"], 50)
@@ -777,6 +785,21 @@ def _(v):
     return hawkes.hawkes_change_test(events_of(v), KEY, "uni")
 
 
+@query("k4_change_sym")
+def _(v):
+    return hawkes.hawkes_change_test(events_of(v), KEY, "sym", beta=2.0)
+
+
+@query("k4_change_sym_full")
+def _(v):
+    return hawkes.hawkes_change_test(events_of(v), KEY, "sym_full")
+
+
+@query("k5_rescaling_sym")
+def _(v):
+    return hawkes.rescaling_summary(hawkes.rescaling_sym(events_of(v), KEY, 2.0), [*KEY, "mark"])
+
+
 @query("k5_rescaling")
 def _(v):
     return hawkes.rescaling_summary(hawkes.rescaling(events_of(v), KEY), KEY)
@@ -787,6 +810,11 @@ def _(v):
     return hawkes.hawkes_bootstrap(events_of(v), KEY, replicates=8, block=2)
 
 
+@query("k6_bootstrap_sym")
+def _(v):
+    return hawkes.hawkes_bootstrap(events_of(v), KEY, replicates=8, block=2, model="sym", beta=2.0)
+
+
 @query("k7_parametric_bootstrap")
 def _(v):
     return hawkes.hawkes_bootstrap(events_of(v), KEY, replicates=4, block=1, method="parametric")
@@ -821,24 +849,28 @@ def _(v):
 # --- streams: a written table read as a stream, run to its end, and its sink read back
 
 
-def streamed(df: DataFrame, job, tag: str) -> DataFrame:
+def streamed(df: DataFrame, job, tag: str, *more: DataFrame) -> DataFrame:
+    """`df`, then each of `more`, written as files and sent through a stream job, each in a run that goes on from the one before."""
     from uuid import uuid4
 
     spark = df.sparkSession
     base = f"{scratch(spark)}/stream-{tag}-{uuid4().hex}"
-    df.write.parquet(f"{base}/in")
-    out = job(spark.readStream.schema(df.schema).parquet(f"{base}/in"))
-    run = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
+    for part in (df, *more):
+        part.select(*df.columns).write.mode("append").parquet(f"{base}/in")
+        out = job(spark.readStream.schema(df.schema).parquet(f"{base}/in"))
+        run = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
+        run.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{base}/out")
 
 
 def scratch(spark) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is named."""
+    """The shared folder that the cluster names; a folder of our own only in local mode where none is named."""
     import tempfile
 
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not OWN:
             OWN.append(tempfile.mkdtemp(prefix="tidemark-"))
         where = OWN[0]
@@ -860,14 +892,35 @@ def _(v):
     return r6(bars_.select("symbol", F.expr(f"unix_micros(bar) div {HOUR}").alias("bar"), "signed_volume", "volume", "imbalance"), "imbalance")
 
 
-@query("t2_stream_binned_counts", "trades", """, p as (select symbol, (price >= 30)::int + (price >= 60)::int + (price >= 120)::int as bin, t_us // 1800000000 as pane, count(*) as c from v_trades group by all),
+PANES = """, p as (select symbol, (price >= 30)::int + (price >= 60)::int + (price >= 120)::int as bin, t_us // 1800000000 as pane, count(*) as c from v_trades group by all),
 w as (select symbol, bin, pane - k as s, sum(c) as c from p, (select unnest(range(0, 2)) as k) q group by all)
-select symbol, bin, s as start, c from w where (s + 2) * 1800000000 <= (select max(t_us) - 60000000 from v_trades)""")
-def _(v):
+"""
+CLOSED = " where (s + 2) * 1800000000 <= (select max(t_us) - 60000000 from v_trades)"
+
+
+def binned(v, tag):
     from ..streaming.jobs import stream_binned_counts
 
-    out = streamed(timed(v.trades, "t_us").withColumn("value", F.col("price")), lambda s: stream_binned_counts(s, [30.0, 60.0, 120.0], "1 hour", "30 minutes", "1 minute", KEY), "counts")
-    return out.select("symbol", "bin", F.expr("unix_micros(start) div 1800000000").alias("start"), "c")
+    return streamed(timed(v.trades, "t_us").withColumn("value", F.col("price")), lambda s: stream_binned_counts(s, [30.0, 60.0, 120.0], "1 hour", "30 minutes", "1 minute", KEY), tag)
+
+
+@query("t2_stream_binned_counts", "trades", PANES + "select symbol, bin, s as start, c from w" + CLOSED)
+def _(v):
+    return binned(v, "counts").select("symbol", "bin", F.expr("unix_micros(start) div 1800000000").alias("start"), "c")
+
+
+@query("t2_stream_drift", "trades", PANES + """,
+ref as (select symbol, bin, sum(c) / sum(sum(c)) over (partition by symbol) as q from p group by symbol, bin),
+n as (select symbol, s, sum(c) as n from w group by symbol, s)
+select w.symbol, s as start, round(sum(c / n * ln(c / n / q)), 6) as kl from w join n using (symbol, s) join ref using (symbol, bin)""" + CLOSED + " group by w.symbol, s")
+def _(v):
+    from ..streaming.jobs import binned_kl
+
+    bin_ = sum(((F.col("price") >= e).cast("int") for e in (60.0, 120.0)), (F.col("price") >= 30.0).cast("int"))
+    share = F.col("c") / F.sum("c").over(W.partitionBy("symbol"))
+    reference = v.trades.groupBy("symbol", bin_.alias("bin")).agg(F.count(F.lit(1)).alias("c")).select("symbol", "bin", share.alias("q"))
+    out = binned_kl(binned(v, "drift"), reference, KEY)
+    return r6(out.select("symbol", F.expr("unix_micros(start) div 1800000000").alias("start"), "kl"), "kl")
 
 
 @query("t3_stream_intervals", "status", SESSION + "select symbol, start as start_ns, stop as end_ns, book_state from k where stop is not null")
@@ -881,10 +934,22 @@ def _(v):
 def _(v):
     from ..streaming.jobs import stream_book
 
-    out = streamed(v.updates.coalesce(1), lambda s: stream_book(s, KEY), "book")
+    out = streamed(v.updates, lambda s: stream_book(s, KEY), "book")
     return out.select("symbol", "seq", "best_bid", "best_ask", "best_bid_before", "best_ask_before")
 
 
+@query("t5_stream_recovery", "updates", EVENTS + "select symbol, seq, bb as best_bid, ba as best_ask from st2")
+def _(v):
+    """The updates in two deliveries; the second brings all of the first's retransmissions again, late, which are dropped."""
+    from ..streaming.jobs import stream_book
+
+    top = v.updates.groupBy(*KEY).agg((F.max("seq") / 2).alias("half"))
+    rows = v.updates.join(top, KEY)
+    early, late = rows.filter("seq <= half").drop("half"), rows.filter("seq > half or action = 5").drop("half")
+    out = streamed(early, lambda s: stream_book(s, KEY, on_retransmit="reset"), "recovery", late)
+    return out.select("symbol", "seq", "best_bid", "best_ask")
+
+
 @query("t6_dedupe_updates", "updates", "select symbol, seq, action from v_updates")
 def _(v):
     from ..streaming.jobs import dedupe_updates

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -60,10 +61,14 @@ def stream_intervals(sdf: DataFrame, state: list[str], keys: list[str] = KEYS, t
 
 
 class LiveBook:
-    """One key's live orders, with quantities by price. The rules are those of order_lifetimes, applied in order."""
+    """One key's live orders, with quantities by price and heaps of prices. The rules are those of order_lifetimes, applied in order.
 
-    def __init__(self, orders: dict | None = None, burst: bool = False, policy: str = "display"):
-        self.policy, self.burst, self.orders, self.levels = policy, burst, {}, {1: {}, 2: {}}
+    A burst of retransmissions replaces the book; with on_retransmit "merge" its orders are put into the book that stands.
+    """
+
+    def __init__(self, orders: dict | None = None, burst: bool = False, policy: str = "display", on_retransmit: str = "reset"):
+        self.policy, self.burst, self.orders, self.levels, self.heaps = policy, burst, {}, {1: {}, 2: {}}, {1: [], 2: []}
+        self.resets = on_retransmit == "reset"
         for i, o in (orders or {}).items():
             self.put(int(i), *o)
 
@@ -71,6 +76,8 @@ class LiveBook:
         self.drop(i)
         self.orders[i] = (side, price, qty)
         level = self.levels[side]
+        if price not in level:
+            heapq.heappush(self.heaps[side], -price if side == 1 else price)
         level[price] = level.get(price, 0.0) + qty
 
     def drop(self, i):
@@ -87,7 +94,7 @@ class LiveBook:
             self.drop(i)
 
     def apply(self, action, priority, prev, side, price, qty):
-        if action == 5 and not self.burst:
+        if action == 5 and not self.burst and self.resets:
             self.clear()
         self.burst = action == 5
         whole = side in (1, 2) and qty is not None
@@ -103,16 +110,21 @@ class LiveBook:
                 self.drop(priority)
 
     def best(self):
-        bid, ask = self.levels[1], self.levels[2]
-        b, a = max(bid, default=None), min(ask, default=None)
-        return b, bid.get(b), a, ask.get(a)
+        out = []
+        for side, sign in ((1, -1), (2, 1)):
+            heap, level = self.heaps[side], self.levels[side]
+            while heap and sign * heap[0] not in level:
+                heapq.heappop(heap)
+            out += [sign * heap[0], level[sign * heap[0]]] if heap else [None, None]
+        return tuple(out)
 
 
-def stream_book(sdf: DataFrame, keys: list[str] = KEYS, policy: str = "display", timeout: str | None = None) -> DataFrame:
+def stream_book(sdf: DataFrame, keys: list[str] = KEYS, policy: str = "display", timeout: str | None = None, on_retransmit: str = "reset") -> DataFrame:
     """Best prices and quantities before and after each update, from live orders kept per key.
 
-    Rows are sorted by seq inside each micro-batch; those at or before the last applied one are dropped. A burst of
-    retransmission replaces the book. With `timeout` a key idle that long is forgotten.
+    Rows are sorted by seq inside each micro-batch; those at or before the last applied one are dropped, so late
+    ones of an earlier batch change nothing. A burst of retransmissions replaces the book or, with on_retransmit
+    "merge", is put into it. With `timeout` a key idle that long is forgotten.
     """
     kinds = ", ".join(f"{k} {sdf.schema[k].dataType.simpleString()}" for k in keys)
     best = ["best_bid", "bid_depth", "best_ask", "ask_depth"]
@@ -124,17 +136,17 @@ def stream_book(sdf: DataFrame, keys: list[str] = KEYS, policy: str = "display",
         if st.hasTimedOut:
             st.remove()
             return
-        last, book = -1, LiveBook(policy=policy)
+        last, book = -1, LiveBook(policy=policy, on_retransmit=on_retransmit)
         if st.exists:
             last, burst, ids, sides, prices, qtys = st.get
-            book = LiveBook(dict(zip(ids, zip(sides, prices, qtys))), burst, policy)
-        rows = []
+            book = LiveBook(dict(zip(ids, zip(sides, prices, qtys))), burst, policy, on_retransmit)
+        rows, now = [], book.best()
         for r in pd.concat(list(frames)).sort_values("seq").itertuples(index=False):
             if r.seq <= last:
                 continue
-            before = book.best()
+            before = now
             book.apply(int(r.action), none(r.priority, int), none(r.prev_priority, int), none(r.side, int), none(r.price, float), none(r.qty, float))
-            rows.append((*key, r.seq, r.t, r.action, none(r.side, int), none(r.order_type, int), none(r.price, float), *before, *book.best()))
+            rows.append((*key, r.seq, r.t, r.action, none(r.side, int), none(r.order_type, int), none(r.price, float), *before, *(now := book.best())))
             last = int(r.seq)
         o = book.orders
         st.update((last, book.burst, list(o), [x[0] for x in o.values()], [x[1] for x in o.values()], [x[2] for x in o.values()]))
