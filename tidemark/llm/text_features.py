@@ -194,14 +194,14 @@ class BoostedTrees:
 
 def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the increasing step fit of y on score (pool adjacent violators), one pseudo-count of either label at the ends."""
-    order = np.argsort(score, kind="stable")
-    xs, ys = score[order], y[order].astype(float)
+    # equal scores are one point from the start
+    xs, back, times = np.unique(score, return_inverse=True, return_counts=True)
     value, weight, last = [], [], []
-    for a, b in zip(xs, ys):
+    for a, b, n in zip(xs, np.bincount(back, weights=y, minlength=len(xs)) / times, times.astype(float)):
         value.append(b)
-        weight.append(1.0)
+        weight.append(n)
         last.append(a)
-        while len(value) > 1 and (value[-2] >= value[-1] or last[-2] == last[-1]):
+        while len(value) > 1 and value[-2] >= value[-1]:
             v, w = value.pop(), weight.pop()
             value[-1] = (value[-1] * weight[-1] + v * w) / (weight[-1] + w)
             weight[-1] += w

@@ -26,6 +26,8 @@ LEXICON = [
 
 #: Labelled rows to fit on, and how long a text of the sample may be.
 SAMPLE_ROWS, SAMPLE_CHARS = 8_000, 50_000
+#: Parts of the sample; what is learned for one is learned from the others.
+FOLDS = 5
 
 
 def words_and_starts(texts: pd.Series) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -63,20 +65,24 @@ class ToxicityModel:
     def fit(self, texts: pd.Series, y: np.ndarray) -> "ToxicityModel":
         held = words_and_starts(texts)
 
-        def parts(rows):
+        def lists(rows):
             words, stems = learn_lists(held, y, rows, share=0.9)
-            lexicon = np.unique(np.concatenate([T.word_hashes(LEXICON), words]))
-            return lexicon, stems, T.BoostedTrees().fit(T.features(pa.array(texts[rows].tolist(), pa.string()), lexicon, stems), y[rows])
-
-        every = np.ones(len(y), bool)
-        self.lexicon, self.stems, self.trees = parts(every)
-        # calibration on rows that the scoring model of a fold has not seen
-        fold = np.arange(len(y)) % 3
+            return np.unique(np.concatenate([T.word_hashes(LEXICON), words])), stems
+
+        self.lexicon, self.stems = lists(np.ones(len(y), bool))
+        # a training row's features are by lists that were learned without it, as those of a new text are
+        fold, rng = np.zeros(len(y), np.int64), np.random.default_rng(0)
+        for label in (0, 1):
+            of = rng.permutation(np.flatnonzero(y == label))
+            fold[of] = np.arange(len(of)) % FOLDS
+        x = np.zeros((len(y), len(T.NAMES)))
+        for k in np.unique(fold):
+            x[fold == k] = T.features(pa.array(texts[fold == k].tolist(), pa.string()), *lists(fold != k))
+        self.trees = T.BoostedTrees().fit(x, y)
+        # calibration on margins by trees that have not seen the row either
         margin = np.zeros(len(y))
-        for k in range(3):
-            if (fold == k).any():
-                lexicon, stems, trees = parts(fold != k)
-                margin[fold == k] = trees.margin(T.features(pa.array(texts[fold == k].tolist(), pa.string()), lexicon, stems))
+        for k in np.unique(fold):
+            margin[fold == k] = T.BoostedTrees().fit(x[fold != k], y[fold != k]).margin(x[fold == k])
         self.knots, self.values = T.isotonic(margin, y) if len(y) else (np.zeros(1), np.full(1, 0.5))
         return self
 
