@@ -152,13 +152,136 @@ def test_toxicity(spark):
 
 
 def test_isotonic_is_the_least_squares_fit():
-    from tidemark.llm.text_features import isotonic
+    """By the closed form: the largest, over all starts, of the least mean up to any end. Values then shrink by one pseudo-count a step."""
+    from tidemark.llm import text_features as T
 
-    rng = np.random.default_rng(2)
-    s = np.arange(30.0)
-    y = (rng.uniform(size=30) < s / 30).astype(int)
-    knots, values = isotonic(s, y)
-    assert (np.diff(values) >= 0).all() and (np.diff(knots) > 0).all() and 0 < values[0] and values[-1] < 1
+    rng = np.random.default_rng(0)
+    x = np.round(rng.normal(size=60), 1)
+    y = (rng.random(60) < 1 / (1 + np.exp(-x))).astype(int)
+    knots, values = T.isotonic(x, y)
+    u = np.unique(x)
+    s = np.array([y[x == v].sum() for v in u], float)
+    n = np.array([(x == v).sum() for v in u], float)
+    mean = lambda i, j: s[i : j + 1].sum() / n[i : j + 1].sum()
+    want = np.array([max(min(mean(a, b) for b in range(i, len(u))) for a in range(i + 1)) for i in range(len(u))])
+    rate = (y.sum() + 1) / (len(y) + 2)
+    step = np.searchsorted(knots, u)
+    for k in range(len(knots)):
+        inside = step == k
+        assert np.allclose(want[inside], want[inside][0])
+        assert values[k] == pytest.approx((want[inside][0] * n[inside].sum() + rate) / (n[inside].sum() + 1))
+
+
+def test_toxicity_scores_one_by_one():
+    """Scores of a whole column equal a walk through every tree for each text alone."""
+    import pandas as pd
+
+    from tidemark.llm import text_features as T
+    from tidemark.llm import toxicity as X
+
+    r = random.Random(5)
+    texts = pd.Series([" ".join(r.choices(WORDS[:50] + (["idiot", "you", "scum!!"] if i % 3 == 0 else []), k=30)) for i in range(120)])
+    model = X.ToxicityModel().fit(texts, np.array([i % 3 == 0 for i in range(120)], int))
+    some = texts.tolist()[:25] + ["", None, "YOU IDIOT", "é" * 500]
+    got = model.score(pa.array(some, pa.string()))
+    for text, score in zip(some, got):
+        x = T.features(pa.array([text], pa.string()), model.lexicon, model.stems)[0]
+        margin = model.trees.base
+        for splits, value in model.trees.trees:
+            leaf = 0
+            for col, cut in splits:
+                code = sum(q < x[col[leaf]] for q in model.trees.cuts[col[leaf]])
+                leaf = 2 * leaf + int(code > cut[leaf])
+            margin += value[leaf]
+        step = np.interp(margin, model.knots, model.values)
+        assert score == pytest.approx(min(1, step + 1e-6 / (1 + math.exp(-margin))), abs=1e-9)
+
+
+def test_quality_by_hand(spark):
+    """Posteriors and decisions from given odds, by loops over the definition."""
+    from tidemark.llm import common as C
+    from tidemark.llm import quality as Q
+
+    r = random.Random(2)
+    rows = [(i, r.choice(["a", "b", None]), r.choice(["x", "y", None]), r.gauss(0.3, 2)) for i in range(120)]
+    scored = C.materialize(spark.createDataFrame(rows, "doc_id long, source string, lang string, _odds double"), "t")
+    table = Q.posteriors(scored, ["source"], ["lang"])
+    p = {i: 1 / (1 + math.exp(-o)) for i, _, _, o in rows}
+    share = (sum(p.values()) + 1) / (len(p) + 2)
+
+    def strength(groups):
+        n, v = sum(g[0] for g in groups), sum(g[0] * g[2] * (1 - g[2]) for g in groups)
+        within, between = v / n, sum(g[1] ** 2 / g[0] - 2 * g[1] * g[2] + g[0] * g[2] ** 2 for g in groups)
+        spread = (between - len(groups) * within) / max(n - sum(g[0] ** 2 for g in groups) / n, 1)
+        return min(max(within / spread - 1, 5), 1e4) if spread > 0 else 1e4
+
+    of = lambda pick: [(len(q := [p[x[0]] for x in rows if pick(x)]), sum(q))][0]
+    hosts = {h: of(lambda x: x[1] == h) for h in ("a", "b", None)}  # noqa: B023
+    m = strength([(*g, share) for g in hosts.values()])
+    host = {h: (k + m * share) / (n + m) for h, (n, k) in hosts.items()}
+    paths = {(h, q): of(lambda x: x[1:3] == (h, q)) for h in hosts for q in ("x", "y", None)}  # noqa: B023
+    w = strength([(*g, host[h]) for (h, _), g in paths.items()])
+    for r_ in Q.judge(scored, table, ["source"], ["lang"], 0.3).collect():
+        n, k = paths[(r_["source"], r_["lang"])]
+        q = (k - p[r_["doc_id"]] + w * host[r_["source"]]) / (n - 1 + w)
+        assert r_["quality"] == pytest.approx(1 / (1 + math.exp(-(r_["_odds"] - 0.3 + math.log(q / (1 - q))))), rel=1e-6)
+
+
+def test_contamination_covers_what_was_copied(spark):
+    """Slices of items between other words: contaminated where the slice, of a window at least, is a share of COVER, with that coverage."""
+    from tidemark.llm import decontaminate as D
+
+    r = random.Random(8)
+    items = [(i, " ".join(f"q{i}w{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(r.randint(3, 60)))) for i in range(25)]
+    docs, want = [], {}
+    for d in range(150):
+        item, text = r.choice(items)
+        w = text.split()
+        n = r.randint(1, len(w))
+        lo = r.randint(0, len(w) - n)
+        docs.append((d, " ".join(r.choices(["other", "plain", "words"], k=r.randint(0, 30)) + w[lo : lo + n] + ["end"]), "en", "s"))
+        hit = n / len(w) >= D.COVER and (n >= D.WINDOW or n == len(w) >= 3)
+        want[d] = (int(hit), item if hit else None, pytest.approx(n / len(w)) if hit else 0.0)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for row in D.find_contamination(docs_of(spark, docs), bench).collect():
+        assert (row["contaminated"], row["item_id"], row["coverage"]) == want[row["doc_id"]], (row, docs[row["doc_id"]])
+
+
+def test_empty_tables_and_clashing_names(spark, tmp_path):
+    """Every operator on no rows, and on rows with columns named as its own."""
+    import public_tokenizers
+
+    import corpus_pipeline
+    from tidemark.llm import decontaminate as D
+    from tidemark.llm import language_id as L
+    from tidemark.llm import license_scan as S
+    from tidemark.llm import mixing as M
+    from tidemark.llm import nearest as N
+    from tidemark.llm import quality as Q
+    from tidemark.llm import token_planes as P
+    from tidemark.llm import toxicity as X
+    from tidemark.llm import warc as R
+
+    none = spark.createDataFrame([], DOCS)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([], "item_id long, text string")
+    odd = docs_of(spark, odd_rows(n=12)).withColumn("_key", F.lit(1)).withColumn("tie", F.lit(2)).withColumn("row", F.lit(3))
+    for docs in (none, odd):
+        n = docs.count()
+        assert X.score_toxicity(docs, X.fit_toxicity(docs, labels)).count() == n
+        assert Q.classify_quality(docs, labels).count() == n and Q.keep_good(docs, labels).columns == docs.columns
+        assert L.identify_language(docs, L.fit_language(docs)).count() == n
+        assert S.scan_licenses(docs).count() == n
+        assert D.find_contamination(docs, bench).filter("contaminated = 0").count() == D.drop_contaminated(docs, bench).count() == n
+        assert M.mix_sources(docs).count() == n and M.mix_documents(docs).columns == docs.columns
+        P.write_tokens(docs, str(tmp_path / f"t{n}"), public_tokenizers.path("byte_bpe_50k.json"))
+        assert P.read_tokens(spark, str(tmp_path / f"t{n}")).count() == n
+    pages = spark.createDataFrame([(1, "u", "<p>x", "r", "m"), (1, "u", "<p>x", "r", "m"), (None, None, None, None, None)], "page_id long, url string, html string, record string, text string")
+    assert R.derive_records(pages).count() == 3 and R.derive_records(pages.limit(0)).count() == 0
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<float>, h long, cell int")
+    assert N.nearest_neighbours(vectors, F.col("vec_id") % 2 == 0).count() == 0
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, none, SF).columns == none.columns, name
 
 
 def test_language(spark):

@@ -33,9 +33,31 @@ def scratch_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Lists that take the paths of tables as they are written.
+_TRACKED: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def tracked():
+    """A list of the tables that are written inside, to be deleted by discard_paths() once nothing reads them."""
+    paths: list[str] = []
+    _TRACKED.append(paths)
+    try:
+        yield paths
+    finally:
+        _TRACKED.remove(paths)
+
+
+def new_path(spark: SparkSession, tag: str) -> str:
+    path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    for paths in _TRACKED:
+        paths.append(path)
+    return path
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: a written table in the shared folder, so that a lost executor loses nothing."""
-    path = f"{scratch_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch_path = path
@@ -44,9 +66,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete a table of materialize() that nothing reads any more."""
-    path, spark = df._scratch_path, df.sparkSession
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    discard_paths(df.sparkSession, [df._scratch_path])
+
+
+def discard_paths(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def fetch_by_id(docs: DataFrame, wanted: DataFrame, key: str, most: int = 200_000) -> DataFrame:

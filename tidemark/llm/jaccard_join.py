@@ -364,12 +364,14 @@ def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """
     where = docs.columns.index("text")
     keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    members, table = classes(_keyed(docs, "doc_id", "text"), k, percent)
+    with C.tracked() as paths:
+        members, table = classes(_keyed(docs, "doc_id", "text"), k, percent)
     first = table.groupBy("root").agg(F.min_by("node", F.struct("rep", "node")).alias("node"))
     kept = C.materialize(table.join(first, "node", "left_semi").select("node", F.col("rep").alias("_key")), "kept")
     # a doc_id that stands once needs no look at its text
     seen = members.groupBy(F.col("doc_id").alias("_key")).agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("node")).filter("node is not null")
     seen = C.materialize(seen.join(kept.withColumn("stays", F.lit(True)), ["node", "_key"], "left").selectExpr("_key", "times", "stays is not null as stays"), "seen")
+    C.discard_paths(docs.sparkSession, paths)
     gone, again = seen.filter("times = 1 and not stays").select("_key"), seen.filter("times > 1").select("_key")
     sure = _without(_without(keyed, gone), again).drop("_key")
     if again.isEmpty():

@@ -298,6 +298,6 @@ def read_tokens(spark, path: str, with_ids: bool = False) -> DataFrame:
 def op7_token_planes(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path = f"{C.scratch_dir(spark)}/tokens-{C.uuid.uuid4().hex}"
+    path = C.new_path(spark, "tokens")
     write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return read_tokens(spark, path)
