@@ -569,6 +569,38 @@ def test_nearest(spark):
     assert N.chi_square_bound(0.95) == pytest.approx(15.507313, abs=1e-5)
 
 
+def test_nearest_over_many_cells(spark, monkeypatch):
+    """Clustered vectors in many cells: exact scores, recall of 0.9 and more, and few cells within reach of a query."""
+    from tidemark.llm import nearest as N
+
+    monkeypatch.setattr(N, "CELL", 40)
+    rng = np.random.default_rng(6)
+    centres = 6 * rng.normal(size=(32, 24))
+    x = centres[rng.integers(0, 32, 2000)] + 0.3 * rng.normal(size=(2000, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in N.nearest_neighbours(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits, kth = 0, []
+    for q in range(0, 2000, 20):
+        s = unit @ unit[q]
+        s[q] = -2
+        best = np.argsort(-s, kind="stable")[:5]
+        hits += len(set(best) & set(got[q]))
+        kth.append(s[best[-1]])
+        assert len(got[q]) == 5 and all(v == pytest.approx(s[i], abs=1e-12) for i, v in got[q].items())
+    assert hits >= 0.9 * 500
+    z = unit @ np.random.default_rng(N.SEED).normal(size=(24, N.M))
+    cells = N.Cells(z, 2000)
+    of = cells.of(z)
+    boxes = {c: (z[of == c].min(0), z[of == c].max(0)) for c in np.unique(of)}
+    bound, visited = N.chi_square_bound(N.CERTAINTY), 0
+    for q, s in zip(range(0, 2000, 20), kth):
+        visited += sum((np.maximum(np.maximum(a - z[q], z[q] - b), 0) ** 2).sum() <= bound * (2 - 2 * s) for a, b in boxes.values())
+    assert len(boxes) >= 32 and visited <= 0.25 * 100 * len(boxes)
+
+
 def test_decontamination(spark):
     from tidemark.llm import decontaminate as D
 
@@ -661,6 +693,29 @@ def test_license_containment_and_gaps():
         assert scanner.detect(text, None) == kept
 
 
+def test_every_license_rule_finds_its_own_words():
+    """A text made of each rule's first alternatives is found by the gated scan with that rule's label, unless a better rule covers it."""
+    from tidemark.llm import license_scan as S
+
+    scanner = S.Scanner()
+    for label, keyword, pattern, *_ in S.WHOLE_TEXTS:
+        # the pattern as text: optional parts left out, first alternatives taken
+        text, was = pattern, ""
+        while text != was:
+            was = text
+            text = re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)(\?)?", lambda m: "" if m[2] else m[1], text)
+        text = re.sub(r"\(\?!.*?\]\)", "", text)
+        text = re.sub(r"\[\^\.\]\{0,\d+\}\?", "", text)
+        text = text.replace(".{1,80}?", "someone").replace("\\w+", "uck").replace("[1-4]", "4").replace("[0-9]{2}", "20").replace("\\(", "(")
+        text = re.sub(r"\\(.)", r"\1", re.sub(r"(?<!\\)[\w ,\"-]\?|/\?", lambda m: m[0][0] if m[0][0] == "/" else "", text))
+        have = scanner.have(text.encode())
+        assert keyword in have, (keyword, text)
+        compiled = [r for r in scanner.rules if r[0] == label and r[2].pattern == S.gap(pattern)][0]
+        assert compiled[2].search(text), (pattern, text)
+        assert scanner.detect(text, have), text
+    assert len(scanner.rules) >= 600 and len(S.WHOLE_TEXTS) >= 80
+
+
 def test_license_gate_changes_nothing(spark):
     """Rules behind keywords find what all rules find, on lines without a word of licensing too."""
     from tidemark.llm import license_scan as S

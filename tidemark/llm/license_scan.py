@@ -77,6 +77,7 @@ CARRIERS = [
     (r"{name}(?: public)?,? licen[sc]e(?:,? ?(?:version |v\.? ?)?[0-9]+(?:\.[0-9]+)*)?", 3, 0.8),
     (r"see (?:the )?(?:file )?{name}[ .-]licen[sc]e", 3, 0.7),
 ]
+#: (label, a word that every match holds, pattern, priority, weight). Fixed words of public licenses and notices.
 WHOLE_TEXTS = [
     ("mit", "granted", r"permission is hereby granted, free of charge, to any person obtaining a copy", 0, 0.97),
     ("isc", "permission", r"permission to use, copy, modify, and/?or distribute this software for any purpose with or without fee is hereby granted", 0, 0.97),
@@ -86,11 +87,84 @@ WHOLE_TEXTS = [
     ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain", 0, 0.97),
     ("public-domain", "domain", r"(?:released|dedicated|placed) (?:in)?to the public domain", 2, 0.8),
     ("proprietary", "reserved", r"all rights reserved", 5, 0.5),
-    ("copyright", "copyright", r"copyright (?:\(c\)|©)? ?(?:19|20)[0-9]{2}", 6, 0.3),
+    ("copyright", "copyright", r"copyright ?(?:\(c\)|©)? ?(?:19|20)[0-9]{2}", 6, 0.3),
     ("cc-by", "creativecommons", r"creativecommons\.org/licenses/by/[1-4]\.0", 1, 0.95),
     ("cc-by-sa", "creativecommons", r"creativecommons\.org/licenses/by-sa/[1-4]\.0", 1, 0.95),
     ("cc-by-nc", "creativecommons", r"creativecommons\.org/licenses/by-nc/[1-4]\.0", 1, 0.95),
     ("cc0", "creativecommons", r"creativecommons\.org/publicdomain/zero/1\.0", 1, 0.95),
+    ("cc-by-nd", "creativecommons", r"creativecommons\.org/licenses/by-nd/[1-4]\.0", 1, 0.95),
+    ("cc-by-nc-sa", "creativecommons", r"creativecommons\.org/licenses/by-nc-sa/[1-4]\.0", 1, 0.95),
+    ("cc-by-nc-nd", "creativecommons", r"creativecommons\.org/licenses/by-nc-nd/[1-4]\.0", 1, 0.95),
+    # addresses
+    ("apache-2", "apache.org", r"apache\.org/licenses/license-2\.0", 1, 0.95),
+    ("apache-1.1", "apache.org", r"apache\.org/licenses/license-1\.1", 1, 0.95),
+    ("mit", "opensource.org", r"opensource\.org/licenses?/mit(?![\w-])", 1, 0.95),
+    ("bsd-2", "opensource.org", r"opensource\.org/licenses?/bsd-2-clause", 1, 0.95),
+    ("bsd-3", "opensource.org", r"opensource\.org/licenses?/bsd-3-clause", 1, 0.95),
+    ("isc", "opensource.org", r"opensource\.org/licenses?/isc", 1, 0.95),
+    ("gpl", "gnu.org", r"gnu\.org/(?:licenses|copyleft)/gpl", 1, 0.9),
+    ("lgpl", "gnu.org", r"gnu\.org/(?:licenses|copyleft)/lgpl", 1, 0.9),
+    ("agpl-3", "gnu.org", r"gnu\.org/licenses/agpl", 1, 0.9),
+    ("gfdl", "gnu.org", r"gnu\.org/(?:licenses|copyleft)/fdl", 1, 0.9),
+    ("mpl-2", "mozilla.org", r"mozilla\.org/mpl/2\.0", 1, 0.95),
+    ("mpl-1.1", "mozilla.org", r"mozilla\.org/mpl/1\.1", 1, 0.95),
+    ("epl-1", "eclipse.org", r"eclipse\.org/legal/epl-v10", 1, 0.95),
+    ("epl-2", "eclipse.org", r"eclipse\.org/legal/epl-(?:v20|2\.0)", 1, 0.95),
+    ("bsl-1", "boost.org", r"boost\.org/license_1_0\.txt", 1, 0.95),
+    ("unlicense", "unlicense.org", r"unlicense\.org", 1, 0.9),
+    ("wtfpl", "wtfpl.net", r"wtfpl\.net", 1, 0.9),
+    ("ofl-1.1", "scripts.sil.org", r"scripts\.sil\.org/ofl", 1, 0.9),
+    ("odbl", "opendatacommons", r"opendatacommons\.org/licenses/odbl", 1, 0.95),
+    ("odc-by", "opendatacommons", r"opendatacommons\.org/licenses/by", 1, 0.95),
+    # sentences of the texts
+    ("mit", "copyright", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions", 0, 0.95),
+    ("mit-0", "restriction", r"to deal in the software without restriction[^.]{0,200}? and to permit persons to whom the software is furnished to do so\. the software is provided", 0, 0.9),
+    ("apache-2", "this", r"you may not use this file except in compliance with the license", 0, 0.95),
+    ("apache-2", "distributed", r"distributed on an \"?as is\"? basis, without warranties or conditions of any kind", 0, 0.95),
+    ("apache-2", "perpetual", r"each contributor hereby grants to you a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license", 0, 0.97),
+    ("apache-2", "notice", r"if the work includes a \"?notice\"? text file as part of its distribution", 0, 0.95),
+    ("gpl", "redistribute", r"you can redistribute it and/or modify it under the terms of the gnu general public license", 0, 0.95),
+    ("lgpl", "redistribute", r"you can redistribute it and/or modify it under the terms of the gnu lesser general public license", 0, 0.95),
+    ("lgpl", "redistribute", r"you can redistribute it and/or modify it under the terms of the gnu library general public license", 0, 0.95),
+    ("agpl-3", "redistribute", r"you can redistribute it and/or modify it under the terms of the gnu affero general public license", 0, 0.95),
+    ("gpl", "freedom", r"licenses for most software are designed to take away your freedom to share and change it", 0, 0.95),
+    ("gpl-3", "copyleft", r"the gnu general public license is a free, copyleft license for software and other kinds of works", 0, 0.97),
+    ("agpl-3", "copyleft", r"the gnu affero general public license is a free, copyleft license", 0, 0.97),
+    ("gfdl", "invariant", r"with no invariant sections, no front-cover texts,? and no back-cover texts", 0, 0.95),
+    ("bsd", "reproduce", r"redistributions in binary form must reproduce the above copyright notice", 0, 0.95),
+    ("bsd", "retain", r"redistributions of source code must retain the above copyright notice", 0, 0.95),
+    ("bsd-3", "endorse", r"may be used to endorse or promote products derived from this software without specific prior written permission", 0, 0.97),
+    ("bsd-4", "advertising", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment", 0, 0.97),
+    ("bsd-2", "freebsd", r"official policies, either expressed or implied, of the freebsd project", 0, 0.9),
+    ("isc", "without", r"any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", 0, 0.95),
+    ("mpl-2", "mozilla", r"this source code form is subject to the terms of the mozilla public license,? v\. 2\.0", 0, 0.97),
+    ("mpl-1.1", "mozilla", r"the contents of this file are subject to the mozilla public license version 1\.1", 0, 0.97),
+    ("mpl-2", "software", r"covered software is provided under this license on an \"?as is\"? basis", 0, 0.9),
+    ("epl-1", "eclipse", r"made available under the terms of the eclipse public license v1\.0", 0, 0.97),
+    ("epl-2", "eclipse", r"made available under the terms of the eclipse public license (?:v\. ?)?2\.0", 0, 0.97),
+    ("cddl-1", "development", r"subject to the terms of the common development and distribution license", 0, 0.95),
+    ("zlib", "altered", r"altered source versions must be plainly marked as such", 0, 0.95),
+    ("zlib", "misrepresented", r"the origin of this software must not be misrepresented", 0, 0.95),
+    ("bsl-1", "machine-executable", r"unless such copies or derivative works are solely in the form of machine-executable object code", 0, 0.97),
+    ("artistic-2", "package", r"everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed\. preamble this license establishes the terms under which a given free software package", 0, 0.9),
+    ("wtfpl", "just", r"you just do what the f\w+ you want to", 0, 0.97),
+    ("ofl-1.1", "software", r"this font software is licensed under the sil open font license", 0, 0.97),
+    ("ofl-1.1", "software", r"the font software may be modified, altered, or added to", 0, 0.9),
+    ("cc0", "waive", r"to the extent possible under law,? .{1,80}? waived all copyright and related or neighboring rights", 0, 0.97),
+    ("cc-by-sa", "similar", r"distribute the resulting work only under the same or similar license", 1, 0.6),
+    ("cc-by-nc", "commercial", r"you may not use the material for commercial purposes", 1, 0.6),
+    ("postgresql", "postgresql", r"postgresql database management system \(formerly known as postgres", 0, 0.9),
+    ("python-2", "hereby", r"psf hereby grants licensee a nonexclusive, royalty-free, world-wide license", 0, 0.97),
+    ("upl-1", "larger", r"larger works? to which the software is contributed", 0, 0.9),
+    ("ms-pl", "accept", r"if you use the software, you accept this license\. if you do not accept the license, do not use the software", 0, 0.9),
+    ("eupl-1.2", "eupl", r"licensed under the eupl,? (?:version |v\.? ?)?1\.2", 0, 0.97),
+    ("openrail", "restrictions", r"use-based restrictions as referenced in paragraph 5", 0, 0.95),
+    ("public-domain", "domain", r"this (?:work|file|software|text|image) is in the public domain", 1, 0.85),
+    ("public-domain", "reserved", r"no rights reserved", 4, 0.6),
+    ("proprietary", "confidential", r"proprietary and confidential", 4, 0.6),
+    ("proprietary", "unauthorized", r"unauthorized (?:copying|use|reproduction|distribution) of this (?:file|software|document|material)", 4, 0.7),
+    ("proprietary", "permission", r"(?:may not|must not) be (?:reproduced|copied|redistributed|distributed)[^.]{0,80}? without (?:the )?(?:prior )?(?:express )?written permission", 4, 0.7),
+    ("proprietary", "evaluation", r"licensed for evaluation (?:purposes )?only", 4, 0.7),
 ]
 
 
