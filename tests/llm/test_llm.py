@@ -762,3 +762,18 @@ def test_pipeline_stages(spark):
         assert out.columns == docs.columns, name
         docs = out
     assert P.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
+def test_pipeline_runs_whole_and_tidies(spark):
+    """run() gives the rows of its stages, and nested lists of scratch tables don't mix."""
+    import corpus_pipeline
+    from tidemark.llm import common as C
+
+    with C.tracked() as outer:
+        with C.tracked() as inner:
+            pass
+        a = C.materialize(spark.range(3), "a")
+    assert inner == [] and outer == [a._scratch_path] and not C._TRACKED
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    rows = out.agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("t"), F.max(F.col("start") + F.col("n_tokens")).alias("end")).first()
+    assert rows["n"] > 20 and rows["t"] == rows["end"]

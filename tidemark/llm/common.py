@@ -45,7 +45,7 @@ def tracked():
     try:
         yield paths
     finally:
-        _TRACKED.remove(paths)
+        _TRACKED[:] = [x for x in _TRACKED if x is not paths]
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
