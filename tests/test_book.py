@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import book, book_events
+from tidemark.operators import align, book, book_events
 from tidemark.streaming.jobs import LiveBook
 
 SCHEMA = "symbol long, seq long, t long, action int, priority long, prev_priority long, order_type int, side int, price double, qty double"
@@ -113,3 +113,19 @@ def test_cold_start_and_empty(spark):
     cold = book.order_lifetimes(df, ["symbol"], session_mode="cold", start="start", end="end")
     assert cold.agg(F.min("start_t")).first()[0] >= 500
     assert book.order_lifetimes(spark.createDataFrame([], SCHEMA), ["symbol"]).count() == 0
+
+
+def test_window_context_by_loops(spark):
+    """Busy and empty windows, ties, repeated centres, keys of one side only, missing times, at bucket edges."""
+    rng = random.Random(4)
+    events = [(k, seq, rng.choice([rng.randrange(-40, 60), 100 + rng.randrange(3)])) for k in ("a", "b") for seq in range(120)] + [("c", 1, 5), ("a", 500, None)]
+    centers = [(k, i, t) for k in ("a", "b", "d") for i, t in enumerate([-50, -10, 0, 9, 10, 11, 55, 100, 101, 300, 0])] + [("a", 99, None)]
+    e, c = spark.createDataFrame(events, "k string, seq int, t long"), spark.createDataFrame(centers, "k string, center int, t long")
+    got = sorted(tuple(r) for r in align.window_context(e, c, 10, ["k"], per=6).select("k", "center", "seq", "rank", "offset").collect())
+    want = []
+    for k, i, at in centers:
+        if at is not None:
+            near = sorted((t, seq) for x, seq, t in events if x == k and t is not None and abs(t - at) <= 10)[:6]
+            want += [(k, i, seq, n + 1, t - at) for n, (t, seq) in enumerate(near)]
+    assert got == sorted(want) and len(got) > 50
+    assert align.window_context(e.limit(0), c, 10, ["k"]).count() == 0 and align.window_context(e, c.limit(0), 10, ["k"]).count() == 0

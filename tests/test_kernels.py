@@ -57,6 +57,23 @@ def test_change_test(spark):
     assert again["none"]["p_value"] == boot["none"]["p_value"]
 
 
+@pytest.mark.parametrize("width", [0.05, 7.0, 1e6])
+def test_excitation_in_chunks(spark, width):
+    """The same states however a key is cut: ties, long pauses, a key of one event, rows without a time."""
+    rng = np.random.default_rng(8)
+    a = np.round(np.sort(np.concatenate((rng.uniform(0, 20, 60), rng.uniform(2000, 2003, 60)))), 2)
+    df = spark.createDataFrame([("a", float(x)) for x in rng.permutation(a)] + [("b", 5.0), ("b", None)], "k string, t double")
+    out = hawkes.excitation(df, ["k"], 1.5, 0.7, 0.4, width=width).toPandas().sort_values(["k", "t", "state"])
+    got = out[out["k"] == "a"]
+    s = np.array([np.exp(-1.5 * (a[i] - a[:i])).sum() for i in range(len(a))])
+    assert np.allclose(got["t"], a) and np.allclose(got["state"], s) and np.allclose(got["intensity"], 0.7 + 0.6 * s)
+    grown = [0.7 * x + 0.4 * (1 - np.exp(-1.5 * (x - a[a < x]))).sum() for x in a]
+    assert np.allclose(np.cumsum(got["increment"]), grown)
+    only = out[out["k"] == "b"]
+    assert len(only) == 1 and only["state"].item() == 0 and only["increment"].item() == pytest.approx(3.5)
+    assert hawkes.excitation(df.limit(0), ["k"], 1.5, width=width).count() == 0
+
+
 def test_bivariate(spark):
     rng = np.random.default_rng(4)
     t = np.sort(rng.uniform(0, 300, 500))

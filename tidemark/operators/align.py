@@ -48,13 +48,32 @@ def window_sums(events: DataFrame, centers: DataFrame, w: int, keys: list[str],
     return low.withColumn(t, F.col("_t")).withColumn("window_sum", F.coalesce("_high", F.lit(0.0)) - F.coalesce("_total", F.lit(0.0))).select(*centers.columns, "window_sum")
 
 
+def _numbered(events: DataFrame, w: int, keys: list[str], t: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """Events with their place in their key's order (_n, from 1), ranked inside buckets of width w; and each bucket's events up to its end."""
+    rows = events.withColumn("_b", F.floor(F.col(t) / w))
+    total = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_size")).select(*keys, "_b", F.sum("_size").over(W.partitionBy(*keys).orderBy("_b")).alias("_upto"), "_size")
+    own = F.row_number().over(W.partitionBy(*keys, "_b").orderBy(t, order))
+    placed = rows.withColumn("_own", own).join(total, [*keys, "_b"]).withColumn("_n", F.col("_upto") - F.col("_size") + F.col("_own"))
+    return placed.drop("_upto", "_size"), total.select(*keys, "_b", "_upto")
+
+
 def window_context(events: DataFrame, centers: DataFrame, w: int, keys: list[str], t: str = "t", per: int = 25, center_id: str = "center", order: str = "seq") -> DataFrame:
-    """The first `per` events in each centre's window: an equal join on buckets of width w and their neighbours."""
-    b = lambda c: F.expr(f"{c} div {w}")
-    c = centers.select(*keys, center_id, F.col(t).alias("_c")).withColumn("_b", F.explode(F.array(b("_c") - 1, b("_c"), b("_c") + 1)))
-    rows = c.join(events.withColumn("_b", b(t)), [*keys, "_b"]).filter(F.abs(F.col(t) - F.col("_c")) <= w).drop("_b")
-    rank = F.row_number().over(W.partitionBy(*keys, center_id).orderBy(t, order))
-    return rows.withColumn("rank", rank).filter(F.col("rank") <= per).withColumn("offset", F.col(t) - F.col("_c")).drop("_c")
+    """The first `per` events in each centre's window, ranked from 1, with their offset in time.
+
+    Events are numbered by (t, order) in each key. A centre looks up how many lie before its window and asks for the
+    next `per` numbers by an equal join, so a window of many events costs no more than one of `per`. Rank and look-up
+    go by buckets of width w; only one row a bucket meets in one task of a key. Centres or events without keys or time
+    are in no window.
+    """
+    placed, total = _numbered(events.filter(F.col(t).isNotNull()), w, keys, t, order)
+    c = centers.filter(F.col(t).isNotNull()).select(*keys, center_id, F.col(t).alias("_c"), (F.col(t) - w).alias("_low")).withColumn("_b", F.floor(F.col("_low") / w))
+    # events of earlier buckets, then those of the bucket in which the window begins
+    buckets = asof_backward(c.select(*keys, "_b").distinct(), total, keys, "_b", ["_upto"], strict=True)
+    inside = asof_backward(c.withColumnRenamed("_low", t), placed.select(*keys, "_b", t, "_own"), [*keys, "_b"], t, ["_own"], strict=True, tie="_own")
+    begins = inside.join(buckets, [*keys, "_b"]).select(*keys, center_id, "_c", (F.coalesce("_upto", F.lit(0)) + F.coalesce("_own", F.lit(0))).alias("_before"))
+    wanted = begins.withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(per)))).withColumn("_n", F.col("_before") + F.col("rank"))
+    rows = wanted.join(placed.drop("_b", "_own"), [*keys, "_n"]).filter(F.col(t) <= F.col("_c") + w)
+    return rows.withColumn("offset", F.col(t) - F.col("_c")).drop("_c", "_n", "_before")
 
 
 def alignment_stats(sums: DataFrame, value: str = "window_sum", by: list[str] | None = None) -> DataFrame:

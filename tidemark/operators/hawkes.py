@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .stats import chi2_sf, minimize
 
@@ -231,18 +232,46 @@ def hawkes_change_test(df: DataFrame, keys: list[str], model: str = "uni", beta:
     return df.groupBy(*keys).applyInPandas(run, f"{_types(df, keys)}, l0 double, l1 double, l2 double, lr double, dof int, p_value double")
 
 
-def excitation(df: DataFrame, keys: list[str], beta: float, mu: float = 1.0, alpha: float = 0.5, t: str = "t") -> DataFrame:
-    """t, state before each event, intensity, and the compensator's increment since the event before."""
+def _carried(chunks: DataFrame, keys: list[str], beta: float) -> DataFrame:
+    """For each chunk the time of the last event before it and the state just after that event; null in a key's first chunk.
+
+    A chunk is summed up in one row; only these rows of a key meet in one task.
+    """
+    last = F.max("t").over(W.partitionBy(*keys, "chunk"))
+    ends = chunks.withColumn("last", last).groupBy(*keys, "chunk").agg(F.max("last").alias("last"), F.sum(F.exp(beta * (F.col("t") - F.col("last")))).alias("own"))
 
     def run(key, pdf):
-        x, _ = _sorted(pdf, t)
-        s = decay_states(x, beta)
-        dt = np.diff(x, prepend=0.0)
-        before = np.concatenate(([0.0], s[:-1] + 1)) * (np.arange(len(x)) > 0)
+        pdf = pdf.sort_values("chunk")
+        after, out, before = 0.0, [], None
+        for last, own in zip(pdf["last"].tolist(), pdf["own"].tolist()):
+            out.append((before, after if before is not None else None))
+            after = own + (after * math.exp(-beta * (last - before)) if before is not None else 0.0)
+            before = last
+        return pd.DataFrame({**{k: [v] * len(pdf) for k, v in zip(keys, key)}, "chunk": pdf["chunk"], "from_t": [x for x, _ in out], "from_state": [y for _, y in out]})
+
+    return ends.groupBy(*keys).applyInPandas(run, f"{_types(chunks, keys)}, chunk long, from_t double, from_state double")
+
+
+def excitation(df: DataFrame, keys: list[str], beta: float, mu: float = 1.0, alpha: float = 0.5, t: str = "t", width: float = 24.0) -> DataFrame:
+    """t, state before each event, intensity, and the compensator's increment since the event before.
+
+    A key is cut into chunks of `width` units of time, each a group of its own with the state carried in, so one busy
+    key runs in many tasks. Equal times share a chunk. Rows without a time are left out.
+    """
+    chunks = df.filter(F.col(t).isNotNull()).select(*keys, F.col(t).cast("double").alias("t")).withColumn("chunk", F.floor(F.col("t") / width))
+
+    def run(key, pdf):
+        pdf = pdf.sort_values("t")
+        x, begun = pdf["t"].to_numpy(float), pd.notna(pdf["from_t"].iloc[0])
+        from_t, from_state = (float(pdf["from_t"].iloc[0]), float(pdf["from_state"].iloc[0])) if begun else (0.0, 0.0)
+        s = decay_states(x, beta) + from_state * np.exp(-beta * (x - from_t))
+        dt = np.diff(x, prepend=from_t)
+        before = np.concatenate(([from_state], s[:-1] + 1))
         inc = mu * dt + alpha * before * (1 - np.exp(-beta * dt))
         return pd.DataFrame({**{k: [v] * len(x) for k, v in zip(keys, key)}, "t": x, "state": s, "intensity": mu + alpha * beta * s, "increment": inc})
 
-    return df.groupBy(*keys).applyInPandas(run, f"{_types(df, keys)}, t double, state double, intensity double, increment double")
+    joined = chunks.join(_carried(chunks, keys, beta), [*keys, "chunk"])
+    return joined.groupBy(*keys, "chunk").applyInPandas(run, f"{_types(df, keys)}, t double, state double, intensity double, increment double")
 
 
 def intensity_at(df: DataFrame, keys: list[str], beta: float, mu: float, alpha: float, n: int = 2000, t: str = "t") -> DataFrame:

@@ -121,9 +121,11 @@ def trade_counts(trades: DataFrame, minutes: int = 1, keys: list[str] = KEYS) ->
 
 def event_seconds(trades: DataFrame, eps: float = 1e-6, keys: list[str] = KEYS, seq: str = "seq") -> DataFrame:
     """Seconds since the key's first trade of either side; equal stamps of a side are set eps apart in sequence order."""
-    w = W.partitionBy(*keys)
     tie = F.row_number().over(W.partitionBy(*keys, "sign", "t_us").orderBy(seq)) - 1
-    out = trades.withColumn("t_seconds", (F.col("t_us") - F.min("t_us").over(w)) / 1e6)
+    first = trades.groupBy(*keys).agg(F.min("t_us").alias("_first"))
+    # one row a key, joined on keys of which none is lost, null ones included
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    out = trades.alias("a").join(first.alias("b"), same).select("a.*", ((F.col("t_us") - F.col("_first")) / 1e6).alias("t_seconds"))
     return out.withColumn("t_seconds_jitter", F.col("t_seconds") + F.lit(eps) * tie)
 
 

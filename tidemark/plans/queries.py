@@ -683,9 +683,25 @@ def events_of(v, every: int = 1):
     return t.select("symbol", (F.col("t_seconds_jitter") / 3600).alias("t"), F.when(F.col("sign") == 1, 0).otherwise(1).alias("mark"))
 
 
-@query("w14_excitation")
+#: events_of in SQL, numbered in time.
+EVENTS = """, c as (select symbol, sign, seq, t_us, (t_us - min(t_us) over (partition by symbol)) / 1e6 as t_seconds
+    from v_trades where mechanism = 1 and mode = '2' and sign in (1, -1)),
+  j as (select symbol, (t_seconds + 1e-3 * (row_number() over (partition by symbol, sign, t_us order by seq) - 1)) / 3600 as t from c),
+  e as (select symbol, t, row_number() over (partition by symbol order by t) as i from j)"""
+
+
+@query(
+    "w14_excitation",
+    "trades",
+    EVENTS
+    + """, s as (select a.symbol, a.i, any_value(a.t) as t, coalesce(sum(exp(2.0 * (b.t - a.t))), 0.0) as state
+    from e a left join e b on a.symbol = b.symbol and b.i < a.i group by a.symbol, a.i),
+  p as (select symbol, t, state, lag(t) over w as last, lag(state) over w + 1 as after from s window w as (partition by symbol order by i))
+select symbol, t, round(state, 6) as state, round(1.0 + 0.3 * 2.0 * state, 6) as intensity,
+  round(t - coalesce(last, 0) + 0.3 * coalesce(after, 0) * (1 - exp(-2.0 * (t - coalesce(last, 0)))), 6) as increment from p""",
+)
 def _(v):
-    return hawkes.excitation(events_of(v), KEY, beta=2.0, mu=1.0, alpha=0.3)
+    return r6(hawkes.excitation(events_of(v), KEY, beta=2.0, mu=1.0, alpha=0.3), "state", "intensity", "increment")
 
 
 @query("w15_dynamic_kde")
@@ -698,9 +714,16 @@ def _(v):
     return r6(distribution.qq_table(v.series, "q", "exp", KEY), "p", "theoretical")
 
 
-@query("w17_intensity_at")
+@query(
+    "w17_intensity_at",
+    "trades",
+    EVENTS
+    + """, g as (select symbol, i, top * i / 499 as t from (select symbol, max(t) as top from e group by symbol) z, (select unnest(range(0, 500))::int as i) q)
+select g.symbol, g.i, round(any_value(g.t), 6) as t, round(1.0 + 0.3 * 2.0 * coalesce(sum(exp(2.0 * (e.t - g.t))), 0.0), 6) as intensity
+from g left join e on e.symbol = g.symbol and e.t <= g.t group by g.symbol, g.i""",
+)
 def _(v):
-    return hawkes.intensity_at(events_of(v), KEY, beta=2.0, mu=1.0, alpha=0.3, n=500)
+    return r6(hawkes.intensity_at(events_of(v), KEY, beta=2.0, mu=1.0, alpha=0.3, n=500), "t", "intensity")
 
 
 # --- order and sets
@@ -1043,7 +1066,7 @@ def _(v):
     from ..sources.readers import read_depth_wide
 
     wide = v.series.select(F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), "day"), "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.col("x").alias("p1"), F.col("q").alias("q1"), (F.col("x") + 1).alias("p2"), (F.col("q") + 1).alias("q2"), "symbol")
-    path = landed(wide.repartition(1), "depth", "csv", header="true")
+    path = landed(wide, "depth", "csv", header="true")
     back = read_depth_wide(v.spark, path).withColumn("day", F.unix_date(F.to_date("ts")))
     return v.series.select("symbol", "day", F.col("x").alias("p1")).join(back, ["day", "p1"]).select("symbol", "day", "p1", "q1", "p2", "q2")
 
