@@ -684,7 +684,7 @@ def events_of(v, every: int = 1):
 
 
 #: events_of in SQL, numbered in time.
-EVENTS = """, c as (select symbol, sign, seq, t_us, (t_us - min(t_us) over (partition by symbol)) / 1e6 as t_seconds
+POINTS = """, c as (select symbol, sign, seq, t_us, (t_us - min(t_us) over (partition by symbol)) / 1e6 as t_seconds
     from v_trades where mechanism = 1 and mode = '2' and sign in (1, -1)),
   j as (select symbol, (t_seconds + 1e-3 * (row_number() over (partition by symbol, sign, t_us order by seq) - 1)) / 3600 as t from c),
   e as (select symbol, t, row_number() over (partition by symbol order by t) as i from j)"""
@@ -693,7 +693,7 @@ EVENTS = """, c as (select symbol, sign, seq, t_us, (t_us - min(t_us) over (part
 @query(
     "w14_excitation",
     "trades",
-    EVENTS
+    POINTS
     + """, s as (select a.symbol, a.i, any_value(a.t) as t, coalesce(sum(exp(2.0 * (b.t - a.t))), 0.0) as state
     from e a left join e b on a.symbol = b.symbol and b.i < a.i group by a.symbol, a.i),
   p as (select symbol, t, state, lag(t) over w as last, lag(state) over w + 1 as after from s window w as (partition by symbol order by i))
@@ -717,7 +717,7 @@ def _(v):
 @query(
     "w17_intensity_at",
     "trades",
-    EVENTS
+    POINTS
     + """, g as (select symbol, i, top * i / 499 as t from (select symbol, max(t) as top from e group by symbol) z, (select unnest(range(0, 500))::int as i) q)
 select g.symbol, g.i, round(any_value(g.t), 6) as t, round(1.0 + 0.3 * 2.0 * coalesce(sum(exp(2.0 * (e.t - g.t))), 0.0), 6) as intensity
 from g left join e on e.symbol = g.symbol and e.t <= g.t group by g.symbol, g.i""",
