@@ -117,26 +117,37 @@ def _below(most: int, n: int) -> int:
 
 
 def bounded_sample(df: DataFrame, key: str, most: int, by: str | None = None) -> DataFrame:
-    """The `most` rows with the smallest hashes of their keys, all if there are fewer.
+    """`most` of the rows, those with the smallest hashes; all of them if there are no more.
 
     With `by`, of which there must be few values, each value has an equal part of them; what rare ones leave goes to
-    the others. A bound on the hash follows from a count of all rows, so that few more are sorted.
+    the others. A bound on the hash follows from a count of all rows, so that few more are written; where the rows
+    below it don't suffice, it is widened. The hash takes all columns, so repeated or null keys are thinned like
+    others. Of rows that are equal in all columns one stands for all where rows have to be thinned.
     """
-    h = F.xxhash64(F.col(key), F.lit(7)).bitwiseAND(F.lit(_HASHES - 1))
-    if by is None:
-        n = df.count()
-        return df if n <= most else df.filter(h < _below(most, n)).orderBy(h, key).limit(most)
-    counts = {r[by]: r["count"] for r in df.groupBy(by).count().collect()}
+    spark = df.sparkSession
+    h = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns], F.lit(7)).bitwiseAND(F.lit(_HASHES - 1))
+    group = F.col(by) if by else F.lit(0)
+    counts = {r["_by"]: r["count"] for r in df.groupBy(group.alias("_by")).count().collect()}
     if sum(counts.values()) <= most:
         return df
     quota, left, kinds = {}, most, len(counts)
     for value, n in sorted(counts.items(), key=lambda x: (x[1], str(x[0]))):
         quota[value] = min(n, max(1, left // kinds))
         left, kinds = left - quota[value], kinds - 1
-    spark = df.sparkSession
-    table = spark.createDataFrame([(v, q, _below(q, counts[v])) for v, q in quota.items()], f"_by {df.schema[by].dataType.simpleString()}, _quota long, _below long")
-    near = df.join(F.broadcast(table), F.col(by).eqNullSafe(F.col("_by"))).filter(h < F.col("_below"))
-    place = F.row_number().over(W.partitionBy("_by").orderBy(h, key))
+    bound = {v: _below(q, counts[v]) for v, q in quota.items()}
+    kind = df.schema[by].dataType.simpleString() if by else "int"
+    while True:
+        table = spark.createDataFrame([(v, q, bound[v]) for v, q in quota.items()], f"_by {kind}, _quota long, _below long")
+        near = df.withColumn("_h", h).join(F.broadcast(table), group.eqNullSafe(F.col("_by"))).filter("_h < _below")
+        near = materialize(near.dropDuplicates(["_by", "_h"]), "sample")
+        have = {r["_by"]: r["count"] for r in near.groupBy("_by").count().collect()}
+        short = [v for v, q in quota.items() if have.get(v, 0) < q and bound[v] < _HASHES]
+        if not short:
+            break
+        discard(near)
+        for v in short:
+            bound[v] = min(_HASHES, 8 * bound[v])
+    place = F.row_number().over(W.partitionBy("_by").orderBy("_h", key))
     return near.withColumn("_place", place).filter("_place <= _quota").select(*df.columns)
 
 

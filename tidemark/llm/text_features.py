@@ -241,11 +241,12 @@ class Logistic:
 
 
 def training_rows(docs, labels, label: str, most: int, keep=None) -> pd.DataFrame:
-    """At most about `most` labelled texts. The labels are thinned by their keys' hash before the texts are read."""
+    """At most `most` labelled texts. The labels are thinned before the texts are read; of rows that repeat a doc_id one text stays, that with the smallest hash."""
     from pyspark.sql import functions as F
 
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
     if keep is not None:
         rows = rows.filter(keep)
     rows = C.bounded_sample(rows.groupBy("doc_id").agg(F.max("y").alias("y")), "doc_id", most)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rows), "doc_id").toPandas()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rows), "doc_id")
+    return texts.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.max("y").alias("y")).toPandas()

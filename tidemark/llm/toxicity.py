@@ -118,6 +118,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id"
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
+    """A null doc_id has no remainder: its held_out is null, and nothing is learned from its row."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit_toxicity(docs, labels, keep=~C.held_out(5, 0))
