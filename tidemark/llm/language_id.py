@@ -172,6 +172,8 @@ class WordCRF:
     def mean_marginals(self, column) -> np.ndarray:
         """For each text the mean marginal of each label over its words with letters; zeros without any."""
         data, at = C.utf8(column)
+        if not self.labels:
+            return np.zeros((len(column), 0))
         out = []
         trans, begin = np.exp(self.trans - self.trans.max()), np.exp(self.first - self.first.max())
         for _, _, part, cut in C.pieces(data, at):
@@ -191,6 +193,8 @@ class WordCRF:
         return np.concatenate(out) if out else np.zeros((0, len(self.labels)))
 
     def predict(self, column) -> tuple[list, np.ndarray]:
+        if not self.labels:
+            return ["und"] * len(column), np.zeros(len(column))
         mean = self.mean_marginals(column)
         data, at = C.utf8(column)
         ascii_letters = np.concatenate(([0], np.cumsum(((data | 32) >= 97) & ((data | 32) <= 122))))
@@ -199,8 +203,6 @@ class WordCRF:
         other = ~plain & (beyond[at[1:]] > beyond[at[:-1]])
         for i in np.flatnonzero(other):
             plain[i] = any(c.isalpha() for c in column[int(i)].as_py())
-        if not self.labels:
-            return ["und"] * len(mean), np.zeros(len(mean))
         best = mean.argmax(1)
         return [self.labels[b] if p else "und" for b, p in zip(best, plain)], np.where(plain, np.clip(mean.max(1), 0, 1), 0.0)
 
@@ -230,6 +232,7 @@ def identify_language(docs: DataFrame, model: WordCRF, doc_id: str = "doc_id", t
 
 
 def op5_language_crf(spark, sf_dir: str) -> DataFrame:
+    """A null doc_id has no remainder: its held_out is null, and nothing is learned from its row."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit_language(docs, keep=~C.held_out(4, 2))
     return identify_language(docs, model).select("doc_id", C.held_out(4, 2).alias("held_out"), "lang_pred", "score")
