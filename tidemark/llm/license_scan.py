@@ -169,9 +169,15 @@ WHOLE_TEXTS = [
 
 
 def gap(pattern: str) -> str:
-    """A space stands for any gap, an optional one for any gap or none."""
+    """A space stands for any gap, an optional one for any gap or none.
+
+    A gap doesn't hold the mark that must follow it, nor gives back what it holds once that mark is found: a long run
+    of marks is read once, not once for each of its places.
+    """
     for space in ("[- ]", "[ .-]"):
         pattern = pattern.replace(space, " ")
+    pattern = pattern.replace(" ?[:=] ?", r"[^\w:=]*[:=]\W*+")
+    pattern = pattern.replace(r" ?(?:\(c\)|©)? ?", r"\W*+(?:(?<=\()c\)\W*+)?")
     return pattern.replace(" ?", r"\W*").replace(" ", r"\W+")
 
 
