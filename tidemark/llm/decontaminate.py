@@ -104,6 +104,29 @@ def windows(token: np.ndarray, first: np.ndarray, n: int, slots: bool = False):
     return place, C.mix(h)
 
 
+def _run_middles(key: np.ndarray, place: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """Which windows lie deep inside a stretch where windows recur after at most WINDOW words, tokens and values alike.
+
+    key: hashes of windows and their values, by place; reach: words that an alignment through a window may span. An
+    alignment that touches the middle is a translate of one near the start, and none reaches from one end to the other.
+    """
+    deep, n = np.zeros(len(key), bool), len(key)
+    for p in range(1, WINDOW + 1):
+        if n <= p:
+            break
+        same = (key[p:] == key[:-p]) & (place[p:] - place[:-p] == p)
+        # the first and the last place of each window's stretch
+        i = np.arange(n - p)
+        low = np.maximum.accumulate(np.where(same, -1, i))
+        high = np.minimum.accumulate(np.where(same, n, i)[::-1])[::-1]
+        start = np.maximum(low + 1, 0)
+        end = np.minimum(high, n - p) + p - 1
+        # window i of the stretch of link i
+        inner = same & (place[:-p] - place[start] > reach[:-p]) & (place[np.minimum(end, n - 1)] - place[:-p] > reach[:-p])
+        deep[:-p] |= inner
+    return deep
+
+
 def _union(a: np.ndarray, b: np.ndarray) -> int:
     """How many numbers lie in the intervals [a, b)."""
     order = np.argsort(a, kind="stable")
@@ -175,7 +198,14 @@ class Benchmark:
             keep = np.isin(place, first[:-1][np.diff(first) == size])
             place, h = place[keep], h[keep]
         order = np.argsort(h, kind="stable")
-        return h[order], place[order]
+        h, place = h[order], place[order]
+        if not len(h):
+            return h, place, place
+        # words of the longest item that holds a window
+        edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        words = np.diff(self.first)[row[place]]
+        return h, place, np.repeat(np.maximum.reduceat(words, edge), np.diff(np.append(edge, len(h))))
 
     def find(self, raw: np.ndarray, at: np.ndarray) -> list[list[tuple[int, float]]]:
         """For each row the contaminating items with their coverage."""
@@ -184,7 +214,7 @@ class Benchmark:
         first = doc[PLAIN][2]
         row = np.repeat(np.arange(len(at) - 1), np.diff(first))
         parts = []
-        for form, size, table, there in self.tables:
+        for form, size, table, there, longest in self.tables:
             if not len(table):
                 continue
             place, h = windows(doc[form][0], doc[form][2], size, form >= JOINED)
@@ -194,6 +224,13 @@ class Benchmark:
                 continue
             lo = lo[hit]
             times = np.searchsorted(table, h[hit], "right") - lo
+            if times.sum() > 2 * len(hit):
+                # of long repeats only the ends: their middles have no alignment of their own
+                values = np.zeros(len(hit), np.uint64)
+                for j in range(size):
+                    values = values * np.uint64(0xD6E8FEB86659FD93) + doc[form][1][place[hit] + j] + np.uint64(j)
+                keep = ~_run_middles(C.mix(values) ^ h[hit], place[hit], (SHIFT + 2) * longest[lo] + 2 * self.window)
+                hit, lo, times = hit[keep], lo[keep], times[keep]
             here = np.repeat(place[hit], times)
             j = there[np.repeat(lo - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())]
             theirs, ours = doc[form][3], self.forms[form][3]
@@ -220,9 +257,17 @@ class Benchmark:
         for covered, _ in _chains(hits[hits[:, 4] == PLAIN], n, least):
             best = max(best, covered)
             break
+        if best == n:
+            return 1.0
         each = hits[hits[:, 4] == EACH]
-        for d in np.unique(each[:, 0] - each[:, 2]):
-            one = each[each[:, 0] - each[:, 2] == d]
+        diagonal = each[:, 0] - each[:, 2]
+        order = np.argsort(diagonal, kind="stable")
+        each, diagonal = each[order], diagonal[order]
+        edge = np.flatnonzero(np.r_[True, diagonal[1:] != diagonal[:-1], True]) if len(each) else np.zeros(1, np.int64)
+        # windows of a diagonal cover no more words than they hold
+        most = np.diff(np.append(0, np.cumsum(each[:, 3] - each[:, 2]))[edge])
+        for a, b in zip(edge[:-1][most >= least], edge[1:][most >= least]):
+            one = each[a:b]
             covered = _union(one[:, 2], one[:, 3])
             if covered > best and covered >= least and self._consistent(one, doc):
                 best = covered
