@@ -7,6 +7,8 @@ by vector operations scaled inside the block, so no exponential of a whole day's
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -57,18 +59,25 @@ def decay_states(t: np.ndarray, beta: float, own: np.ndarray | None = None) -> n
     return _decay_pair(t, beta, own)[0]
 
 
-def uni_loglik(theta: np.ndarray, t: np.ndarray, end: float) -> tuple[float, np.ndarray]:
-    """Minus log-likelihood of mu + a sum exp(-beta dt), and its gradient, in the logs of (mu, branching, beta), a = branching * beta."""
+def uni_sums(theta: np.ndarray, t: np.ndarray, end: float, s: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """The sums over events that make up the likelihood and its gradient, from the state before each event and its derivative."""
     mu, br, beta = np.exp(theta)
-    s, d = _decay_pair(t, beta)
     a = br * beta
     lam = mu + a * s
     gone = np.exp(-beta * (end - t))
-    value = np.log(lam).sum() - mu * end - br * (1 - gone).sum()
-    g_mu = (1 / lam).sum() - end
-    g_br = (beta * s / lam).sum() - (1 - gone).sum()
-    g_beta = ((br * s + a * d) / lam).sum() - br * ((end - t) * gone).sum()
-    return -value, -np.array([g_mu * mu, g_br * br, g_beta * beta])
+    return np.array([np.log(lam).sum(), (1 - gone).sum(), (1 / lam).sum(), (beta * s / lam).sum(), ((br * s + a * d) / lam).sum(), ((end - t) * gone).sum()])
+
+
+def uni_value(theta: np.ndarray, sums: np.ndarray, end: float) -> tuple[float, np.ndarray]:
+    mu, br, beta = np.exp(theta)
+    logs, mass, by_mu, by_br, by_beta, late = sums
+    value = logs - mu * end - br * mass
+    return -value, -np.array([(by_mu - end) * mu, (by_br - mass) * br, (by_beta - br * late) * beta])
+
+
+def uni_loglik(theta: np.ndarray, t: np.ndarray, end: float) -> tuple[float, np.ndarray]:
+    """Minus log-likelihood of mu + a sum exp(-beta dt), and its gradient, in the logs of (mu, branching, beta), a = branching * beta."""
+    return uni_value(theta, uni_sums(theta, t, end, *_decay_pair(t, math.exp(theta[2]))), end)
 
 
 def _pooled(loglik, x, parts: list) -> tuple[float, np.ndarray]:
@@ -77,38 +86,81 @@ def _pooled(loglik, x, parts: list) -> tuple[float, np.ndarray]:
     return sum(v for v, _ in each), sum(g for _, g in each)
 
 
-def fit_uni(t: np.ndarray | list, end: float, beta0: float = 10.0, restarts: int = 5, limit: float = 0.999, start: dict | None = None) -> dict:
-    """mu, branching, beta, loglik. The branching ratio stays below `limit` by a steep penalty.
+@dataclass
+class Plan:
+    """How one set of parameters is fitted: points to start from, a penalty on (x, value, gradient), and the result.
 
-    A list of series, each to the horizon `end`, is fitted with one set of parameters. `start` is a fit to begin from as well.
+    Without starts there is nothing to fit, and `given` is the result.
     """
-    parts = [(x, end) for x in (t if isinstance(t, list) else [t])]
-    n, end = sum(len(x) for x, _ in parts), end * len(parts)
+
+    starts: list[np.ndarray]
+    penalty: Callable | None = None
+    result: Callable | None = None
+    given: dict | None = None
+
+    def best(self, ends: list[tuple[np.ndarray, float]]) -> dict:
+        return self.result(*min(ends, key=lambda y: y[1])) if self.starts else self.given
+
+    def fit(self, loglik: Callable, parts: list) -> dict:
+        return self.best([minimize(lambda x: self.penalty(x, *_pooled(loglik, x, parts)), x) for x in self.starts])
+
+
+def uni_plan(n: int, end: float, beta0: float = 10.0, restarts: int = 5, limit: float = 0.999, start: dict | None = None) -> Plan:
+    """n events in a total time `end`. The branching ratio stays below `limit` by a steep penalty; `start` is a fit to begin from as well."""
     if n < 2 or end <= 0:
-        return {"mu": n / end if end > 0 else None, "alpha": 0.0, "beta": None, "loglik": (n * math.log(n / end) - n) if n and end > 0 else 0.0, "n": n}
+        return Plan([], given={"mu": n / end if end > 0 else None, "alpha": 0.0, "beta": None, "loglik": (n * math.log(n / end) - n) if n and end > 0 else 0.0, "n": n})
 
-    def f(x):
-        v, g = _pooled(uni_loglik, x, parts)
+    def penalty(x, v, g):
         over = math.exp(min(x[1], 50)) - limit
         return (v + 1e6 * over * over, g + np.array([0, 2e6 * over * math.exp(min(x[1], 50)), 0])) if over > 0 else (v, g)
 
-    best = None
+    def result(x, v):
+        mu, br, beta = np.exp(x)
+        return {"mu": float(mu), "alpha": float(br), "beta": float(beta), "loglik": -float(v), "n": n}
+
+    starts = []
     for k in range(restarts):
         br, b = (0.5, 0.2, 0.8, 0.35, 0.6)[k % 5], beta0 * (1, 0.2, 5, 0.02, 25)[k % 5]
-        x, v = minimize(f, np.log([max(n / end * (1 - br), 1e-12), br, b]))
-        if best is None or v < best[1]:
-            best = (x, v)
+        starts.append(np.log([max(n / end * (1 - br), 1e-12), br, b]))
     if start and start["beta"] is not None:
-        x, v = minimize(f, np.log([max(start["mu"], 1e-12), max(start["alpha"], 1e-12), start["beta"]]))
-        best = min(best, (x, v), key=lambda y: y[1])
-    mu, br, beta = np.exp(best[0])
-    return {"mu": float(mu), "alpha": float(br), "beta": float(beta), "loglik": -float(best[1]), "n": n}
+        starts.append(np.log([max(start["mu"], 1e-12), max(start["alpha"], 1e-12), start["beta"]]))
+    return Plan(starts, penalty, result)
 
 
-def sym_loglik(x: np.ndarray, t: np.ndarray, mark: np.ndarray, end: float, beta: float | None, cache: dict | None = None) -> tuple[float, np.ndarray]:
-    """Two marks with own baselines and shared self (as) and cross (ac) excitation; beta fixed, or the last of x. Logs throughout."""
+def fit_uni(t: np.ndarray | list, end: float, beta0: float = 10.0, restarts: int = 5, limit: float = 0.999, start: dict | None = None) -> dict:
+    """mu, branching, beta, loglik, as planned by uni_plan(). A list of series, each to the horizon `end`, is fitted with one set of parameters."""
+    parts = [(x, end) for x in (t if isinstance(t, list) else [t])]
+    return uni_plan(sum(len(x) for x, _ in parts), end * len(parts), beta0, restarts, limit, start).fit(uni_loglik, parts)
+
+
+def sym_sums(x: np.ndarray, t: np.ndarray, mark: np.ndarray, end: float, beta: float | None, s: list, d: list | None) -> np.ndarray:
+    """As uni_sums, from the states of both marks; those of the gradient by beta only where beta is estimated."""
     p = np.exp(x)
     b = beta if beta is not None else p[4]
+    own, other = np.where(mark == 0, s[0], s[1]), np.where(mark == 0, s[1], s[0])
+    lam = np.where(mark == 0, p[0], p[1]) + b * (p[2] * own + p[3] * other)
+    gone = np.exp(-b * (end - t))
+    by_beta = late = 0.0
+    if beta is None:
+        downs, dother = np.where(mark == 0, d[0], d[1]), np.where(mark == 0, d[1], d[0])
+        by_beta = ((p[2] * own + p[3] * other + b * (p[2] * downs + p[3] * dother)) / lam).sum()
+        late = ((end - t) * gone).sum()
+    return np.array([np.log(lam).sum(), (1 - gone).sum(), ((mark == 0) / lam).sum(), ((mark == 1) / lam).sum(), (b * own / lam).sum(), (b * other / lam).sum(), by_beta, late])
+
+
+def sym_value(x: np.ndarray, sums: np.ndarray, end: float, beta: float | None) -> tuple[float, np.ndarray]:
+    p = np.exp(x)
+    logs, mass, by0, by1, by_own, by_other, by_beta, late = sums
+    value = logs - (p[0] + p[1]) * end - (p[2] + p[3]) * mass
+    g = [by0 - end, by1 - end, by_own - mass, by_other - mass]
+    if beta is None:
+        g.append(by_beta - (p[2] + p[3]) * late)
+    return -value, -np.array(g) * p
+
+
+def sym_loglik(x: np.ndarray, t: np.ndarray, mark: np.ndarray, end: float, beta: float | None, cache: dict | None = None) -> tuple[float, np.ndarray]:
+    """Two marks with own baselines and shared self (as) and cross (ac) excitation; beta fixed, or the last of x. Logs throughout."""
+    b = beta if beta is not None else math.exp(x[4])
     if beta is not None and cache:
         s, d = cache["s"], None
     else:
@@ -116,32 +168,18 @@ def sym_loglik(x: np.ndarray, t: np.ndarray, mark: np.ndarray, end: float, beta:
         s, d = [q[0] for q in pairs], [q[1] for q in pairs]
         if beta is not None and cache is not None:
             cache["s"] = s
-    own, other = np.where(mark == 0, s[0], s[1]), np.where(mark == 0, s[1], s[0])
-    base = np.where(mark == 0, p[0], p[1])
-    lam = base + b * (p[2] * own + p[3] * other)
-    gone = np.exp(-b * (end - t))
-    mass = (1 - gone).sum()
-    value = np.log(lam).sum() - (p[0] + p[1]) * end - (p[2] + p[3]) * mass
-    g = [((mark == 0) / lam).sum() - end, ((mark == 1) / lam).sum() - end, (b * own / lam).sum() - mass, (b * other / lam).sum() - mass]
-    if beta is None:
-        downs, dother = np.where(mark == 0, d[0], d[1]), np.where(mark == 0, d[1], d[0])
-        g.append(((p[2] * own + p[3] * other + b * (p[2] * downs + p[3] * dother)) / lam).sum() - (p[2] + p[3]) * ((end - t) * gone).sum())
-    return -value, -np.array(g) * p
+    return sym_value(x, sym_sums(x, t, mark, end, beta, s, d), end, beta)
 
 
-def fit_sym(t, mark, end, beta: float | None = None, restarts: int = 4, beta0: float = 10.0, start: dict | None = None) -> dict:
-    """Lists of series and marks, each to the horizon `end`, are fitted with one set of parameters; `start` as in fit_uni."""
-    parts = [(x, m, end, beta, {}) for x, m in (zip(t, mark) if isinstance(t, list) else [(t, mark)])]
-    n, end, every = sum(len(p[0]) for p in parts), end * len(parts), np.concatenate([p[1] for p in parts])
-    names = ["mu0", "mu1", "alpha_self", "alpha_cross"]
-    n0, n1 = int((every == 0).sum()), int((every == 1).sum())
+def sym_plan(n0: int, n1: int, end: float, beta: float | None = None, restarts: int = 4, beta0: float = 10.0, start: dict | None = None) -> Plan:
+    """n0 and n1 events of the marks in a total time `end`; `start` as in uni_plan."""
+    n, names = n0 + n1, ["mu0", "mu1", "alpha_self", "alpha_cross"]
     if n < 2 or end <= 0:
         # one event at most: a constant rate for its mark
-        return {**dict.fromkeys(names, 0.0), "beta": beta, "loglik": -math.log(end) - 1 if n and end > 0 else 0.0, "n": n}
+        return Plan([], given={**dict.fromkeys(names, 0.0), "beta": beta, "loglik": -math.log(end) - 1 if n and end > 0 else 0.0, "n": n})
     n0, n1 = max(n0, 0.5), max(n1, 0.5)
 
-    def f(x):
-        v, g = _pooled(sym_loglik, x, parts)
+    def penalty(x, v, g):
         a, c = np.exp(np.minimum(x[2:4], 50))
         over = a + c - 0.999
         if over > 0:
@@ -150,18 +188,25 @@ def fit_sym(t, mark, end, beta: float | None = None, restarts: int = 4, beta0: f
             g[3] += 2e6 * over * c
         return v, g
 
-    best = None
+    def result(x, v):
+        p = np.exp(x)
+        return {**dict(zip(names, map(float, p[:4]))), "beta": float(p[4]) if beta is None else beta, "loglik": -float(v), "n": n}
+
+    starts = []
     for k in range(restarts):
         a, c = ((0.3, 0.1), (0.1, 0.3), (0.5, 0.2), (0.2, 0.2))[k % 4]
         first = [n0 / end * (1 - a - c), n1 / end * (1 - a - c), a, c]
-        x, v = minimize(f, np.log(first + ([beta0 * (1, 0.2, 5, 0.05)[k % 4]] if beta is None else [])))
-        if best is None or v < best[1]:
-            best = (x, v)
+        starts.append(np.log(first + ([beta0 * (1, 0.2, 5, 0.05)[k % 4]] if beta is None else [])))
     if start and start["beta"] is not None:
-        x, v = minimize(f, np.log(np.maximum([start[c] for c in names] + ([start["beta"]] if beta is None else []), 1e-12)))
-        best = min(best, (x, v), key=lambda y: y[1])
-    p = np.exp(best[0])
-    return {**dict(zip(names, map(float, p[:4]))), "beta": float(p[4]) if beta is None else beta, "loglik": -float(best[1]), "n": n}
+        starts.append(np.log(np.maximum([start[c] for c in names] + ([start["beta"]] if beta is None else []), 1e-12)))
+    return Plan(starts, penalty, result)
+
+
+def fit_sym(t, mark, end, beta: float | None = None, restarts: int = 4, beta0: float = 10.0, start: dict | None = None) -> dict:
+    """Lists of series and marks, each to the horizon `end`, are fitted with one set of parameters; see sym_plan()."""
+    parts = [(x, m, end, beta, {}) for x, m in (zip(t, mark) if isinstance(t, list) else [(t, mark)])]
+    every = np.concatenate([p[1] for p in parts])
+    return sym_plan(int((every == 0).sum()), int((every == 1).sum()), end * len(parts), beta, restarts, beta0, start).fit(sym_loglik, parts)
 
 
 def _sorted(pdf, t, mark=None):
@@ -174,29 +219,52 @@ def _types(df, keys):
 
 
 def fit_hawkes_uni(df: DataFrame, keys: list[str], t: str = "t", end: str | None = None, restarts: int = 5) -> DataFrame:
-    """One fit a group: mu, alpha (branching), beta, loglik, n. `end` names the horizon column; else the last event."""
+    """One fit a group: mu, alpha (branching), beta, loglik, n. `end` names the horizon column; else the last event.
+
+    A group of more than CHUNK events is fitted over time chunks, see hawkes_chunks; the others in one task each.
+    """
 
     def run(key, pdf):
         x, _ = _sorted(pdf, t)
         return pd.DataFrame([{**dict(zip(keys, key)), **fit_uni(x, float(pdf[end].iloc[0]) if end else float(x[-1]), restarts=restarts)}])
 
-    return df.groupBy(*keys).applyInPandas(run, f"{_types(df, keys)}, mu double, alpha double, beta double, loglik double, n long")
+    schema = f"{_types(df, keys)}, mu double, alpha double, beta double, loglik double, n long"
+    return hot_and_others(df, keys, run, schema, "uni", t=t, end=end, restarts=restarts)
 
 
 def fit_hawkes_sym(df: DataFrame, keys: list[str], beta: float | None = None, t: str = "t", mark: str = "mark", end: str | None = None) -> DataFrame:
-    """Symmetric bivariate fit with beta given, or estimated without it."""
+    """Symmetric bivariate fit with beta given, or estimated without it. Groups of more than CHUNK events as in fit_hawkes_uni."""
 
     def run(key, pdf):
         x, m = _sorted(pdf, t, mark)
         return pd.DataFrame([{**dict(zip(keys, key)), **fit_sym(x, m, float(pdf[end].iloc[0]) if end else float(x[-1]), beta)}])
 
-    return df.groupBy(*keys).applyInPandas(run, f"{_types(df, keys)}, mu0 double, mu1 double, alpha_self double, alpha_cross double, beta double, loglik double, n long")
+    schema = f"{_types(df, keys)}, mu0 double, mu1 double, alpha_self double, alpha_cross double, beta double, loglik double, n long"
+    return hot_and_others(df, keys, run, schema, "sym", beta=beta, t=t, mark=mark, end=end)
 
 
 def fit_hawkes_sym_full(df: DataFrame, keys: list[str], **how) -> DataFrame:
     return fit_hawkes_sym(df, keys, None, **how)
 
 
+#: Events of a group from which on it is fitted over time chunks.
+CHUNK = 200_000
+
+
+def hot_and_others(df: DataFrame, keys: list[str], run: Callable, schema: str, model: str, **how) -> DataFrame:
+    """Groups of at most CHUNK events by `run`, one task each, the others by hawkes_chunks.fit_hot()."""
+    from . import hawkes_chunks
+
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max(how["t"]).cast("double").alias("_last"), F.max(how.get("end") or how["t"]).cast("double").alias("_end"))
+    hot = sizes.filter(F.col("_n") > CHUNK).collect()  # at most one row for each CHUNK events
+    if not hot:
+        return df.groupBy(*keys).applyInPandas(run, schema)
+    table = df.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in hot], _types(df, keys))
+    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"hot.{k}")) for k in keys]
+    others = df.alias("d").join(F.broadcast(table.alias("hot")), same, "left_anti")
+    return others.groupBy(*keys).applyInPandas(run, schema).unionByName(hawkes_chunks.fit_hot(df, keys, hot, schema, model, CHUNK, **how))
+
+
 #: Free parameters of each model.
 DOF = {"uni": 3, "sym": 4, "sym_full": 5}
 
@@ -222,14 +290,18 @@ def change_lr(parts: list, marks: list, mid: float, model: str = "uni", beta: fl
 
 
 def hawkes_change_test(df: DataFrame, keys: list[str], model: str = "uni", beta: float = 10.0, t: str = "t", mark: str = "mark") -> DataFrame:
-    """l0, l1, l2 and lr = 2 (l1 + l2 - l0) of both halves against one fit of both, degrees of freedom and chi-square p-value."""
+    """l0, l1, l2 and lr = 2 (l1 + l2 - l0) of both halves against one fit of both, degrees of freedom and chi-square p-value.
+
+    Groups of more than CHUNK events as in fit_hawkes_uni.
+    """
 
     def run(key, pdf):
         x, m = _sorted(pdf, t, mark if model != "uni" else None)
         found, _ = change_lr(*_halves_of(x, m, float(x[-1])), float(x[-1]) / 2, model, beta)
         return pd.DataFrame([{**dict(zip(keys, key)), **found, "dof": DOF[model], "p_value": chi2_sf(max(found["lr"], 0.0), float(DOF[model]))}])
 
-    return df.groupBy(*keys).applyInPandas(run, f"{_types(df, keys)}, l0 double, l1 double, l2 double, lr double, dof int, p_value double")
+    schema = f"{_types(df, keys)}, l0 double, l1 double, l2 double, lr double, dof int, p_value double"
+    return hot_and_others(df, keys, run, schema, model, beta=beta, t=t, mark=mark, change=True)
 
 
 def _carried(chunks: DataFrame, keys: list[str], beta: float) -> DataFrame:

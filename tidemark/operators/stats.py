@@ -104,10 +104,10 @@ def normal_quantile(p: float) -> float:
     return bisect(lambda x: normal_cdf(x) - p, -40.0, 40.0)
 
 
-def minimize(f, x0: np.ndarray, steps: int = 200, tol: float = 1e-7) -> tuple[np.ndarray, float]:
-    """Quasi-Newton descent (inverse-Hessian updates, backtracking) for f giving (value, gradient)."""
+def descend(x0: np.ndarray, steps: int = 200, tol: float = 1e-7):
+    """Quasi-Newton descent (inverse-Hessian updates, backtracking) as a generator: it yields points, is sent (value, gradient), and returns (x, value)."""
     x = np.asarray(x0, float)
-    v, g = f(x)
+    v, g = yield x
     h = np.eye(len(x))
     for _ in range(steps):
         if not np.isfinite(v) or np.abs(g).max() < tol * max(1.0, abs(v)):
@@ -118,7 +118,7 @@ def minimize(f, x0: np.ndarray, steps: int = 200, tol: float = 1e-7) -> tuple[np
         d *= min(1.0, 2.0 / max(np.abs(d).max(), 1e-300))
         t = 1.0
         while t > 1e-12:
-            new, ng = f(x + t * d)
+            new, ng = yield x + t * d
             if np.isfinite(new) and new <= v + 1e-4 * t * (d @ g):
                 break
             t /= 2
@@ -134,3 +134,14 @@ def minimize(f, x0: np.ndarray, steps: int = 200, tol: float = 1e-7) -> tuple[np
         if done:
             break
     return x, v
+
+
+def minimize(f, x0: np.ndarray, steps: int = 200, tol: float = 1e-7) -> tuple[np.ndarray, float]:
+    """The descent of f giving (value, gradient)."""
+    way = descend(x0, steps, tol)
+    x = next(way)
+    try:
+        while True:
+            x = way.send(f(x))
+    except StopIteration as end:
+        return end.value
