@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import columns as C
+from ..functions.scratch import scratch
 from ..operators import align, bars, book, book_events, distribution, entropy, hawkes, kde, series, sessions, stationarity, trades
 from .views import KEY, Views, duck
 
@@ -872,37 +873,33 @@ def _(v):
 # --- streams: a written table read as a stream, run to its end, and its sink read back
 
 
-def streamed(df: DataFrame, job, tag: str, *more: DataFrame) -> DataFrame:
-    """`df`, then each of `more`, written as files and sent through a stream job, each in a run that goes on from the one before."""
+STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def streamed(df: DataFrame, job, tag: str, *more: DataFrame, maps: bool = False) -> DataFrame:
+    """`df`, then each of `more`, written as files and sent through a stream job, each in a run that goes on from the one before.
+
+    `maps` runs the stream on the state store that holds maps and timers; the session's own setting comes back afterwards.
+    """
     from uuid import uuid4
 
+    from ..streaming.stateful import ROCKSDB
+
     spark = df.sparkSession
     base = f"{scratch(spark)}/stream-{tag}-{uuid4().hex}"
     for part in (df, *more):
         part.select(*df.columns).write.mode("append").parquet(f"{base}/in")
         out = job(spark.readStream.schema(df.schema).parquet(f"{base}/in"))
+        before = spark.conf.get(STORE, None)
+        if maps:
+            spark.conf.set(STORE, ROCKSDB)
         run = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
+        if maps:
+            spark.conf.set(STORE, before) if before else spark.conf.unset(STORE)
         run.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{base}/out")
 
 
-def scratch(spark) -> str:
-    """The shared folder that the cluster names; a folder of our own only in local mode where none is named."""
-    import tempfile
-
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        if not OWN:
-            OWN.append(tempfile.mkdtemp(prefix="tidemark-"))
-        where = OWN[0]
-    return where.rstrip("/")
-
-
-OWN: list[str] = []
-
-
 def timed(df: DataFrame, t: str) -> DataFrame:
     return df.withColumn("ts", F.timestamp_micros(t))
 
@@ -932,10 +929,13 @@ def _(v):
     return binned(v, "counts").select("symbol", "bin", F.expr("unix_micros(start) div 1800000000").alias("start"), "c")
 
 
-@query("t2_stream_drift", "trades", PANES + """,
+DRIFT = PANES + """,
 ref as (select symbol, bin, sum(c) / sum(sum(c)) over (partition by symbol) as q from p group by symbol, bin),
 n as (select symbol, s, sum(c) as n from w group by symbol, s)
-select w.symbol, s as start, round(sum(c / n * ln(c / n / q)), 6) as kl from w join n using (symbol, s) join ref using (symbol, bin)""" + CLOSED + " group by w.symbol, s")
+select w.symbol, s as start, round(sum(c / n * ln(c / n / q)), 6) as kl from w join n using (symbol, s) join ref using (symbol, bin)""" + CLOSED + " group by w.symbol, s"
+
+
+@query("t2_stream_drift", "trades", DRIFT)
 def _(v):
     from ..streaming.jobs import binned_kl
 
@@ -946,6 +946,22 @@ def _(v):
     return r6(out.select("symbol", F.expr("unix_micros(start) div 1800000000").alias("start"), "kl"), "kl")
 
 
+@query("t2_drift_in_stream", "trades", DRIFT)
+def _(v):
+    """As t2_stream_drift, but the entropies come out of the stream's own sink; the trades come in three deliveries in time."""
+    from ..streaming.jobs import stream_drift
+
+    bin_ = sum(((F.col("price") >= e).cast("int") for e in (60.0, 120.0)), (F.col("price") >= 30.0).cast("int"))
+    share = F.col("c") / F.sum("c").over(W.partitionBy("symbol"))
+    reference = v.trades.groupBy("symbol", bin_.alias("bin")).agg(F.count(F.lit(1)).alias("c")).select("symbol", "bin", share.alias("q"))
+    rows = timed(v.trades, "t_us").withColumn("value", F.col("price"))
+    low, high = v.trades.agg(F.min("t_us"), F.max("t_us")).first()
+    part = F.expr(f"(t_us - {low}) * 3 div {high - low + 1}")
+    first, *more = (rows.filter(part == i) for i in range(3))
+    out = streamed(first, lambda s: stream_drift(s, [30.0, 60.0, 120.0], reference, "1 hour", "30 minutes", "1 minute", KEY), "instream", *more)
+    return r6(out.select("symbol", F.expr("unix_micros(start) div 1800000000").alias("start"), "kl"), "kl")
+
+
 @query("t3_stream_intervals", "status", SESSION + "select symbol, start as start_ns, stop as end_ns, book_state from k where stop is not null")
 def _(v):
     from ..streaming.jobs import stream_intervals
@@ -953,6 +969,43 @@ def _(v):
     return streamed(v.status, lambda s: stream_intervals(s, ["book_state"], KEY), "intervals")
 
 
+@query(
+    "t3_ordered_intervals",
+    "status",
+    SESSION + """select symbol, start as start_ns, stop as end_ns, book_state from k
+where stop // 1000000 <= (select max(event_time_ns) // 1000000 - 21600000 from v_status)""",
+)
+def _(v):
+    """The rows come up to three hours late, in four deliveries that overlap in time; the stream waits for six."""
+    from ..streaming.stateful import ordered_intervals
+
+    late = v.status.withColumn("arrival", F.col("event_time_ns") + F.pmod(F.xxhash64("md_seq"), F.lit(3 * HOUR * 1000)))
+    low, high = late.agg(F.min("arrival"), F.max("arrival")).first()
+    part = F.least(F.expr(f"(arrival - {low}) * 4 div {high - low + 1}"), F.lit(3))
+    first, *more = (late.filter(part == i).drop("arrival") for i in range(4))
+    return streamed(first, lambda s: ordered_intervals(s, ["book_state"], "6 hours", KEY), "ordered", *more, maps=True)
+
+
+BOOK_OUTPUTS = EVENTS + """, b as (select symbol, seq, 1 as side, bb as best from st2 where bb is not null union all select symbol, seq, 2, ba from st2 where ba is not null)
+select symbol, seq, 'rlop' as kind, side, round(d, 6) as value from (
+  select *, case when side = 1 then bb0 - price else price - ba0 end as d from st2
+  where action = 1 and order_type = 2 and price is not null and bb0 is not null and ba0 is not null) z where d > 0
+union all
+select symbol, seq, 'vol', side, round(abs(ln(best / last)), 6) from (
+  select *, lag(best) over (partition by symbol, side order by seq) as last from b) z where last is not null"""
+
+
+@query("t4_stream_outputs", "updates", BOOK_OUTPUTS)
+def _(v):
+    """The updates in two deliveries; the second brings a part of the first's again, late, which are dropped."""
+    from ..streaming.stateful import book_outputs, book_states
+
+    rows = v.updates.join(v.updates.groupBy(*KEY).agg((F.max("seq") / 2).alias("half")), KEY)
+    early, late = rows.filter("seq <= half").drop("half"), rows.filter("seq > half or action = 1").drop("half")
+    out = streamed(early, lambda s: book_outputs(book_states(s, KEY), KEY), "outputs", late, maps=True)
+    return r6(out.select("symbol", "seq", "kind", "side", "value"), "value")
+
+
 @query("t4_stream_book", "updates", EVENTS + "select symbol, seq, bb as best_bid, ba as best_ask, bb0 as best_bid_before, ba0 as best_ask_before from st2")
 def _(v):
     from ..streaming.jobs import stream_book

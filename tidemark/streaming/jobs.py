@@ -22,10 +22,28 @@ def stream_bars(sdf: DataFrame, freq: str = "1 minute", delay: str = "1 minute",
 
 def stream_binned_counts(sdf: DataFrame, edges: list[float], length: str = "1 hour", step: str = "30 seconds", delay: str = "1 minute", keys: list[str] = KEYS, ts: str = "ts", value: str = "value") -> DataFrame:
     """Counts per bin in sliding windows: rows are counted into panes of one step first, and panes into windows, so a row enters one count, not all windows."""
+    return _window_counts(sdf, edges, length, step, delay, keys, ts, value).select(*keys, F.col("window.start").alias("start"), F.col("window.end").alias("end"), "bin", "c")
+
+
+def _window_counts(sdf, edges, length, step, delay, keys, ts, value) -> DataFrame:
     bin_ = sum(((F.col(value) >= e).cast("int") for e in edges[1:]), (F.col(value) >= edges[0]).cast("int"))
     panes = sdf.withWatermark(ts, delay).groupBy(*keys, bin_.alias("bin"), F.window(ts, step)).agg(F.count(F.lit(1)).alias("c"))
     panes = panes.select(*keys, "bin", F.window_time("window").alias("at"), "c")
-    return panes.groupBy(*keys, "bin", F.window("at", length, step)).agg(F.sum("c").alias("c")).select(*keys, F.col("window.start").alias("start"), F.col("window.end").alias("end"), "bin", "c")
+    return panes.groupBy(*keys, "bin", F.window("at", length, step)).agg(F.sum("c").alias("c"))
+
+
+def stream_drift(sdf: DataFrame, edges: list[float], reference: DataFrame, length: str = "1 hour", step: str = "30 seconds", delay: str = "1 minute", keys: list[str] = KEYS, ts: str = "ts", value: str = "value") -> DataFrame:
+    """Relative entropy of each sliding window's bins to a reference (keys, bin, q), inside the stream and in append mode.
+
+    Panes, then windows by bin, a join with the static reference, and one more grouping by window: with c of n rows in
+    a bin, the entropy is sum(c ln(c / q)) / n - ln n, so one pass of sums is enough. A bin that the reference lacks
+    makes it infinite.
+    """
+    counts = _window_counts(sdf, edges, length, step, delay, keys, ts, value)
+    rows = counts.join(reference.select(*keys, "bin", "q"), [*keys, "bin"], "left")
+    term = F.when(F.coalesce("q", F.lit(0.0)) == 0, F.lit(float("inf"))).otherwise(F.col("c") * F.log(F.col("c") / F.col("q")))
+    out = rows.groupBy(*keys, "window").agg(F.sum("c").alias("n"), F.sum(term).alias("s"))
+    return out.select(*keys, F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n", (F.col("s") / F.col("n") - F.log("n")).alias("kl"))
 
 
 def binned_kl(counts: DataFrame, reference: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -37,24 +55,30 @@ def binned_kl(counts: DataFrame, reference: DataFrame, keys: list[str] = KEYS) -
 
 
 def stream_intervals(sdf: DataFrame, state: list[str], keys: list[str] = KEYS, time: str = "event_time_ns", seq: str = "md_seq") -> DataFrame:
-    """Status intervals as they close: kept per key are the open interval's start and state."""
+    """Status intervals as they close: kept per key are the open interval's start and state, and the last row's time and number.
+
+    Rows are sorted inside each micro-batch; those at or before the last applied one are dropped, as what they would
+    change has been emitted. stateful.ordered_intervals holds rows back for a delay instead.
+    """
     kinds = {c: sdf.schema[c].dataType.simpleString() for c in [*keys, *state]}
     out = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "start_ns long", "end_ns long", *[f"{c} {kinds[c]}" for c in state]])
-    held = ", ".join(["start long", *[f"{c} {kinds[c]}" for c in state]])
+    held = ", ".join(["last long, last_seq long, start long", *[f"{c} {kinds[c]}" for c in state]])
 
     def run(key, frames: Iterator[pd.DataFrame], st: GroupState):
-        open_ = st.get if st.exists else None
+        last, open_ = (tuple(st.get[:2]), st.get[2:]) if st.exists else (None, None)
         pdf = pd.concat(list(frames)).sort_values([time, seq])
         rows = []
-        for r in pdf[[time, *state]].itertuples(index=False):
-            now = tuple(None if pd.isna(x) else x for x in r[1:])
+        for r in pdf[[time, seq, *state]].itertuples(index=False):
+            if last is not None and (int(r[0]), int(r[1])) <= last:
+                continue
+            last, now = (int(r[0]), int(r[1])), tuple(None if pd.isna(x) else x for x in r[2:])
             if open_ is not None and tuple(None if pd.isna(x) else x for x in open_[1:]) == now:
                 continue
             if open_ is not None:
                 rows.append((*key, open_[0], int(r[0]), *open_[1:]))
             open_ = (int(r[0]), *now)
         if open_ is not None:
-            st.update(open_)
+            st.update((*last, *open_))
         yield pd.DataFrame(rows, columns=[*keys, "start_ns", "end_ns", *state])
 
     return sdf.groupBy(*keys).applyInPandasWithState(run, out, held, "append", GroupStateTimeout.NoTimeout)
