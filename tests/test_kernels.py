@@ -1,3 +1,4 @@
+import itertools
 import math
 
 import numpy as np
@@ -196,6 +197,53 @@ def test_causal_graph(spark):
     assert ("a_lag1", "b", "directed") in edges and not any({x, y} == {"a", "b"} for x, y, _ in edges)
 
 
+def test_numbered_tests_are_all_tests():
+    """The ranges of a level's numbers hold each choice of conditions around either end of a link once."""
+    rng = np.random.default_rng(2)
+    for _ in range(40):
+        links = [(i, j) for i in range(7) for j in range(i + 1, 7) if rng.uniform() < 0.6]
+        near = causal._around(links)
+        for size in range(4):
+            want = sorted({(i, j, c) for i, j in links for a, b in ((i, j), (j, i)) for c in itertools.combinations([x for x in near[a] if x != b], size)})
+            n, step = causal.count_tests(links, size), int(rng.integers(1, 9))
+            got = [t for low in range(0, n, step) for t in causal.tests_of(links, size, low, low + step)]
+            assert sorted(got) == want and len(set(got)) == len(got)
+    assert [causal.combination([2, 3, 5, 7], 2, k) for k in range(6)] == list(itertools.combinations([2, 3, 5, 7], 2))
+
+
+def plain_graph(x, names, alpha, max_cond, null):
+    """The search by its definition, in one place."""
+    links = {(i, j) for i, j in itertools.combinations(range(len(names)), 2) if causal.lag_of(names[i]) != causal.lag_of(names[j])}
+    apart = {}
+    for size in range(max_cond + 1):
+        near = causal._around(sorted(links))
+        gone = {}
+        for i, j in sorted(links):
+            tests = sorted({c for a, b in ((i, j), (j, i)) for c in itertools.combinations([y for y in near[a] if y != b], size)})
+            for c in tests:
+                if causal.independence(x, i, j, list(c), null)[0] > alpha:
+                    gone[i, j] = c
+                    break
+        links -= gone.keys()
+        apart |= {frozenset(k): c for k, c in gone.items()}
+    return set(causal.orient(names, {frozenset(e) for e in links}, apart))
+
+
+@pytest.mark.parametrize("per_task", [1, 3, 200])
+def test_causal_graph_by_numbers(spark, per_task):
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=91)
+    b = np.concatenate(([0.0], a[:-1])) + 0.5 * rng.normal(size=91)
+    c = a + b + 0.5 * rng.normal(size=91)
+    x = np.stack([a[1:], b[1:], c[1:], a[:-1], b[:-1], c[:-1]], axis=1)
+    names = ["a", "b", "c", "a_lag1", "b_lag1", "c_lag1"]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"{n} double" for n in names))
+    null = np.concatenate([causal.null_rho(90, 50, [42, 0]), causal.null_rho(90, 10, [42, 1])])
+    x = np.array(sorted(map(tuple, x)))
+    want = plain_graph(x, names, 0.05, 3, null)
+    assert {tuple(r) for r in causal.causal_graph(df, names, alpha=0.05, max_cond=3, sims=60, per_task=per_task).collect()} == want and want
+
+
 def test_causal_graphs_of_all_keys(spark):
     """Every key has its own graph and tests, equal to those of the key alone."""
     rng = np.random.default_rng(9)
