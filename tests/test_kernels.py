@@ -165,6 +165,39 @@ def test_kde_uniformity():
     assert kde.dominated(a, b).tolist() == [int(((a <= p) & (b <= q)).sum()) for p, q in zip(a, b)]
 
 
+@pytest.mark.parametrize("chunk", [3, 50, 10_000])
+def test_densities_over_chunks_equal_the_loop(spark, chunk):
+    """Each row normalizes the density anew; however a series is cut, the same densities come out."""
+    rng = np.random.default_rng(5)
+    series_ = {"a": rng.normal(size=230), None: rng.gamma(2, size=95), "short": rng.normal(size=9), "flat": np.ones(80)}
+    rows = [(k, i, float(v)) for k, x in series_.items() for i, v in enumerate(x)] + [("a", 500, None)]
+    df = spark.createDataFrame(rows, "k string, i int, x double").repartition(3)
+    h, omega, t0 = 0.4, 0.97, 20
+    for every, at in ((25, None), (60, [19, 20, 94, 229, 1_000])):
+        got = {(r["k"], r["row"]): r for r in kde.dynamic_kde(df, "x", ["k"], "i", h, omega, t0, every=every, points=64, at=at, chunk=chunk).collect()}
+        want = {}
+        for k in ("a", None):
+            x = series_[k]
+            g = kde.grid_of(x, 64)
+            d = first = kde._unit(kde.start_weights(t0, omega) @ kde.bump(g, x[:t0], h), g)
+            for i in range(t0 - 1, len(x)):
+                if i >= t0:
+                    d = kde._unit(omega * d + (1 - omega) * kde.bump(g, x[i], h)[0], g)
+                if (i in at) if at else (i - t0 + 1) % every == 0 and i >= t0:
+                    p, q = np.maximum(d, kde.TINY), np.maximum(first, kde.TINY)
+                    want[k, i] = (g, d, np.trapezoid(p * np.log(p / q), g))
+        assert set(got) == set(want)
+        for at_, (g, d, kl) in want.items():
+            assert np.allclose(got[at_]["grid"], g) and np.allclose(got[at_]["density"], d, rtol=1e-10, atol=1e-12) and got[at_]["kl_first"] == pytest.approx(kl, abs=1e-9)
+
+
+def test_candidates_of_short_and_constant_series(spark):
+    rows = [("flat", i, 1.0) for i in range(60)] + [("short", i, float(i % 5)) for i in range(12)] + [("ok", i, float(i * 7 % 13)) for i in range(60)]
+    cells = kde.select_kde(spark.createDataFrame(rows, "k string, i int, x double"), "x", ["k"], "i", t0=8, nu=5, n_h=2, n_omega=2)
+    assert {r["k"] for r in cells.collect()} == {"short", "ok"} and [r["k"] for r in kde.best_candidate(cells, ["k"]).collect()] == ["ok"]
+    assert kde.grid_of(np.ones(5), 16) is None and kde.uniformity(np.linspace(0, 1, 7), 5) is None
+
+
 def test_conditional_cdf_equals_loop():
     rng = np.random.default_rng(3)
     z = rng.normal(size=(700, 2))

@@ -710,6 +710,30 @@ def _(v):
     return kde.dynamic_kde(v.series, "x", KEY, "day", h=20000.0, omega=0.99, t0=50, every=60)
 
 
+@query(
+    "k8_density_at",
+    "series",
+    """, s as (select symbol, x, row_number() over (partition by symbol order by day, x) - 1 as i from v_series),
+e as (select symbol, quantile_cont(x, 0.001) as low, quantile_cont(x, 0.999) as high from s group by symbol),
+g as (select symbol, m, low - 0.15 * (high - low) + m * 1.3 * (high - low) / 63 as g, 1.3 * (high - low) / 63 as step, case when m in (0, 63) then 0.5 else 1.0 end as half
+  from e, (select unnest(range(0, 64))::int as m) q),
+k as (select s.symbol, i, m, step * half as part, case when abs(g - x) <= 20000 then 0.75 * (1 - ((g - x) / 20000) ** 2) / 20000 else 0.0 end as k from s join g using (symbol)),
+c as (select symbol, i, 0.99 + 0.01 * sum(k * part) as z from k group by symbol, i),
+-- what is left at row r of row i: the factors of the rows behind it
+a as (select symbol, i, z, sum(case when i >= 50 then ln(0.99 / z) else 0 end) over (partition by symbol order by i) as l from c),
+r as (select unnest([49, 50, 120, 400]) as r),
+f as (select symbol, m, part, sum(0.99 ** (49 - i) * k) as d from k where i < 50 group by symbol, m, part),
+f1 as (select symbol, m, d / sum(d * part) over (partition by symbol) as d from f),
+l as (select symbol, r, l from a join r on a.i = r.r),
+n as (select k.symbol, r, m, sum(0.01 / z * exp(l.l - a.l) * k) as d from k join a using (symbol, i) join l on l.symbol = k.symbol and k.i <= l.r where i >= 50 group by k.symbol, r, m)
+select f1.symbol, l.r as row, f1.m as point, round(20000 * (exp(l.l) * f1.d + coalesce(n.d, 0)), 6) as density
+from f1 join l using (symbol) left join n on n.symbol = f1.symbol and n.r = l.r and n.m = f1.m""",
+)
+def _(v):
+    rows = kde.density_at(v.series, "x", KEY, "day", [49, 50, 120, 400], h=20000.0, omega=0.99, t0=50, points=64)
+    return r6(rows.select("symbol", "row", "point", (20000 * F.col("density")).alias("density")), "density")
+
+
 @query("w16_qq_table", "series", "select symbol, q as sample, i::int as i, n, round((i - 0.5) / n, 6) as p, round(-ln(1 - (i - 0.5) / n), 6) as theoretical from (select symbol, q, row_number() over (partition by symbol order by q) as i, count(*) over (partition by symbol) as n from v_series) z")
 def _(v):
     return r6(distribution.qq_table(v.series, "q", "exp", KEY), "p", "theoretical")
