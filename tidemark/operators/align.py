@@ -6,45 +6,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from . import spans
 
-def _asof(left: DataFrame, right: DataFrame, keys: list[str], t: str, values: list[str], forward: bool, strict: bool = False, tie: str | None = None) -> DataFrame:
-    """Union of both sides and one ordered window: no range join, no fan-out. Left rows keep their columns."""
+
+def _asof(left: DataFrame, right: DataFrame, keys: list[str], t: str, values: list[str], forward: bool, strict: bool = False, tie: str | None = None, width: float | None = None) -> DataFrame:
+    """Union of both sides and one ordered window, over spans of `width` where it is given: no range join, no fan-out. Left rows keep their columns."""
     cols = [c for c in left.columns if c not in keys and c != t]
     a = left.select(*keys, t, F.lit(1).alias("_left"), *cols, *[F.lit(None).cast(right.schema[v].dataType).alias(f"_{v}") for v in values], F.lit(None).cast(right.schema[tie].dataType if tie else "int").alias("_tie"))
     b = right.select(*keys, t, F.lit(0).alias("_left"), *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in cols], *[F.col(v).alias(f"_{v}") for v in values], (F.col(tie) if tie else F.lit(None).cast("int")).alias("_tie"))
     # a right row at the same time is met unless the match is strict
     first_right = forward == strict
+    found = F.struct(*[F.col(f"_{v}").alias(v) for v in values])
+    if width is not None:
+        both = a.unionByName(b).withColumn("_side", F.col("_left") if first_right else -F.col("_left"))
+        rows = spans.last_known(both, keys, [t, "_side", "_tie"], width, {"_m": F.when(F.col("_left") == 0, found)}, reverse=forward)
+        return rows.filter("_left = 1").select(*left.columns, *[F.col(f"_m.{v}").alias(v) for v in values])
     side = F.col("_left").asc() if first_right else F.col("_left").desc()
     order = [F.col(t).asc(), side, F.col("_tie").asc()]
     if forward:
         # the same frame over the reversed order, as one that ends with the partition is computed anew for each row
         order = [F.col(t).desc(), F.col("_left").desc() if first_right else F.col("_left").asc(), F.col("_tie").desc()]
     frame = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    found = F.struct(*[F.col(f"_{v}").alias(v) for v in values])
     rows = a.unionByName(b).withColumn("_m", F.last(F.when(F.col("_left") == 0, found), ignorenulls=True).over(frame))
     return rows.filter("_left = 1").select(*left.columns, *[F.col(f"_m.{v}").alias(v) for v in values])
 
 
-def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], t: str, values: list[str], strict: bool = False, tie: str | None = None) -> DataFrame:
-    """The latest right row at or before (strict: before) each left row."""
-    return _asof(left, right, keys, t, values, forward=False, strict=strict, tie=tie)
+def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], t: str, values: list[str], strict: bool = False, tie: str | None = None, width: float | None = None) -> DataFrame:
+    """The latest right row at or before (strict: before) each left row. With `width` a key's rows are spread over spans, see spans.py."""
+    return _asof(left, right, keys, t, values, forward=False, strict=strict, tie=tie, width=width)
 
 
-def asof_forward(left: DataFrame, right: DataFrame, keys: list[str], t: str, values: list[str], strict: bool = False, tie: str | None = None) -> DataFrame:
-    """The first right row at or after (strict: after) each left row."""
-    return _asof(left, right, keys, t, values, forward=True, strict=strict, tie=tie)
+def asof_forward(left: DataFrame, right: DataFrame, keys: list[str], t: str, values: list[str], strict: bool = False, tie: str | None = None, width: float | None = None) -> DataFrame:
+    """The first right row at or after (strict: after) each left row. With `width` a key's rows are spread over spans, see spans.py."""
+    return _asof(left, right, keys, t, values, forward=True, strict=strict, tie=tie, width=width)
 
 
-def window_sums(events: DataFrame, centers: DataFrame, w: int, keys: list[str], t: str = "t", value: str = "decrement") -> DataFrame:
+def window_sums(events: DataFrame, centers: DataFrame, w: int, keys: list[str], t: str = "t", value: str = "decrement", width: float | None = None) -> DataFrame:
     """Sum of events in [t - w, t + w] of each centre, 0 without any: the difference of two as-of reads of a running sum.
 
-    `centers` has the keys, t, and other columns; rows stay as they are.
+    `centers` has the keys, t, and other columns; rows stay as they are. Sums run over spans of `width`, 32 w if not given.
     """
-    run = W.partitionBy(*keys).orderBy(t).rowsBetween(W.unboundedPreceding, 0)
-    total = events.groupBy(*keys, t).agg(F.sum(value).alias("_v")).select(*keys, t, F.sum("_v").over(run).alias("_total"))
+    width = width or 32 * w
+    times = events.filter(F.col(t).isNotNull()).groupBy(*keys, t).agg(F.sum(value).cast("double").alias("_v"))
+    total = spans.running(times, keys, [t], width, {"_total": F.col("_v")}).select(*keys, t, "_total")
     at = centers.withColumn("_t", F.col(t))
-    high = asof_backward(at.withColumn(t, F.col("_t") + w), total, keys, t, ["_total"]).withColumnRenamed("_total", "_high")
-    low = asof_backward(high.withColumn(t, F.col("_t") - w), total, keys, t, ["_total"], strict=True)
+    high = asof_backward(at.withColumn(t, F.col("_t") + w), total, keys, t, ["_total"], width=width).withColumnRenamed("_total", "_high")
+    low = asof_backward(high.withColumn(t, F.col("_t") - w), total, keys, t, ["_total"], strict=True, width=width)
     return low.withColumn(t, F.col("_t")).withColumn("window_sum", F.coalesce("_high", F.lit(0.0)) - F.coalesce("_total", F.lit(0.0))).select(*centers.columns, "window_sum")
 
 
