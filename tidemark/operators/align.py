@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from . import spans
+from . import selection, spans
 
 
 def _asof(left: DataFrame, right: DataFrame, keys: list[str], t: str, values: list[str], forward: bool, strict: bool = False, tie: str | None = None, width: float | None = None) -> DataFrame:
@@ -84,8 +84,11 @@ def window_context(events: DataFrame, centers: DataFrame, w: int, keys: list[str
 
 
 def alignment_stats(sums: DataFrame, value: str = "window_sum", by: list[str] | None = None) -> DataFrame:
+    """Size, mean, exact percentiles and share of zeros; large groups by selection.percentiles()."""
     x = F.col(value)
-    return sums.groupBy(*(by or [])).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.percentile(x, F.lit(0.5)).alias("median"), F.percentile(x, F.lit(0.9)).alias("p90"), F.percentile(x, F.lit(0.99)).alias("p99"), F.avg((x == 0).cast("double")).alias("share_zero"))
+    rows = sums.groupBy(*(by or [])).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.avg((x == 0).cast("double")).alias("share_zero"))
+    rows = selection.beside(rows, sums, by or [], value, {"median": 0.5, "p90": 0.9, "p99": 0.99})
+    return rows.select(*(by or []), "n", "mean", "median", "p90", "p99", "share_zero")
 
 
 def random_centers(bounds: DataFrame, n: int, keys: list[str], seed: int = 0) -> DataFrame:

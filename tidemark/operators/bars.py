@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.columns import KEYS
+from . import spans
 
 
 def with_spine(df: DataFrame, bucket: str, keys: list[str] = KEYS, fill: dict | None = None) -> DataFrame:
@@ -37,10 +38,9 @@ def roll_up(fine: DataFrame, factor: int, keys: list[str]) -> DataFrame:
     return out.select(*keys, "bucket", F.when(F.col("n") > 0, F.col("s") / F.col("n")).alias("mean"), "n")
 
 
-def bucket_events(df: DataFrame, n: int, value: str, keys: list[str], order: tuple = ("t_us", "seq")) -> DataFrame:
-    """Every n events of a key: mean and count; the last bucket may be partial."""
-    i = F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1
-    return df.withColumn("_i", i).groupBy(*keys, F.expr(f"_i div {n}").alias("bucket")).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
+def bucket_events(df: DataFrame, n: int, value: str, keys: list[str], order: tuple = ("t_us", "seq"), width: float = spans.HOUR) -> DataFrame:
+    """Every n events of a key: mean and count; the last bucket may be partial. Events are numbered over spans of `width`."""
+    return spans.numbered(df, keys, list(order), width, "_i").groupBy(*keys, F.expr(f"(_i - 1) div {n}").alias("bucket")).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
 
 
 def side_stats(df: DataFrame, value: str, keys: list[str], name: str, side: str = "side", approx: bool = False) -> DataFrame:

@@ -7,27 +7,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from . import selection
 from .entropy import equal_width_bin
 
+QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+
 
 def log_volume(df: DataFrame, volume: str = "volume") -> DataFrame:
     return df.filter(F.col(volume) > 0).withColumn("log_volume", F.log(volume))
 
 
 def describe_side(df: DataFrame, value: str, keys: list[str], side: str = "side") -> DataFrame:
-    """Per side and for both together (side null): size, moments (population), extremes and quartiles, by grouping sets."""
+    """Per side and for both together (side null): size, moments (population), extremes and quartiles, by grouping sets.
+
+    Quartiles of large groups come from selection.percentiles(). A null side is a side of its own.
+    """
     x = F.col(value)
-    q = lambda p: F.percentile(x, F.lit(p))
     sets = [[*keys, side], keys] if keys else [[side], []]
-    rows = df.filter(x.isNotNull()).groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in [*keys, side]])
-    return rows.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.skewness(x).alias("skew"), F.kurtosis(x).alias("kurtosis"), F.min(x).alias("min"), q(0.25).alias("q25"), q(0.5).alias("median"), q(0.75).alias("q75"), F.max(x).alias("max"))
+    have = df.filter(x.isNotNull())
+    rows = have.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in [*keys, side]])
+    rows = rows.agg(F.grouping(side).alias("_both"), F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.skewness(x).alias("skew"), F.kurtosis(x).alias("kurtosis"), F.min(x).alias("min"), F.max(x).alias("max"))
+    each = selection.percentiles(have, [*keys, side], value, QUARTILES).withColumn("_both", F.lit(0).cast("tinyint"))
+    both = selection.percentiles(have, keys, value, QUARTILES).select(*keys, F.lit(None).cast(df.schema[side].dataType).alias(side), *QUARTILES, F.lit(1).cast("tinyint").alias("_both"))
+    group = selection.group_of([*keys, side, "_both"])
+    found = each.unionByName(both).select(group.alias("_g"), *QUARTILES)
+    return rows.withColumn("_g", group).join(found, "_g", "left").select(*keys, side, "n", "mean", "std", "skew", "kurtosis", "min", *QUARTILES, "max")
 
 
 def summary(df: DataFrame, cols: list[str]) -> DataFrame:
     """One row per column: count, mean, sample deviation, extremes, quartiles; the columns are stacked, the table read once."""
     rows = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in cols])).alias("s")).select("s.*")
-    q = lambda p: F.percentile("x", F.lit(p))
-    return rows.groupBy("column").agg(F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), F.max("x").alias("max"))
+    out = rows.groupBy("column").agg(F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    return selection.beside(out, rows, ["column"], "x", {"q25": 0.25, "q50": 0.5, "q75": 0.75}).select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def hour_histogram(df: DataFrame, value: str, hour, edges: int = 100) -> DataFrame:
@@ -99,10 +110,10 @@ def fitted_cdf(df: DataFrame, fits: DataFrame, value: str, keys: list[str]) -> D
 
 
 def ks_stat(df: DataFrame, value: str, cdf, keys: list[str]) -> DataFrame:
-    """Largest gap of the empirical and a given distribution function (a column), and rows."""
-    w = W.partitionBy(*keys)
-    rows = df.filter(F.col(value).isNotNull()).withColumns({"_f": cdf, "_i": F.row_number().over(w.orderBy(value)), "_n": F.count(F.lit(1)).over(w)})
-    return rows.groupBy(*keys).agg(F.max(F.greatest(F.col("_i") / F.col("_n") - F.col("_f"), F.col("_f") - (F.col("_i") - 1) / F.col("_n"))).alias("ks"), F.first("_n").alias("n"))
+    """Largest gap of the empirical and a given distribution function (a column), and rows; equal values are one step."""
+    rows = selection.counted(df.filter(F.col(value).isNotNull()).withColumn("_f", cdf), keys, value, [F.min("_f").alias("_low"), F.max("_f").alias("_high")])
+    gap = F.greatest(F.col("upto") / F.col("n") - F.col("_low"), F.col("_high") - (F.col("upto") - F.col("c")) / F.col("n"))
+    return rows.groupBy(*keys).agg(F.max(gap).alias("ks"), F.first("n").alias("n"))
 
 
 def with_ks_p(df: DataFrame) -> DataFrame:

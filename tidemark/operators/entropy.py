@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from . import spans
+from .selection import group_of
+
 #: The category of each of the eight sign triples when fewer categories are asked for.
 MERGES = {8: [0, 1, 2, 3, 4, 5, 6, 7], 6: [0, 2, 1, 3, 4, 1, 5, 0], 4: [0, 1, 3, 2, 2, 3, 1, 0], 3: [0, 1, 2, 1, 1, 2, 1, 0], 2: [0, 1, 0, 1, 0, 1, 0, 1]}
 
@@ -82,23 +85,27 @@ def _kl(p, q, k: int):
     return sum(terms[1:], terms[0])
 
 
-def rolling_pattern_kl(df: DataFrame, value: str, n: int, k: int, keys: list[str], order: str, stamp: str = "last") -> DataFrame:
+def rolling_pattern_kl(df: DataFrame, value: str, n: int, k: int, keys: list[str], order: str, stamp: str = "last", width: float = 10_000) -> DataFrame:
     """Relative entropy of each window's sign-triple distribution to the adjacent window before and to the first window.
 
-    A window of n values holds n - 3 codes. Counts are running sums of one ordered pass; windows are not built.
+    A window of n values holds n - 3 codes. Its counts are differences of running sums, read so many rows before; sums and
+    lags go over spans of `width` of the order, so a key is worked out by many tasks.
     """
-    w = _w(keys, order)
-    up = F.coalesce((F.col(value) > F.lag(value).over(w)).cast("int"), F.lit(0))
-    rows = df.withColumn("_u", up).withColumn("_i", F.row_number().over(w))
-    triple = F.lag("_u", 2).over(w) * 4 + F.lag("_u", 1).over(w) * 2 + F.col("_u")
-    rows = rows.withColumn("_c", F.when(F.col("_i") >= 4, F.element_at(F.array(*map(F.lit, MERGES[k])), (triple + 1).cast("int"))))
-    span = w.rowsBetween(-(n - 4), 0)
-    rows = rows.select("*", *[F.sum((F.col("_c") == j).cast("int")).over(span).alias(f"_n{j}") for j in range(k)])
-    rows = rows.select("*", *[F.lag(f"_n{j}", n).over(w).alias(f"_b{j}") for j in range(k)], *[F.max(F.when(F.col("_i") == n, F.col(f"_n{j}"))).over(W.partitionBy(*keys)).alias(f"_f{j}") for j in range(k)], F.lag(order, n - 1).over(w).alias("_start"))
-    now, before, first = ([F.col(f"_{x}{j}") for j in range(k)] for x in "nbf")
-    out = rows.filter(F.col("_i") >= n)
-    at = F.col(order) if stamp == "last" else F.col("_start")
-    return out.select(*keys, at.alias("stamp"), F.col("_i").alias("row"), F.when(F.col("_i") >= 2 * n, _kl(now, before, k)).alias("kl_adjacent"), _kl(now, first, k).alias("kl_first"))
+    # packed values: a missing row and a null value differ
+    rows = spans.lagged(df.select(*keys, order, value), keys, [order], width, F.struct(F.col(value).alias("x")), {"_x1": 1, "_x2": 2, "_x3": 3})
+    past = [F.col(value), *[F.col(f"_x{j}.x") for j in (1, 2, 3)]]
+    up = [F.coalesce((past[j] > past[j + 1]).cast("int"), F.lit(0)) for j in range(3)]
+    code = F.when(F.col("_x3").isNotNull(), F.element_at(F.array(*map(F.lit, MERGES[k])), (up[2] * 4 + up[1] * 2 + up[0] + 1).cast("int")))
+    rows = spans.running(rows.select(*keys, order, code.alias("_c")), keys, [order], width, {"_i": F.lit(1), **{f"_p{j}": (F.col("_c") == j).cast("int") for j in range(k)}})
+    sums = F.struct(F.array(*[F.col(f"_p{j}") for j in range(k)]).alias("p"), F.col(order).alias("o"))
+    rows = spans.lagged(rows, keys, [order], width, sums, {"_a": n - 3, "_b": n, "_d": 2 * n - 3, "_e": n - 1})
+    at = lambda c, j: F.coalesce(F.col(f"{c}.p")[j], F.lit(0))
+    now, before = [F.col(f"_p{j}") - at("_a", j) for j in range(k)], [at("_b", j) - at("_d", j) for j in range(k)]
+    rows = rows.filter(F.col("_i") >= n).select(*keys, "_i", F.col(order if stamp == "last" else "_e.o").alias("stamp"), *[x.alias(f"_n{j}") for j, x in enumerate(now)], *[x.alias(f"_b{j}") for j, x in enumerate(before)])
+    first = rows.filter(F.col("_i") == n).select(group_of(keys).alias("_g"), *[F.col(f"_n{j}").alias(f"_f{j}") for j in range(k)])
+    out = rows.withColumn("_g", group_of(keys)).join(first, "_g")
+    now, before, start = ([F.col(f"_{x}{j}") for j in range(k)] for x in "nbf")
+    return out.select(*keys, "stamp", F.col("_i").cast("int").alias("row"), F.when(F.col("_i") >= 2 * n, _kl(now, before, k)).alias("kl_adjacent"), _kl(now, start, k).alias("kl_first"))
 
 
 def rolling_binned_kl(df: DataFrame, value: str, k: int, window: int, step: int, keys: list[str], order: str) -> DataFrame:

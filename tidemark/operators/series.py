@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from . import selection
+
 
 def _w(keys, order):
     return W.partitionBy(*keys).orderBy(order)
@@ -55,11 +57,12 @@ def deseasonalize(df: DataFrame, value: str, keys: list[str], season: Column) ->
 
 
 def rank_uniform(df: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:
-    """Average rank over n + 1, ties share."""
+    """Average rank over n + 1, ties share; nulls come first. Ranks run over the distinct values of a key, by spans."""
     out = df
     for c in cols:
-        rank = F.rank().over(_w(keys, c)) + (F.count(F.lit(1)).over(W.partitionBy(*keys, c)) - 1) / 2
-        out = out.withColumn(f"{c}_u", rank / (F.count(F.lit(1)).over(W.partitionBy(*keys)) + 1))
+        rank = (F.col("upto") - F.col("c") + 1) + (F.col("c") - 1) / 2
+        ranks = selection.counted(df.select(*keys, c), keys, c).select(selection.group_of([*keys, c]).alias("_g"), (rank / (F.col("n") + 1)).alias(f"{c}_u"))
+        out = out.withColumn("_g", selection.group_of([*keys, c])).join(ranks, "_g").drop("_g")
     return out
 
 

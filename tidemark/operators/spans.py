@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 SPAN = "_span"
+#: A width for clocks in microseconds.
+HOUR = 3_600_000_000
 
 
 def cut(df: DataFrame, keys: list[str], t: str, width: float) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.columns import KEYS
+from . import spans
 
 # Lower price of each band, and the tick of each of six liquidity bands.
 TICK_BANDS = [
@@ -97,11 +98,10 @@ def time_bars(trades: DataFrame, minutes: int = 1, keys: list[str] = KEYS, t_us:
     return bars.withColumn("bar_us", F.col("bar") * width).withColumn("imbalance", _ratio(F.col("signed_volume"), F.col("volume"))).withColumn("known_ratio", _ratio(F.col("known_volume"), F.col("volume")))
 
 
-def count_bars(trades: DataFrame, n: int, keys: list[str] = KEYS, order: tuple = ("t_us", "seq")) -> DataFrame:
-    """Blocks of exactly n trades; a remainder is left out. Keys with no full block give no rows."""
-    w = W.partitionBy(*keys)
-    rows = trades.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    rows = rows.withColumn("block", F.expr(f"_i div {n}")).filter(F.col("block") < F.expr(f"_n div {n}"))
+def count_bars(trades: DataFrame, n: int, keys: list[str] = KEYS, order: tuple = ("t_us", "seq"), width: float = spans.HOUR) -> DataFrame:
+    """Blocks of exactly n trades; a remainder is left out. Keys with no full block give no rows. Trades are numbered over spans of `width`."""
+    rows = spans.numbered(trades, keys, list(order), width, "_i", totals=True)
+    rows = rows.withColumn("block", F.expr(f"(_i - 1) div {n}")).filter(F.col("block") < F.expr(f"_i_total div {n}"))
     known = F.when(F.col("sign") != 0, F.col("qty")).otherwise(0.0)
     out = rows.groupBy(*keys, "block").agg(
         F.sum("signed_qty").alias("signed_volume"), F.sum("qty").alias("volume"), F.sum(known).alias("known_volume"),

@@ -329,13 +329,13 @@ def hours_of(v):
 @query("j3_asof_forward", "trades", f", {HOURS} select h.symbol, h.t, (select min(struct_pack(a := t.t_us, b := t.seq)) from v_trades t where t.symbol = h.symbol and t.t_us >= h.t).b as seq from h")
 def _(v):
     right = v.trades.select("symbol", F.col("t_us").alias("t"), "seq")
-    return align.asof_forward(hours_of(v), right, KEY, "t", ["seq"], tie="seq")
+    return align.asof_forward(hours_of(v), right, KEY, "t", ["seq"], tie="seq", width=HOUR)
 
 
 @query("j4_asof_backward", "trades", f", {HOURS} select h.symbol, h.t, (select max(struct_pack(a := t.t_us, b := t.seq)) from v_trades t where t.symbol = h.symbol and t.t_us <= h.t).b as seq from h")
 def _(v):
     right = v.trades.select("symbol", F.col("t_us").alias("t"), "seq")
-    return align.asof_backward(hours_of(v), right, KEY, "t", ["seq"], tie="seq")
+    return align.asof_backward(hours_of(v), right, KEY, "t", ["seq"], tie="seq", width=HOUR)
 
 
 TICK = "case when {p} >= 100 then 0.1 when {p} >= 50 then 0.05 when {p} >= 20 then 0.02 when {p} >= 10 then 0.01 end"
