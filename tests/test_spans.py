@@ -60,8 +60,10 @@ def test_asof_over_spans(spark, table, strict, width):
 def test_window_sums_over_spans(spark, table):
     """Against a loop over all pairs; centres outside all events and of keys without events give 0."""
     events = table.filter("k is not null and t is not null and v is not null").select("k", "t", F.col("v").cast("double").alias("decrement"))
-    centers = spark.createDataFrame([(k, t, n) for n, (k, t) in enumerate([("a", 1), ("a", 2), ("a", 43), ("a", 200), ("c", -5), ("z", 0)])], "k string, t long, n long")
+    centers = spark.createDataFrame([(k, t, n) for n, (k, t) in enumerate([("a", 1), ("a", 2), ("a", 2), ("a", 43), ("a", 200), ("c", -5), ("z", 0)])], "k string, t long, n long")
     have = events.collect()
     for width in (2, 50):
-        for r in align.window_sums(events, centers, 4, ["k"], width=width).collect():
+        got = align.window_sums(events, centers.drop("n"), 4, ["k"], width=width).collect()
+        assert sorted((r["k"], r["t"]) for r in got) == sorted((r["k"], r["t"]) for r in centers.collect())
+        for r in got:
             assert r["window_sum"] == sum(e["decrement"] for e in have if e["k"] == r["k"] and abs(e["t"] - r["t"]) <= 4)

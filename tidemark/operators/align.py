@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.scratch import written
 from . import selection, spans
 
 
@@ -42,17 +43,19 @@ def asof_forward(left: DataFrame, right: DataFrame, keys: list[str], t: str, val
 
 
 def window_sums(events: DataFrame, centers: DataFrame, w: int, keys: list[str], t: str = "t", value: str = "decrement", width: float | None = None) -> DataFrame:
-    """Sum of events in [t - w, t + w] of each centre, 0 without any: the difference of two as-of reads of a running sum.
+    """Sum of events in [t - w, t + w] of each centre, 0 without any or without a time.
 
-    `centers` has the keys, t, and other columns; rows stay as they are. Sums run over spans of `width`, 32 w if not given.
+    A centre is two rows among the events, before those at t - w and after those at t + w; its sum is the difference of the
+    running sum at both, which goes over spans of `width`, 32 w if not given. `centers` has the keys, t, and other columns
+    that can be grouped by; equal centres stay as many as they are.
     """
-    width = width or 32 * w
-    times = events.filter(F.col(t).isNotNull()).groupBy(*keys, t).agg(F.sum(value).cast("double").alias("_v"))
-    total = spans.running(times, keys, [t], width, {"_total": F.col("_v")}).select(*keys, t, "_total")
-    at = centers.withColumn("_t", F.col(t))
-    high = asof_backward(at.withColumn(t, F.col("_t") + w), total, keys, t, ["_total"], width=width).withColumnRenamed("_total", "_high")
-    low = asof_backward(high.withColumn(t, F.col("_t") - w), total, keys, t, ["_total"], strict=True, width=width)
-    return low.withColumn(t, F.col("_t")).withColumn("window_sum", F.coalesce("_high", F.lit(0.0)) - F.coalesce("_total", F.lit(0.0))).select(*centers.columns, "window_sum")
+    have = events.filter(F.col(t).isNotNull()).select(*keys, t, F.lit(1).alias("_side"), F.col(value).cast("double").alias("_v"), F.lit(None).cast(centers.schema).alias("_c"))
+    ends = F.explode(F.array(*[F.struct((F.col(t) + d).alias("at"), F.lit(side).alias("side")) for d, side in ((-w, 0), (w, 2))]))
+    asked = centers.select(*keys, ends.alias("_e"), F.struct(*centers.columns).alias("_c")).select(*keys, F.col("_e.at").alias(t), F.col("_e.side").alias("_side"), F.lit(None).cast("double").alias("_v"), "_c")
+    sums = spans.running(have.unionByName(asked), keys, [t, "_side"], width or 32 * w, {"_total": F.col("_v")}).filter("_side <> 1")
+    signed = F.when(F.col("_side") == 2, F.col("_total")).otherwise(-F.col("_total"))
+    each = sums.groupBy("_c").agg(F.sum(signed).alias("_s"), F.count_if(F.col("_side") == 2).alias("_m"))
+    return each.withColumn("window_sum", F.col("_s") / F.col("_m")).withColumn("_m", F.explode(F.sequence(F.lit(1).cast("bigint"), "_m"))).select("_c.*", "window_sum")
 
 
 def _numbered(events: DataFrame, w: int, keys: list[str], t: str, order: str) -> tuple[DataFrame, DataFrame]:
@@ -86,6 +89,7 @@ def window_context(events: DataFrame, centers: DataFrame, w: int, keys: list[str
 def alignment_stats(sums: DataFrame, value: str = "window_sum", by: list[str] | None = None) -> DataFrame:
     """Size, mean, exact percentiles and share of zeros; large groups by selection.percentiles()."""
     x = F.col(value)
+    sums, _ = written(sums.select(*(by or []), value), "sums")  # read several times
     rows = sums.groupBy(*(by or [])).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.avg((x == 0).cast("double")).alias("share_zero"))
     rows = selection.beside(rows, sums, by or [], value, {"median": 0.5, "p90": 0.9, "p99": 0.99})
     return rows.select(*(by or []), "n", "mean", "median", "p90", "p99", "share_zero")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.scratch import written
 from . import spans
 from .selection import group_of
 
@@ -92,11 +93,13 @@ def rolling_pattern_kl(df: DataFrame, value: str, n: int, k: int, keys: list[str
     lags go over spans of `width` of the order, so a key is worked out by many tasks.
     """
     # packed values: a missing row and a null value differ
-    rows = spans.lagged(df.select(*keys, order, value), keys, [order], width, F.struct(F.col(value).alias("x")), {"_x1": 1, "_x2": 2, "_x3": 3})
+    rows, _ = written(df.select(*keys, order, value), "values")  # each pass over spans reads its rows twice
+    rows = spans.lagged(rows, keys, [order], width, F.struct(F.col(value).alias("x")), {"_x1": 1, "_x2": 2, "_x3": 3})
     past = [F.col(value), *[F.col(f"_x{j}.x") for j in (1, 2, 3)]]
     up = [F.coalesce((past[j] > past[j + 1]).cast("int"), F.lit(0)) for j in range(3)]
     code = F.when(F.col("_x3").isNotNull(), F.element_at(F.array(*map(F.lit, MERGES[k])), (up[2] * 4 + up[1] * 2 + up[0] + 1).cast("int")))
     rows = spans.running(rows.select(*keys, order, code.alias("_c")), keys, [order], width, {"_i": F.lit(1), **{f"_p{j}": (F.col("_c") == j).cast("int") for j in range(k)}})
+    rows, _ = written(rows, "codes")
     sums = F.struct(F.array(*[F.col(f"_p{j}") for j in range(k)]).alias("p"), F.col(order).alias("o"))
     rows = spans.lagged(rows, keys, [order], width, sums, {"_a": n - 3, "_b": n, "_d": 2 * n - 3, "_e": n - 1})
     at = lambda c, j: F.coalesce(F.col(f"{c}.p")[j], F.lit(0))
