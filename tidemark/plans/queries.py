@@ -394,9 +394,9 @@ def _(v):
     return align.window_context(book.decrement_events(lives_of(v), KEY), centers, 300_000_000, KEY).select("symbol", "center", "seq", "rank", "offset")
 
 
-@query("j13_window_context_all")
+@query("j13_window_context_all", "updates trades", DECREMENTS + "select symbol, center, seq, cast(rank as int) as rank, off as \"offset\" from (select t.symbol, t.seq as center, d.seq, d.t - t.t_us as off, row_number() over (partition by t.symbol, t.seq order by d.t, d.seq) as rank from v_trades t join dec d on t.symbol = d.symbol and abs(d.t - t.t_us) <= 300000000) z where rank <= 25")
 def _(v):
-    """Around every trade, where j13_window_context and its SQL take one in a hundred."""
+    """Around every trade, where j13_window_context takes one in a hundred."""
     return align.window_context(book.decrement_events(lives_of(v), KEY), v.trades.select("symbol", F.col("seq").alias("center"), F.col("t_us").alias("t")), 300_000_000, KEY).select("symbol", "center", "seq", "rank", "offset")
 
 
@@ -527,9 +527,9 @@ def _(v):
     return r6(entropy.pattern_entropy(entropy.pattern_probs(v.series, "x", 6, KEY, "day"), KEY), "entropy", "information")
 
 
-@query("a18_information_half_life")
+@query("a18_information_half_life", "series", BITS + ", h as (select symbol, length, -sum(p * (case when pi > 0 then pi * (log2(p) - log2(pi)) else 0 end + case when pi < 1 then (1 - pi) * (log2(p) - log2(1 - pi)) else 0 end)) as e from pp group by symbol, length), g as (select symbol, length, greatest(0, 1 + coalesce(lag(e) over (partition by symbol order by length), 1) - e) as i from h), m as (select *, max(i) over (partition by symbol) as top from g) select symbol, round(max(i), 6) as max_information, min(case when i = top then length end) as max_length, min(case when i > top / 2 then length end) as half_length from m group by symbol")
 def _(v):
-    return entropy.information_half_life(entropy.pattern_entropy(entropy.pattern_probs(v.series, "x", 6, KEY, "day"), KEY), KEY)
+    return r6(entropy.information_half_life(entropy.pattern_entropy(entropy.pattern_probs(v.series, "x", 6, KEY, "day"), KEY), KEY), "max_information")
 
 
 @query("a19_lagged_mi", "series", ", b as (select symbol, day, cast(least(9, floor((x - min(x) over s) / (max(x) over s - min(x) over s) * 10)) as int) as b from v_series window s as (partition by symbol)), p as (select symbol, k as lag, lag(b, 1) over w as x1, lag(b, 5) over w as x5, b as y from b, (values (1), (5)) q(k) window w as (partition by symbol, k order by day)), pr as (select symbol, lag, case lag when 1 then x1 else x5 end as x, y from p where case lag when 1 then x1 else x5 end is not null), c as (select symbol, lag, x, y, count(*) as c from pr group by all), d as (select *, sum(c) over (partition by symbol, lag) as n, sum(c) over (partition by symbol, lag, x) as cx, sum(c) over (partition by symbol, lag, y) as cy from c) select symbol, lag, round(sum(c / n * ln(c * n / (cx * cy))), 6) as mi, round(-sum(c / n * ln(c / cx)), 6) as conditional_entropy from d group by all")
@@ -555,7 +555,7 @@ def _(v):
     return distribution.time_range(v.trades, "t_us", KEY)
 
 
-@query("a23_sample_per_group")
+@query("a23_sample_per_group", "updates", "select * from v_updates qualify row_number() over (partition by order_type order by md5('0|' || symbol || '|' || seq), symbol, seq) <= 5")
 def _(v):
     return distribution.sample_per_group(v.updates, "order_type", 5, ["symbol", "seq"])
 
@@ -650,6 +650,20 @@ def _(v):
     return r6(entropy.rolling_pattern_kl(v.series, "x", 60, 6, KEY, "day"), "kl_adjacent", "kl_first")
 
 
+#: 99th percentile of chi-square with five degrees of freedom.
+CHI2_5_99 = 15.086272469388987
+
+
+@query("w9_change_points", "series", pattern_sql("v_series", "x", "day", 60) + f", z as (select symbol, o as stamp, case when i >= 120 then {kl_sql('n', 'b', 6)} end as a, {kl_sql('n', 'f', 6)} as f from f where i >= 60) select symbol, stamp, round(a, 6) as kl_adjacent, round(f, 6) as kl_first, coalesce(a > {CHI2_5_99} / 57, false) as broke, coalesce(f > {CHI2_5_99} / 114, false) as drifted from z")
+def _(v):
+    """Windows whose patterns differ from the window before (two samples) or from the first one (one sample) at the 1% level."""
+    limit = entropy.kl_thresholds(6, 57, 0.01)
+    kl = entropy.rolling_pattern_kl(v.series, "x", 60, 6, KEY, "day")
+    rows = entropy.flag_changes(kl, "kl_adjacent", limit["two_sample"]).withColumnRenamed("change", "broke")
+    rows = entropy.flag_changes(rows, "kl_first", limit["one_sample"]).withColumnRenamed("change", "drifted")
+    return r6(rows.select("symbol", "stamp", "kl_adjacent", "kl_first", "broke", "drifted"), "kl_adjacent", "kl_first")
+
+
 @query("w10_rolling_binned_kl", "series", f""", o as (select symbol, day, x, row_number() over (partition by symbol order by day) as i from v_series),
 e as (select symbol, list_distinct(quantile_cont(x, [0.25, 0.5, 0.75])) as e from o where i <= 100 group by symbol),
 b as (select o.*, len(list_filter(e.e, lambda z: z <= o.x)) as b from o join e on o.symbol = e.symbol),
@@ -679,8 +693,8 @@ def _(v):
     return r6(series.xcf(v.series, "x", "q", 5, KEY, "day"), "xcf")
 
 
-def events_of(v, every: int = 1):
-    t = trades.event_seconds(trades.clean_trades(v.trades), 1e-3, KEY).filter(f"seq % {every} = 0")
+def events_of(v):
+    t = trades.event_seconds(trades.clean_trades(v.trades), 1e-3, KEY)
     return t.select("symbol", (F.col("t_seconds_jitter") / 3600).alias("t"), F.when(F.col("sign") == 1, 0).otherwise(1).alias("mark"))
 
 
