@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.columns import KEYS
-from . import spans
+from . import selection, spans
 
 
 def with_spine(df: DataFrame, bucket: str, keys: list[str] = KEYS, fill: dict | None = None) -> DataFrame:
@@ -44,13 +44,21 @@ def bucket_events(df: DataFrame, n: int, value: str, keys: list[str], order: tup
 
 
 def side_stats(df: DataFrame, value: str, keys: list[str], name: str, side: str = "side", approx: bool = False) -> DataFrame:
-    """Per side mean, interpolated 90th percentile and count, as `{name}_{bid|ask}_{mean|p90|count}`."""
-    p90 = (lambda c: F.percentile_approx(c, 0.9)) if approx else (lambda c: F.percentile(c, F.lit(0.9)))
-    aggs = []
-    for code, label in ((1, "bid"), (2, "ask")):
+    """Per side mean, interpolated 90th percentile and count, as `{name}_{bid|ask}_{mean|p90|count}`.
+
+    The percentile is exact, of large groups by selection.percentiles(); with `approx` it is a sketch's.
+    """
+    sides, aggs = {"bid": 1, "ask": 2}, []
+    for label, code in sides.items():
         x = F.when(F.col(side) == code, F.col(value))
-        aggs += [F.avg(x).alias(f"{name}_{label}_mean"), p90(x).alias(f"{name}_{label}_p90"), F.count(x).alias(f"{name}_{label}_count")]
-    return df.groupBy(*keys).agg(*aggs)
+        aggs += [F.avg(x).alias(f"{name}_{label}_mean"), *([F.percentile_approx(x, 0.9).alias(f"{name}_{label}_p90")] if approx else []), F.count(x).alias(f"{name}_{label}_count")]
+    out = df.groupBy(*keys).agg(*aggs)
+    if approx:
+        return out
+    each = selection.percentiles(df.filter(F.col(side).isin(1, 2)), [*keys, side], value, {"_p": 0.9})
+    found = each.groupBy(selection.group_of(keys).alias("_g")).agg(*[F.max(F.when(F.col(side) == code, F.col("_p"))).alias(f"{name}_{label}_p90") for label, code in sides.items()])
+    out = out.withColumn("_g", selection.group_of(keys)).join(found, "_g", "left")
+    return out.select(*keys, *[f"{name}_{label}_{c}" for label in sides for c in ("mean", "p90", "count")])
 
 
 def micro_features(df: DataFrame, keys: list[str]) -> DataFrame:
