@@ -125,6 +125,40 @@ def test_marked_residuals_and_bootstrap(spark):
     assert some["replicates"] == 4 and some["p_value"] in (0.2, 0.4, 0.6, 0.8, 1.0)
 
 
+def test_fixed_design_bootstrap(spark):
+    """Likelihood and gradient over a fixed history by their definition, and the replicates by a loop."""
+    fit = {"mu0": 0.5, "mu1": 1.0, "alpha_self": 0.4, "alpha_cross": 0.2, "beta": 2.0}
+    t, m = hawkes._simulate_sym(fit, 60.0, np.random.default_rng(8))
+    at, kinds = hawkes.redraw(t, m, fit, 60.0, np.random.default_rng(1), "fixed_intensity")
+    seen = hawkes.states_at(t, m, at, 2.0)
+    assert np.allclose(seen[1], [sum(math.exp(-2.0 * (y - a)) for a, b in zip(t, m) if a < y and b == 1) for y in at])
+    assert [s.tolist() for s in hawkes.states_at(t[:0], m[:0], at[:2], 2.0)] == [[0, 0], [0, 0]]
+    x = np.log([0.7, 0.9, 0.3, 0.25])
+    mass = sum(1 - math.exp(-2.0 * (60 - a)) for a in t)
+    p = np.exp(x)
+    want = sum(math.log(p[k] + 2 * (p[2] * seen[k][i] + p[3] * seen[1 - k][i])) for i, k in enumerate(kinds)) - 60 * (p[0] + p[1]) - mass * (p[2] + p[3])
+    value, g = hawkes.design_loglik(x, at, kinds, 60.0, 2.0, seen, mass)
+    assert -value == pytest.approx(want, rel=1e-12)
+    for i in range(4):
+        up, down = (hawkes.design_loglik(x + s * np.eye(4)[i] * 1e-5, at, kinds, 60.0, 2.0, seen, mass)[0] for s in (1, -1))
+        assert g[i] == pytest.approx((up - down) / 2e-5, rel=1e-5, abs=1e-6)
+    # the events as they were, over their own history, are the plain test
+    mid = float(t[-1]) / 2
+    parts, marks = hawkes._halves_of(t, m, 2 * mid)
+    found, null = hawkes.change_lr(parts, marks, mid, "sym", 2.0, 1)
+    assert hawkes.design_lr(parts, marks, list(zip(parts, marks)), mid, 2.0) == pytest.approx(found["lr"], abs=1e-4)
+    hits = 0
+    for r in range(8):
+        rng = np.random.default_rng([0, r, len(t), int(t.sum() * 1e3) % (1 << 32)])
+        star = [hawkes.redraw(a, b, null, mid, rng, "fixed_intensity") for a, b in zip(parts, marks)]
+        hits += hawkes.design_lr(parts, marks, star, mid, 2.0) >= found["lr"]
+    df = spark.createDataFrame([("k", float(a), int(b)) for a, b in zip(t, m)], "k string, t double, mark int")
+    got = hawkes.hawkes_bootstrap(df, ["k"], 8, block=3, method="fixed_design", model="sym", beta=2.0).first()
+    assert got["replicates"] == 8 and got["p_value"] == pytest.approx((1 + hits) / 9)
+    with pytest.raises(ValueError):
+        hawkes.hawkes_bootstrap(df, ["k"], 8, method="fixed_design")
+
+
 def test_gamma_and_ks(spark):
     x = np.random.default_rng(5).gamma(3.0, 2.0, 4000)
     df = spark.createDataFrame([(1, float(v)) for v in x], "k int, x double")

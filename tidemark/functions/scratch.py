@@ -33,3 +33,8 @@ def drop(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Groups over all shuffle partitions: small rows with long work behind them, which would else be merged into a few tasks by their bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

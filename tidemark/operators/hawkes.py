@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.scratch import spread
 from .stats import chi2_sf, minimize
 
 
@@ -471,6 +472,37 @@ def loglik_under(fit: dict, t: np.ndarray, end: float, mark: np.ndarray | None =
     return -float(uni_loglik(np.log([fit["mu"], max(fit["alpha"], 1e-300), fit["beta"]]), t, end)[0])
 
 
+def states_at(t: np.ndarray, mark: np.ndarray, at: np.ndarray, beta: float) -> list[np.ndarray]:
+    """For each mark its decayed events before given times."""
+    if not len(t):
+        return [np.zeros(len(at)) for _ in (0, 1)]
+    last = np.searchsorted(t, at, side="left") - 1
+    fade = np.where(last >= 0, np.exp(-beta * np.maximum(at - t[last], 0.0)), 0.0)
+    return [(decay_states(t, beta, (mark == k).astype(float)) + (mark == k))[last] * fade for k in (0, 1)]
+
+
+def design_loglik(x: np.ndarray, at: np.ndarray, mark: np.ndarray, end: float, beta: float, seen: list[np.ndarray], mass: float) -> tuple[float, np.ndarray]:
+    """As sym_loglik for drawn events `at` that are excited by other, fixed ones: their states there, and the mass they give by `end`."""
+    sums = sym_sums(x, at, mark, end, beta, seen, None)
+    sums[1] = mass
+    return sym_value(x, sums, end, beta)
+
+
+def design_lr(parts: list, marks: list, drawn: list, mid: float, beta: float, restarts: int = 1) -> float:
+    """The change statistic of drawn halves (times, marks) over the histories of the halves as they were, with beta held."""
+    designs = []
+    for t, m, (at, kinds) in zip(parts, marks, drawn):
+        designs.append((at, kinds, mid, beta, states_at(t, m, at, beta), float((1 - np.exp(-beta * (mid - t))).sum())))
+
+    def fit(some: list, restarts: int, start: dict | None = None) -> dict:
+        n = [sum(int((d[1] == k).sum()) for d in some) for k in (0, 1)]
+        plan = sym_plan(*n, mid * len(some), beta, restarts, start=start)
+        return plan.fit(design_loglik, some)
+
+    null = fit(designs, restarts)
+    return 2 * (sum(fit([d], max(1, restarts // 2), null)["loglik"] for d in designs) - null["loglik"])
+
+
 def redraw(t: np.ndarray, mark: np.ndarray | None, fit: dict, end: float, rng, method: str) -> tuple[np.ndarray, np.ndarray | None]:
     """Events, and marks if there are, of one half under the null.
 
@@ -488,8 +520,7 @@ def redraw(t: np.ndarray, mark: np.ndarray | None, fit: dict, end: float, rng, m
     star = _invert(t, both, arrivals[arrivals < total], end)
     if mark is None:
         return star, None
-    last = np.searchsorted(t, star, side="left") - 1
-    seen = [np.where(last >= 0, (decay_states(t, fit["beta"], (mark == k).astype(float)) + (mark == k))[last] * np.exp(-fit["beta"] * np.maximum(star - t[last], 0.0)), 0.0) for k in (0, 1)]
+    seen = states_at(t, mark, star, fit["beta"])
     rate = [fit[f"mu{k}"] + fit["beta"] * (fit["alpha_self"] * seen[k] + fit["alpha_cross"] * seen[1 - k]) for k in (0, 1)]
     return star, (rng.uniform(size=len(star)) * (rate[0] + rate[1]) > rate[0]).astype(int)
 
@@ -498,11 +529,13 @@ def hawkes_bootstrap(df: DataFrame, keys: list[str], replicates: int, seed: int
     """lr, replicates, p_value = (1 + #{lr* >= lr}) / (B + 1) of the change test of each series.
 
     Both halves are drawn apart under the common fit of both, by redraw(). fixed_intensity refits the null and the
-    halves of each replicate, with beta held in model "sym"; parametric refits the halves and holds the null's
-    parameters. A task takes one series and a block of replicates; seeds follow from series and replicate, so a lost
+    halves of each replicate, with beta held in model "sym"; fixed_design (model "sym" only) draws in the same way and
+    refits over the states of the events as they were; parametric refits the halves and holds the null's parameters. A task takes one series and a block of replicates; seeds follow from series and replicate, so a lost
     task redoes the same draws. Events travel as one array a block.
     """
     marked = model != "uni"
+    if method == "fixed_design" and model != "sym":
+        raise ValueError("fixed_design needs two marks and a given beta: model='sym'")
     series = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(t).cast("double").alias("t"), (F.col(mark).cast("int") if marked else F.lit(0)).alias("m")))).alias("ts"))
     blocks = series.select(*keys, F.col("ts.t").alias("ts"), F.col("ts.m").alias("ms"), F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // block) - 1))).alias("b"))
 
@@ -515,10 +548,13 @@ def hawkes_bootstrap(df: DataFrame, keys: list[str], replicates: int, seed: int
         for r in range(number * block, min(replicates, (number + 1) * block)):
             rng = np.random.default_rng([seed, r, len(x), int(x.sum() * 1e3) % (1 << 32)])
             star = [redraw(a, m, null, mid, rng, method) for a, m in zip(parts, marks)]
+            if method == "fixed_design":
+                hits, done = hits + (design_lr(parts, marks, star, mid, beta, restarts) >= found["lr"]), done + 1
+                continue
             lr = change_lr([a for a, _ in star], [m for _, m in star], mid, model, beta, restarts, null if method == "parametric" else None)[0]["lr"]
             hits += lr >= found["lr"]
             done += 1
         return pd.DataFrame([{**dict(zip(keys, key[:-1])), "lr": found["lr"], "hits": hits, "done": done}])
 
-    parts = blocks.groupBy(*keys, "b").applyInPandas(run, f"{_types(df, keys)}, lr double, hits long, done long")
+    parts = spread(blocks, *keys, "b").groupBy(*keys, "b").applyInPandas(run, f"{_types(df, keys)}, lr double, hits long, done long")
     return parts.groupBy(*keys).agg(F.max("lr").alias("lr"), F.sum("done").alias("replicates"), ((1 + F.sum("hits")) / (F.sum("done") + 1)).alias("p_value"))

@@ -867,6 +867,10 @@ def _(v):
     return hawkes.rescaling_summary(hawkes.rescaling(events_of(v), KEY), KEY)
 
 
+#: Replicates of the bootstraps that use it.
+BOOT = 100
+
+
 @query("k6_hawkes_bootstrap")
 def _(v):
     return hawkes.hawkes_bootstrap(events_of(v), KEY, replicates=8, block=2)
@@ -877,6 +881,22 @@ def _(v):
     return hawkes.hawkes_bootstrap(events_of(v), KEY, replicates=8, block=2, model="sym", beta=2.0)
 
 
+@query("k6_bootstrap_sym_full")
+def _(v):
+    return hawkes.hawkes_bootstrap(events_of(v), KEY, replicates=BOOT, block=5, model="sym_full")
+
+
+@query("k6_bootstrap_fixed_design")
+def _(v):
+    return hawkes.hawkes_bootstrap(events_of(v), KEY, replicates=BOOT, block=5, method="fixed_design", model="sym", beta=2.0)
+
+
+@query("k6_bootstrap_daily")
+def _(v):
+    events = series.return_events(v.series, 0.3, "abs_gt", "x", KEY, "day").select("symbol", (F.col("t_index") + 1).cast("double").alias("t"))
+    return hawkes.hawkes_bootstrap(events, KEY, replicates=BOOT, block=5, restarts=3)
+
+
 @query("k7_parametric_bootstrap")
 def _(v):
     return hawkes.hawkes_bootstrap(events_of(v), KEY, replicates=4, block=1, method="parametric")
@@ -888,6 +908,11 @@ def _(v):
     return kde.best_candidate(kde.select_kde(weekly, "x", KEY, "week", t0=40, nu=10, n_h=4, n_omega=4), KEY)
 
 
+@query("k8_select_series")
+def _(v):
+    return kde.best_candidate(kde.select_kde(v.series, "x", KEY, "day", t0=100), KEY)
+
+
 @query("k9_xcf_null")
 def _(v):
     from ..operators.causal import xcf_null
