@@ -259,11 +259,11 @@ def hot_and_others(df: DataFrame, keys: list[str], run: Callable, schema: str, m
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max(how["t"]).cast("double").alias("_last"), F.max(how.get("end") or how["t"]).cast("double").alias("_end"))
     hot = sizes.filter(F.col("_n") > CHUNK).collect()  # at most one row for each CHUNK events
     if not hot:
-        return df.groupBy(*keys).applyInPandas(run, schema)
+        return spread(df, *keys).groupBy(*keys).applyInPandas(run, schema)
     table = df.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in hot], _types(df, keys))
     same = [F.col(f"d.{k}").eqNullSafe(F.col(f"hot.{k}")) for k in keys]
     others = df.alias("d").join(F.broadcast(table.alias("hot")), same, "left_anti")
-    return others.groupBy(*keys).applyInPandas(run, schema).unionByName(hawkes_chunks.fit_hot(df, keys, hot, schema, model, CHUNK, **how))
+    return spread(others, *keys).groupBy(*keys).applyInPandas(run, schema).unionByName(hawkes_chunks.fit_hot(df, keys, hot, schema, model, CHUNK, **how))
 
 
 #: Free parameters of each model.
@@ -371,7 +371,7 @@ def rescaling(df: DataFrame, keys: list[str], t: str = "t") -> DataFrame:
             v = fit["mu"] * dt + fit["alpha"] * np.concatenate(([0.0], s[:-1] + 1)) * (np.arange(len(x)) > 0) * (1 - np.exp(-fit["beta"] * dt))
         return pd.DataFrame({**{k: [a] * len(x) for k, a in zip(keys, key)}, "t": x, "v": v, "u": 1 - np.exp(-v)})
 
-    return df.groupBy(*keys).applyInPandas(run, f"{_types(df, keys)}, t double, v double, u double")
+    return spread(df, *keys).groupBy(*keys).applyInPandas(run, f"{_types(df, keys)}, t double, v double, u double")
 
 
 def rescaling_sym(df: DataFrame, keys: list[str], beta: float | None = None, t: str = "t", mark: str = "mark") -> DataFrame:
@@ -391,7 +391,7 @@ def rescaling_sym(df: DataFrame, keys: list[str], beta: float | None = None, t:
         out = pd.concat(out, ignore_index=True)
         return out.assign(**dict(zip(keys, key)), u=1 - np.exp(-out["v"]))[[*keys, "mark", "t", "v", "u"]]
 
-    return df.groupBy(*keys).applyInPandas(run, f"{_types(df, keys)}, mark int, t double, v double, u double")
+    return spread(df, *keys).groupBy(*keys).applyInPandas(run, f"{_types(df, keys)}, mark int, t double, v double, u double")
 
 
 def rescaling_summary(residuals: DataFrame, keys: list[str]) -> DataFrame:

@@ -873,12 +873,12 @@ BOOT = 100
 
 @query("k6_hawkes_bootstrap")
 def _(v):
-    return hawkes.hawkes_bootstrap(events_of(v), KEY, replicates=8, block=2)
+    return hawkes.hawkes_bootstrap(events_of(v), KEY, replicates=BOOT, block=5)
 
 
 @query("k6_bootstrap_sym")
 def _(v):
-    return hawkes.hawkes_bootstrap(events_of(v), KEY, replicates=8, block=2, model="sym", beta=2.0)
+    return hawkes.hawkes_bootstrap(events_of(v), KEY, replicates=BOOT, block=5, model="sym", beta=2.0)
 
 
 @query("k6_bootstrap_sym_full")
@@ -899,7 +899,7 @@ def _(v):
 
 @query("k7_parametric_bootstrap")
 def _(v):
-    return hawkes.hawkes_bootstrap(events_of(v), KEY, replicates=4, block=1, method="parametric")
+    return hawkes.hawkes_bootstrap(events_of(v), KEY, replicates=BOOT, block=5, method="parametric")
 
 
 @query("k8_select_kde")
