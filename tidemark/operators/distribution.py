@@ -126,6 +126,18 @@ def with_ks_p(df: DataFrame) -> DataFrame:
     return df.withColumn("p_value", p("ks", F.col("n").cast("double")))
 
 
+def with_chi2_p(df: DataFrame, statistic: str, dof: str) -> DataFrame:
+    """`p_value`, the chi-square tail of a statistic by degrees of freedom; null where either is null. For rows of tests, not of data."""
+
+    @F.pandas_udf("double")
+    def p(x: pd.Series, k: pd.Series) -> pd.Series:
+        from .stats import chi2_sf
+
+        return pd.Series([chi2_sf(a, b) if a == a and b == b else None for a, b in zip(x, k)], dtype="float64")
+
+    return df.withColumn("p_value", p(F.col(statistic).cast("double"), F.col(dof).cast("double")))
+
+
 def fitted_curve(fits: DataFrame, low: str, high: str, keys: list[str], n: int = 500) -> DataFrame:
     """x and density on n points between two columns of each fit."""
     rows = fits.select(*keys, "shape", "scale", low, high, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))

@@ -688,6 +688,17 @@ def _(v):
     return series.acf_ljung_box(v.series, "x", 10, KEY, "day").select("symbol", "lag", "n", F.round("rho", 6).alias("rho"), F.round("ljung_box_q", 4).alias("ljung_box_q"))
 
 
+@query("k13_ljung_box_p")
+def _(v):
+    rows = series.acf_ljung_box(v.series, "x", 10, KEY, "day").filter("lag > 0 and lag % 2 = 0").withColumn("q", F.round("ljung_box_q", 4))
+    return r6(distribution.with_chi2_p(rows, "q", "lag").select("symbol", "lag", "p_value"), "p_value")
+
+
+# an even number of degrees of freedom has a finite sum
+ORACLE_SQL["k13_ljung_box_p"] = f"""select symbol, lag, round(exp(-max(ljung_box_q) / 2) * sum(pow(ljung_box_q / 2, j) / factorial(j)), 6) as p_value
+from ({ORACLE_SQL["w12_acf"]}) q, (select unnest(range(0, 5))::int as j) n where lag > 0 and lag % 2 = 0 and j < lag // 2 group by symbol, lag"""
+
+
 @query("w13_xcf", "series", ", d as (select symbol, x - avg(x) over s as a, q - avg(q) over s as b, row_number() over (partition by symbol order by day) as i from v_series window s as (partition by symbol)), sc as (select symbol, sqrt(sum(a * a) / count(*)) * sqrt(sum(b * b) / count(*)) as s from d group by symbol) select u.symbol, k as lag, round(avg(u.a * w.b) / any_value(sc.s), 6) as xcf from (select unnest(range(-5, 6))::int as k) q, d u join d w on u.symbol = w.symbol join sc on u.symbol = sc.symbol where u.i = w.i + k group by u.symbol, k")
 def _(v):
     return r6(series.xcf(v.series, "x", "q", 5, KEY, "day"), "xcf")
