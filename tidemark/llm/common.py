@@ -81,6 +81,11 @@ def fetch_by_id(docs: DataFrame, wanted: DataFrame, key: str, most: int = 200_00
     return docs.join(F.broadcast(wanted) if small else wanted.hint("shuffle_merge"), key)
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """A side of a join of two narrow tables. Small ones would else each be sent through the driver, whose memory many such joins fill."""
+    return df.hint("shuffle_merge")
+
+
 def tidy() -> None:
     """Give freed memory back: Python workers live on from stage to stage."""
     gc.collect()
@@ -257,10 +262,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.join(by_shuffle(low), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        small = down.join(by_shuffle(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         new = materialize(small, "cc")
         same = e.count() == new.count() and new.exceptAll(e).isEmpty()
         discard(e)

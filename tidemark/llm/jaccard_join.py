@@ -277,13 +277,13 @@ def links_of(placed: DataFrame, percent: int) -> DataFrame:
 def group_names(shared: DataFrame, rounds: int = 2) -> DataFrame:
     """node, groups (ascending names): any two nodes with a common token have a common name. `shared` has token, node."""
     count = shared.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    held = C.materialize(shared.join(count, "token").select("token", "node", "c"), "held")
+    held = C.materialize(shared.join(C.by_shuffle(count), "token").select("token", "node", "c"), "held")
     vote = held.groupBy("node").agg(F.max_by("token", F.struct("c", "token")).alias("name"))
     for i in range(rounds):
-        names = held.join(vote, "node").groupBy("token", "name").agg(F.count(F.lit(1)).alias("v")).groupBy("token").agg(F.max_by("name", F.struct("v", "name")).alias("name"))
+        names = held.join(C.by_shuffle(vote), "node").groupBy("token", "name").agg(F.count(F.lit(1)).alias("v")).groupBy("token").agg(F.max_by("name", F.struct("v", "name")).alias("name"))
         if i < rounds - 1:
-            vote = held.join(names, "token").groupBy("node", "name").agg(F.count(F.lit(1)).alias("v")).groupBy("node").agg(F.max_by("name", F.struct("v", "name")).alias("name"))
-    out = C.materialize(held.join(names, "token").groupBy("node").agg(F.sort_array(F.collect_set("name")).alias("groups")), "groups")
+            vote = held.join(C.by_shuffle(names), "token").groupBy("node", "name").agg(F.count(F.lit(1)).alias("v")).groupBy("node").agg(F.max_by("name", F.struct("v", "name")).alias("name"))
+    out = C.materialize(held.join(C.by_shuffle(names), "token").groupBy("node").agg(F.sort_array(F.collect_set("name")).alias("groups")), "groups")
     C.discard(held)
     return out
 
@@ -295,7 +295,7 @@ def classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     members = C.materialize(prefixes(docs, k, percent, sketch), "prefixes")
     nodes = C.materialize(members.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")), "nodes")
     # one row of each node goes on; 40 bits of a shingle name its bucket, and a bucket holds nodes of compatible sizes side by side
-    one = members.join(nodes.select("node", F.col("rep").alias("doc_id")), ["node", "doc_id"], "left_semi")
+    one = members.join(C.by_shuffle(nodes.select("node", F.col("rep").alias("doc_id"))), ["node", "doc_id"], "left_semi")
     rows = one.select("node", F.col("n").cast("int").alias("n"), "cold", F.posexplode("prefix").alias("pos", "token")).select(F.col("token").bitwiseAND(F.lit((1 << 40) - 1)).alias("token"), "node", "n", (F.col("pos") >= F.col("cold")).alias("hot"))
     # a hot shingle's rows are spread: each stands alone in the window, and is kept
     by_size = W.partitionBy("token", F.when(F.col("hot"), F.col("node"))).orderBy("n")
@@ -304,15 +304,15 @@ def classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     once = C.materialize(beside(rows).dropDuplicates(["token", "node"]), "shared")
     # a partner is smaller by `percent` at most, and shares as many shingles as its own prefix is longer by
     enough = once.groupBy("node", "n").count().filter(f"count >= 1 + (({percent} * n + 99) div 100) * {EXTRA} div 100").select("node")
-    shared = C.materialize(beside(once.join(enough, "node")).select("token", "node"), "shared")
+    shared = C.materialize(beside(once.join(C.by_shuffle(enough), "node")).select("token", "node"), "shared")
     C.discard(once)
     named = group_names(shared)
     C.discard(shared)
 
     # how many chunks each group has
-    mass = named.join(nodes.select("node", "n"), "node").select(F.explode("groups").alias("name"), "n").groupBy("name").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("mass")).filter("c > 1")
-    placed = named.select("node", F.explode("groups").alias("name")).join(mass, "name").groupBy("node").agg(F.collect_list(F.struct("name", F.ceil(F.col("mass") / GROUP_SHINGLES).cast("int").alias("chunks"))).alias("in"))
-    wanted = C.materialize(placed.join(named, "node").join(nodes, "node").select("node", F.col("rep").alias("doc_id"), "copies", "groups", "in"), "wanted")
+    mass = named.join(C.by_shuffle(nodes.select("node", "n")), "node").select(F.explode("groups").alias("name"), "n").groupBy("name").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("mass")).filter("c > 1")
+    placed = named.select("node", F.explode("groups").alias("name")).join(C.by_shuffle(mass), "name").groupBy("node").agg(F.collect_list(F.struct("name", F.ceil(F.col("mass") / GROUP_SHINGLES).cast("int").alias("chunks"))).alias("in"))
+    wanted = C.materialize(placed.join(C.by_shuffle(named), "node").join(C.by_shuffle(nodes), "node").select("node", F.col("rep").alias("doc_id"), "copies", "groups", "in"), "wanted")
     wide = C.fetch_by_id(docs, wanted, "doc_id").select("node", "copies", "groups", "in", "text")
 
     def as_sets(batches):
@@ -331,10 +331,10 @@ def classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     # components carry the smallest doc_id of their nodes
     roots = C.connected_components(found, "node", "other")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    linked = nodes.select("node", "rep").join(links, "node").join(roots, "node")
+    linked = nodes.select("node", "rep").join(C.by_shuffle(links), "node").join(C.by_shuffle(roots), "node")
     low = linked.groupBy("root").agg(F.min("rep").alias("low"))
-    linked = linked.join(low, "root").select("node", "root", "low", "links")
-    table = nodes.select("node", "rep", "copies").join(linked, "node", "left").selectExpr("node", "rep", "copies", "coalesce(root, node) as root", "coalesce(low, rep) as low", "coalesce(links, 0) + copies - 1 as links")
+    linked = linked.join(C.by_shuffle(low), "root").select("node", "root", "low", "links")
+    table = nodes.select("node", "rep", "copies").join(C.by_shuffle(linked), "node", "left").selectExpr("node", "rep", "copies", "coalesce(root, node) as root", "coalesce(low, rep) as low", "coalesce(links, 0) + copies - 1 as links")
     return members.select("doc_id", "n", "node"), table
 
 
@@ -353,7 +353,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: s
     result. Shingles are compared by 64-bit hashes.
     """
     members, table = classes(_keyed(docs, doc_id, text), k, percent)
-    return members.join(table, "node", "left").selectExpr(f"nullif(doc_id, {NO_ID}) as doc_id", "n as n_shingles", f"nullif(coalesce(low, doc_id), {NO_ID}) as component_id", "coalesce(links, 0) as n_links")
+    return members.join(C.by_shuffle(table), "node", "left").selectExpr(f"nullif(doc_id, {NO_ID}) as doc_id", "n as n_shingles", f"nullif(coalesce(low, doc_id), {NO_ID}) as component_id", "coalesce(links, 0) as n_links")
 
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -367,10 +367,10 @@ def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     with C.tracked() as paths:
         members, table = classes(_keyed(docs, "doc_id", "text"), k, percent)
     first = table.groupBy("root").agg(F.min_by("node", F.struct("rep", "node")).alias("node"))
-    kept = C.materialize(table.join(first, "node", "left_semi").select("node", F.col("rep").alias("_key")), "kept")
+    kept = C.materialize(table.join(C.by_shuffle(first), "node", "left_semi").select("node", F.col("rep").alias("_key")), "kept")
     # a doc_id that stands once needs no look at its text
     seen = members.groupBy(F.col("doc_id").alias("_key")).agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("node")).filter("node is not null")
-    seen = C.materialize(seen.join(kept.withColumn("stays", F.lit(True)), ["node", "_key"], "left").selectExpr("_key", "times", "stays is not null as stays"), "seen")
+    seen = C.materialize(seen.join(C.by_shuffle(kept.withColumn("stays", F.lit(True))), ["node", "_key"], "left").selectExpr("_key", "times", "stays is not null as stays"), "seen")
     C.discard_paths(docs.sparkSession, paths)
     gone, again = seen.filter("times = 1 and not stays").select("_key"), seen.filter("times > 1").select("_key")
     sure = _without(_without(keyed, gone), again).drop("_key")

@@ -24,8 +24,17 @@ FEW_PATHS, SALTS = 100_000, 32
 
 
 def fit_documents(docs: DataFrame, labels: DataFrame, keep=None, sample_rows: int = SAMPLE_ROWS) -> T.Logistic:
-    rows = T.training_rows(docs.filter(F.length("text") <= SAMPLE_CHARS), labels, "quality", sample_rows, keep).sort_values("doc_id")
-    x = T.features(pa.array(rows["text"].tolist(), pa.string()))
+    """Texts become features in tasks; only these numbers come to the driver."""
+
+    def run(batches):
+        for batch in batches:
+            x = T.features(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), batch.column(2)], names=["doc_id", "x", "y"])
+
+    texts = T.labelled_texts(docs.filter(F.length("text") <= SAMPLE_CHARS), labels, "quality", sample_rows, keep)
+    rows = texts.mapInArrow(C.tidied(run), "doc_id long, x binary, y int").toPandas().sort_values("doc_id")
+    none = T.features(pa.array([], pa.string()))
+    x = np.frombuffer(b"".join(rows["x"]), none.dtype).reshape(-1, none.shape[1])
     y = rows["y"].to_numpy(np.int64)
     del rows
     C.tidy()

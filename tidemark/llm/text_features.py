@@ -240,8 +240,8 @@ class Logistic:
         return self._z(x) @ self.w[:-1] + self.w[-1]
 
 
-def training_rows(docs, labels, label: str, most: int, keep=None) -> pd.DataFrame:
-    """At most `most` labelled texts. The labels are thinned before the texts are read; of rows that repeat a doc_id one text stays, that with the smallest hash."""
+def labelled_texts(docs, labels, label: str, most: int, keep=None):
+    """doc_id, text, y: at most `most` labelled texts. The labels are thinned before the texts are read; of rows that repeat a doc_id one text stays, that with the smallest hash."""
     from pyspark.sql import functions as F
 
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
@@ -249,4 +249,9 @@ def training_rows(docs, labels, label: str, most: int, keep=None) -> pd.DataFram
         rows = rows.filter(keep)
     rows = C.bounded_sample(rows.groupBy("doc_id").agg(F.max("y").alias("y")), "doc_id", most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rows), "doc_id")
-    return texts.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.max("y").alias("y")).toPandas()
+    return texts.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.max("y").alias("y"))
+
+
+def training_rows(docs, labels, label: str, most: int, keep=None) -> pd.DataFrame:
+    """The rows of labelled_texts() on the driver."""
+    return labelled_texts(docs, labels, label, most, keep).toPandas()
