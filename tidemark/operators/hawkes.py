@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.scratch import spread
+from .hawkes_lanes import Held, Lanes
+from .hawkes_lanes import fit as fit_lanes
 from .stats import chi2_sf, minimize
 
 
@@ -403,61 +405,87 @@ def rescaling_summary(residuals: DataFrame, keys: list[str]) -> DataFrame:
     return residuals.groupBy(*keys).agg(F.count("v").alias("n"), F.avg("v").alias("mean"), q(0.5).alias("median"), q(0.1).alias("q10"), q(0.9).alias("q90"), q(0.99).alias("q99")).join(ks, keys)
 
 
-def _invert(t, fit, targets, end=None):
-    """Times, up to `end` or the last event, whose compensator under a fixed fit reaches the targets."""
-    s = decay_states(t, fit["beta"])
-    if end is not None and end > t[-1]:
-        s = np.append(s, (s[-1] + 1) * math.exp(-fit["beta"] * (end - t[-1])))
-        t = np.append(t, end)
-    dt = np.diff(t, prepend=0.0)
-    after = np.concatenate(([0.0], s[:-1] + 1)) * (np.arange(len(t)) > 0)
-    cum = np.cumsum(fit["mu"] * dt + fit["alpha"] * after * (1 - np.exp(-fit["beta"] * dt)))
-    i = np.searchsorted(cum, targets)
-    low = np.concatenate(([0.0], t))[np.minimum(i, len(t) - 1)]
-    lost = targets - np.concatenate(([0.0], cum))[np.minimum(i, len(t) - 1)]
-    e, x = after[np.minimum(i, len(t) - 1)], np.zeros(len(targets))
-    hi = np.maximum(dt[np.minimum(i, len(t) - 1)], 1e-12)
-    lo_x, hi_x = np.zeros(len(targets)), hi
-    for _ in range(60):
-        x = (lo_x + hi_x) / 2
-        f = fit["mu"] * x + fit["alpha"] * e * (1 - np.exp(-fit["beta"] * x))
-        lo_x, hi_x = np.where(f < lost, x, lo_x), np.where(f < lost, hi_x, x)
-    return low + x
+@dataclass
+class History:
+    """The events of a half as they were, under a fit: knots are 0 and the events, `after` the states just after them
+    (of all events, and of the signs of marks), `cum` the compensator at them, `total` at the end."""
+
+    knots: np.ndarray
+    after: list[np.ndarray]
+    cum: np.ndarray
+    total: float
+    mass: float
+
+    @classmethod
+    def of(cls, t: np.ndarray, mark: np.ndarray | None, both: dict, end: float) -> History:
+        states = Lanes(t, end, mark).states(both["beta"])
+        # each event before has given 1 - exp(-beta age) of its mass
+        cum = both["mu"] * t + both["alpha"] * (np.arange(len(t)) - states[0])
+        steps = [np.ones(len(t))] if mark is None else [np.ones(len(t)), 1.0 - 2.0 * mark]
+        after = [np.append(0.0, s + x) for s, x in zip(states, steps)]
+        mass = len(t) - after[0][-1] * math.exp(-both["beta"] * (end - t[-1]))
+        return cls(np.append(0.0, t), after, np.append(0.0, np.maximum.accumulate(cum)), both["mu"] * end + both["alpha"] * mass, float(mass))
+
+
+def _invert(seen: History, both: dict, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The times when the compensator reaches ascending targets below its total, and the knots before them.
+
+    Between knots it is concave, so Newton's steps from the left of a root stay there.
+    """
+    i = np.searchsorted(seen.cum, targets, "left") - 1
+    i = np.maximum(i, 0)
+    lost, low, mu, beta = targets - seen.cum[i], seen.knots[i], both["mu"], both["beta"]
+    lift = both["alpha"] * seen.after[0][i]
+    slope, bend = mu + beta * lift, beta * beta * lift
+    x = 2 * lost / (slope + np.sqrt(np.maximum(slope * slope - 2 * bend * lost, 0.0)))
+    todo = None
+    for _ in range(200):
+        y, e, a = (x, lost, lift) if todo is None else (x[todo], lost[todo], lift[todo])
+        fade = a * np.exp(-beta * y)
+        new = np.maximum(y + (e - mu * y - a + fade) / (mu + beta * fade), 0.0)
+        far = np.abs(new - y) > 1e-13 * new
+        if todo is None:
+            x, todo = new, np.flatnonzero(far)
+        else:
+            x[todo] = new
+            todo = todo[far]
+        if not len(todo):
+            break
+    return low + x, i
 
 
 def _simulate(fit, end, rng, most=math.inf):
-    """One path by thinning under the fitted parameters, to its horizon or, if given, to `most` events."""
-    out, now, s = [], 0.0, 0.0
-    while len(out) < most:
-        bound = fit["mu"] + fit["alpha"] * fit["beta"] * s
-        w = rng.exponential(1 / bound)
-        now += w
-        if now > end:
-            break
-        s *= math.exp(-fit["beta"] * w)
-        if rng.uniform() * bound <= fit["mu"] + fit["alpha"] * fit["beta"] * s:
-            out.append(now)
-            s += 1
-    return np.array(out)
+    """One path under the fitted parameters, to its horizon or, if given, its first `most` events.
+
+    Events of the baseline are uniform, and each event has a Poisson number of children at exponential delays.
+    """
+    born = rng.uniform(0, end, rng.poisson(fit["mu"] * end))
+    every = [born]
+    while len(born):
+        born = np.repeat(born, rng.poisson(fit["alpha"], len(born)))
+        born += rng.exponential(1 / fit["beta"], len(born))
+        born = born[born <= end]
+        every.append(born)
+    out = np.sort(np.concatenate(every))
+    return out if len(out) <= most else out[: int(most)]
 
 
 def _simulate_sym(fit, end, rng):
-    """One path of times and marks by thinning under a symmetric fit, to its horizon."""
-    t, marks, now, s = [], [], 0.0, [0.0, 0.0]
-    rate = lambda k: fit[f"mu{k}"] + fit["beta"] * (fit["alpha_self"] * s[k] + fit["alpha_cross"] * s[1 - k])
-    while (bound := rate(0) + rate(1)) > 0:
-        w = rng.exponential(1 / bound)
-        now += w
-        if now > end:
-            break
-        s = [x * math.exp(-fit["beta"] * w) for x in s]
-        u = rng.uniform() * bound
-        if u <= rate(0) + rate(1):
-            k = int(u > rate(0))
-            t.append(now)
-            marks.append(k)
-            s[k] += 1
-    return np.array(t), np.array(marks, int)
+    """One path of times and marks under a symmetric fit, to its horizon: children of the parent's mark, and of the other."""
+    n = [rng.poisson(fit[f"mu{k}"] * end) for k in (0, 1)]
+    born, kind = rng.uniform(0, end, sum(n)), np.repeat([0, 1], n)
+    every, kinds = [born], [kind]
+    while len(born):
+        own, other = rng.poisson(fit["alpha_self"], len(born)), rng.poisson(fit["alpha_cross"], len(born))
+        born = np.concatenate((np.repeat(born, own), np.repeat(born, other)))
+        kind = np.concatenate((np.repeat(kind, own), 1 - np.repeat(kind, other)))
+        born += rng.exponential(1 / fit["beta"], len(born))
+        born, kind = born[born <= end], kind[born <= end]
+        every.append(born)
+        kinds.append(kind)
+    t, marks = np.concatenate(every), np.concatenate(kinds)
+    order = np.argsort(t, kind="stable")
+    return t[order], marks[order].astype(int)
 
 
 def loglik_under(fit: dict, t: np.ndarray, end: float, mark: np.ndarray | None = None) -> float:
@@ -488,41 +516,106 @@ def design_loglik(x: np.ndarray, at: np.ndarray, mark: np.ndarray, end: float, b
     return sym_value(x, sums, end, beta)
 
 
-def design_lr(parts: list, marks: list, drawn: list, mid: float, beta: float, restarts: int = 1) -> float:
-    """The change statistic of drawn halves (times, marks) over the histories of the halves as they were, with beta held."""
+def design_lr(parts: list, marks: list, drawn: list, mid: float, beta: float, restarts: int = 1, seen: list | None = None) -> float:
+    """The change statistic of drawn halves (times, marks) over the histories of the halves as they were, with beta held.
+
+    `seen` has for each half the states at its drawn events and the mass that its history gives, where they are known.
+    """
+    if seen is None:
+        seen = [(states_at(t, m, at, beta), float((1 - np.exp(-beta * (mid - t))).sum())) for t, m, (at, _) in zip(parts, marks, drawn)]
     designs = []
-    for t, m, (at, kinds) in zip(parts, marks, drawn):
-        designs.append((at, kinds, mid, beta, states_at(t, m, at, beta), float((1 - np.exp(-beta * (mid - t))).sum())))
+    for (_, kinds), (states, mass) in zip(drawn, seen):
+        own, other = np.where(kinds == 0, *states), np.where(kinds == 0, *states[::-1])
+        designs.append((Held(own, other, kinds, mid, beta, mass).sym, [int((kinds == k).sum()) for k in (0, 1)]))
+    return lanes_lr(designs, mid, "sym", beta, restarts)[0]["lr"]
+
+
+def _parts_of(parts: list, marks: list, mid: float, model: str, beta: float | None) -> list[tuple[Callable, list[int]]]:
+    """Of each half (value, gradient, information) at given parameters, and its events by mark."""
+
+    def idle(x):
+        n = 1 if model == "uni" else 2
+        grad = np.append(np.exp(x[:n]) * mid, np.zeros(len(x) - n))
+        return grad.sum(), grad, np.zeros((len(x), len(x)))
+
+    out = []
+    for t, m in zip(parts, marks):
+        counts = [len(t), 0] if m is None else [int((m == 0).sum()), int((m == 1).sum())]
+        if not len(t):
+            out.append((idle, counts))
+        elif model == "uni":
+            out.append((Lanes(t, mid).uni, counts))
+        else:
+            out.append((Lanes(t, mid, m).sym if beta is None else Held.of(t, m, mid, beta).sym, counts))
+    return out
+
+
+def lanes_lr(halves: list, mid: float, model: str, beta: float | None, restarts: int, held: dict | None = None) -> tuple[dict, dict]:
+    """As change_lr, over the halves of _parts_of() and by the information of their likelihoods.
+
+    With beta given a likelihood has one maximum, so one start is enough, if no parameter begins at zero: it would stay there.
+    """
 
     def fit(some: list, restarts: int, start: dict | None = None) -> dict:
-        n = [sum(int((d[1] == k).sum()) for d in some) for k in (0, 1)]
-        plan = sym_plan(*n, mid * len(some), beta, restarts, start=start)
-        return plan.fit(design_loglik, some)
+        n0, n1 = (sum(n[k] for _, n in some) for k in (0, 1))
+        plan = uni_plan(n0, mid * len(some), restarts=restarts, start=start) if model == "uni" else sym_plan(n0, n1, mid * len(some), beta, restarts, start=start)
+        if beta is not None and model != "uni":
+            span = mid * len(some)
+            plan.starts = [np.maximum(x, np.log([max(n0, 0.5) / span / 100, max(n1, 0.5) / span / 100, 0.01, 0.01])) for x in plan.starts[-1:]]
+        return fit_lanes(plan, [f for f, _ in some])
+
+    null = held or fit(halves, restarts)
+    if not held:
+        l0 = null["loglik"]
+    else:
+        # a fit to fewer than two events has no beta, and its rates are those of plan.given
+        names = ["mu", "alpha", "beta"] if model == "uni" else ["mu0", "mu1", "alpha_self", "alpha_cross", *(["beta"] if beta is None else [])]
+        n = sum(map(sum, (n for _, n in halves)))
+        if null["beta"] is None:
+            l0 = (n * math.log(null["mu"]) - null["mu"] * 2 * mid) if model == "uni" and null["mu"] else 0.0
+        elif model != "uni" and not any(null[c] for c in names[:4]):
+            l0 = 0.0
+        else:
+            l0 = -sum(float(f(np.log(np.maximum([null[c] for c in names], 1e-300)))[0]) for f, _ in halves)
+    l1, l2 = (fit([half], max(1, restarts // 2), null)["loglik"] for half in halves)
+    return {"l0": l0, "l1": l1, "l2": l2, "lr": 2 * (l1 + l2 - l0)}, null
+
 
-    null = fit(designs, restarts)
-    return 2 * (sum(fit([d], max(1, restarts // 2), null)["loglik"] for d in designs) - null["loglik"])
+def _both(fit: dict, marked: bool) -> dict:
+    """The fit of all events, whatever their mark."""
+    return {"mu": fit["mu0"] + fit["mu1"], "alpha": fit["alpha_self"] + fit["alpha_cross"], "beta": fit["beta"]} if marked else fit
 
 
-def redraw(t: np.ndarray, mark: np.ndarray | None, fit: dict, end: float, rng, method: str) -> tuple[np.ndarray, np.ndarray | None]:
+def redraw(t: np.ndarray, mark: np.ndarray | None, fit: dict, end: float, rng, method: str, seen: History | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Events, and marks if there are, of one half under the null.
 
     fixed_intensity puts Exp(1) arrivals into the compensator of the events as they are and draws each mark by its share
     of the intensity there; parametric simulates the process anew.
     """
-    both = fit if mark is None else {"mu": fit["mu0"] + fit["mu1"], "alpha": fit["alpha_self"] + fit["alpha_cross"], "beta": fit["beta"]}
+    return _redrawn(t, mark, fit, end, rng, method, seen)[:2]
+
+
+def _redrawn(t, mark, fit, end, rng, method, seen: History | None = None) -> tuple[np.ndarray, np.ndarray | None, list | None]:
+    """redraw(), and the states of both marks at the drawn events where the marks went by them."""
+    both = _both(fit, mark is not None)
     if both["beta"] is None or not len(t):
         star = np.sort(rng.uniform(0, end, rng.poisson((both["mu"] or 0.0) * end)))
-        return star, None if mark is None else (rng.uniform(size=len(star)) * both["mu"] > fit["mu0"]).astype(int)
+        nothing = [np.zeros(len(star))] * 2
+        return (star, None, None) if mark is None else (star, (rng.uniform(size=len(star)) * both["mu"] > fit["mu0"]).astype(int), nothing)
     if method == "parametric":
-        return (_simulate(fit, end, rng), None) if mark is None else _simulate_sym(fit, end, rng)
-    total = both["mu"] * end + both["alpha"] * (1 - np.exp(-both["beta"] * (end - t))).sum()
+        return (_simulate(fit, end, rng), None, None) if mark is None else (*_simulate_sym(fit, end, rng), None)
+    seen = seen or History.of(t, mark, both, end)
+    total = seen.total
     arrivals = np.cumsum(rng.exponential(size=int(total + 10 * math.sqrt(total) + 50)))
-    star = _invert(t, both, arrivals[arrivals < total], end)
+    star, knot = _invert(seen, both, arrivals[arrivals < total])
+    star = np.minimum(star, np.append(seen.knots[1:], end)[knot])
     if mark is None:
-        return star, None
-    seen = states_at(t, mark, star, fit["beta"])
-    rate = [fit[f"mu{k}"] + fit["beta"] * (fit["alpha_self"] * seen[k] + fit["alpha_cross"] * seen[1 - k]) for k in (0, 1)]
-    return star, (rng.uniform(size=len(star)) * (rate[0] + rate[1]) > rate[0]).astype(int)
+        return star, None, None
+    fade = np.exp(-fit["beta"] * (star - seen.knots[knot]))
+    every, signed = (a[knot] * fade for a in seen.after)
+    states = [(every + signed) / 2, (every - signed) / 2]
+    rate = [fit[f"mu{k}"] + fit["beta"] * (fit["alpha_self"] * states[k] + fit["alpha_cross"] * states[1 - k]) for k in (0, 1)]
+    return star, (rng.uniform(size=len(star)) * (rate[0] + rate[1]) > rate[0]).astype(int), states
 
 
 def hawkes_bootstrap(df: DataFrame, keys: list[str], replicates: int, seed: int = 0, method: str = "fixed_intensity", t: str = "t", block: int = 25, restarts: int = 1, model: str = "uni", beta: float = 10.0, mark: str = "mark") -> DataFrame:
@@ -530,31 +623,51 @@ def hawkes_bootstrap(df: DataFrame, keys: list[str], replicates: int, seed: int
 
     Both halves are drawn apart under the common fit of both, by redraw(). fixed_intensity refits the null and the
     halves of each replicate, with beta held in model "sym"; fixed_design (model "sym" only) draws in the same way and
-    refits over the states of the events as they were; parametric refits the halves and holds the null's parameters. A task takes one series and a block of replicates; seeds follow from series and replicate, so a lost
-    task redoes the same draws. Events travel as one array a block.
+    refits over the states of the events as they were; parametric refits the halves and holds the null's parameters. A
+    series is fitted once; a task then takes one series and a block of replicates. Seeds follow from series and
+    replicate, so a lost task redoes the same draws. Events travel as one binary a block.
     """
     marked = model != "uni"
     if method == "fixed_design" and model != "sym":
         raise ValueError("fixed_design needs two marks and a given beta: model='sym'")
+    free = beta if model == "sym" else None
+    names = ["mu0", "mu1", "alpha_self", "alpha_cross", "beta"] if marked else ["mu", "alpha", "beta"]
     series = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(t).cast("double").alias("t"), (F.col(mark).cast("int") if marked else F.lit(0)).alias("m")))).alias("ts"))
-    blocks = series.select(*keys, F.col("ts.t").alias("ts"), F.col("ts.m").alias("ms"), F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // block) - 1))).alias("b"))
 
-    def run(key, pdf):
-        x, number = np.array(pdf["ts"].iloc[0]), int(key[-1])
+    def halves(x: np.ndarray, m: np.ndarray) -> tuple[list, list, float]:
         mid = float(x[-1]) / 2
-        parts, marks = _halves_of(x, np.array(pdf["ms"].iloc[0]) if marked else None, 2 * mid)
-        found, null = change_lr(parts, marks, mid, model, beta, restarts)
+        return *_halves_of(x, m.astype(int) if marked else None, 2 * mid), mid
+
+    def observed(key, pdf):
+        x, m = np.array(pdf["ts"].iloc[0], float), np.array(pdf["ms"].iloc[0], np.int8)
+        parts, marks, mid = halves(x, m)
+        found, null = lanes_lr(_parts_of(parts, marks, mid, model, free), mid, model, free, restarts)
+        return pd.DataFrame([{**dict(zip(keys, key)), "ts": x.tobytes(), "ms": m.tobytes(), "lr": found["lr"], "fit": [math.nan if null[c] is None else float(null[c]) for c in names]}])
+
+    kinds = _types(df, keys)
+    rows = series.select(*keys, F.col("ts.t").alias("ts"), F.col("ts.m").alias("ms"))
+    fitted = spread(rows, *keys).groupBy(*keys).applyInPandas(observed, f"{kinds}, ts binary, ms binary, lr double, fit array<double>")
+    blocks = fitted.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // block) - 1))))
+
+    def run(key, pdf):
+        row, number = pdf.iloc[0], int(key[-1])
+        x = np.frombuffer(row["ts"])
+        parts, marks, mid = halves(x, np.frombuffer(row["ms"], np.int8))
+        null = {c: None if math.isnan(v) else float(v) for c, v in zip(names, row["fit"])}
+        fixed = method != "parametric" and null["beta"] is not None
+        seen = [History.of(a, m, _both(null, marked), mid) if fixed and len(a) else None for a, m in zip(parts, marks)]
         hits = done = 0
         for r in range(number * block, min(replicates, (number + 1) * block)):
             rng = np.random.default_rng([seed, r, len(x), int(x.sum() * 1e3) % (1 << 32)])
-            star = [redraw(a, m, null, mid, rng, method) for a, m in zip(parts, marks)]
+            star = [_redrawn(a, m, null, mid, rng, method, h) for a, m, h in zip(parts, marks, seen)]
             if method == "fixed_design":
-                hits, done = hits + (design_lr(parts, marks, star, mid, beta, restarts) >= found["lr"]), done + 1
-                continue
-            lr = change_lr([a for a, _ in star], [m for _, m in star], mid, model, beta, restarts, null if method == "parametric" else None)[0]["lr"]
-            hits += lr >= found["lr"]
+                lr = design_lr(parts, marks, [s[:2] for s in star], mid, beta, restarts, [(s[2], h.mass if h else 0.0) for s, h in zip(star, seen)])
+            else:
+                drawn = _parts_of([s[0] for s in star], [s[1] for s in star], mid, model, free)
+                lr = lanes_lr(drawn, mid, model, free, restarts, null if method == "parametric" else None)[0]["lr"]
+            hits += lr >= row["lr"]
             done += 1
-        return pd.DataFrame([{**dict(zip(keys, key[:-1])), "lr": found["lr"], "hits": hits, "done": done}])
+        return pd.DataFrame([{**dict(zip(keys, key[:-1])), "lr": row["lr"], "hits": hits, "done": done}])
 
-    parts = spread(blocks, *keys, "b").groupBy(*keys, "b").applyInPandas(run, f"{_types(df, keys)}, lr double, hits long, done long")
+    parts = spread(blocks, *keys, "b").groupBy(*keys, "b").applyInPandas(run, f"{kinds}, lr double, hits long, done long")
     return parts.groupBy(*keys).agg(F.max("lr").alias("lr"), F.sum("done").alias("replicates"), ((1 + F.sum("hits")) / (F.sum("done") + 1)).alias("p_value"))
