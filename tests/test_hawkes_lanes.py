@@ -118,3 +118,29 @@ def test_replicates_of_clumps():
     cum = null["mu"] * x + null["alpha"] * (last + 1 - after)
     want = np.cumsum(np.random.default_rng(3).exponential(size=len(x)))
     assert np.allclose(cum, want, rtol=1e-9, atol=1e-8)
+
+
+def test_paths_have_the_law_of_the_process():
+    """Sizes, times and marks of paths by generations against the mean intensity, from an empty history."""
+    fit = {"mu": 2.0, "alpha": 0.6, "beta": 1.5}
+    paths = [hawkes._simulate(fit, 30.0, np.random.default_rng(i)) for i in range(4000)]
+    # the mean intensity m solves m' = beta (mu - (1 - alpha) m), m(0) = mu
+    rate = fit["beta"] * (1 - fit["alpha"])
+    mean = lambda end: fit["mu"] / (1 - fit["alpha"]) * (end - fit["alpha"] * (1 - math.exp(-rate * end)) / rate)
+    for end in (1.0, 5.0, 30.0):
+        assert np.mean([(x <= end).sum() for x in paths]) == pytest.approx(mean(end), rel=0.05)
+    assert all((np.diff(x) > 0).all() and 0 <= x[0] and x[-1] <= 30 for x in paths)
+    rescaled = np.concatenate([np.diff([fit["mu"] * y + fit["alpha"] * (1 - np.exp(-fit["beta"] * (y - x[x < y]))).sum() for y in x], prepend=0.0) for x in paths[:60]])
+    assert rescaled.mean() == pytest.approx(1, abs=0.05) and np.mean(rescaled > 1) == pytest.approx(math.exp(-1), abs=0.03)
+    both = {"mu0": 1.0, "mu1": 0.5, "alpha_self": 0.3, "alpha_cross": 0.4, "beta": 1.5}
+    drawn = [hawkes._simulate_sym(both, 100.0, np.random.default_rng(i)) for i in range(200)]
+    want = np.linalg.solve([[0.7, -0.4], [-0.4, 0.7]], [1.0, 0.5])
+    for k in (0, 1):
+        assert np.mean([((m == k) & (t > 20)).sum() / 80 for t, m in drawn]) == pytest.approx(want[k], rel=0.06)
+
+
+def test_long_paths_are_drawn_in_bulk():
+    began = time.process_time()
+    x = hawkes._simulate({"mu": 400.0, "alpha": 0.98, "beta": 8e5}, 10.0, np.random.default_rng(0))
+    # some 0.05 seconds; 1.3 event by event
+    assert len(x) > 150_000 and time.process_time() - began < 1
