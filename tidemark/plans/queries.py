@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import columns as C
-from ..functions.scratch import scratch
+from ..functions.scratch import scratch, written
 from ..operators import align, bars, book, book_events, distribution, entropy, hawkes, kde, series, sessions, stationarity, trades
 from .views import KEY, Views, duck
 
@@ -974,6 +974,22 @@ def streamed(df: DataFrame, job, tag: str, *more: DataFrame, maps: bool = False)
     return spark.read.schema(out.schema).parquet(f"{base}/out")
 
 
+#: Rows, about, of a delivery to a live book: a key's rows of one micro-batch are held in one task.
+DELIVERY = 2_000_000
+
+
+def slices(df: DataFrame, order: str, most: int) -> list[DataFrame]:
+    """The rows as a written table, in deliveries that follow one another in `order` and have some `most` rows each."""
+    spark = df.sparkSession
+    table, _ = written(df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order), "deliveries")
+    parts = -(-table.count() // most)
+    if parts < 2:
+        return [table]
+    ends = sorted({int(x) for x in table.approxQuantile(order, [i / parts for i in range(1, parts)], 0.1 / parts)})
+    first = table.filter((F.col(order) <= ends[0]) | F.col(order).isNull())
+    return [first, *[table.filter((F.col(order) > a) & (F.col(order) <= b)) for a, b in zip(ends, ends[1:])], table.filter(F.col(order) > ends[-1])]
+
+
 def timed(df: DataFrame, t: str) -> DataFrame:
     return df.withColumn("ts", F.timestamp_micros(t))
 
@@ -1071,12 +1087,13 @@ select symbol, seq, 'vol', side, round(abs(ln(best / last)), 6) from (
 
 @query("t4_stream_outputs", "updates", BOOK_OUTPUTS)
 def _(v):
-    """The updates in two deliveries; the second brings a part of the first's again, late, which are dropped."""
+    """The updates in two deliveries, each in slices; the second brings a part of the first's again, late, which are dropped."""
     from ..streaming.stateful import book_outputs, book_states
 
     rows = v.updates.join(v.updates.groupBy(*KEY).agg((F.max("seq") / 2).alias("half")), KEY)
     early, late = rows.filter("seq <= half").drop("half"), rows.filter("seq > half or action = 1").drop("half")
-    out = streamed(early, lambda s: book_outputs(book_states(s, KEY), KEY), "outputs", late, maps=True)
+    first, *more = slices(early, "seq", DELIVERY) + slices(late, "seq", DELIVERY)
+    out = streamed(first, lambda s: book_outputs(book_states(s, KEY), KEY), "outputs", *more, maps=True)
     return r6(out.select("symbol", "seq", "kind", "side", "value"), "value")
 
 
@@ -1084,7 +1101,8 @@ def _(v):
 def _(v):
     from ..streaming.jobs import stream_book
 
-    out = streamed(v.updates, lambda s: stream_book(s, KEY), "book")
+    first, *more = slices(v.updates, "seq", DELIVERY)
+    out = streamed(first, lambda s: stream_book(s, KEY), "book", *more)
     return out.select("symbol", "seq", "best_bid", "best_ask", "best_bid_before", "best_ask_before")
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 KEYS = ["trade_date", "symbol_index"]
+#: Rows of output that a live book holds before it passes them on.
+SLICE = 10_000
 
 
 def stream_bars(sdf: DataFrame, freq: str = "1 minute", delay: str = "1 minute", keys: list[str] = KEYS, ts: str = "ts") -> DataFrame:
@@ -148,12 +150,14 @@ def stream_book(sdf: DataFrame, keys: list[str] = KEYS, policy: str = "display",
 
     Rows are sorted by seq inside each micro-batch; those at or before the last applied one are dropped, so late
     ones of an earlier batch change nothing. A burst of retransmissions replaces the book or, with on_retransmit
-    "merge", is put into it. With `timeout` a key idle that long is forgotten.
+    "merge", is put into it. With `timeout` a key idle that long is forgotten. A key's rows of one micro-batch are held
+    together, so large inputs are to come in several (see plans.queries.slices).
     """
     kinds = ", ".join(f"{k} {sdf.schema[k].dataType.simpleString()}" for k in keys)
     best = ["best_bid", "bid_depth", "best_ask", "ask_depth"]
     out = f"{kinds}, seq long, t long, action int, side int, order_type int, price double, " + ", ".join(f"{c}{s} double" for s in ("_before", "") for c in best)
     held = "last long, burst boolean, ids array<long>, sides array<int>, prices array<double>, qtys array<double>"
+    columns = [*keys, "seq", "t", "action", "side", "order_type", "price", *[f"{c}_before" for c in best], *best]
     none = lambda x, f: None if pd.isna(x) else f(x)
 
     def run(key, frames, st: GroupState):
@@ -172,11 +176,14 @@ def stream_book(sdf: DataFrame, keys: list[str] = KEYS, policy: str = "display",
             book.apply(int(r.action), none(r.priority, int), none(r.prev_priority, int), none(r.side, int), none(r.price, float), none(r.qty, float))
             rows.append((*key, r.seq, r.t, r.action, none(r.side, int), none(r.order_type, int), none(r.price, float), *before, *(now := book.best())))
             last = int(r.seq)
+            if len(rows) == SLICE:
+                yield pd.DataFrame(rows, columns=columns)
+                rows = []
         o = book.orders
         st.update((last, book.burst, list(o), [x[0] for x in o.values()], [x[1] for x in o.values()], [x[2] for x in o.values()]))
         if timeout:
             st.setTimeoutDuration(timeout)
-        yield pd.DataFrame(rows, columns=[*keys, "seq", "t", "action", "side", "order_type", "price", *[f"{c}_before" for c in best], *best])
+        yield pd.DataFrame(rows, columns=columns)
 
     return sdf.groupBy(*keys).applyInPandasWithState(run, out, held, "append", GroupStateTimeout.ProcessingTimeTimeout if timeout else GroupStateTimeout.NoTimeout)
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..operators import book_events
-from .jobs import KEYS, LiveBook
+from .jobs import KEYS, SLICE, LiveBook
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DAY_MS = 86_400_000
@@ -156,6 +156,7 @@ class BookProcessor(StatefulProcessor):
             return
         book = StoredBook(self.orders, self.levels, head is None, burst, self.policy, self.on_retransmit)
         out, now = [], book.best()
+        columns = [*self.keys, "seq", "t", "action", "side", "order_type", "price", *[f"{c}_before" for c in BEST], *BEST, "known_bid", "known_ask"]
         for r in pdf.itertuples(index=False):
             if r.seq <= last:
                 continue
@@ -165,13 +166,16 @@ class BookProcessor(StatefulProcessor):
             out.append((*key, r.seq, r.t, r.action, _none(r.side, int), _none(r.order_type, int), _none(r.price, float), *before, *now, known["bid"], known["ask"]))
             known = {"bid": now[0] if now[0] is not None else known["bid"], "ask": now[2] if now[2] is not None else known["ask"]}
             last = int(r.seq)
+            if len(out) == SLICE:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
         end = (int(pdf["t"].max()) // 1000 // DAY_MS + 1) * DAY_MS
         if self.forget and end > day_end:
             self.handle.registerTimer(end)
             day_end = end
         book.save()
         self.head.update((last, book.burst, day_end, known["bid"], known["ask"]))
-        yield pd.DataFrame(out, columns=[*self.keys, "seq", "t", "action", "side", "order_type", "price", *[f"{c}_before" for c in BEST], *BEST, "known_bid", "known_ask"])
+        yield pd.DataFrame(out, columns=columns)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """The day is over for the watermark: the book goes, unless a later day has begun."""
@@ -187,8 +191,8 @@ class BookProcessor(StatefulProcessor):
 def book_states(sdf: DataFrame, keys: list[str] = KEYS, policy: str = "display", on_retransmit: str = "reset", delay: str | None = None) -> DataFrame:
     """The rows of jobs.stream_book, and known_bid and known_ask, each side's best that was last known before the update.
 
-    Rows are applied in the order of seq inside each micro-batch; those at or before the last applied one are dropped.
-    With `delay` the watermark of `t` (microseconds) ends a day: rows of a day that it has left are dropped, and a
+    Rows are applied in the order of seq inside each micro-batch, where a key's rows are held together; those at or
+    before the last applied one are dropped. With `delay` the watermark of `t` (microseconds) ends a day: rows of a day that it has left are dropped, and a
     key's book is forgotten after the last day that it had updates on.
     """
     kinds = ", ".join(f"{k} {sdf.schema[k].dataType.simpleString()}" for k in keys)
