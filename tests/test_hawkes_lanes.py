@@ -114,7 +114,7 @@ def test_replicates_of_clumps():
     s = hawkes.decay_states(parts[0], null["beta"])
     x = star[0]
     last = np.searchsorted(parts[0], x, "left") - 1
-    after = np.where(last >= 0, (s + 1)[last] * np.exp(-null["beta"] * (x - parts[0][last])), 0.0)
+    after = np.where(last >= 0, (s + 1)[last] * np.exp(-null["beta"] * np.maximum(x - parts[0][last], 0.0)), 0.0)
     cum = null["mu"] * x + null["alpha"] * (last + 1 - after)
     want = np.cumsum(np.random.default_rng(3).exponential(size=len(x)))
     assert np.allclose(cum, want, rtol=1e-9, atol=1e-8)
@@ -144,3 +144,14 @@ def test_long_paths_are_drawn_in_bulk():
     x = hawkes._simulate({"mu": 400.0, "alpha": 0.98, "beta": 8e5}, 10.0, np.random.default_rng(0))
     # some 0.05 seconds; 1.3 event by event
     assert len(x) > 150_000 and time.process_time() - began < 1
+
+
+def test_draws_do_not_depend_on_blocks(monkeypatch):
+    """Replicates are drawn a block of events at a time, with the same numbers."""
+    fit = {"mu0": 3.0, "mu1": 2.0, "alpha_self": 0.4, "alpha_cross": 0.2, "beta": 4.0}
+    t, m = hawkes._simulate_sym(fit, 60.0, np.random.default_rng(2))
+    want = hawkes._redrawn(t, m, fit, 60.0, np.random.default_rng(5), "fixed_intensity")
+    monkeypatch.setattr(hawkes, "BLOCK", 7)
+    got = hawkes._redrawn(t, m, fit, 60.0, np.random.default_rng(5), "fixed_intensity")
+    assert np.allclose(got[0], want[0], rtol=1e-12) and (got[1] == want[1]).all() and np.allclose(got[2], want[2], rtol=1e-9)
+    assert np.allclose(got[2], hawkes.states_at(t, m, got[0], 4.0), rtol=1e-9)

@@ -607,15 +607,24 @@ def _redrawn(t, mark, fit, end, rng, method, seen: History | None = None) -> tup
     seen = seen or History.of(t, mark, both, end)
     total = seen.total
     arrivals = np.cumsum(rng.exponential(size=int(total + 10 * math.sqrt(total) + 50)))
-    star, knot = _invert(seen, both, arrivals[arrivals < total])
-    star = np.minimum(star, np.append(seen.knots[1:], end)[knot])
-    if mark is None:
-        return star, None, None
-    fade = np.exp(-fit["beta"] * (star - seen.knots[knot]))
-    every, signed = (a[knot] * fade for a in seen.after)
-    states = [(every + signed) / 2, (every - signed) / 2]
-    rate = [fit[f"mu{k}"] + fit["beta"] * (fit["alpha_self"] * states[k] + fit["alpha_cross"] * states[1 - k]) for k in (0, 1)]
-    return star, (rng.uniform(size=len(star)) * (rate[0] + rate[1]) > rate[0]).astype(int), states
+    star = arrivals[arrivals < total]
+    del arrivals
+    kinds, states = (None, None) if mark is None else (np.empty(len(star), np.int8), np.empty((2, len(star))))
+    for lo in range(0, len(star), BLOCK):
+        at = slice(lo, lo + BLOCK)
+        x, knot = _invert(seen, both, star[at])
+        star[at] = np.minimum(x, np.where(knot + 1 < len(seen.knots), seen.knots[np.minimum(knot + 1, len(seen.knots) - 1)], end))
+        if mark is not None:
+            fade = np.exp(-fit["beta"] * (star[at] - seen.knots[knot]))
+            every, signed = (a[knot] * fade for a in seen.after)
+            here = states[:, at] = (every + signed) / 2, (every - signed) / 2
+            rate = [fit[f"mu{k}"] + fit["beta"] * (fit["alpha_self"] * here[k] + fit["alpha_cross"] * here[1 - k]) for k in (0, 1)]
+            kinds[at] = rng.uniform(size=len(x)) * (rate[0] + rate[1]) > rate[0]
+    return star, kinds, states
+
+
+#: Events that are drawn at a time.
+BLOCK = 1 << 16
 
 
 def hawkes_bootstrap(df: DataFrame, keys: list[str], replicates: int, seed: int = 0, method: str = "fixed_intensity", t: str = "t", block: int = 25, restarts: int = 1, model: str = "uni", beta: float = 10.0, mark: str = "mark") -> DataFrame:
@@ -636,7 +645,7 @@ def hawkes_bootstrap(df: DataFrame, keys: list[str], replicates: int, seed: int
 
     def halves(x: np.ndarray, m: np.ndarray) -> tuple[list, list, float]:
         mid = float(x[-1]) / 2
-        return *_halves_of(x, m.astype(int) if marked else None, 2 * mid), mid
+        return *_halves_of(x, m if marked else None, 2 * mid), mid
 
     def observed(key, pdf):
         x, m = np.array(pdf["ts"].iloc[0], float), np.array(pdf["ms"].iloc[0], np.int8)
@@ -663,6 +672,7 @@ def hawkes_bootstrap(df: DataFrame, keys: list[str], replicates: int, seed: int
             if method == "fixed_design":
                 lr = design_lr(parts, marks, [s[:2] for s in star], mid, beta, restarts, [(s[2], h.mass if h else 0.0) for s, h in zip(star, seen)])
             else:
+                star = [s[:2] for s in star]
                 drawn = _parts_of([s[0] for s in star], [s[1] for s in star], mid, model, free)
                 lr = lanes_lr(drawn, mid, model, free, restarts, null if method == "parametric" else None)[0]["lr"]
             hits += lr >= row["lr"]
